@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, quality, sharding, simhash
+from . import bpe, decontam, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
+    "op5_pii": pii.op5_pii,
     "op7_decontam": decontam.op7_decontam,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
