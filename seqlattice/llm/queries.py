@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, pii, quality, sharding, simhash
+from . import bpe, decontam, langid, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
+    "op6_langid": langid.op6_langid,
     "op7_decontam": decontam.op7_decontam,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
