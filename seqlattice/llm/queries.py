@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, pii, quality, sharding, simhash, toxicity
+from . import bpe, decontam, langid, license_scan, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_langid": langid.op6_langid,
     "op7_decontam": decontam.op7_decontam,
     "op8_bpe": bpe.op8_bpe,
+    "op9_license": license_scan.op9_license,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL}
