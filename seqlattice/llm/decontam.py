@@ -1,35 +1,36 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased. A window of ``SPAN`` (12)
-tokens is cut into four blocks of three; each of the six fixed masks ignores two
-blocks, so a window with up to two substituted tokens agrees with its source
-under at least one mask, wherever they are. Masked windows of documents and of
+Tokens are runs of letters and digits, lower-cased. Three fixed seeds look at
+two blocks of three tokens and ignore 0, 3 or 6 positions between them. Cut any
+12 aligned tokens into four blocks: with up to two substitutions at least two
+blocks are intact, and some seed looks at just these two, so the stretch is
+found wherever the substitutions are. Masked windows of documents and of
 benchmark items are hashed and joined. Every hit fixes an alignment of the item
 to the document, which is then verified token by token: an item counts as leaked
 if some stretch of ``min(len(item), STRETCH)`` aligned tokens agrees in
 ``AGREE`` (80 %) of its positions. Chance hits of a few common words fail this.
 
-The documents are read once and never shuffled whole: windows are generated,
-hashed, joined and verified in one pass, and only verified hits (deduplicated)
-move. The item side is broadcast if it has at most ``BROADCAST_ROWS`` masked
-windows (counted first), else the join is an ordinary shuffle join.
-
-Edge cases: null and empty texts have no windows; items of 8 to 11 tokens are
-searched as whole exact windows, shorter ones not at all (they would flag clean
-text); repeated rows and null ids keep their rows, as rows are told apart by id
-and text hash; empty tables on either side give no hits.
+The documents are read once and never shuffled whole: positions are generated,
+those whose first block occurs in no item are dropped by a semi-join, the rest
+are masked, hashed, joined and verified in one pass, and only hits move,
+aggregated by row and alignment. The item side is broadcast if it has at most
+``BROADCAST_ROWS`` masked windows (counted first), else both joins are ordinary
+shuffle joins.
+
+Edge cases: null and empty texts have no windows; items of fewer than
+``SHORTEST`` tokens are not searched (they would flag clean text); repeated rows
+and null ids keep their rows, as rows are told apart by id and text hash; empty
+tables on either side give no hits.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN, BLOCK = 12, 3
-#: Positions that each mask looks at.
-MASKS = [[i for i in range(SPAN) if i // BLOCK not in ignored] for ignored in combinations(range(SPAN // BLOCK), 2)]
+BLOCK = 3
+#: Distance between the two blocks that each seed looks at.
+SEEDS = [3, 6, 9]
 SHORTEST = 8
 STRETCH = 20
 AGREE = 0.8
@@ -41,34 +42,40 @@ def token_hashes(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _keys(tokens: Column, at: Column, shapes: list[list[int]]) -> Column:
-    """One hash for every shape that fits at this position; null where it does not."""
-    n = F.size(tokens)
-    return F.array(*(F.when((at >= 0) & (at + shape[-1] < n), F.xxhash64(F.lit(k), *(F.get(tokens, at + i) for i in shape))) for k, shape in enumerate(shapes)))
+def _block(tokens: Column, at: Column) -> Column:
+    return F.xxhash64(*(F.get(tokens, at + i) for i in range(BLOCK)))
+
 
+def _key(tokens: Column, at: Column, gap: Column) -> Column:
+    """Hash of the two blocks of a seed at a position; null where it does not fit."""
+    fits = (at >= 0) & (at + gap + (BLOCK - 1) < F.size(tokens))
+    return F.when(fits, F.xxhash64(gap, *(F.get(tokens, at + i) for i in range(BLOCK)), *(F.get(tokens, at + gap + i) for i in range(BLOCK))))
 
-def _windows(df: DataFrame, shapes: list[list[int]], keep: list[str]) -> DataFrame:
-    last = F.size("tokens") - (min(shape[-1] for shape in shapes) + 1)
+
+def _positions(df: DataFrame, keep: list[str]) -> DataFrame:
+    last = F.size("tokens") - (SEEDS[0] + BLOCK)
     # No filter on the size: it would be pushed below and tokenize every text twice.
-    df = df.select(*keep, "tokens", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    return df.select(*keep, "tokens", "at", F.posexplode(_keys(F.col("tokens"), F.col("at"), shapes)).alias("shape", "key")).filter("key is not null")
+    return df.select(*keep, "tokens", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+
+
+def _masked(df: DataFrame) -> DataFrame:
+    df = df.select("*", F.explode(F.array(*(F.lit(g) for g in SEEDS))).alias("gap"))
+    return df.withColumn("key", _key(F.col("tokens"), F.col("at"), F.col("gap"))).filter("key is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified leaks ``(id, text_hash, item_id, at, agreeing)``, one row for each row key, item and alignment."""
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("tokens")).filter(F.size("tokens") >= SHORTEST)
-    short = sorted(row.n for row in items.filter(F.size("tokens") < SPAN).select(F.size("tokens").alias("n")).distinct().collect())  # 4 at most
-    shapes = MASKS + [list(range(n)) for n in short]
-    # Long items are found by masks; a shape for a short item stands for items of that length only.
-    wanted = _windows(items, shapes, ["item_id"]).withColumnsRenamed({"tokens": "item_tokens", "at": "item_at"})
-    wanted = wanted.filter((F.col("shape") < len(MASKS)) | (F.size("item_tokens") == F.element_at(F.array(*(F.lit(shape[-1] + 1) for shape in shapes)), F.col("shape") + 1)))
-    before = lambda tokens, at: F.get(_keys(F.col(tokens), F.col(at) - 1, shapes), F.col("shape"))
+    wanted = _masked(_positions(items, ["item_id"])).withColumnsRenamed({"tokens": "item_tokens", "at": "item_at"})
+    before = lambda tokens, at: _key(F.col(tokens), F.col(at) - 1, F.col("gap"))
+    blocks = wanted.select(_block(F.col("item_tokens"), F.col("item_at")).alias("block")).distinct()
     wanted = wanted.select("key", "item_id", "item_tokens", "item_at", before("item_tokens", "item_at").alias("before")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+        wanted, blocks = F.broadcast(wanted), F.broadcast(blocks)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), token_hashes(F.col(text_col)).alias("tokens"))
-    hits = _windows(rows, shapes, ["id", "text_hash"]).join(wanted, "key")
-    # Of a run of hits of one mask on one alignment, the first is enough.
+    known = _positions(rows, ["id", "text_hash"]).withColumn("block", _block(F.col("tokens"), F.col("at"))).join(blocks, "block", "left_semi")
+    hits = _masked(known.drop("block")).join(wanted, "key")
+    # Of a run of hits of one seed on one alignment, the first is enough.
     hits = hits.filter(F.col("before").isNull() | F.coalesce(F.col("before") != before("tokens", "at"), F.lit(True)))
     hits = hits.select("id", "text_hash", "item_id", "tokens", "item_tokens", (F.col("at") - F.col("item_at")).alias("start"))
     equal = F.transform("item_tokens", lambda t, j: F.coalesce(F.get(F.col("tokens"), F.col("start") + j) == t, F.lit(False)).cast("int"))
