@@ -1,0 +1 @@
+"""Alignment-free sequence similarity on Spark DataFrames."""
