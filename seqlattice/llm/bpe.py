@@ -47,13 +47,16 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int] | None] = parts or {}
-        self.joined = {pair: rank for rank, pair in self.parts.items() if pair}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        if not parts:
-            for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-                self.parts[rank] = pair = self._last_merge(token, rank)
-                if pair:
-                    self.joined[pair] = rank
+        self._span = span = max(ranks.values()) + 1
+        self._pairs: dict[int, bool] = {}
+        # The same by rank: the halves (-1 for a single byte), and the rank of a merge by its two halves.
+        self._left, self._right, self._joined = [-1] * span, [-1] * span, {}
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+            if not parts:
+                self.parts[rank] = self._last_merge(token, rank)
+            if pair := self.parts[rank]:
+                self._left[rank], self._right[rank] = pair
+                self._joined[pair[0] * span + pair[1]] = rank
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -78,30 +81,56 @@ class Codec:
 
     def _survives(self, left: int, right: int) -> bool:
         """True if the encoding of the two tokens' bytes is these two tokens."""
-        parts, joined, limit = self.parts, self.joined, 1 << 62
-        while True:
-            if joined.get((left, right), limit) < limit:
-                return False
-            latest = max(left, right)
-            if parts[latest] is None:
-                return True
+        lefts, rights, merged, span, limit = self._left, self._right, self._joined.get, self._span, 1 << 62
+        while merged(left * span + right, limit) >= limit:
             if left > right:  # undo the merge that made the left one
-                limit, left = left, parts[left][1]
+                limit, left = left, rights[left]
             else:  # merges of one rank go from left to right, so the border's own may still come first
-                limit, right = right + 1, parts[right][0]
-
-    def may_follow(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._survives(left, right)
-        return known
+                limit, right = right + 1, lefts[right]
+            if left < 0 or right < 0:  # the latest of the two was a single byte, and so is the other
+                return True
+        return False
+
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Fill ``last``, the valid last token of every prefix of ``data``, from where it ends.
+
+        The valid token is unique, so the candidates can be tried shortest first.
+        """
+        rank, pairs, span, known = self.ranks.get, self._pairs, self._span, self._pairs.get
+        for end in range(len(last), len(data) + 1):
+            for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+                token = rank(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    pair = last[start] * span + token
+                    fits = known(pair)
+                    if fits is None:
+                        if len(pairs) > PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self._survives(last[start], token)
+                    if fits:
+                        break
+            else:
+                raise ValueError("bytes cannot be encoded")
+            last.append(token)
+
+    def read_back(self, last: list[int]) -> list[int]:
+        """The encoding of all the bytes whose prefixes' last tokens are given."""
+        out, at, tokens = [], len(last) - 1, self.tokens
+        while at:
+            out.append(last[at])
+            at -= len(tokens[last[at]])
+        return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else Prefixes(self, piece).ids()
+        if whole is not None:
+            return [whole]
+        last = [-1]
+        self.extend(piece, last)
+        return self.read_back(last)
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in regex.findall(self.pattern, text) for i in self.encode_piece(piece.encode())]
@@ -114,45 +143,29 @@ class Prefixes:
     """The valid last token of every prefix of some bytes; supports appends and edits."""
 
     def __init__(self, codec: Codec, data: bytes = b""):
-        self.codec, self.data, self.last = codec, bytearray(), [-1]
+        self.codec, self.data, self.last = codec, b"", [-1]
         self.append(data)
 
-    def _valid(self, end: int) -> int:
-        ranks, follows, last = self.codec.ranks, self.codec.may_follow, self.last
-        window = bytes(self.data[max(0, end - self.codec.longest) : end])
-        for start in range(len(window)):
-            token = ranks.get(window[start:])
-            if token is not None:
-                before = end - len(window) + start
-                if before == 0 or follows(last[before], token):
-                    return token
-        raise ValueError("bytes cannot be encoded")
-
     def append(self, data: bytes) -> None:
         self.data += data
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._valid(end))
+        self.codec.extend(self.data, self.last)
 
     def edit(self, start: int, stop: int, data: bytes) -> None:
         """Replace bytes ``start:stop``; prefixes up to ``start`` stay, later ones are renewed until they settle."""
         old, shift = self.last, len(data) - (stop - start)
-        self.data[start:stop] = data
+        self.data = self.data[:start] + data + self.data[stop:]
         self.last = old[: start + 1]
         agreed = 0
         for end in range(start + 1, len(self.data) + 1):
             if agreed >= self.codec.longest:  # no later token reaches back to a changed entry
                 self.last += old[end - shift :]
                 break
-            self.last.append(self._valid(end))
+            self.codec.extend(self.data[:end], self.last)
             same = end - shift > stop and self.last[end] == old[end - shift]
             agreed = agreed + 1 if same else 0
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at])
-            at -= len(self.codec.tokens[self.last[at]])
-        return out[::-1]
+        return self.codec.read_back(self.last)
 
 
 class _Pieces(dict):
