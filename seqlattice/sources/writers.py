@@ -13,7 +13,7 @@ def bedpe(df: DataFrame, path: str, single: bool = False) -> None:
     """
     out = df.withColumnRenamed("query_name", "#query_name")
     out = out.coalesce(1).sortWithinPartitions("query_start", "reference_start") if single else out.orderBy("query_start", "reference_start")
-    out.write.mode("overwrite").csv(path, sep="\t", header=True)
+    out.write.mode("overwrite").option("comment", "\x01").csv(path, sep="\t", header=True)  # else "#" would be quoted
 
 
 def contact_map(bins: DataFrame, pixels: DataFrame, path: str) -> None:
