@@ -98,9 +98,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is leaked."""
-    bad = leaks(docs, benchmark, id_col, text_col).select("id", "text_hash").distinct()
+    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
     tagged = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
-    return tagged.join(bad, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")), "left_anti").drop("__id", "__hash")
+    return tagged.join(bad, F.col("__id").eqNullSafe(F.col("__bad_id")) & (F.col("__hash") == F.col("__bad_hash")), "left_anti").drop("__id", "__hash")
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:
