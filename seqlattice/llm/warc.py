@@ -47,6 +47,7 @@ from .common import persisted, shared_path
 SHARD_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
 CELLS = 65536
+BLOCK = 256
 LEAST_DUPLICATE = 1000
 LEVEL = 6
 #: Records carry no clock time, so that equal input gives equal bytes.
@@ -95,8 +96,13 @@ def ranges(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
     lo, hi = ends.lo or 0, ends.hi or 0
     grid = {"lo": lo, "width": max(1, -(-(hi - lo + 1) // CELLS))}
     sizes = pages.groupBy(_cell(grid).alias("cell")).agg(F.sum(F.col("n") + 512).alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))  # at most CELLS + 1 rows
-    shard = F.floor(F.coalesce(before, F.lit(0)) / shard_bytes).cast("long")
+    # Running sums in two steps: over runs of BLOCK cells, and over the totals of the runs.
+    sizes = sizes.withColumn("block", F.floor(F.col("cell") / BLOCK))
+    past = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sizes.groupBy("block").agg(F.sum("bytes").alias("bytes"))
+    totals = totals.select("block", past(Window.orderBy("block")).alias("base"))  # at most CELLS / BLOCK + 2 rows
+    sizes = sizes.withColumn("within", past(Window.partitionBy("block").orderBy("cell"))).join(F.broadcast(totals), "block")
+    shard = F.floor((F.col("base") + F.col("within")) / shard_bytes).cast("long")
     return sizes.select("cell", shard.alias("shard"), F.greatest(F.ceil(F.col("bytes") / shard_bytes), F.lit(1)).cast("int").alias("parts")), grid
 
 
