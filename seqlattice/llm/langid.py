@@ -10,7 +10,8 @@ marks texts below the level that keeps ``KEEP`` of the right answers.
 Training rows: documents outside the held-out third with a language and text; at
 most about ``PER_LANG`` for each of the ``LANGS`` most frequent languages, by
 hash of the id, of ``TRAIN_CHARS`` characters at most. Prediction reads whole
-texts in one pass with no shuffle; words are looked up in a bounded cache.
+texts in one pass with no shuffle, a few hundred rows at a time: the distinct
+words of these rows are scored together.
 
 Edge cases: ``und`` with score 0 where a text is null or has no letter; with no
 training rows every text is ``und``; repeated rows and null ids keep their rows
@@ -41,48 +42,76 @@ EPOCHS = 4
 KEEP = 0.995
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 64
-
-
-def subwords(word: str) -> list[int]:
-    mask = (1 << BITS) - 1
-    marked = f"<{word[:LONGEST_WORD]}>"
-    grams = {marked} | {marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)}
-    return sorted({zlib.crc32(g.encode()) & mask for g in grams})
+GRAMS = (2, 3, 4)
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def counted_words(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all words' subwords, word by word, and the number of each word's.
+
+    Hashes of all n-grams of one length are computed for all places at once.
+    """
+    marked = [f"<{w[:LONGEST_WORD]}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(len(points)) - starts[owner]
+    left = sizes[owner] - place
+    slots, owners = [], []
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = (h ^ points[at + j]) * PRIME
+        slots.append(h)
+        owners.append(owner[at])
+    if len(marked):  # the word itself: a polynomial in the prime
+        powers = np.full(LONGEST_WORD + 2, PRIME, np.uint64).cumprod()
+        slots.append(np.add.reduceat(points * powers[place], starts) * PRIME)
+        owners.append(np.arange(len(marked)))
+    flat, who = np.concatenate(slots), np.concatenate(owners)
+    order = np.argsort(who, kind="stable")
+    return (flat[order] >> np.uint64(64 - BITS)).astype(np.int32), np.bincount(who, minlength=len(marked))
+
+
 class Model:
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, level: float):
         """``table``: the logits that each subword gives, i.e. embeddings times softmax weights."""
         self.langs, self.table, self.bias, self.temperature, self.level = langs, table, bias, temperature, level
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            found = self.memo[word] = self.table[subwords(word)].mean(axis=0)
-        return found
 
-    def logits(self, words: Counter) -> np.ndarray:
-        total = np.array([self.word(w) for w in words])
-        n = np.fromiter(words.values(), np.float64, len(words))
-        return (n @ total) / n.sum() + self.bias
+    def words(self, words: list[str]) -> np.ndarray:
+        """Logits of words: the mean of their subwords'."""
+        out = np.zeros((len(words), len(self.langs)))
+        for lo in range(0, len(words), 20_000):
+            slots, sizes = subwords(words[lo : lo + 20_000])
+            sums = np.add.reduceat(self.table[slots], np.cumsum(sizes) - sizes, axis=0)
+            out[lo : lo + 20_000] = sums / sizes[:, None]
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, probability and whether it is rejected, for each text."""
+        bags = [counted_words(t) for t in texts]
+        index = {w: i for i, w in enumerate(set().union(*bags))} if self.langs else {}
+        vectors, found = self.words(list(index)), []
+        for bag in bags:
+            if not bag or not self.langs:
+                found.append(("und", 0.0, True))
+                continue
+            n = np.fromiter(bag.values(), np.float64, len(bag))
+            z = ((n @ vectors[np.fromiter(map(index.__getitem__, bag), np.int64, len(bag))]) / n.sum() + self.bias) / self.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            best = int(np.argmax(p))
+            found.append((self.langs[best], float(min(p[best], 1.0)), bool(p[best] < self.level)))
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        words = counted_words(text)
-        if not words or not self.langs:
-            return "und", 0.0, True
-        z = self.logits(words) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(np.argmax(p))
-        return self.langs[best], float(min(p[best], 1.0)), bool(p[best] < self.level)
-
+        return self.predict_all([text])[0]
 
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 11) -> Model:
     """``rows``: (language, text)."""
@@ -92,18 +121,19 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5,
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH))
     softmax, bias = np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
-    memo: dict[str, list[int]] = {}
+    bags = [(langs.index(lang), counted_words(text)) for lang, text in rows]
+    index = {w: i for i, w in enumerate(sorted(set().union(*(bag for _, bag in bags))))}
+    slots, sizes = subwords(list(index)) if index else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    ends = np.cumsum(sizes)
     packed = []
-    for lang, text in rows:
-        share: Counter = Counter()
-        words = counted_words(text)
-        for w, n in words.items():
-            grams = memo.setdefault(w, None) or memo.__setitem__(w, subwords(w)) or memo[w]
-            for g in grams:
-                share[g] += n / len(grams)
-        if words:
-            ids = np.fromiter(share, np.int64, len(share))
-            packed.append((ids, np.fromiter(share.values(), np.float64, len(share)) / sum(words.values()), langs.index(lang)))
+    for lang, bag in bags:
+        if bag:
+            at = np.fromiter(map(index.__getitem__, bag), np.int64, len(bag))
+            n = sizes[at]
+            flat = np.repeat(ends[at] - np.cumsum(n), n) + np.arange(n.sum())  # places of these words' slots
+            part = np.repeat(np.fromiter(bag.values(), np.float64, len(bag)) / n / sum(bag.values()), n)
+            ids, inverse = np.unique(slots[flat], return_inverse=True)
+            packed.append((ids, np.bincount(inverse, part), lang))
     learn = [x for i, x in enumerate(packed) if i % 5] or packed
     rest = [x for i, x in enumerate(packed) if i % 5 == 0]
     for epoch in range(epochs):
@@ -160,9 +190,12 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shipped.value)
         for batch in batches:
-            found = [model.predict(text.as_py()) for text in batch.column(batch.num_columns - 1)]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True))] if found else [*columns, pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.bool_())], names=[*(f.name for f in keep), *new])
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                found = model.predict_all(part.column(part.num_columns - 1).to_pylist())
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                columns += [pa.array([x[j] for x in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *new])
 
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string")).mapInArrow(run, schema)
