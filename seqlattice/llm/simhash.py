@@ -17,17 +17,27 @@ Edge cases: a text without words (null, empty, blank) has fingerprint zero and
 is linked like any other; fewer words than a shingle: the whole sequence is one
 shingle; repeated rows link to each other; null ids never become a component id
 unless the whole component has no other.
+
+``similarity`` replaces the radius by the Jaccard similarity of the sets of
+shingles, for users that are not bound to SimHash. Two sets of at least that
+similarity always share one of the least ``n - ceil(similarity * n) + 1`` hashes
+of either (any global order does), so texts are met on these, and each pair met
+is compared by its whole sets, if its least hashes leave that open. Where at most
+``ALL`` texts share a hash, all their pairs are met. Where more do, each meets the
+``HUBS`` texts that share most with others (the original of many altered copies is
+one) and the ``NEXT`` before it in this order, so pairs grow with the texts only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +48,21 @@ from pyspark.sql import Window
 WIDTH = 3
 SEED = 42
 RADIUS = 2
+ALL, HUBS, NEXT = 16, 4, 3
+#: Bits by which texts that are in no pair are left out before their sets are made again.
+BITS = 1 << 24
+
+
+def shingles(tokens: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of ``width`` words; of all words if they are no more."""
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(tokens)
+    digest = xxhash.xxh64_intdigest
+    ends = list(accumulate(map(len, tokens), lambda at, n: at + 1 + n))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    n = max(1, len(tokens) - width + 1)
+    return np.fromiter((digest(line[i:j], seed) for i, j in zip(starts[:n], ends[-n:])), np.uint64, n)
 
 
 def fingerprint(data: bytes | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -45,29 +70,25 @@ def fingerprint(data: bytes | None, width: int = WIDTH, seed: int = SEED) -> int
     tokens = (data or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
         return 0
-    line = b" ".join(tokens)
-    digest = xxhash.xxh64_intdigest
+    hashes = shingles(tokens, width, seed)
     if len(tokens) <= width:
-        return digest(line, seed)
-    ends = list(accumulate(map(len, tokens), lambda at, n: at + 1 + n))
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    total, n = np.zeros(64, np.int64), len(tokens) - width + 1
+        return int(hashes[0])
+    total, n = np.zeros(64, np.int64), len(hashes)
     for lo in range(0, n, 65536):
-        hi = min(n, lo + 65536)
-        hashes = np.array([digest(line[i:j], seed) for i, j in zip(starts[lo:hi], ends[lo + width - 1 : hi + width - 1])], np.uint64)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = hashes[lo : lo + 65536]
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * total > n, bitorder="little")
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
+def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp", width: int = WIDTH) -> DataFrame:
     """``df`` without its text column, with the fingerprint as a signed long."""
     keep = [f for f in df.schema.fields if f.name not in (text_col, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column(batch.num_columns - 1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(x.as_py()) for x in data), np.uint64, len(data))
+            fps = np.fromiter((fingerprint(x.as_py(), width) for x in data), np.uint64, len(data))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps.view(np.int64))], names=[*(f.name for f in keep), out])
 
@@ -83,11 +104,90 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return pairs.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``df``: id, ``extra``, fp, root (least fingerprint of the component), component_id."""
-    prints = persisted(fingerprints(df.select(F.col(id_col).alias("id"), *extra, F.col(text_col).alias("text"))), "prints")
+def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "text", only: bytes | None = None) -> DataFrame:
+    """``df`` without its text column, with the set of shingle hashes: fp (hash of the set), n (its size), grams (what two
+    similar sets share one of). With ``only``, a bitmap of ``th`` modulo its size, grams is the whole set, of these rows alone."""
+    keep = [f for f in df.schema.fields if f.name != text_col]
+    names = [*(f.name for f in keep), "fp", "n", "grams"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if only is not None:
+                at = batch.column("th").to_numpy().view(np.uint64) % np.uint64(8 * len(only))
+                wanted = np.frombuffer(only, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+                batch = batch.filter(pa.array(wanted.astype(bool)))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = [np.unique(shingles((x.as_py() or b"").lower().split(), width).view(np.int64)) for x in part.column(part.num_columns - 1).cast(pa.binary())]
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                sizes = [len(x) for x in sets]
+                if only is None:
+                    sets = [x[: _head(len(x), similarity)] for x in sets]
+                grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps), pa.array(sizes, pa.int64()), grams], names=names)
+
+    schema = T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
+
+
+def _head(n: int, similarity: float) -> int:
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)``, a < b, between distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
+    heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th")), "heads")
+    rows = heads.select("fp", "n", F.explode("grams").alias("gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
+    rows = persisted(rows, "shared")
+    scores = rows.groupBy("fp").agg(F.sum("texts").alias("score"))
+    order = Window.partitionBy("gram").orderBy(F.desc("score"), "fp")
+    other = F.struct("fp", "n")
+    few = F.array(*(F.lag(other, k).over(order) for k in range(1, ALL)))
+    many = F.array(*(F.lag(other, k).over(order) for k in range(1, NEXT + 1)), *(F.nth_value(other, k).over(order) for k in range(1, HUBS + 1)))
+    scored = rows.join(scores, "fp")
+    met = scored.filter(F.col("texts") <= ALL).select("fp", "n", few.alias("o")).unionByName(scored.filter(F.col("texts") > ALL).select("fp", "n", many.alias("o")))
+    met = met.select("fp", "n", F.explode("o").alias("o")).filter((F.col("o.fp") != F.col("fp")) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9))
+    met = met.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct()
+    # Up to the lesser of both last hashes the sets are known; beyond it the smaller rest may be common.
+    top = F.least(F.element_at("ga", -1), F.element_at("gb", -1))
+    beyond = lambda x: F.col(f"n{x}") - F.size(F.filter(f"g{x}", lambda g: g <= top))
+    most = F.size(F.array_intersect("ga", "gb")) + F.least(beyond("a"), beyond("b"))
+    pairs = persisted(_with_sets(met, heads).filter(_alike(most, similarity)).select("a", "b"), "pairs")
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    shown = persisted(heads.select("fp", "th").join(nodes, "fp", "left_semi"), "shown")
+    bit = F.col("th").bitwiseAND(F.lit(BITS - 1))
+    maps = shown.groupBy(F.call_function("shiftright", bit, F.lit(15)).alias("k")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 32768 rows at most
+    only = bytearray(BITS // 8)
+    for row in maps:
+        only[row.k * 4096 : (row.k + 1) * 4096] = row.bits
+    whole = shingle_sets(texts, width, similarity, only=bytes(only)).groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    sets = persisted(whole.join(shown, "fp", "left_semi"), "sets")
+    return _with_sets(pairs, sets).filter(_alike(F.size(F.array_intersect("ga", "gb")), similarity)).select("a", "b")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left, right = (sets.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _alike(common: Column, similarity: float) -> Column:
+    return common >= similarity * (F.col("na") + F.col("nb") - common) - 1e-9
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), width: int = WIDTH, similarity: float | None = None) -> DataFrame:
+    """One row per row of ``df``: id, ``extra``, fp, root (least fingerprint of the component), component_id.
+
+    With ``similarity``, links are between sets of ``width`` words of at least that Jaccard similarity.
+    """
+    texts = df.select(F.col(id_col).alias("id"), *extra, F.col(text_col).alias("text"))
+    if similarity is None:
+        prints = persisted(fingerprints(texts, width=width), "prints")
+    else:
+        hashed = texts.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+        prints = persisted(shingle_sets(hashed.select("id", *(c for c in extra if c != "th"), "th", "text"), width, similarity), "prints")
     classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
+    roots = components(links(classes.select("fp")) if similarity is None else similar(hashed.select("th", "text"), prints, width, similarity))
     members = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     heads = members.groupBy("root").agg(F.min("least").alias("component"))
     linked = persisted(members.join(heads, "root").select("fp", "root", "component"), "linked")
@@ -97,10 +197,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), *extra, "fp", "root", F.col("component").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float | None = None) -> DataFrame:
     """``df`` with one row of each component: that with the least id (nulls last), then the least text hash."""
     tagged = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = near_duplicates(tagged, "id", "text", ("th",))
+    found = near_duplicates(tagged, "id", "text", ("th",), width, similarity)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("best"))
     keep = best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th")).distinct()
     wide = df.withColumns({"__key": F.col(id_col), "__hash": F.xxhash64(text_col)})

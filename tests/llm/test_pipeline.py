@@ -42,3 +42,11 @@ def test_stages_keep_the_columns(spark):
     df = spark.createDataFrame([(1, prose(1, 60), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert pii.redact(df, pii.fit(df)).columns == df.columns and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
     assert dict(pii.redact(df.withColumn("text", F.lit("x a@b.co")), pii.fit(df)).dtypes)["n_chars"] == "bigint"
+
+
+def test_near_copies_are_dropped(spark):
+    words = [f"w{i}" for i in range(112)]
+    near = " ".join("other" if i == 50 else w for i, w in enumerate(words))
+    df = spark.createDataFrame([(9, near, "en", "s", 5), (4, " ".join(words), "en", "s", 5), (1, prose(1, 60), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == df.columns
