@@ -5,8 +5,8 @@ taken from licence notices. A sparse multinomial logistic regression over them
 tells the licence families, notices of no known family (``unknown``) and plain
 text (``none``) apart. It is trained here, from the notices below with random
 words dropped, joined and put among background words, and from a bounded sample
-of the corpus's own paragraphs as plain text; n-grams common in that sample are
-no features. On held-out training rows a temperature and an acceptance level are
+of the corpus's own paragraphs as plain text; n-grams common in the sample's plain
+paragraphs (no notices) are no features, unless a template would be left with none. On held-out training rows a temperature and an acceptance level are
 fitted. A family accepted by the classifier is confirmed by comparison: at least
 ``CONFIRM`` of the n-grams of some template of the family must be in the
 paragraph. A paragraph that reads like a licence but is not confirmed is
@@ -150,16 +150,17 @@ class Model:
     def __init__(self, lines: list[list[str]], seed: int = 5):
         rng = np.random.default_rng(seed)
         texts = {c: [_tokens(t) for t in TEMPLATES[c]] for c in CLASSES}
+        full = [_grams(words) for c in CLASSES if c != "none" for words in texts[c]]
+        # Plain text: lines of the sample that hold less than half of any template. A frequent notice is none, so it keeps its n-grams.
+        plain = [x for x in lines if not any(2 * len(t & g) >= len(t) for g in (_grams(x),) for t in full)]
         spread: dict[tuple[str, ...], int] = {}
-        for line in lines:
+        for line in plain:
             for g in _grams(line):
                 spread[g] = spread.get(g, 0) + 1
-        wanted = {g for c in CLASSES if c != "none" for words in texts[c] for g in _grams(words)}
-        self.vocabulary = sorted(g for g in wanted if spread.get(g, 0) <= COMMON * max(len(lines), 200))
+        common = {g for g, n in spread.items() if n > COMMON * max(len(plain), 200)}
+        # A template of common n-grams only keeps all of them.
+        self.vocabulary = sorted({g for t in full for g in (t - common or t)})
         self.index = {g: i for i, g in enumerate(self.vocabulary)}
-        # Plain text: lines of the sample that hold less than half of any template.
-        full = [self.ids(words) for c in FAMILIES for words in texts[c]]
-        plain = [x for x in lines if not any(t and len(t & self.ids(x)) >= 0.5 * len(t) for t in full)]
         noise = [w for x in plain for w in x] or ["lorem", "ipsum", "dolor", "sit", "amet"]
         rows, truth = [], []
         for c in CLASSES:

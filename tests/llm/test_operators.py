@@ -227,6 +227,16 @@ def test_licences(spark, docs, empty):
     assert license_scan.licences(docs, model).count() == docs.count() and license_scan.licences(empty, model).count() == 0
 
 
+def test_frequent_notice_is_found(spark):
+    notice = "Released under the MIT License."
+    rows = [(i, prose(i, 25) + (f"\n{notice}" if i % 3 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.licences(docs, license_scan.Model(license_scan.background(docs))).collect()
+    assert {r.doc_id: r.families for r in got} == {i: "mit" if i % 3 == 0 else "" for i, _ in rows}
+    model = license_scan.Model([notice.lower().rstrip(".").split() + prose(i, 200).split() for i in range(300)])
+    assert len(model.templates) == sum(len(license_scan.TEMPLATES[c]) for c in license_scan.FAMILIES)
+
+
 # personal data
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
