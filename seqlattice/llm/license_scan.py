@@ -10,12 +10,15 @@ paragraphs (no notices) are no features, unless a template would be left with no
 fitted. A family accepted by the classifier is confirmed by comparison: at least
 ``CONFIRM`` of the n-grams of some template of the family must be in the
 paragraph. A paragraph that reads like a licence but is not confirmed is
-``unknown``.
+``unknown``. Paragraphs are single lines and, for wrapped notices, runs of up to
+``WRAPPED`` neighbouring lines, whose n-grams go on over one line's end; of
+confirmed runs that share lines the one with most of a template counts, and lines next to them that are not
+confirmed belong to them. Neighbouring unknown lines are one paragraph.
 
 Scanning is DataFrame functions only: n-grams are generated, hashed and joined
 with the vocabulary (a few thousand rows, broadcast; bounded by the templates,
 not the data) in one pass over whole texts; only the ids of n-grams found move,
-as one set for each paragraph that has any.
+as one set for each line that has any, with those of the lines after it.
 
 Edge cases: null and empty texts have no paragraphs; sets make repeated n-grams
 and repeated rows harmless, as rows are told apart by id and text hash; null ids
@@ -28,7 +31,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400
@@ -37,6 +40,8 @@ COMMON = 0.005
 CONFIRM = 0.6
 FALSE_RATE = 0.001
 GRAMS = 3
+#: Lines over which a notice may be wrapped, to be read as one.
+WRAPPED = 8
 
 #: Wordings of the notices by which licences are declared.
 TEMPLATES = {
@@ -223,16 +228,51 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Licence paragraphs: id, text_hash, line, family (or ``unknown``), score, matched (share of the template found)."""
     spark = docs.sparkSession
     lookup = spark.createDataFrame([(_hash(list(g)), i) for i, g in enumerate(model.vocabulary)], "key long, gram int")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "\n", -1)).alias("line", "words"))
-    hashes = F.transform(F.array_remove(F.split("words", TOKEN), ""), lambda w: F.xxhash64(w))
-    rows = rows.select("id", "text_hash", "line", hashes.alias("h"))
-    rows = rows.select("*", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("at"))
-    keys = F.array(*(F.when(F.col("at") + n <= F.size("h"), _chain([F.get("h", F.col("at") + i) for i in range(n)])) for n in range(1, GRAMS + 1)))
-    found = rows.select("id", "text_hash", "line", F.explode(keys).alias("key")).filter("key is not null").join(F.broadcast(lookup), "key")  # the vocabulary
-    lines = found.groupBy("id", "text_hash", "line").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
-    read = lines.select("id", "text_hash", "line", F.explode(F.filter(F.array(_verdict(F.col("grams"), model)), lambda v: v["plain"] < 0.5)).alias("v"))
-    sure = (F.col("v.p") >= model.level) & (F.col("v.matched") >= CONFIRM)
-    return read.select("id", "text_hash", "line", F.when(sure, F.col("v.family")).otherwise("unknown").alias("family"), F.col("v.p").alias("score"), "v.matched")
+    lines = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "\n", -1)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), lines.alias("lines"))
+    after = F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit("")))
+    rows = rows.select("id", "text_hash", F.posexplode(F.arrays_zip(F.col("lines").alias("words"), after.alias("after"))).alias("line", "both"))
+    hashes = lambda x: F.transform(F.array_remove(x, ""), lambda w: F.xxhash64(w))
+    # n-grams may end in the next line: its first words, by a split that stops there.
+    rows = rows.select("id", "text_hash", "line", hashes(F.split("both.words", TOKEN)).alias("own"), F.slice(hashes(F.slice(F.split("both.after", TOKEN, GRAMS + 1), 1, GRAMS)), 1, GRAMS - 1).alias("tail"))
+    rows = rows.select("id", "text_hash", "line", F.size("own").alias("n"), F.concat("own", "tail").alias("h"))
+    rows = rows.select("*", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))).alias("at"))
+    keys = F.array(*(F.when(F.col("at") + n <= F.size("h"), F.struct(_chain([F.get("h", F.col("at") + i) for i in range(n)]).alias("key"), (F.col("line") + F.when(F.col("at") + n > F.col("n"), 1).otherwise(0)).alias("last"))) for n in range(1, GRAMS + 1)))
+    found = rows.select("id", "text_hash", "line", F.explode(keys).alias("k")).filter("k is not null").select("id", "text_hash", "line", "k.last", "k.key").join(F.broadcast(lookup), "key")  # the vocabulary
+
+    # Windows: each line that has n-grams, and runs of up to WRAPPED lines from it.
+    starts = found.select("id", "text_hash", "line", "last", "gram", F.explode(F.sequence(F.greatest(F.lit(0), F.col("last") - (WRAPPED - 1)), F.col("line"))).alias("from"))
+    sets = starts.groupBy("id", "text_hash", "from").agg(F.collect_set(F.struct("line", "last", "gram")).alias("found")).filter(F.exists("found", lambda x: x["line"] == F.col("from")))
+    wide = sets.select("id", "text_hash", "from", "found", F.explode(F.array_distinct(F.concat(F.array("from"), F.transform("found", lambda x: x["last"])))).alias("to"))
+    grams = F.sort_array(F.array_distinct(F.transform(F.filter("found", lambda x: x["last"] <= F.col("to")), lambda x: x["gram"])))
+    wide = wide.select("id", "text_hash", "from", "to", grams.alias("grams")).filter(F.size("grams") > 0)
+    # A longer run counts if it holds enough of a template; then only are the classes weighed.
+    wide = wide.filter((F.col("to") == F.col("from")) | (_held(F.col("grams"), model) >= CONFIRM))
+    read = wide.select("id", "text_hash", "from", "to", "grams", F.explode(F.filter(F.array(_verdict(F.col("grams"), model)), lambda v: v["plain"] < 0.5)).alias("v"))
+    read = read.withColumn("held", _matched(F.col("grams"), F.col("v.family"), model, counts=True)).drop("grams")
+    read = read.withColumn("sure", (F.col("v.p") >= model.level) & (F.col("v.matched") >= CONFIRM)).filter(F.col("sure") | (F.col("to") == F.col("from")))
+
+    # Of sure windows that share lines, that with most n-grams of a template counts, then the shortest, after windows are dropped whose part has as many.
+    doc = Window.partitionBy("id", "text_hash")
+    near = doc.orderBy("from").rangeBetween(1 - WRAPPED, WRAPPED - 1)
+    rank = F.struct("held", (F.col("from") - F.col("to")).alias("length"), (-F.col("from")).alias("first"))
+    read = read.withColumn("rank", rank).withColumn("others", F.collect_list(F.when(F.col("sure"), F.struct("from", "to", "rank"))).over(near))
+    read = read.withColumn("short", F.col("sure") & ~F.exists("others", lambda o: (o["from"] >= F.col("from")) & (o["to"] <= F.col("to")) & (o["rank"] > F.col("rank")))).filter("short or not sure")
+    read = read.withColumn("others", F.collect_list(F.when(F.col("sure"), F.struct("from", "to", "rank"))).over(near))
+    read = read.filter(~F.exists("others", lambda o: (o["from"] <= F.col("to")) & (o["to"] >= F.col("from")) & (~F.col("sure") | (o["rank"] > F.col("rank")))))
+    # Other lines are unknown. Adjoining lines and windows are one paragraph; a notice of one line is a paragraph by itself.
+    by = doc.orderBy("from", "to")
+    read = read.withColumn("alone", F.col("sure") & (F.col("to") == F.col("from")))
+    apart = F.col("alone") | F.lag("alone", 1, True).over(by) | (F.col("from") > F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1)) + 1)
+    read = read.withColumn("apart", apart.cast("int")).withColumn("paragraph", F.sum("apart").over(by))
+    read = read.withColumn("known", F.max("sure").over(Window.partitionBy("id", "text_hash", "paragraph"))).filter(F.col("sure") == F.col("known"))
+    family = F.when(F.col("sure"), F.col("v.family")).otherwise("unknown").alias("family")
+    return read.groupBy("id", "text_hash", "paragraph", family).agg(F.min("from").alias("line"), F.max("v.p").alias("score"), F.max("v.matched").alias("matched")).drop("paragraph")
+
+
+def _held(grams: Column, model: Model) -> Column:
+    """The greatest share of any template found."""
+    return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(grams, F.array(*(F.lit(i) for i in ids)))) / len(ids) for _, ids in model.templates))
 
 
 def _let(value: Column, body) -> Column:
@@ -260,8 +300,10 @@ def _verdict(grams: Column, model: Model) -> Column:
     return _let(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), logit), choose)
 
 
-def _matched(grams: Column, family: Column, model: Model) -> Column:
-    share = lambda ids: F.size(F.array_intersect(grams, F.array(*(F.lit(i) for i in ids)))) / len(ids)
+def _matched(grams: Column, family: Column, model: Model, counts: bool = False) -> Column:
+    """The greatest share of a template of the family, or number of n-grams of a template that is held by ``CONFIRM``."""
+    number = lambda ids: F.size(F.array_intersect(grams, F.array(*(F.lit(i) for i in ids)))).cast("double")
+    share = lambda ids: F.when(number(ids) >= CONFIRM * len(ids), number(ids)) if counts else number(ids) / len(ids)
     return F.greatest(F.lit(0.0), *(F.when(family == c, share(ids)).otherwise(0.0) for c, ids in model.templates))
 
 

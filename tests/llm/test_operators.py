@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -237,6 +238,17 @@ def test_frequent_notice_is_found(spark):
     assert len(model.templates) == sum(len(license_scan.TEMPLATES[c]) for c in license_scan.FAMILIES)
 
 
+@pytest.mark.parametrize("width", [40, 60, 76])
+def test_wrapped_notices_are_found(spark, width):
+    model = license_scan.Model([prose(i, 25).split() for i in range(300)])
+    notices = [(c, t) for c in ("bsd", "gpl", "isc", "lgpl", "mit") for t in license_scan.TEMPLATES[c] if len(t) > 90]
+    wrapped = [f"{prose(1, 9)}\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, width)) + f"\n\n{prose(2, 9)}" for _, t in notices]
+    both = wrapped[0].replace(prose(2, 9), "Released under the ISC License.")
+    rows = license_scan.licences(spark.createDataFrame(list(enumerate([*wrapped, both])), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert {c for c, _ in notices} == {"bsd", "gpl", "isc", "lgpl", "mit"}
+    assert [(r.families, r.n_licence, r.n_unknown) for r in rows] == [(c, 1, 0) for c, _ in notices] + [("bsd,isc", 2, 0)]
+
+
 # personal data
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
