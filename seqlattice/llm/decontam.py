@@ -1,26 +1,35 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased. Three fixed seeds look at
-two blocks of three tokens and ignore 0, 3 or 6 positions between them. Cut any
-12 aligned tokens into four blocks: with up to two substitutions at least two
-blocks are intact, and some seed looks at just these two, so the stretch is
-found wherever the substitutions are. Masked windows of documents and of
-benchmark items are hashed and joined. Every hit fixes an alignment of the item
-to the document, which is then verified token by token: an item counts as leaked
-if some stretch of ``min(len(item), STRETCH)`` aligned tokens agrees in
-``AGREE`` (80 %) of its positions. Chance hits of a few common words fail this.
-
-The documents are read once and never shuffled whole: positions are generated,
-those whose first block occurs in no item are dropped by a semi-join, the rest
-are masked, hashed, joined and verified in one pass, and only hits move,
-aggregated by row and alignment. The item side is broadcast if it has at most
-``BROADCAST_ROWS`` masked windows (counted first), else both joins are ordinary
-shuffle joins.
-
-Edge cases: null and empty texts have no windows; items of fewer than
-``SHORTEST`` tokens are not searched (they would flag clean text); repeated rows
-and null ids keep their rows, as rows are told apart by id and text hash; empty
-tables on either side give no hits.
+Tokens are runs of letters and digits, lower-cased. An item counts as leaked if
+some stretch of ``min(len(item), STRETCH)`` aligned tokens agrees in ``AGREE``
+(80 %) of its positions with a document; items below ``VERBATIM`` tokens must
+agree in all.
+
+Each of three fixed seeds looks at a block of three tokens and one of two, and
+ignores 0, 1 or 4 positions between them: ``11111``, ``11*111``, ``111****11``.
+Whatever positions are substituted in a stretch that still counts as leaked, at
+least one seed looks at intact tokens only (by enumeration of all placements for
+all lengths from 5 to ``STRETCH``; a test repeats it). Items of three or four
+tokens have one block of three, shorter ones are looked up whole. So no leak by
+substitution is missed, at any length; tokens that are added or left out inside
+a stretch are not searched for.
+
+Masked windows of documents and of items are hashed and joined. Every hit fixes
+an alignment of the item to the document, which is verified token by token.
+
+The documents are read in one pass that moves hits only: positions are
+generated, those whose first block occurs in no item are dropped by a semi-join,
+the rest are masked, hashed and joined. A position carries hashes, never the
+text. Hits are written as a table; the tokens of the rows that have any are
+fetched by a join with it, broadcast by Spark only if the table's files are
+small. The item side is broadcast if it has at most ``BROADCAST_ROWS`` masked
+windows of 32 bytes each (counted first), else all joins are shuffle joins.
+
+Edge cases: null and empty texts and items have no tokens and no hits; repeated
+rows and null ids keep their rows, as rows are told apart by id and text hash;
+repeated items count once each by their id; empty tables on either side give no
+hits; very short items flag every document that holds them; other columns of
+``docs`` may have any name that does not start with ``__``.
 """
 
 from __future__ import annotations
@@ -28,13 +37,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 3
-#: Distance between the two blocks that each seed looks at.
-SEEDS = [3, 6, 9]
-SHORTEST = 8
+from .common import persisted
+
+BLOCK, SECOND = 3, 2
+#: Where the block of two begins, counted from the block of three.
+SEEDS = [-2, -3, 7]
+#: Stands for the gap of items with no block of two.
+ALONE = 0
+VERBATIM = 8
 STRETCH = 20
 AGREE = 0.8
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -42,50 +55,74 @@ def token_hashes(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _block(tokens: Column, at: Column) -> Column:
-    return F.xxhash64(*(F.get(tokens, at + i) for i in range(BLOCK)))
+def _at(i: Column) -> Column:
+    """The token at a place; null before the first and after the last."""
+    return F.when(i >= 0, F.get("tokens", i))
 
 
-def _key(tokens: Column, at: Column, gap: Column) -> Column:
-    """Hash of the two blocks of a seed at a position; null where it does not fit."""
-    fits = (at >= 0) & (at + gap + (BLOCK - 1) < F.size(tokens))
-    return F.when(fits, F.xxhash64(gap, *(F.get(tokens, at + i) for i in range(BLOCK)), *(F.get(tokens, at + gap + i) for i in range(BLOCK))))
+def _block(at: Column, n: int) -> Column:
+    """Hash of ``n`` tokens from a place on; null where they do not fit."""
+    return F.when((at >= 0) & (at + n <= F.size("tokens")), F.xxhash64(F.lit(n), *(_at(at + i) for i in range(n))))
 
 
-def _positions(df: DataFrame, keep: list[str]) -> DataFrame:
-    last = F.size("tokens") - (SEEDS[0] + BLOCK)
-    # No filter on the size: it would be pushed below and tokenize every text twice.
-    return df.select(*keep, "tokens", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+def _key(at: Column, gap: int, n: int = BLOCK) -> Column:
+    """Hash of what a seed looks at; null where it does not fit."""
+    if gap == ALONE:
+        return F.when((at >= 0) & (at + n <= F.size("tokens")), F.xxhash64(F.lit(ALONE), F.lit(n), *(_at(at + i) for i in range(n))))
+    fits = (at >= 0) & (at + gap >= 0) & (at + max(BLOCK, gap + SECOND) <= F.size("tokens"))
+    return F.when(fits, F.xxhash64(F.lit(gap), *(_at(at + i) for i in range(BLOCK)), *(_at(at + gap + i) for i in range(SECOND))))
 
 
-def _masked(df: DataFrame) -> DataFrame:
-    df = df.select("*", F.explode(F.array(*(F.lit(g) for g in SEEDS))).alias("gap"))
-    return df.withColumn("key", _key(F.col("tokens"), F.col("at"), F.col("gap"))).filter("key is not null")
+def _seeds(at: Column, lengths: list[int]) -> Column:
+    """``key`` and ``before`` (the same seed one place earlier) of all seeds at a place; ``lengths`` of items that are looked up alone."""
+    forms = [(g, BLOCK) for g in SEEDS] + [(ALONE, n) for n in lengths]
+    both = [F.struct(_key(at, g, n).alias("key"), _key(at - 1, g, n).alias("before")) for g, n in forms]
+    return F.filter(F.array(*both), lambda s: s["key"].isNotNull())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Verified leaks ``(id, text_hash, item_id, at, agreeing)``, one row for each row key, item and alignment."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("tokens")).filter(F.size("tokens") >= SHORTEST)
-    wanted = _masked(_positions(items, ["item_id"])).withColumnsRenamed({"tokens": "item_tokens", "at": "item_at"})
-    before = lambda tokens, at: _key(F.col(tokens), F.col(at) - 1, F.col("gap"))
-    blocks = wanted.select(_block(F.col("item_tokens"), F.col("item_at")).alias("block")).distinct()
-    wanted = wanted.select("key", "item_id", "item_tokens", "item_at", before("item_tokens", "item_at").alias("before")).distinct()
+def _needed(n: Column) -> Column:
+    """Tokens that must agree in a stretch of ``n``."""
+    return F.when(n < VERBATIM, n).otherwise(F.ceil(AGREE * n)).cast("int")
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``id, text_hash, item_id, start``: alignments that a seed proposes. ``docs``: id, text_hash, tokens; ``items``: item_id, tokens."""
+    short = [r.n for r in items.select(F.size("tokens").alias("n")).filter("n between 1 and 4").distinct().collect()]  # four rows at most
+    alone = sorted({min(n, BLOCK) for n in short})
+    places = sorted({BLOCK, *alone})
+    at = F.col("at")
+    positions = lambda df, keep: df.select(*keep, "tokens", F.posexplode("tokens").alias("at", "__token")).drop("__token")
+    own = F.when(F.size("tokens") < BLOCK + SECOND, _seeds(at, alone)).otherwise(_seeds(at, []))
+    wanted = positions(items, ["item_id"]).select("item_id", "at", F.explode(own).alias("s"))
+    wanted = wanted.select("s.key", F.col("s.before").alias("item_before"), "item_id", F.col("at").alias("item_at")).distinct()
+    found = positions(docs, ["id", "text_hash"])
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted, blocks = F.broadcast(wanted), F.broadcast(blocks)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), token_hashes(F.col(text_col)).alias("tokens"))
-    known = _positions(rows, ["id", "text_hash"]).withColumn("block", _block(F.col("tokens"), F.col("at"))).join(blocks, "block", "left_semi")
-    hits = _masked(known.drop("block")).join(wanted, "key")
+        block = F.explode(F.array(*(_block(at, n) for n in places))) if len(places) > 1 else _block(at, BLOCK)
+        blocks = positions(items, []).select(F.explode(F.array(*(_block(at, n) for n in places))).alias("block")).filter("block is not null").distinct()
+        found = found.withColumn("block", block).join(F.broadcast(blocks), "block", "left_semi")  # no more rows than ``wanted``
+        wanted = F.broadcast(wanted)
+    found = found.select("id", "text_hash", "at", F.explode(_seeds(at, alone)).alias("s")).select("id", "text_hash", "at", "s.key", "s.before")
+    met = found.join(wanted, "key")
     # Of a run of hits of one seed on one alignment, the first is enough.
-    hits = hits.filter(F.col("before").isNull() | F.coalesce(F.col("before") != before("tokens", "at"), F.lit(True)))
-    hits = hits.select("id", "text_hash", "item_id", "tokens", "item_tokens", (F.col("at") - F.col("item_at")).alias("start"))
-    equal = F.transform("item_tokens", lambda t, j: F.coalesce(F.get(F.col("tokens"), F.col("start") + j) == t, F.lit(False)).cast("int"))
-    hits = hits.withColumn("equal", equal)
+    met = met.filter(F.col("before").isNull() | F.col("item_before").isNull() | (F.col("before") != F.col("item_before")))
+    return met.select("id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Verified leaks ``(id, text_hash, item_id, at, agreeing)``, one row for each row key, item and alignment."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("tokens")).filter(F.size("tokens") > 0)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    proposed = persisted(hits(rows.select("id", "text_hash", token_hashes(F.col("text")).alias("tokens")), items), "hits")
+    named = proposed.withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
+    met = rows.join(named, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).drop("__id", "__hash")
+    met = met.select("id", "text_hash", "item_id", "start", token_hashes(F.col("text")).alias("tokens")).join(items.withColumnRenamed("tokens", "item_tokens"), "item_id")
+    equal = F.transform("item_tokens", lambda t, j: F.coalesce(_at(F.col("start") + j) == t, F.lit(False)).cast("int"))
+    met = met.withColumn("equal", equal)
     length = F.least(F.size("equal"), F.lit(STRETCH))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - length + 1), lambda s: F.aggregate(F.slice("equal", s, length), F.lit(0), lambda a, x: a + x)))
-    lacking = F.ceil(AGREE * length) - best
     # The test comes after the aggregate so that it is not pushed into the join and evaluated again.
-    verified = hits.groupBy("id", "text_hash", "item_id", F.col("start").alias("at")).agg(F.max(best).alias("agreeing"), F.min(lacking).alias("lacking"))
-    return verified.filter("lacking <= 0").drop("lacking")
+    verified = met.groupBy("id", "text_hash", "item_id", F.col("start").alias("at")).agg(F.max(best).alias("agreeing"), F.min(_needed(length) - best).alias("lacking"))
+    return persisted(verified.filter("lacking <= 0").drop("lacking"), "leaks")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
