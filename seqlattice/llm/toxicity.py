@@ -6,17 +6,19 @@ noisy-or, ``1 - prod(1 - p)``. Only document labels are used: the gradient of
 the bag's log-likelihood flows back to the sentences, so the model learns which
 sentences offend and can point at them. Sentences are whole, texts are never cut.
 
-Training rows: at most ``TRAIN_DOCS`` labelled documents by hash of the id,
-outside the held-out third, of at most ``TRAIN_CHARS`` characters (a bound on
-what the driver receives; scoring has no such bound). Features are hashed on the
-executors. Scoring is one pass with no shuffle; the model (``2**BITS`` floats)
+Training rows: at most ``TRAIN_DOCS`` distinct (id, text) of labelled documents,
+by hash of the id, outside the held-out third, of at most ``TRAIN_CHARS``
+characters (bounds on what the driver receives, whatever is repeated; scoring has
+no such bound). Features are hashed on the executors. Scoring is one pass with no shuffle; the model (``2**BITS`` floats)
 is broadcast. A temperature and offset fitted on a part of the training rows
 calibrate the score, so that ``THRESHOLD`` is a probability.
 
 Edge cases: a text without words (null, empty) scores the model's lowest value,
 the calibrated score of a bag with no evidence; a label given twice counts as
-toxic if either is; with no labels at all every score is 0; repeated rows and
-null ids keep their rows (a null id is never held out and never learnt from).
+toxic if either is; with no labels at all every score is 0; of sentences that
+offend alike the first is ``worst``; repeated rows and null ids keep their rows (a
+null id is never held out and never learnt from); an empty table gives an empty
+result; :func:`score` replaces input columns named as its own.
 """
 
 from __future__ import annotations
@@ -42,13 +44,13 @@ EPOCHS = 15
 LEAST_DOCS = 10
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
-LONGEST_WORD = 64
+#: Longer words are hashed each time instead of remembered.
+MEMO_WORD = 64
 
 
 def _slots(word: str) -> list[int]:
     """Hashed features of a word: itself and its first four and six letters."""
     mask = (1 << BITS) - 1
-    word = word[:LONGEST_WORD] if len(word) > LONGEST_WORD else word
     out = {zlib.crc32(word.encode()) & mask}
     out.update(zlib.crc32(b"^%d" % n + word[:n].encode()) & mask for n in (4, 6) if len(word) > n)
     return sorted(out)
@@ -65,7 +67,7 @@ def sentence_features(sentence: str, memo: dict | None = None) -> list[int]:
         slots = memo.get(word) if memo is not None else None
         if slots is None:
             slots = _slots(word)
-            if memo is not None:
+            if memo is not None and len(word) <= MEMO_WORD:
                 if len(memo) > 300_000:
                     memo.clear()
                 memo[word] = slots
@@ -170,8 +172,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Bounded sample of labelled documents outside the held-out third, with packed features."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), F.col("id") == F.col("doc_id"))  # at most `limit` ids
-    rows = rows.filter(F.length("text") <= TRAIN_CHARS).select("id", "label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).filter(F.length("text") <= TRAIN_CHARS)  # at most `limit` ids
+    rows = rows.select("id", "label", "text", F.xxhash64("text").alias("th"))
+    chosen = rows.select("id", "th").distinct().orderBy(F.xxhash64("id"), "id", "th").limit(limit)
+    chosen = chosen.select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    rows = rows.join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")  # at most `limit` rows
+    rows = rows.dropDuplicates(["id", "th"]).select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
