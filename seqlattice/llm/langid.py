@@ -1,4 +1,4 @@
-"""Language identification by averaged hashed subword embeddings.
+r"""Language identification by averaged hashed subword embeddings.
 
 A word is the mean of the embeddings of its hashed character n-grams (2 to 4,
 with word borders) and of itself; a text is the mean of its words; a linear
@@ -7,27 +7,33 @@ by stochastic gradient descent in numpy. A temperature and a rejection level,
 fitted on a part of the training rows, calibrate the probability: ``rejected``
 marks texts below the level that keeps ``KEEP`` of the right answers.
 
-Training rows: documents outside the held-out third with a language and text; at
-most about ``PER_LANG`` for each of the ``LANGS`` most frequent languages, by
-hash of the id, of ``TRAIN_CHARS`` characters at most. Prediction reads whole
-texts in one pass with no shuffle, a few hundred rows at a time: the distinct
-words of these rows are scored together.
+A word is a run of letters (``\p{L}``) and the marks among them, of any length.
+
+Training rows: distinct (id, language, text) outside the held-out third, of
+``TRAIN_CHARS`` characters at most; for each of the ``LANGS`` most frequent
+languages those of least hash, at most ``PER_LANG``, and no more than
+``TRAIN_DOCS`` over all languages. Further languages are not learnt. Executors
+turn the rows into slots and weights, so the driver receives those only, a
+bounded number. Prediction reads whole texts in one pass with no shuffle, a few
+hundred rows at a time: the distinct words of these rows are scored together.
 
 Edge cases: ``und`` with score 0 where a text is null or has no letter; with no
-training rows every text is ``und``; repeated rows and null ids keep their rows
-(a null id is never held out and never learnt from).
+training rows every text is ``und``; of languages alike in probability the first
+by name is taken; repeated rows and null ids keep their rows (a null id is never
+held out and never learnt from); an empty table gives an empty result;
+:func:`identify` replaces input columns named as its own.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +43,13 @@ BITS = 16
 WIDTH = 16
 PER_LANG = 1200
 LANGS = 300
+TRAIN_DOCS = 24_000
 TRAIN_CHARS = 20_000
 EPOCHS = 4
 KEEP = 0.995
-WORD = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 64
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Letters of the words whose subwords are hashed at once; a longer word is hashed alone.
+AT_ONCE = 400_000
 GRAMS = (2, 3, 4)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +63,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Hashes of all n-grams of one length are computed for all places at once.
     """
-    marked = [f"<{w[:LONGEST_WORD]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     starts = np.cumsum(sizes) - sizes
@@ -71,7 +79,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         slots.append(h)
         owners.append(owner[at])
     if len(marked):  # the word itself: a polynomial in the prime
-        powers = np.full(LONGEST_WORD + 2, PRIME, np.uint64).cumprod()
+        powers = np.full(sizes.max(), PRIME, np.uint64).cumprod()
         slots.append(np.add.reduceat(points * powers[place], starts) * PRIME)
         owners.append(np.arange(len(marked)))
     flat, who = np.concatenate(slots), np.concatenate(owners)
@@ -79,6 +87,30 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (flat[order] >> np.uint64(64 - BITS)).astype(np.int32), np.bincount(who, minlength=len(marked))
 
 
+def _parts(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about ``AT_ONCE`` letters."""
+    lo = size = 0
+    for i, word in enumerate(words):
+        if size and size + len(word) > AT_ONCE:
+            yield lo, i
+            lo, size = i, 0
+        size += len(word)
+    if size:
+        yield lo, len(words)
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text and the weight of each: words weigh by their number, the subwords of a word alike."""
+    counts = counted_words(text)
+    words, slots, weights = list(counts), [np.zeros(0, np.int32)], [np.zeros(0)]
+    for lo, hi in _parts(words):
+        s, n = subwords(words[lo:hi])
+        slots.append(s)
+        weights.append(np.repeat(np.fromiter(map(counts.__getitem__, words[lo:hi]), np.float64, hi - lo) / n, n))
+    ids, inverse = np.unique(np.concatenate(slots), return_inverse=True)
+    return ids, (np.bincount(inverse, np.concatenate(weights), len(ids)) / max(1, counts.total())).astype(np.float32)
+
+
 class Model:
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, level: float):
         """``table``: the logits that each subword gives, i.e. embeddings times softmax weights."""
@@ -87,10 +119,10 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Logits of words: the mean of their subwords'."""
         out = np.zeros((len(words), len(self.langs)))
-        for lo in range(0, len(words), 20_000):
-            slots, sizes = subwords(words[lo : lo + 20_000])
+        for lo, hi in _parts(words):
+            slots, sizes = subwords(words[lo:hi])
             sums = np.add.reduceat(self.table[slots], np.cumsum(sizes) - sizes, axis=0)
-            out[lo : lo + 20_000] = sums / sizes[:, None]
+            out[lo:hi] = sums / sizes[:, None]
         return out
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -113,27 +145,17 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         return self.predict_all([text])[0]
 
-def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 11) -> Model:
-    """``rows``: (language, text)."""
-    langs = sorted({lang for lang, _ in rows})
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 11) -> Model:
+    """``rows``: language, slots and weights of :func:`bag`."""
+    rows = [row for row in rows if len(row[1])]
+    langs = sorted({lang for lang, _, _ in rows})
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH))
     softmax, bias = np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
-    bags = [(langs.index(lang), counted_words(text)) for lang, text in rows]
-    index = {w: i for i, w in enumerate(sorted(set().union(*(bag for _, bag in bags))))}
-    slots, sizes = subwords(list(index)) if index else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    ends = np.cumsum(sizes)
-    packed = []
-    for lang, bag in bags:
-        if bag:
-            at = np.fromiter(map(index.__getitem__, bag), np.int64, len(bag))
-            n = sizes[at]
-            flat = np.repeat(ends[at] - np.cumsum(n), n) + np.arange(n.sum())  # places of these words' slots
-            part = np.repeat(np.fromiter(bag.values(), np.float64, len(bag)) / n / sum(bag.values()), n)
-            ids, inverse = np.unique(slots[flat], return_inverse=True)
-            packed.append((ids, np.bincount(inverse, part), lang))
+    packed = [(ids, part, langs.index(lang)) for lang, ids, part in rows]
     learn = [x for i, x in enumerate(packed) if i % 5] or packed
     rest = [x for i, x in enumerate(packed) if i % 5 == 0]
     for epoch in range(epochs):
@@ -167,18 +189,31 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.5,
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``order, lang, slots, weights``: the bounded sample; rows of equal ``order`` are equal."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    known = known.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    known = known.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= TRAIN_CHARS))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS)
-    part = sizes.select(F.col("lang").alias("l"), (PER_LANG / F.col("count")).alias("share"))
-    chosen = known.join(F.broadcast(part), F.col("lang") == F.col("l"))  # at most LANGS rows
-    return chosen.filter((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.col("share") * 1_000_003) & (F.length("text") <= TRAIN_CHARS)).select("id", "lang", "text")
+    each = F.least(F.lit(PER_LANG), F.floor(F.lit(TRAIN_DOCS) / F.count(F.lit(1)).over(Window.partitionBy())))
+    part = sizes.select(F.col("lang").alias("l"), each.alias("each"), (each / F.col("count")).alias("share"))
+    rows = known.join(F.broadcast(part), F.col("lang") == F.col("l"))  # at most LANGS rows
+    # About twice as many as are wanted, then exactly so many: those of least hash.
+    rows = rows.withColumn("order", F.shiftrightunsigned(F.xxhash64("id", "lang", "text"), 1)).filter(F.col("order") < 2.0**64 * F.col("share"))
+    rows = rows.dropDuplicates(["lang", "order"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= F.col("each")).select("order", "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag(t.as_py()) for t in batch.column(2)]
+            columns = [pa.array([x[i].tobytes() for x in bags], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["order", "lang", "slots", "weights"])
+
+    return rows.mapInArrow(run, "order long, lang string, slots binary, weights binary")
 
 
 def fit(docs: DataFrame, **options) -> Model:
-    limit = LANGS * PER_LANG
-    rows = sorted(training_rows(docs, **options).limit(limit).collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text))
-    return train([(r.lang, r.text) for r in rows])
+    rows = sorted(training_rows(docs, **options).collect(), key=lambda r: (r.order, r.lang))  # TRAIN_DOCS at most
+    return train([(r.lang, np.frombuffer(r.slots, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows])
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
