@@ -15,12 +15,17 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where unset and executors are threads (tests).
+
+    On a cluster an unset folder is an error: a folder of one machine would not be shared.
+    """
     root = dict(spark.sparkContext.getConf().getAll()).get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seqlattice-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,13 +49,17 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame from :func:`persisted`; nothing may read it afterwards."""
-    path = getattr(df, "_seqlattice_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames from :func:`persisted`; nothing may read them afterwards."""
+    for df in frames:
+        path = getattr(df, "_seqlattice_path", None)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,10 +3,11 @@
 Records are ranged by page id into shards of about ``SHARD_BYTES`` of payload.
 The ranges come from an exact histogram of payload bytes over at most ``CELLS``
 equal intervals of the id, so they depend on the data only, not on sampling. A
-cell larger than a shard (a hot or null id) is split further by the hash of the
-payload. Inside a shard records are sorted by (id, digest, url) and written as
-one gzip member each; a file is closed once it holds ``FILE_BYTES`` compressed
-bytes. Headers, lengths and digests are made anew. Files are written under a
+cell larger than a shard (a hot or null id) is split further by the hashes of
+payload and address. A shard is one task, however many there are. Inside a shard
+records are sorted by (id, digest, url) and written as one gzip member each, after
+one that describes the file; a file is closed once it holds ``FILE_BYTES``
+compressed bytes. Headers, lengths and digests are made anew. Files are written under a
 temporary name that holds the attempt, renamed when complete, and listed with
 size and digest in the shard's manifest, itself renamed last: a shard without a
 manifest does not exist. A lost or repeated task therefore leaves nothing that
@@ -16,12 +17,17 @@ Of records with equal payloads of ``LEAST_DUPLICATE`` bytes or more, that with
 the largest id is the response and the others are revisits of it. This is
 decided on (id, digest, length) alone; page bodies are shuffled once, to their
 shard, and decisions join them there as rows that sort just before their record.
-Memory is bounded by one record.
+Record ids follow from (id, digest, url) and a number among rows equal in these, so
+they are unique, and a revisit can name the record it refers to, wherever that is.
+Memory is bounded by one record. Archives are read by about as many tasks as there
+are files, ``READ_FILES`` a task at most.
 
 Edge cases: a null payload is empty; a null id sorts first, is written as an
 empty id, and is a response only if its whole group has none; rows that share
-the largest id are all responses; repeated rows give repeated records; an empty
-table gives no files.
+the largest id are all responses, and revisits refer to that with the greatest
+address; repeated rows give repeated records (rows equal in id, address and
+payload stay in one shard); an empty table gives no files; other columns of
+``pages`` are not read.
 """
 
 from __future__ import annotations
@@ -39,13 +45,17 @@ from urllib.parse import urlsplit
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persisted, shared_path
+from .common import delete, discard, persisted, shared_path
 
 SHARD_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
+#: Parts of a hot cell that records of one payload may go to.
+SPREAD = 64
+READ_FILES = 8
+MOST_TASKS = 100_000
 CELLS = 65536
 BLOCK = 256
 LEAST_DUPLICATE = 1000
@@ -60,34 +70,52 @@ def _files(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if re.match(r"^[a-z0-9]+:", uri) else f"file://{uri}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n: int, refers_to: int | None, revisit: bool) -> bytes:
-    """One record, uncompressed. A revisit has the headers of the full payload and no body."""
-    name = "" if page_id is None else str(page_id)
-    rid = uuid.uuid5(NAMESPACE, f"{name}|{url}|{digest}")
-    body = b"" if revisit else payload
+def record_id(page_id: int | None, digest: str, url: str | None, number: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}|{digest}|{number}|{url}')}>"
+
+
+def _join(lines: list[str], body: bytes) -> bytes:
+    lines = [*lines, f"WARC-Block-Digest: sha1:{hashlib.sha1(body).hexdigest()}", f"Content-Length: {len(body)}"]
+    return "\r\n".join(["WARC/1.1", *lines]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def file_info(name: str) -> bytes:
+    """The record that opens a file."""
+    lines = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _join(lines, b"format: WARC File Format 1.1\r\n")
+
+
+def _line(url: str | None) -> str:
+    return re.sub(r"[\r\n]+", " ", url or "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, n: int, number: int = 0, original: tuple[int, str | None] | None = None) -> bytes:
+    """One record, uncompressed; a revisit if the page and address of the ``original`` are given. A revisit has the headers of the full payload and no body."""
     lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{rid}>",
+        f"WARC-Type: {'revisit' if original else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, digest, url, number)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}",
-        f"X-Page-ID: {name}",
+        f"WARC-Target-URI: {_line(url)}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{hashlib.sha1(body).hexdigest()}",
         f"X-Payload-Length: {n}",
         "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {len(body)}",
     ]
-    if revisit:
-        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    if original:
+        page, address = original
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(page, digest, address)}", f"WARC-Refers-To-Target-URI: {_line(address)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {page}",
+        ]
+    return _join(lines, b"" if original else payload)
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, keeper`` for the distinct (id, digest) of payloads that occur more than once."""
-    big = pages.filter(F.col("n") >= LEAST_DUPLICATE).select("page_id", "digest")
-    groups = big.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    return big.join(groups, "digest").select("page_id", "digest", "keeper").distinct()
+    """``page_id, digest, keeper, address`` for the distinct (id, digest) that are revisits of the keeper's record."""
+    big = pages.filter(F.col("n") >= LEAST_DUPLICATE)
+    groups = big.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("k"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND k.page_id IS NOT NULL")
+    found = big.select("page_id", "digest").distinct().join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("k.page_id")))
+    return found.select("page_id", "digest", F.col("k.page_id").alias("keeper"), F.col("k.url").alias("address"))
 
 
 def ranges(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, dict]:
@@ -129,20 +157,24 @@ class _Shard:
         if self.out is None:
             self.temp = f"{self.folder}/.tmp-{self.attempt}-{self.name}-{len(self.done):05d}"
             self.out, self.sha, self.size, self.records = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0
+            self.final = f"{self.name}-{len(self.done):05d}.warc.gz"
+            self._member(file_info(self.final))
+        self._member(data)
+        self.records += 1
+        if self.size >= self.file_bytes:
+            self.roll()
+
+    def _member(self, data: bytes) -> None:
         member = gzip.compress(data, LEVEL, mtime=0)
         self.out.write(member)
         self.sha.update(member)
         self.size += len(member)
-        self.records += 1
-        if self.size >= self.file_bytes:
-            self.roll()
 
     def roll(self) -> None:
         if self.out is not None:
             self.out.close()
-            final = f"{self.name}-{len(self.done):05d}.warc.gz"
-            _put(self.fs, self.temp, f"{self.folder}/{final}")
-            self.done.append({"file": final, "bytes": self.size, "records": self.records, "sha256": self.sha.hexdigest()})
+            _put(self.fs, self.temp, f"{self.folder}/{self.final}")
+            self.done.append({"file": self.final, "bytes": self.size, "records": self.records, "sha256": self.sha.hexdigest()})
             self.out = None
 
     def close(self) -> list[dict]:
@@ -159,47 +191,53 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), data.alias("payload"))
     wide = wide.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
-    narrow = persisted(wide.select("page_id", "digest", "n"), "pages")
+    narrow = persisted(wide.select("page_id", "digest", "n", "url"), "pages")
     table, grid = ranges(narrow, shard_bytes)
     table = persisted(table, "ranges")
+    tasks = min(table.agg(F.max(F.col("shard") + F.col("parts"))).first()[0] or 1, MOST_TASKS)
     fs, path = _files(folder)
     fs.create_dir(path, recursive=True)
 
-    def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("cell", _cell(grid)).join(F.broadcast(table), "cell")  # at most CELLS + 1 rows
-        return df.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("digest"), F.col("parts"))).otherwise(0).cast("int")).drop("cell", "parts")
+    def placed(df: DataFrame, sub: Column) -> DataFrame:
+        """``sub``: which of its digest's parts a row of a hot cell goes to."""
+        df = df.withColumn("cell", _cell(grid)).join(F.broadcast(table), "cell").withColumn("sub", sub)  # at most CELLS + 1 rows
+        return df.withColumn("part", F.pmod(F.xxhash64("digest") + F.col("sub"), F.col("parts")).cast("int"))
 
-    rows = placed(wide).withColumns({"kind": F.lit(1), "keeper": F.lit(None).cast("long"), "decided": F.lit(False)})
-    marks = placed(decisions(narrow)).withColumns({"kind": F.lit(0), "url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary"), "n": F.lit(None).cast("long"), "decided": F.lit(True)})
-    cols = ["shard", "part", "page_id", "digest", "kind", "url", "payload", "n", "keeper"]
-    sorted_rows = rows.select(*cols).unionByName(marks.select(*cols)).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
+    spread = F.least(F.col("parts"), F.lit(SPREAD))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = placed(wide, F.pmod(F.xxhash64("url"), spread)).withColumns({"kind": F.lit(1), "keeper": none("long"), "address": none("string")})
+    marks = placed(decisions(narrow), F.explode(F.sequence(F.lit(0).cast("long"), spread.cast("long") - 1))).withColumns({"kind": F.lit(0), "url": none("string"), "payload": none("binary"), "n": none("long")})
+    cols = ["shard", "part", "page_id", "digest", "kind", "url", "payload", "n", "keeper", "address"]
+    both = rows.select(*cols).unionByName(marks.select(*cols)).repartitionById(tasks, F.pmod(F.col("shard") + F.col("part"), F.lit(tasks)).cast("int"))
+    sorted_rows = both.sortWithinPartitions("shard", "part", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         attempt = f"{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}" if context else uuid.uuid4().hex
-        writer, at, mark, files = None, None, None, []
+        writer, at, mark, last, number, files = None, None, None, None, 0, []
 
         def finish() -> None:
             if writer is not None:
                 files.extend((writer.name, x["file"], x["bytes"], x["records"], x["sha256"]) for x in writer.close())
 
         for frame in frames:
-            for shard, part, page, digest, kind, url, payload, n, keeper in zip(*(frame[c].array for c in cols), strict=True):
-                page = None if pd.isna(page) else int(page)
+            for shard, part, page, digest, kind, url, payload, n, keeper, address in zip(*(frame[c].array for c in cols), strict=True):
+                page, url = None if pd.isna(page) else int(page), url if isinstance(url, str) else None
                 if (shard, part) != at:
                     finish()
-                    at, writer = (shard, part), _Shard(folder, f"shard-{shard:08d}-{part:04d}", file_bytes, attempt)
+                    at, writer, mark, last = (shard, part), _Shard(folder, f"shard-{shard:08d}-{part:04d}", file_bytes, attempt), None, None
                 if kind == 0:
-                    mark = (page, digest, None if pd.isna(keeper) else int(keeper))
+                    mark = (page, digest), (int(keeper), address if isinstance(address, str) else None)
                     continue
-                decided = mark is not None and mark[:2] == (page, digest)
-                revisit = decided and mark[2] is not None and mark[2] != page
-                writer.add(record(page, url if isinstance(url, str) else None, payload, digest, int(n), mark[2] if revisit else None, revisit))
+                number = number + 1 if (page, digest, url) == last else 0
+                last = page, digest, url
+                writer.add(record(page, url, payload, digest, int(n), number, mark[1] if mark and mark[0] == (page, digest) else None))
         finish()
         yield pd.DataFrame(files, columns=["shard", "file", "bytes", "records", "sha256"])
 
-    listed = sorted_rows.select("shard", "part", "page_id", "digest", "kind", "url", "payload", "n", "keeper").mapInPandas(run, "shard string, file string, bytes long, records long, sha256 string")
-    return persisted(listed, "files")
+    files = persisted(sorted_rows.mapInPandas(run, "shard string, file string, bytes long, records long, sha256 string"), "files")
+    discard(narrow, table)
+    return files
 
 
 def members(stream) -> Iterator[bytes]:
@@ -231,10 +269,10 @@ def parse(data: bytes) -> dict:
 
 
 def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """All records of the listed files: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload."""
+    """All pages' records of the listed files: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload, record_id, refers_to_record."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload", "record_id", "refers_to_record"]
         fs, path = _files(folder)
         for frame in frames:
             for name in frame["file"]:
@@ -242,13 +280,15 @@ def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for data in members(stream):
                         r = parse(data)
-                        refers = re.search(r"urn:page:(-?\d+)", r.get("warc-refers-to", ""))
+                        if r["warc-type"] == "warcinfo":
+                            continue
+                        refers = r.get("x-refers-to-page")
                         revisit = r["warc-type"] == "revisit"
                         digest = r["warc-payload-digest"].partition(":")[2]
                         n = int(r["x-payload-length"])
                         if not revisit and (n != len(r["payload"]) or digest != hashlib.sha1(r["payload"]).hexdigest()):
                             raise ValueError(f"payload of {r['warc-record-id']} is damaged")
-                        rows.append((int(r["x-page-id"]) if r["x-page-id"] else None, r["warc-target-uri"], r["warc-type"], digest, n, int(refers[1]) if refers else None, r["payload"]))
+                        rows.append((int(r["x-page-id"]) if r["x-page-id"] else None, r["warc-target-uri"], r["warc-type"], digest, n, int(refers) if refers else None, r["payload"], r["warc-record-id"], r.get("warc-refers-to")))
                         size += len(data)
                         if size > 8 << 20:
                             yield _frame(rows, names)
@@ -256,8 +296,10 @@ def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _frame(rows, names)
 
-    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-    return files.select("file").repartition("file").mapInPandas(run, schema)
+    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, record_id string, refers_to_record string"
+    n = files.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // READ_FILES))))
+    return files.select("file").repartitionByRange(tasks, "file").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -268,7 +310,10 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    return read(spark, files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = persisted(read(spark, files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    discard(files)
+    delete(spark, folder)
+    return found
 
 
 OP3_SQL = """

@@ -165,7 +165,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 2000
-    pages = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "e", None), (6, "f\r\nX: y", "é" * 600), (None, "g", big), (9, "h", big), (7, "i", ""), (None, None, None), (8, "j", "é" * 600)]
+    pages = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "e", None), (6, "f\r\nX: y", "é" * 600), (None, "g", big), (9, "h", big), (7, "i", ""), (None, None, None), (8, "j", "é" * 600), (2, "http://b", big)] + [(None, f"u{i % 7}", big) for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     files = warc.write(df, f"file://{tmp_path}/w", shard_bytes=3000, file_bytes=400)
     rows = warc.read(spark, files, f"file://{tmp_path}/w").collect()
@@ -176,6 +176,16 @@ def test_warc(spark, tmp_path):
         revisit = r.payload_bytes >= 1000 and len(same) > 1 and r.page_id != keeper
         assert (r.record_type, r.refers_to) == (("revisit", keeper) if revisit else ("response", None))
         assert revisit or hashlib.sha1(r.payload).hexdigest() == r.payload_digest
+    ids = [r.record_id for r in rows]
+    at = {r.record_id: r for r in rows}
+    assert len(set(ids)) == len(ids) == len(pages)
+    for r in rows:
+        assert (r.refers_to_record is None) == (r.record_type == "response")
+        if r.refers_to_record:
+            named = at[r.refers_to_record]
+            assert (named.record_type, named.page_id, named.payload_digest) == ("response", r.refers_to, r.payload_digest)
+    first = next(warc.members((tmp_path / "w" / files.first().file).open("rb")))
+    assert warc.parse(first)["warc-type"] == "warcinfo"
     listed = {r.file: r.sha256 for r in files.collect()}
     on_disk = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "w").glob("*.warc.gz")}
     assert listed == on_disk and len(listed) > 2 and not list((tmp_path / "w").glob(".tmp*"))
