@@ -4,7 +4,8 @@ Base spans come from four fixed patterns and their checks. Beyond them, looser
 patterns give candidates (addresses spelled with "(at)", phone numbers without
 a plus sign, card numbers in other groupings, IPv6). Five labelers vote on every
 candidate (1, -1 or 0 for none): the base pattern, a gazetteer, cue words before
-the span, the characters at its borders, and a checksum or range check.
+the span (in the text since the pattern's last match), the characters at its
+borders, and a checksum or range check.
 Expectation-maximisation over the counts of vote patterns of the whole corpus
 estimates how reliable each labeler is; its posteriors are the training target
 of a logistic span classifier over the votes. A candidate it accepts with at
@@ -16,11 +17,14 @@ most, however large the corpus), and fitting sees those on the driver.
 
 Patterns are written so that no input is slow: possessive repeats, and a run of
 characters is entered at its start or where the last match ended only, which
-finds the same leftmost matches.
+finds the same leftmost matches. Places are running sums over blocks of matches,
+context comes from the gaps between matches, and overlaps are found by bisection
+or a running maximum, so work grows with a text's length, not with its square.
 
 Edge cases: a null text is the empty text: no spans; repeated rows and null ids
 keep their rows; an empty table gives an empty result and a model that adds
-nothing; :func:`redact` keeps all other columns.
+nothing; of spans that start alike the kind listed first comes first; :func:`find`
+replaces a column named as its result, :func:`redact` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -73,26 +77,54 @@ CUES = {
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PARTS = rf"^{PART}(?:\.{PART}){{3}}$"
 
-SPAN = "array<struct<s:int,e:int,v:string>>"
+SPAN = "array<struct<s:int,e:int,v:string,before:string,sides:string>>"
+#: Elements that are summed one by one; sums of so many are summed again.
+RUN = 256
+#: Characters of the pieces that a text is cut into before parts of it are taken.
+PIECE = 1024
+#: Steps of a bisection: enough for 4 million spans of a kind in one text.
+STEPS = 22
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _running(values: Column, zero: Column, op) -> Column:
+    """What ``op`` makes of all values before each one, then of all, one element more than there are values."""
+    def plain(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def blocked(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda b: F.slice(xs, b * RUN + 1, RUN))
+        bases = lambda bs: plain(F.transform(bs, lambda b: F.aggregate(b, zero, op)))
+        # Each block's own sums but the last, then the total.
+        local = lambda b: F.slice(plain(b), 1, F.size(b))
+        joined = lambda bs, ts: F.concat(F.flatten(F.transform(bs, lambda b, i: F.transform(local(b), lambda x: op(F.get(ts, i), x)))), F.array(F.element_at(ts, -1)))
+        return _let(blocks, lambda bs: _let(bases(bs), lambda ts: joined(bs, ts)))
+
+    return F.when(F.size(values) <= RUN, plain(values)).otherwise(blocked(values))
+
+
 def matches(text: Column, pattern: str, guard: str) -> Column:
-    """Leftmost non-overlapping matches with their place in code points (end exclusive)."""
-    found = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("g"), v.alias("v")))
-    found = F.filter(found, lambda x: x["v"].isNotNull())
+    """Leftmost non-overlapping matches with their place in code points (end exclusive), the text before each and the characters at its sides."""
+    def placed(gaps: Column, found: Column) -> Column:
+        lengths = F.transform(found, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))
+
+        def span(starts: Column):
+            def at(v: Column, i: Column) -> Column:
+                gap, rest = F.get(gaps, i), F.get(gaps, i + 1)
+                first = F.when(gap != "", F.substring(gap, -1, 1)).when(i > 0, F.substring(F.get(found, i - 1), -1, 1)).otherwise(F.lit(" "))
+                last = F.when(rest != "", F.substring(rest, 1, 1)).otherwise(F.coalesce(F.substring(F.get(found, i + 1), 1, 1), F.lit("")))
+                s = F.get(starts, i) + F.length(gap)
+                return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), F.substring(gap, -CONTEXT, CONTEXT).alias("before"), F.concat(first, last).alias("sides"))
+
+            return F.transform(found, at)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))).alias("out"))
+        return _let(_running(lengths, F.lit(0), lambda a, x: a + x), span)
 
-    none = F.array().cast(SPAN)
-    placed = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(guard), placed).otherwise(none)
+    split = lambda gaps: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: placed(gaps, found))
+    return F.when(text.rlike(guard), _let(F.split(text, pattern, -1), split)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(v: Column) -> Column:
@@ -134,24 +166,22 @@ def candidates(text: Column) -> Column:
             if kind == "card" and not loose:
                 spans = F.filter(spans, lambda x: F.length(_digits(x["v"])) >= 13)
 
-            parts.append(F.transform(spans, _voter(text, k, loose)))
+            parts.append(F.transform(spans, _voter(k, loose)))
     return F.concat(*parts)
 
 
-def _voter(text: Column, k: int, loose: bool):
+def _voter(k: int, loose: bool):
     kind = KINDS[k]
     sign = lambda c: F.when(c, 1).otherwise(-1)
 
     def voted(x: Column) -> Column:
         ok = _check(kind, x["v"])
-        sides = F.concat(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(" ")), F.substring(text, x["e"] + 1, F.lit(1)))
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
         return F.struct(
             x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"), (F.lit(not loose) & ok).alias("base"), F.lit(loose).alias("loose"),
             (F.lit(0) if loose else F.lit(1)).alias("pattern"),
             sign(x["v"].rlike(GAZETTEER[kind])).alias("gazetteer"),
-            F.when(before.rlike(CUES[kind]), 1).otherwise(0).alias("context"),
-            sign(~sides.rlike(r"[\p{L}\p{N}]")).alias("border"),
+            F.when(x["before"].rlike(CUES[kind]), 1).otherwise(0).alias("context"),
+            sign(~x["sides"].rlike(r"[\p{L}\p{N}]")).alias("border"),
             sign(ok).alias("check"),
         )
 
@@ -232,12 +262,29 @@ def spans(text: Column, model: dict) -> Column:
             total = total + F.when(c[name] == 1, w[1 + i]).when(c[name] == -1, w[1 + m + i]).otherwise(0.0)
         return total + F.element_at(F.array(*(F.lit(x) for x in w[1 + 2 * m : 1 + 2 * m + len(KINDS)])), c["k"] + 1) + F.when(c["loose"], w[-1]).otherwise(0.0)
 
+    def reaches(base: Column, c: Column) -> Column:
+        """True if a span of ``base``, in order and without overlaps, shares a character with ``c``: the last that starts before its end does."""
+        def halve(state: Column, _: Column) -> Column:
+            middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+            left = F.get(base, middle)["s"] < c["e"]
+            wide = state["lo"] < state["hi"]
+            return F.struct(F.when(wide & left, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(wide & ~left, middle).otherwise(state["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda state: F.coalesce(F.get(base, state["lo"] - 1)["e"] > c["s"], F.lit(False)))
+
     def chosen(found: Column) -> Column:
         base = F.filter(found, lambda c: c["base"])
-        free = lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        added = F.filter(found, lambda c: ~c["base"] & c["loose"] & (score(c) >= limit) & free(c))
-        both = F.transform(F.concat(base, added), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["base"].alias("base")))
-        return F.sort_array(both)
+        added = F.filter(found, lambda c: ~c["base"] & c["loose"] & (score(c) >= limit))
+
+        def both(base: Column, added: Column) -> Column:
+            of = lambda k: F.filter(base, lambda b: b["k"] == k)
+            by_kind = F.array(*(of(k) for k in range(len(KINDS))))
+            free = _let(by_kind, lambda kinds: F.filter(added, lambda c: ~F.exists(kinds, lambda bs: reaches(bs, c))))
+            spans = F.concat(base, F.when(F.size(added) > 0, free).otherwise(added))
+            return F.sort_array(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["base"].alias("base"))))
+
+        return _let(base, lambda b: _let(added, lambda a: both(b, a)))
 
     return _let(candidates(text), chosen)
 
@@ -250,23 +297,29 @@ def find(df: DataFrame, model: dict, text_col: str = "text", out: str = "spans")
 def redact(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``df`` with every span replaced by its kind in brackets, and ``n_chars``, if present, renewed. A null text stays null."""
     text = F.col("__text")
-
-    def step(acc: Column, x: Column) -> Column:
-        name = F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["k"] + 1)
-        fresh = x["s"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), name)
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    names = df.columns
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """Characters ``start`` to ``end`` (exclusive) of a text given in pieces."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        part = lambda i: F.substring(F.get(pieces, i), F.greatest(start - i * PIECE, F.lit(0)) + 1, end - F.greatest(start, i * PIECE))
+        return F.when(start < end, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise(F.lit(""))
+
+    def rebuilt(pieces: Column, done: Column) -> Column:
+        """Before each span that starts where the ones before it have ended: the text since then, and the kind's name."""
+        kept = F.transform("__spans", lambda x, i: F.when(x["s"] >= F.get(done, i), F.concat(cut(pieces, F.get(done, i), x["s"]), F.get(names, x["k"]))))
+        return F.concat(F.array_join(kept, ""), cut(pieces, F.element_at(done, -1), F.length(text)))
+
+    done = _running(F.transform("__spans", lambda x: x["e"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: _let(done, lambda d: rebuilt(pieces, d)))
+    columns = df.columns
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     rows = find(rows, model, "__text", "__spans").withColumn("__clean", F.when(F.size("__spans") > 0, clean).otherwise(text))
     kept = {text_col: F.when(F.col(f"__row.`{text_col}`").isNotNull(), F.col("__clean"))}
-    if "n_chars" in names:
+    if "n_chars" in columns:
         kind = dict(df.dtypes)["n_chars"]
         kept["n_chars"] = F.when(F.size("__spans") > 0, F.length("__clean").cast(kind)).otherwise(F.col("__row.n_chars"))
-    return rows.select(*(kept.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names))
+    return rows.select(*(kept.get(c, F.col(f"__row.`{c}`")).alias(c) for c in columns))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

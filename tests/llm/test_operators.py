@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -227,6 +228,8 @@ def test_langid(spark, docs, empty):
     assert sum(r.lang_pred == r.truth for r in found) >= 0.98 * len(found)
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0) and got[2].lang_pred == "und" and got[5].lang_pred in speech
+    long = ["½ ²", "2024 _", "".join(rng.choice(speech["bb"]) for _ in range(200_000)), "नमस्ते"]
+    assert [x[0] for x in model.predict_all(long)][:3] == ["und", "und", "bb"] and langid.counted_words(long[3]).total() == 1
     assert langid.identify(empty, model).count() == 0 and langid.fit(df.filter("false")).predict("abc")[0] == "und"
 
 
@@ -298,9 +301,99 @@ def test_added_spans_and_redaction(spark):
     assert got[200].text == "mail me: [EMAIL], call [PHONE]" and got[201].text is None
 
 
+def test_long_texts(spark):
+    rng = random.Random(9)
+    pieces = ["joe{}@mail.com", "10.0.{}.7", "+1 (555) 555-{:04d}", "über {}", "4111 1111 1111 1111,", "call (456) 555-{:04d}", "\n😀"]
+    text = " ".join(rng.choice(pieces).format(i % 250) for i in range(4000))
+    model = pii.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    df = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    found = pii.find(df, model).first().spans
+    base = slow_spans(text)
+    assert [(c.s, c.k, c.e) for c in found if c.base] == base and len(base) > 6 * pii.RUN
+    assert not any(a < c.e and c.s < b for c in found if not c.base for a, _, b in base)
+    at, out = 0, []
+    for c in found:
+        if c.s >= at:
+            out += [text[at : c.s], f"[{pii.KINDS[c.k].upper()}]"]
+        at = max(at, c.e)
+    row = pii.redact(df, model).first()
+    assert row.text == "".join(out) + text[at:] and row.n_chars == len(row.text)
+
+
+def loose_spans(seed, n):
+    """Texts, the spans in them that only the looser patterns can find, and decoys like them."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    rows = []
+    for i in range(n):
+        good = rng.choice([
+            ("mail to ", "email", f"ann{i} (at) example.com"), ("contact ", "email", f"joe.{i}[at]mail[dot]org"), ("phone ", "phone", f"(4{digits(2)}) 555-{digits(4)}"),
+            ("tel. ", "phone", f"5{digits(2)}-555-{digits(4)}"), ("card ", "card", "4111.1111.1111.1111"), ("host ", "ip", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8))),
+        ])
+        bad = rng.choice([("part ", f"9{digits(3)}.{digits(4)}.{digits(4)}.0000"), ("page ", "look (at) this"), ("code ", f"0{digits(2)}.1{digits(2)}.{digits(4)}")])
+        text = f"{prose(i, 12)} {good[0]}{good[2]}, {prose(i + 1, 5)} and {bad[0]}{bad[1]} {prose(i + 2, 6)}; write to user{i}@mail.com or +1 (555) 555-{digits(4)}"
+        rows.append((i, text, text.index(good[2]), good[1], text.index(good[2]) + len(good[2])))
+    return rows
+
+
+def added_quality(spark, rows):
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {(r.doc_id, c.s, pii.KINDS[c.k], c.e) for r in pii.find(df, pii.fit(df)).collect() for c in r.spans if not c.base}
+    true = {(i, s, kind, e) for i, _, s, kind, e in rows}
+    return len(found & true) / len(found), len(found & true) / len(true)
+
+
+def test_added_spans_are_right(spark):
+    precision, recall = added_quality(spark, loose_spans(1, 300))
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+
+
 # decontamination
 
 
+def slow_leaks(tokens, item):
+    """True if some alignment agrees in enough positions of a stretch of the item."""
+    n, length = len(item), min(len(item), decontam.STRETCH)
+    needed = n if n < decontam.VERBATIM else -(-4 * length // 5)
+    for start in range(1 - n, len(tokens)):
+        equal = [0 <= start + j < len(tokens) and tokens[start + j] == t for j, t in enumerate(item)]
+        if n and max(sum(equal[i : i + length]) for i in range(n - length + 1)) >= needed:
+            return True
+    return False
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(11)
+    token = lambda: f"v{rng.randrange(40)}"
+    items = [[token() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 19, 20, 21, 33, 60)] + [[]]
+    items[0], items[1] = ["only"], ["only", "two"]
+    texts = []
+    for i in range(400):
+        item = items[i % len(items)]
+        spoilt = [token() if rng.random() < rng.choice([0, 0.1, 0.2, 0.25]) else w for w in item]
+        lo = rng.randrange(len(item) + 1) if rng.random() < 0.2 else 0
+        texts.append([token() for _ in range(rng.randrange(12))] + spoilt[lo:] + [token() for _ in range(rng.randrange(12))])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    expected = {i: [j for j, item in enumerate(items) if slow_leaks(t, item)] for i, t in enumerate(texts)}
+    assert {r.doc_id: list(r["items"]) for r in decontam.contamination(df, bench).collect()} == expected
+    assert 100 < sum(map(bool, expected.values())) < 400
+    limit, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, 10  # with joins that shuffle
+    try:
+        assert {r.doc_id: list(r["items"]) for r in decontam.contamination(df, bench).collect()} == expected
+    finally:
+        decontam.BROADCAST_ROWS = limit
+
+
+def test_some_seed_meets_every_leak():
+    for n in range(decontam.BLOCK + decontam.SECOND, decontam.STRETCH + 1):
+        most = n - -(-4 * n // 5) if n >= decontam.VERBATIM else 0
+        for spoilt in itertools.combinations(range(n), most):
+            whole = [i not in spoilt for i in range(n)]
+            threes = [i for i in range(n - 2) if all(whole[i : i + 3])]
+            assert any(0 <= i + g <= n - 2 and all(whole[i + g : i + g + 2]) for i in threes for g in decontam.SEEDS), (n, spoilt)
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(6)
     item = [f"w{rng.randint(0, 10**6)}" for _ in range(30)]
