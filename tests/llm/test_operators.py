@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -462,15 +463,17 @@ def test_bpe_rows(codec, docs, odd, empty):
 # quality
 
 
-def slow_quality(text, ratios):
+def slow_quality(text, model):
     words = WORD.findall(text or "")
     seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     again = {i + j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(8)}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    slot = lambda s, half: (lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS)(xxhash.xxh64_intdigest(s.encode(), 42)) + half * quality.BUCKETS
-    total = sum(ratios[slot(w, 0)] + ratios[slot(w[-3:], 1)] for w in words)
+    sign = lambda h: h - (1 << 64) if h >> 63 else h
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    two = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(one, one[1:])]
+    total = sum(model.ratios[sign(h) % quality.BUCKETS] for h in one) + sum(model.ratios[quality.BUCKETS + sign(h) % quality.BUCKETS] for h in two)
     failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), failed, not failed and total >= quality.THRESHOLD * len(words))
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again), failed, not failed and total >= model.threshold * len(words))
 
 
 def test_quality(spark, docs, odd, empty):
@@ -480,6 +483,8 @@ def test_quality(spark, docs, odd, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(100 + i, 1) for i in range(30)] + [(100, 1), (None, 1)], "doc_id long, quality int")
     ratios = quality.fit(df, labels)
+    assert ratios.threshold == quality.NOTHING  # too few to set one
+    ratios = quality.Model(ratios.ratios, sorted(r.score for r in quality.judge(df, ratios).collect() if 100 <= (r.doc_id or 0) < 130)[0].__floor__())
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = sorted((str(r.doc_id), *(r[c] for c in cols)) for r in quality.judge(df, ratios).collect())
     assert got == sorted((str(i), *slow_quality(t, ratios)) for i, t in rows)
@@ -489,4 +494,25 @@ def test_quality(spark, docs, odd, empty):
     assert max(scores[200 + i] for i in range(30)) < min(scores[100 + i] for i in range(30))
     assert quality.passing(docs, labels).columns == docs.columns
     assert quality.passing(empty, labels).count() == 0
-    assert set(quality.fit(df, labels.filter("false"))) == {0}
+    assert set(quality.fit(df, labels.filter("false")).ratios) == {0}
+
+
+def test_quality_threshold(spark):
+    rng = random.Random(13)
+    good = [(i, prose(i, 60)) for i in range(600)]
+    junk = [(1000 + i, " | ".join(rng.choice(WORDS)[: rng.randint(1, 4)] + rng.choice("xyz") for _ in range(60))) for i in range(60)]
+    df = spark.createDataFrame(good + junk, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:500]], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    ids = labels.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held"))
+    held = {r.doc_id for r in ids.filter("held").collect()}
+    rows = {r.doc_id: r for r in quality.judge(df, model).collect()}
+    assert len(held) > quality.LEAST_HELD and model.threshold == math.floor(sorted(rows[i].score for i in held)[int(quality.LOSS * len(held))])
+    assert sum(rows[i].kept for i, _ in good[500:]) >= 98 and not any(rows[i].kept for i, _ in junk)
+    # the ratios, counted plainly
+    one = lambda ids: Counter(w for i in ids for w in dict(good + junk)[i].split())
+    raw, target = one(dict(good + junk)), one([i for i, _ in good[:500] if i not in held])
+    word = next(iter(target))
+    slot = (lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS)(xxhash.xxh64_intdigest(word.encode(), 42))
+    p = (raw[word] + 0.5) / (raw.total() + 0.5 * quality.BUCKETS)
+    assert model.ratios[slot] == round(1000 * math.log((target[word] + quality.PRIOR * p) / (target.total() + quality.PRIOR) / p))
