@@ -6,8 +6,13 @@ tells the licence families, notices of no known family (``unknown``) and plain
 text (``none``) apart. It is trained here, from the notices below with random
 words dropped, joined and put among background words, and from a bounded sample
 of the corpus's own paragraphs as plain text; n-grams common in the sample's plain
-paragraphs (no notices) are no features, unless a template would be left with none. On held-out training rows a temperature and an acceptance level are
-fitted. A family accepted by the classifier is confirmed by comparison: at least
+paragraphs (no notices) are no features, unless a template would be left with none.
+A temperature and an acceptance level are fitted on wordings that were not learnt:
+in each of ``FOLDS`` rounds every ``FOLDS``-th notice of a class and every
+``FOLDS``-th plain line are left out whole, and a classifier trained on the rest
+reads them. The level is the least one, 0.5 or more, at which at most
+``FALSE_RATE`` of the unknown and plain rows among these are accepted and confirmed.
+``Model.report`` has the figures of these rounds. A family accepted by the classifier is confirmed by comparison: at least
 ``CONFIRM`` of the n-grams of some template of the family must be in the
 paragraph. A paragraph that reads like a licence but is not confirmed is
 ``unknown``. Paragraphs are single lines and, for wrapped notices, runs of up to
@@ -20,13 +25,18 @@ with the vocabulary (a few thousand rows, broadcast; bounded by the templates,
 not the data) in one pass over whole texts; only the ids of n-grams found move,
 as one set for each line that has any, with those of the lines after it.
 
+Plain lines for training are ``PLAIN_LINES`` of those of at most ``SAMPLE_DOCS``
+documents of at most ``SAMPLE_CHARS`` characters, drawn by a seeded shuffle.
+
 Edge cases: null and empty texts have no paragraphs; sets make repeated n-grams
 and repeated rows harmless, as rows are told apart by id and text hash; null ids
-are kept; an empty table gives an empty result.
+are kept; of families alike in probability the last by name is taken; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -36,6 +46,10 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+PLAIN_LINES = 1500
+FOLDS = 3
+#: Training rows made of each notice.
+VARIANTS = 24
 COMMON = 0.005
 CONFIRM = 0.6
 FALSE_RATE = 0.001
@@ -49,61 +63,83 @@ TEMPLATES = {
         "licensed under the GNU Affero General Public License version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "This project is licensed under the Apache License 2.0.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This project is licensed under the BSD 3-Clause License.",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "This article is distributed under the terms of the Creative Commons Attribution License, which permits unrestricted use, distribution and reproduction in any medium, provided the original work is properly credited.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-nc": [
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc-by-sa": [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-only",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Licensed under the GPL v2 or later.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "lgpl": [
         "licensed under the GNU Lesser General Public License version 2.1",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Licensed under the LGPL v3.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "This project is licensed under the terms of the MIT license.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Licensed under CC0 1.0 Universal.",
+        "This work has been placed in the public domain by its author.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     "unknown": [
         "Licensed under the terms of the Acme Software License Agreement.",
@@ -111,12 +147,23 @@ TEMPLATES = {
         "Released under a proprietary license; redistribution is not permitted.",
         "This work is licensed under its own terms, see the LICENSE file.",
         "Distributed under a custom license, version 1.",
+        "Licensed under the Example Community License, see the accompanying terms.",
+        "This software may be used only under the terms of a separate commercial license.",
+        "Permission is granted to use this material for internal evaluation only.",
+        "This file is part of a product covered by the end user license agreement of the vendor.",
+        "Free for personal use; a license must be bought for commercial use.",
+        "The contents of this file are subject to the license terms in the accompanying file.",
+        "Published under the house license of the institute, all other rights reserved.",
+        "Copies may be made for teaching with permission of the copyright owner.",
     ],
     "none": [
         "the driver must show a valid license at the border",
         "version two of the report was released under pressure last week",
         "permission to build was granted by the public works office",
         "the general public is free to use the library at any time",
+        "she has a license to drive heavy vehicles since last year",
+        "the public works of the city were redistributed among the districts",
+        "software for the general public was shown at the fair",
     ],
 }
 CLASSES = sorted(TEMPLATES)
@@ -167,29 +214,51 @@ class Model:
         self.vocabulary = sorted({g for t in full for g in (t - common or t)})
         self.index = {g: i for i, g in enumerate(self.vocabulary)}
         noise = [w for x in plain for w in x] or ["lorem", "ipsum", "dolor", "sit", "amet"]
-        rows, truth = [], []
+        rows, truth, fold = [], [], []
         for c in CLASSES:
-            for words in texts[c]:
-                for k in range(60):
+            for t, words in enumerate(texts[c]):
+                for k in range(VARIANTS):
                     kept = [w for w in words if k == 0 or rng.random() > 0.1 * (k % 4) / 3]
                     around = [noise[i] for i in rng.integers(0, len(noise), 2 * int(rng.integers(0, 12)))] if k % 3 == 2 else []
                     half = len(around) // 2
                     rows.append(self.ids([*around[:half], *kept, *around[half:]]))
                     truth.append(CLASSES.index(c))
-        for x in plain[:1500]:
-            rows.append(self.ids(x))
+                    fold.append(t % FOLDS)
+        for t, i in enumerate(rng.permutation(len(plain))[:PLAIN_LINES]):
+            rows.append(self.ids(plain[i]))
             truth.append(CLASSES.index("none"))
-        held = np.arange(len(rows)) % 4 == 3
-        self.weights = self._train([r for r, h in zip(rows, held, strict=True) if not h], np.array(truth)[~held])
-        z = np.array([self.logits(r) for r, h in zip(rows, held, strict=True) if h])
-        y = np.array(truth)[held]
-        loss = lambda t: -np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
-        self.temperature = float(min([2.0**k for k in np.arange(-2, 3.01, 0.25)], key=loss))
-        p = self._softmax(z / self.temperature)
-        families = [CLASSES.index(c) for c in FAMILIES]
-        wrong = np.sort(p[:, families].max(axis=1)[~np.isin(y, families)])
-        self.level = float(max(0.5, wrong[int((1 - FALSE_RATE) * (len(wrong) - 1))])) if len(wrong) else 0.5
+            fold.append(t % FOLDS)
         self.templates = [(c, sorted(ids)) for c in FAMILIES for words in texts[c] if (ids := self.ids(words))]
+        truth, fold = np.array(truth), np.array(fold)
+        self.temperature, self.level, self.report = self._calibrate(rows, truth, fold)
+        self.weights = self._train(rows, truth)
+
+    def _calibrate(self, rows: list[set[int]], truth: np.ndarray, fold: np.ndarray) -> tuple[float, float, dict[str, float]]:
+        """Temperature and level from notices and lines that were left out whole, and what they give there."""
+        z, y, read = [], [], []
+        for f in range(FOLDS):
+            out = np.flatnonzero(fold == f)
+            some = np.flatnonzero(fold != f)[::3]  # a third of the variants is enough for this
+            self.weights = self._train([rows[i] for i in some], truth[some])
+            z += [self.logits(rows[i]) for i in out]
+            y += [truth[i] for i in out]
+            read += [rows[i] for i in out]
+        z, y = np.array(z), np.array(y)
+        loss = lambda t: -np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
+        temperature = float(min([2.0**k for k in np.arange(-2, 3.01, 0.25)], key=loss))
+        p = self._softmax(z / temperature)
+        families = np.array([CLASSES.index(c) for c in FAMILIES])
+        best = families[p[:, families].argmax(axis=1)]
+        share = {c: [set(ids) for name, ids in self.templates if name == c] for c in FAMILIES}
+        confirmed = np.array([max(len(ids & t) / len(t) for t in share[CLASSES[b]]) >= CONFIRM for ids, b in zip(read, best, strict=True)])
+        known = np.isin(y, families)
+        wrong = np.sort(np.where(confirmed, p.max(axis=1, where=np.isin(np.arange(len(CLASSES)), families), initial=0), 0)[~known])
+        level = float(max(0.5, np.nextafter(wrong[int((1 - FALSE_RATE) * (len(wrong) - 1))], 1)))
+        plain = y == CLASSES.index("none")
+        return temperature, level, {
+            "families_right": float((best == y)[known].mean()), "plain_right": float((p.argmax(axis=1) == y)[plain].mean()), "false_accepted": float((wrong >= level).mean()),
+        }
+
 
     def ids(self, words: list[str]) -> set[int]:
         return {self.index[g] for g in _grams(words) if g in self.index}
@@ -270,9 +339,18 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return read.groupBy("id", "text_hash", "paragraph", family).agg(F.min("from").alias("line"), F.max("v.p").alias("score"), F.max("v.matched").alias("matched")).drop("paragraph")
 
 
+def _shares(grams: Column, model: Model, family: Column | None = None) -> Column:
+    """``share`` and ``n`` of the n-grams found of each template, of one family or all."""
+    rows = json.dumps([{"family": c, "ids": ids} for c, ids in model.templates])
+    templates = F.from_json(F.lit(rows), "array<struct<family:string,ids:array<int>>>")  # folded to a constant
+    chosen = templates if family is None else F.filter(templates, lambda t: t["family"] == family)
+    found = F.transform(chosen, lambda t: F.struct(F.size(F.array_intersect(grams, t["ids"])).cast("double").alias("n"), F.size(t["ids"]).alias("of")))
+    return F.transform(found, lambda x: F.struct((x["n"] / x["of"]).alias("share"), x["n"].alias("n")))
+
+
 def _held(grams: Column, model: Model) -> Column:
     """The greatest share of any template found."""
-    return F.greatest(F.lit(0.0), *(F.size(F.array_intersect(grams, F.array(*(F.lit(i) for i in ids)))) / len(ids) for _, ids in model.templates))
+    return F.coalesce(F.array_max(F.transform(_shares(grams, model), lambda x: x["share"])), F.lit(0.0))
 
 
 def _let(value: Column, body) -> Column:
@@ -302,9 +380,8 @@ def _verdict(grams: Column, model: Model) -> Column:
 
 def _matched(grams: Column, family: Column, model: Model, counts: bool = False) -> Column:
     """The greatest share of a template of the family, or number of n-grams of a template that is held by ``CONFIRM``."""
-    number = lambda ids: F.size(F.array_intersect(grams, F.array(*(F.lit(i) for i in ids)))).cast("double")
-    share = lambda ids: F.when(number(ids) >= CONFIRM * len(ids), number(ids)) if counts else number(ids) / len(ids)
-    return F.greatest(F.lit(0.0), *(F.when(family == c, share(ids)).otherwise(0.0) for c, ids in model.templates))
+    best = F.transform(_shares(grams, model, family), lambda x: F.when(x["share"] >= CONFIRM, x["n"]) if counts else x["share"])
+    return F.coalesce(F.array_max(best), F.lit(0.0))
 
 
 def _chain(parts: list[Column]) -> Column:
