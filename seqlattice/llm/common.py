@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +48,27 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqlattice_path = path
+    for scope in _SCOPES:
+        scope.append(out)
     return out
 
 
+#: Tables made inside the scopes that are open.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables of :func:`persisted` made inside, but those given to what it yields."""
+    made, kept = [], []
+    _SCOPES.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCOPES.remove(made)
+        discard(*(df for df in made if not any(df is k for k in kept)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the tables behind frames from :func:`persisted`; nothing may read them afterwards."""
     for df in frames:

@@ -16,16 +16,25 @@ fingerprint, in proportion to the input.
 Edge cases: a text without words (null, empty, blank) has fingerprint zero and
 is linked like any other; fewer words than a shingle: the whole sequence is one
 shingle; repeated rows link to each other; null ids never become a component id
-unless the whole component has no other.
+unless the whole component has no other; an empty table gives an empty result;
+:func:`fingerprints` replaces an input column named as its own, other results
+have the columns named only.
 
 ``similarity`` replaces the radius by the Jaccard similarity of the sets of
-shingles, for users that are not bound to SimHash. Two sets of at least that
-similarity always share one of the least ``n - ceil(similarity * n) + 1`` hashes
-of either (any global order does), so texts are met on these, and each pair met
-is compared by its whole sets, if its least hashes leave that open. Where at most
-``ALL`` texts share a hash, all their pairs are met. Where more do, each meets the
-``HUBS`` texts that share most with others (the original of many altered copies is
-one) and the ``NEXT`` before it in this order, so pairs grow with the texts only.
+shingles, for users that are not bound to SimHash: at 0.8 fingerprints differ in
+about ten bits, and no ball of half that radius can be emitted. Two sets of at
+least that similarity always share one of the first ``n - ceil(similarity * n) + 1``
+hashes of either (any global order does), so texts are met on these, and each pair
+met is compared by its whole sets, if its first hashes leave that open. In the
+order, hashes that two texts of a sample (every ``SAMPLE``-th by hash) share come
+last, so a passage of many documents brings together only texts that hold little
+else; the sample decides about work, never about results.
+
+Where at most ``ALL`` texts share a hash, all their pairs are met. Where more do,
+each first meets the ``HUBS`` texts that share most with others (the original of
+many altered copies is one) and the ``NEXT`` before it in this order. What these
+link needs no more comparing. All other pairs that share the hash, of texts that
+are not linked yet, are then met in blocks of ``BLOCK`` texts: no pair is left out.
 """
 
 from __future__ import annotations
@@ -37,18 +46,18 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import persisted
+from .common import persisted, scratch
 from .components import components
-from pyspark.sql import Window
 
 WIDTH = 3
 SEED = 42
 RADIUS = 2
-ALL, HUBS, NEXT = 16, 4, 3
+ALL, HUBS, NEXT, BLOCK = 16, 4, 3, 512
+SAMPLE = 16
 #: Bits by which texts that are in no pair are left out before their sets are made again.
 BITS = 1 << 24
 
@@ -104,21 +113,43 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return pairs.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "text", only: bytes | None = None) -> DataFrame:
+def _bits(slots: DataFrame) -> bytes:
+    """Bitmap of ``BITS`` bits with those of the column ``bit`` set."""
+    at = F.call_function("shiftright", F.col("bit"), F.lit(15))
+    maps = slots.groupBy(at.alias("k")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 32768 rows at most
+    out = bytearray(BITS // 8)
+    for row in maps:
+        out[row.k * 4096 : (row.k + 1) * 4096] = row.bits
+    return bytes(out)
+
+
+def _in(bits: bytes, values: np.ndarray) -> np.ndarray:
+    at = values.view(np.uint64) % np.uint64(8 * len(bits))
+    return (np.frombuffer(bits, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def common_shingles(texts: DataFrame, width: int) -> bytes:
+    """Bitmap of the shingles that two different texts of the sample hold; ``texts``: th and text."""
+    sample = texts.filter(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0)
+    grams = shingle_sets(sample, width, 0.0).select("th", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi")
+    return _bits(shared.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).alias("bit")))
+
+
+def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "text", only: bytes | None = None, common: bytes | None = None) -> DataFrame:
     """``df`` without its text column, with the set of shingle hashes: fp (hash of the set), n (its size), grams (what two
-    similar sets share one of). With ``only``, a bitmap of ``th`` modulo its size, grams is the whole set, of these rows alone."""
+    similar sets share one of; of 63 bits, the highest set for ``common`` ones, so that they come last). With ``only``, a
+    bitmap of ``th`` modulo its size, grams is the whole set, of these rows alone."""
     keep = [f for f in df.schema.fields if f.name != text_col]
     names = [*(f.name for f in keep), "fp", "n", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if only is not None:
-                at = batch.column("th").to_numpy().view(np.uint64) % np.uint64(8 * len(only))
-                wanted = np.frombuffer(only, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                batch = batch.filter(pa.array(wanted.astype(bool)))
+                batch = batch.filter(pa.array(_in(only, batch.column("th").to_numpy())))
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [np.unique(shingles((x.as_py() or b"").lower().split(), width).view(np.int64)) for x in part.column(part.num_columns - 1).cast(pa.binary())]
+                sets = [np.unique(_ordered(shingles((x.as_py() or b"").lower().split(), width), common)) for x in part.column(part.num_columns - 1).cast(pa.binary())]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 sizes = [len(x) for x in sets]
                 if only is None:
@@ -130,12 +161,18 @@ def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "
     return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
 
+def _ordered(hashes: np.ndarray, common: bytes | None) -> np.ndarray:
+    """62 bits of each hash, with one more above them for common ones."""
+    low = (hashes >> np.uint64(2)).view(np.int64)
+    return low if common is None or not len(low) else low | (_in(common, low).astype(np.int64) << 62)
+
+
 def _head(n: int, similarity: float) -> int:
     return n - ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)``, a < b, between distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
+def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
+    """Links ``(a, b)``, a < b, that connect all distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
     heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th")), "heads")
     rows = heads.select("fp", "n", F.explode("grams").alias("gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
     rows = persisted(rows, "shared")
@@ -146,22 +183,42 @@ def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float)
     many = F.array(*(F.lag(other, k).over(order) for k in range(1, NEXT + 1)), *(F.nth_value(other, k).over(order) for k in range(1, HUBS + 1)))
     scored = rows.join(scores, "fp")
     met = scored.filter(F.col("texts") <= ALL).select("fp", "n", few.alias("o")).unionByName(scored.filter(F.col("texts") > ALL).select("fp", "n", many.alias("o")))
-    met = met.select("fp", "n", F.explode("o").alias("o")).filter((F.col("o.fp") != F.col("fp")) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9))
-    met = met.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct()
+    met = met.select("fp", "n", F.explode("o").alias("o")).filter((F.col("o.fp") != F.col("fp")) & _near(F.col("n"), F.col("o.n"), similarity))
+    found = persisted(_verified(met.select("fp", F.col("o.fp").alias("other")), heads, texts, width, similarity, common), "found")
+
+    # The rest of the hashes that many share, between texts that are not linked yet.
+    hot = rows.filter(F.col("texts") > ALL)
+    if hot.isEmpty():
+        return found
+    roots = components(found)
+    hot = hot.select("fp", "n", "gram", "texts").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hot = persisted(hot, "hot")
+    mixed = hot.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
+    blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
+    rest = hot.join(mixed, "gram", "left_semi").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("fp", F.lit(1)), blocks).cast("int")})
+    rest = rest.select("fp", "n", "gram", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("facing"))
+    left = rest.filter("block <= facing").select("gram", F.col("block").alias("x"), F.col("facing").alias("y"), "fp", "n", "root")
+    right = rest.filter("facing <= block").select("gram", F.col("facing").alias("x"), F.col("block").alias("y"), F.col("fp").alias("other"), F.col("n").alias("m"), F.col("root").alias("r"))
+    pairs = left.join(right, ["gram", "x", "y"]).filter((F.col("root") != F.col("r")) & _near(F.col("n"), F.col("m"), similarity))
+    return found.unionByName(_verified(pairs.select("fp", "other"), heads, texts, width, similarity, common))
+
+
+def _near(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _verified(met: DataFrame, heads: DataFrame, texts: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
+    """Pairs ``(a, b)`` of those met (fp, other) that are similar by their whole sets."""
+    met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     # Up to the lesser of both last hashes the sets are known; beyond it the smaller rest may be common.
     top = F.least(F.element_at("ga", -1), F.element_at("gb", -1))
     beyond = lambda x: F.col(f"n{x}") - F.size(F.filter(f"g{x}", lambda g: g <= top))
     most = F.size(F.array_intersect("ga", "gb")) + F.least(beyond("a"), beyond("b"))
     pairs = persisted(_with_sets(met, heads).filter(_alike(most, similarity)).select("a", "b"), "pairs")
-
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     shown = persisted(heads.select("fp", "th").join(nodes, "fp", "left_semi"), "shown")
-    bit = F.col("th").bitwiseAND(F.lit(BITS - 1))
-    maps = shown.groupBy(F.call_function("shiftright", bit, F.lit(15)).alias("k")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # BITS / 32768 rows at most
-    only = bytearray(BITS // 8)
-    for row in maps:
-        only[row.k * 4096 : (row.k + 1) * 4096] = row.bits
-    whole = shingle_sets(texts, width, similarity, only=bytes(only)).groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    only = _bits(shown.select(F.col("th").bitwiseAND(F.lit(BITS - 1)).alias("bit")))
+    whole = shingle_sets(texts, width, similarity, only=only, common=common).groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = persisted(whole.join(shown, "fp", "left_semi"), "sets")
     return _with_sets(pairs, sets).filter(_alike(F.size(F.array_intersect("ga", "gb")), similarity)).select("a", "b")
 
@@ -181,20 +238,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With ``similarity``, links are between sets of ``width`` words of at least that Jaccard similarity.
     """
     texts = df.select(F.col(id_col).alias("id"), *extra, F.col(text_col).alias("text"))
-    if similarity is None:
-        prints = persisted(fingerprints(texts, width=width), "prints")
-    else:
-        hashed = texts.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-        prints = persisted(shingle_sets(hashed.select("id", *(c for c in extra if c != "th"), "th", "text"), width, similarity), "prints")
-    classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")) if similarity is None else similar(hashed.select("th", "text"), prints, width, similarity))
-    members = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    heads = members.groupBy("root").agg(F.min("least").alias("component"))
-    linked = persisted(members.join(heads, "root").select("fp", "root", "component"), "linked")
-    whole = classes.join(linked, "fp", "left").select(F.col("fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
-    whole = persisted(whole, "membership")
-    out = prints.join(whole, "fp", "left")
-    return out.select(F.col("id").alias(id_col), *extra, "fp", "root", F.col("component").alias("component_id"))
+    with scratch() as kept:
+        if similarity is None:
+            prints = persisted(fingerprints(texts, width=width), "prints")
+        else:
+            hashed = texts.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+            common = common_shingles(hashed.select("th", "text"), width)
+            prints = persisted(shingle_sets(hashed.select("id", *(c for c in extra if c != "th"), "th", "text"), width, similarity, common=common), "prints")
+        classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+        roots = components(links(classes.select("fp")) if similarity is None else similar(hashed.select("th", "text"), prints, width, similarity, common))
+        members = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
+        heads = members.groupBy("root").agg(F.min("least").alias("component"))
+        linked = persisted(members.join(heads, "root").select("fp", "root", "component"), "linked")
+        whole = classes.join(linked, "fp", "left").select(F.col("fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+        whole = persisted(whole, "membership")
+        out = prints.join(whole, "fp", "left").select(F.col("id").alias(id_col), *extra, "fp", "root", F.col("component").alias("component_id"))
+        return kept(persisted(out, "grouped"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float | None = None) -> DataFrame:

@@ -123,22 +123,34 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def test_similar_sets_are_one_component(spark, docs, odd, empty):
+def test_similar_sets_are_one_component(spark, docs, odd, empty, monkeypatch):
     rng = random.Random(6)
     texts = [t for _, t in odd]
     for i in range(12):
         base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(900)) for _ in range(rng.choice([9, 60, 200]))]
         texts += [" ".join(base)] + [" ".join(w if rng.random() > share else "other" for w in base) for share in (0.01, 0.02, 0.04, 0.08)]
     grams = lambda w: {tuple(w[max(0, i) : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    sets = [grams((t or "").encode().lower().split()) for t in texts]
-    root = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, similarity=0.8).collect()
-    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) < len(set(map(frozenset, sets)))
+
+    def check(texts):
+        sets = [grams((t or "").encode().lower().split()) for t in texts]
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, similarity=0.8).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) < len(set(map(frozenset, sets)))
+
+    check(texts)
+    monkeypatch.setattr(simhash, "ALL", 2)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    monkeypatch.setattr(simhash, "NEXT", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    shared = " ".join(base)
+    more = [" ".join([*base[:150], *(rng.choice("abc") + str(rng.randrange(90)) for _ in range(n))]) for n in (0, 5, 15, 30, 50, 90) for _ in range(5)]
+    check(texts + more + [shared + " " + t for t in texts[:8] if t])
     assert simhash.one_of_each(docs, width=5, similarity=0.8).columns == docs.columns
     assert simhash.one_of_each(empty, width=5, similarity=0.8).count() == 0
 
