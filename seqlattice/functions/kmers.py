@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,3 +189,74 @@ def hashed_kmers(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = F
     low = F.col("__p").bitwiseAND(M32)
     h = F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
     return df.withColumns({"idx": F.col("off") + F.shiftright("__p", 32), "h": h}).drop("piece", "off", "__p")
+
+
+def window_bounds(n: int, window: int, k: int, delta: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`seqlattice.operators.windows.bounds` for window numbers of one sequence of ``n`` k-mers."""
+    d, first = window * delta, window - k + 1
+    full = max(0, (n - (2 * window - k + 1)) // window + 1)
+    begin = first + (w - 1) * window
+    low = np.where(w == 0, 0, np.maximum(np.rint(begin + 1 - d), 0))
+    high = np.where(w == 0, np.rint(first + d), np.where(w <= full, np.rint(begin + window + 1 + d), n))
+    return low, np.minimum(high, n), (w >= 0) & ((w <= full) | ((w == full + 1) & (begin <= n - 2)))
+
+
+def _piece_windows(piece: bytes, off: int, n: int, window: int, sparsity: int, k: int, delta: float, dropped: np.ndarray) -> np.ndarray:
+    """Distinct ``w << 33 | hash << 1 | outside`` of a piece: ``outside`` is 0 where a place in the unwidened window has the hash."""
+    h = canonical_hashes(piece, k)
+    at = np.flatnonzero((h % sparsity == 0) & ~np.isin(h, dropped))
+    low32, at = h[at].view(np.uint32).astype(np.int64) << 1, at + off
+    centre = (at - (window - k + 2)) // window + 1
+    reach, keys = (math.ceil(delta) + 1 if delta else 0), []
+    for step in range(-reach, reach + 1):
+        w = centre + step
+        low, high, real = window_bounds(n, window, k, delta, w)
+        inside = real & (at >= low) & (at < high)
+        outside = np.ones(len(at), np.int64)
+        if not step:
+            low, high, real = window_bounds(n, window, k, 0.0, w)
+            outside = (~(real & (at >= low) & (at < high))).astype(np.int64)
+        keys.append((w << 33 | low32 | outside)[inside])
+    found = np.unique(np.concatenate(keys))
+    return found[np.append(True, found[1:] >> 1 != found[:-1] >> 1)] if len(found) else found
+
+
+def _window_arrays(found: list[np.ndarray]) -> pa.Array:
+    """Lists of ``w, core, rim``, one list a piece."""
+    rows, windows, parts = [0], [np.zeros(0, np.int64)], {0: [np.zeros(0, np.int32)], 1: [np.zeros(0, np.int32)]}
+    sizes = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
+    for keys in found:
+        w, place = np.unique(keys >> 33, return_inverse=True)
+        rows.append(rows[-1] + len(w))
+        windows.append(w)
+        h, outside = (keys >> 1 & M32).astype(np.uint32).view(np.int32), keys & 1
+        for side in (0, 1):
+            parts[side].append(h[outside == side])
+            sizes[side].append(np.bincount(place[outside == side], minlength=len(w)))
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes[side]))), pa.int32()), pa.array(np.concatenate(parts[side]))) for side in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(windows)), *lists], ["w", "core", "rim"]))
+
+
+def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0.0, sparsity: int | str = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+    """The columns of ``seqs`` but ``seq``, and for each window that has any ``w``, ``core`` and ``rim``: the distinct
+    kept hashes of the window, and those that only its widened form has.
+
+    Each sequence is hashed once, whatever is made of it. ``window`` and ``sparsity`` are numbers or columns. Rows leave
+    the Arrow function as one for each window and piece of a sequence; they are brought together by window, and hold
+    as many hashes as a widened window has at most.
+    """
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
+    value = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
+
+    @F.arrow_udf("array<struct<w:bigint,core:array<int>,rim:array<int>>>")
+    def placed(piece: pa.Array, off: pa.Array, n: pa.Array, window: pa.Array, sparsity: pa.Array) -> pa.Array:
+        rows = zip(piece, *(x.to_pylist() for x in (off, n, window, sparsity)), strict=True)
+        return _window_arrays([_piece_windows(p.as_py(), o, m, w, s, k, delta, dropped) for p, o, m, w, s in rows])
+
+    keys = [c for c in seqs.columns if c != seq]
+    df = chunked(seqs.select(*keys, seq, F.octet_length(seq).cast("long").alias("__n")).withColumns({"__w": value(window), "__s": value(sparsity)}), k, seq)
+    df = df.select(*keys, F.explode(placed("piece", "off", F.col("__n") - (k - 1), "__w", "__s")).alias("__r")).select(*keys, "__r.*")
+    both = df.groupBy(*keys, "w").agg(F.collect_list(F.struct("core", "rim")).alias("__p"))
+    whole = lambda name: F.when(F.size("__p") == 1, F.get("__p", 0)[name]).otherwise(F.array_distinct(F.flatten(F.transform("__p", lambda p: p[name]))))
+    out = both.select(*keys, "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))
+    return out.withColumn("rim", F.when(F.col("__many"), F.array_except("rim", "core")).otherwise(F.col("rim"))).drop("__many")

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import hashed_kmers
-from .windows import assign, window_table
+from ..functions.kmers import window_sketches
 
 
-def sketches(seqs: DataFrame, window: int, k: int, delta: float = 0.0, sparsity: int = 1, ambiguous: bool = False, hashed: DataFrame | None = None, key: str = "seq_id") -> DataFrame:
-    """``key, w, h, size``: distinct kept hashes of each window and how many the window has.
+#: Windows that share a hash are paired in one row up to so many, beyond it in chunks of so many.
+CHUNK = 128
 
-    A window's set is collected in one aggregate (it holds ``window`` hashes at
-    most) and expanded again, so that sets and their sizes cost one shuffle.
-    """
-    hashed = hashed if hashed is not None else hashed_kmers(seqs, k, sparsity, ambiguous)
-    placed = assign(hashed.withColumn("n_kmers", F.col("n") - (k - 1)), window, k, delta)
-    sets = placed.groupBy(key, "w").agg(F.collect_set("h").alias("hs"))
-    return sets.select(key, "w", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+
+def sketches(seqs: DataFrame, window: int, k: int, delta: float = 0.0, sparsity: int = 1, ambiguous: bool = False) -> DataFrame:
+    """The columns of ``seqs`` but ``seq``, ``w, h, size``: distinct kept hashes of each (widened) window and how many it has."""
+    found = window_sketches(seqs, window, k, delta, sparsity, ambiguous).withColumn("hs", F.concat("core", "rim")).drop("core", "rim")
+    return found.withColumns({"size": F.size("hs"), "h": F.explode("hs")}).drop("hs")
+
+
+def _entries(sketched: DataFrame) -> DataFrame:
+    """A row for each window and hash: ``h``, ``core`` (1 if the unwidened window has it) and ``size`` (of the unwidened window)."""
+    mark = lambda c, v: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(v).alias("core")))
+    df = sketched.withColumns({"size": F.size("core"), "e": F.explode(F.concat(mark("core", 1), mark("rim", 0)))})
+    return df.withColumns({"h": F.col("e.h"), "core": F.col("e.core")}).drop("e", "rim")
 
 
 def similarity(containment: Column, k: int) -> Column:
@@ -26,57 +30,71 @@ def similarity(containment: Column, k: int) -> Column:
     return F.pow(containment, F.lit(1.0 / k))
 
 
-def self_identity(seqs: DataFrame, window: int, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int = 1, ambiguous: bool = False) -> DataFrame:
-    """Pairs of windows of each sequence, ``i <= j``, with identity at or above the threshold.
+def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int | str = 1, ambiguous: bool = False) -> DataFrame:
+    """Pairs of windows of each sequence, ``i <= j``, with identity at or above the threshold: the columns of ``seqs`` but
+    ``seq``, ``i``, ``j`` and ``identity``.
 
-    ``seqs`` has ``seq_id`` and ``seq``. The containment of the lower window
-    alone must reach the threshold; the value is that of the greater containment
-    of the two directions. Both directions are counted in one aggregate.
+    ``window`` and ``sparsity`` are numbers or columns of ``seqs``, so sequences of any lengths share one plan. The
+    containment of the lower window alone must reach the threshold; the value is that of the greater containment of
+    the two directions. Windows are gathered by hash, each gathering gives its pairs, and both directions are counted
+    in one aggregate. A hash of many windows is cut into chunks that are spread over tasks.
     """
-    hashed = hashed_kmers(seqs, k, sparsity, ambiguous)
-    core = sketches(seqs, window, k, 0.0, sparsity, ambiguous, hashed)
-    wide = sketches(seqs, window, k, delta, sparsity, ambiguous, hashed) if delta else core
-    right = wide.select("seq_id", F.col("w").alias("v"), "h")
-    met = core.join(right, ["seq_id", "h"]).filter("w <> v")
-    low = F.least("w", "v")
-    counted = met.groupBy("seq_id", low.alias("i"), F.greatest("w", "v").alias("j")).agg(
-        F.count(F.when(F.col("w") < F.col("v"), 1)).alias("ab"), F.max(F.when(F.col("w") < F.col("v"), F.col("size"))).alias("a"),
-        F.count(F.when(F.col("w") > F.col("v"), 1)).alias("ba"), F.max(F.when(F.col("w") > F.col("v"), F.col("size"))).alias("b"),
-    )
-    pairs = _passing(counted, k, identity).select("seq_id", "i", "j", "identity")
+    keys = [c for c in seqs.columns if c != "seq"]
+    found = window_sketches(seqs, window, k, delta, sparsity, ambiguous)
+    shared = _entries(found).groupBy(*keys, "h").agg(F.sort_array(F.collect_list(F.struct("w", "core", "size"))).alias("ws")).filter(F.size("ws") > 1)
+    few = shared.filter(F.size("ws") <= CHUNK).select(*keys, "ws", F.posexplode("ws").alias("p", "x"))
+    few = few.select(*keys, "x", F.explode(F.slice("ws", F.col("p") + 2, F.size("ws"))).alias("y"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / CHUNK).cast("int")), lambda c: F.slice("ws", c * CHUNK + 1, CHUNK))
+    many = shared.filter(F.size("ws") > CHUNK).select(*keys, "h", chunks.alias("cs")).select(*keys, "h", "cs", F.posexplode("cs").alias("a", "xs"))
+    many = many.select(*keys, "h", "a", "xs", F.explode(F.transform(F.slice("cs", F.col("a") + 1, F.size("cs")), lambda c, i: F.struct((F.col("a") + i).alias("b"), c.alias("ys")))).alias("o"))
+    many = many.select(*keys, "h", "a", "o.b", "xs", "o.ys").repartition(*keys, "h", "a", "b")
+    many = many.select(*keys, "ys", F.explode("xs").alias("x")).select(*keys, "x", F.explode("ys").alias("y")).filter("x.w < y.w")
+    met = few.unionByName(many)
+    counted = met.groupBy(*keys, F.col("x.w").alias("i"), F.col("y.w").alias("j")).agg(F.sum("x.core").alias("ab"), F.max("x.size").alias("a"), F.sum("y.core").alias("ba"), F.max("y.size").alias("b"))
+    pairs = _passing(counted, k, identity).select(*keys, "i", "j", "identity")
     if ambiguous:  # empty windows count as equal to themselves
-        lengths = seqs.select("seq_id", (F.octet_length("seq").cast("long") - (k - 1)).alias("n_kmers"))
-        diagonal = window_table(lengths, window, k).select("seq_id", "w")
+        diagonal = _every_window(seqs.select(*keys, (F.octet_length("seq").cast("long") - (k - 1)).alias("__n")), window, k)
     else:
-        diagonal = core.select("seq_id", "w").distinct()
-    return pairs.unionByName(diagonal.select("seq_id", F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity")))
+        diagonal = found.filter(F.size("core") > 0)
+    return pairs.unionByName(diagonal.select(*keys, F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity")))
+
+
+def _every_window(lengths: DataFrame, window: int | str, k: int) -> DataFrame:
+    """All unwidened windows of each sequence of ``__n`` k-mers; ``window`` may be a column."""
+    w = (F.col(window) if isinstance(window, str) else F.lit(window)).cast("long")
+    full = F.greatest(F.lit(0).cast("long"), F.floor((F.col("__n") - (2 * w - k + 1)) / w) + 1)
+    rest = (w - k + 1) + full * w <= F.col("__n") - 2
+    return lengths.filter("__n > 0").withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), full + rest.cast("long"))))
 
 
 def _passing(counted: DataFrame, k: int, identity: float) -> DataFrame:
-    ca = F.col("ab") / F.col("a")
-    cb = F.coalesce(F.col("ba") / F.col("b"), F.lit(0.0))
+    ca = F.try_divide(F.col("ab"), F.col("a"))
+    cb = F.coalesce(F.try_divide(F.col("ba"), F.col("b")), F.lit(0.0))
     kept = counted.filter((F.col("ab") > 0) & (similarity(ca, k) >= identity / 100.0))
     return kept.withColumn("identity", similarity(F.greatest(ca, cb), k) * 100.0)
 
 
-def pair_identity(query: DataFrame, reference: DataFrame, window: int, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int = 1, ambiguous: bool = False) -> DataFrame:
+def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int | str = 1, ambiguous: bool = False, on: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
     """Pairs of windows of different sequences: ``q_id, i, r_id, j, identity``.
 
     The containment of the reference's window must reach the threshold. All
     sequences of one side meet all of the other through the hashes they share;
-    no pair without a common hash is ever formed.
+    no pair without a common hash is ever formed. Each side is hashed once, one
+    join and one aggregate count both directions. Columns ``on`` must agree;
+    ``only`` is a further condition on the columns of both sides, which are
+    named with ``q_`` and ``r_`` and kept.
     """
-    sides = []
-    for seqs, name, w in ((query, "q_id", "i"), (reference, "r_id", "j")):
-        hashed = hashed_kmers(seqs, k, sparsity, ambiguous)
-        core = sketches(seqs, window, k, 0.0, sparsity, ambiguous, hashed)
-        wide = sketches(seqs, window, k, delta, sparsity, ambiguous, hashed) if delta else core
-        sides.append([df.withColumnsRenamed({"seq_id": name, "w": w}) for df in (core, wide)])
-    (q, q_wide), (r, r_wide) = sides
-    ab = r.join(q_wide.drop("size"), "h").groupBy("q_id", "i", "r_id", "j").agg(F.count(F.lit(1)).alias("ab"), F.max("size").alias("a"))
-    ba = q.join(r_wide.drop("size"), "h").groupBy("q_id", "i", "r_id", "j").agg(F.count(F.lit(1)).alias("ba"), F.max("size").alias("b"))
-    counted = ab.join(ba, ["q_id", "i", "r_id", "j"], "left")
-    return _passing(counted, k, identity).select("q_id", "i", "r_id", "j", "identity")
+    def side(seqs: DataFrame, prefix: str, w: str) -> tuple[DataFrame, list[str]]:
+        names = {c: f"{prefix}_{'id' if c == 'seq_id' else c}" for c in seqs.columns if c != "seq" and c not in on}
+        found = _entries(window_sketches(seqs, window, k, delta, sparsity, ambiguous))
+        return found.withColumnsRenamed(names | {"w": w, "core": f"{w}_core", "size": f"{w}_size"}), list(names.values())
+
+    (q, q_keys), (r, r_keys) = side(query, "q", "i"), side(reference, "r", "j")
+    met = q.join(r, ["h", *on])
+    met = met if only is None else met.filter(only)
+    keys = [*on, *q_keys, "i", *r_keys, "j"]
+    counted = met.groupBy(*keys).agg(F.sum("j_core").alias("ab"), F.max("j_size").alias("a"), F.sum("i_core").alias("ba"), F.max("i_size").alias("b"))
+    return _passing(counted, k, identity).select(*keys, "identity")
 
 
 def symmetric_containment(a: Column, b: Column) -> Column:
@@ -85,10 +103,11 @@ def symmetric_containment(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(a, b)) / most).otherwise(0.0)
 
 
-def bedpe(pairs: DataFrame, window: int, query_name: Column, reference_name: Column, query_offset: int = 1, reference_offset: int = 1) -> DataFrame:
-    """Pair table in genome coordinates: 1-based starts, closed ends, the last window not cut."""
+def bedpe(pairs: DataFrame, window: int | Column, query_name: Column, reference_name: Column, query_offset: int | Column = 1, reference_offset: int | Column = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pair table in genome coordinates: 1-based starts, closed ends, the last window not cut; columns ``keep`` come first."""
     i, j = F.col("i") * window + query_offset, F.col("j") * window + reference_offset
     return pairs.select(
+        *keep,
         query_name.alias("query_name"), i.alias("query_start"), (i + (window - 1)).alias("query_end"),
         reference_name.alias("reference_name"), j.alias("reference_start"), (j + (window - 1)).alias("reference_end"),
         F.col("identity").alias("perID_by_events"),
