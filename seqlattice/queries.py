@@ -49,10 +49,12 @@ def seq_sql(name: str = "documents", id_col: str = "doc_id", bases: str = BASES)
     return f"SELECT {id_col} AS seq_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{ALPHABET}', '{bases}') AS seq FROM {name}"
 
 
-def kmer_sql(k: int, **source) -> str:
+def kmer_sql(k: int, piece: int = 256, **source) -> str:
+    """All k-mers; sequences are cut into pieces first, as a substring costs the length of what it is taken from."""
     return (
-        f"SELECT seq_id, n, idx, substr(seq, idx + 1, {k}) AS fwd, reverse(translate(substr(seq, idx + 1, {k}), 'ACGT', 'TGCA')) AS rev "
-        f"FROM (SELECT seq_id, seq, length(seq) AS n, unnest(range(length(seq) - {k - 1})) AS idx FROM ({seq_sql(**source)}))"
+        f"SELECT seq_id, n, off + i AS idx, substr(part, i + 1, {k}) AS fwd, reverse(translate(substr(part, i + 1, {k}), 'ACGT', 'TGCA')) AS rev "
+        f"FROM (SELECT seq_id, n, off, part, unnest(range(length(part) - {k - 1})) AS i FROM (SELECT seq_id, n, off, substr(seq, off + 1, {piece + k - 1}) AS part "
+        f"FROM (SELECT seq_id, seq, length(seq) AS n, unnest(range(0, length(seq) - {k - 1}, {piece})) AS off FROM ({seq_sql(**source)}))))"
     )
 
 
@@ -206,11 +208,25 @@ def window_sketch_size(spark, sf_dir):
 # identity
 
 
+def entries_sql(w: int, k: int, delta: float, km: str, length: str) -> str:
+    """``seq_id, w, h, core``: distinct hashes of each widened window; ``core`` is 1 where the unwidened window has it."""
+    reach, d, first, c = (1 if delta == 0 else 2), w * delta, w - k + 1, f"({w - k + 1} + (w - 1) * {w})"
+    # Window numbers near a place, counted from a few windows before the first so that the division never sees a negative number.
+    last = f"(idx - {w - k + 2} + {w * (reach + 2)}) // {w} - 1"
+    full = f"greatest(0, (nk - {2 * w - k + 1} + {2 * w}) // {w} - 1)"
+    near = f"SELECT seq_id, h, idx, nk, {full} AS f, unnest(range(greatest(0, {last} - {2 * reach}), {last} + 1)) AS w FROM (SELECT seq_id, h, idx, {length} AS nk FROM {km})"
+    low = f"CASE WHEN w = 0 THEN 0 ELSE greatest(0, round_even({c} + 1 - {d}, 0)) END"
+    high = f"least(nk, CASE WHEN w = 0 THEN round_even({first + d}::DOUBLE, 0) WHEN w <= f THEN round_even({c} + {w} + 1 + {d}, 0) ELSE nk END)"
+    inner = f"CASE WHEN w = 0 THEN idx < {first} WHEN w <= f THEN idx > {c} AND idx <= {c} + {w} ELSE idx > {c} END"
+    return f"SELECT seq_id, w, h, max(({inner})::INTEGER) AS core FROM ({near}) WHERE (w <= f OR (w = f + 1 AND {c} <= nk - 2)) AND idx >= {low} AND idx < {high} GROUP BY ALL"
+
+
 def _self_sql(w: int, k: int, s: int, delta: float, ident: float, **source) -> str:
     return (
-        f"WITH {_with(k, s, w, delta, **source)}, x AS (SELECT a.seq_id, a.w AS i, b.w AS j, count(*) AS c FROM a JOIN b ON a.seq_id = b.seq_id AND a.h = b.h AND a.w <> b.w GROUP BY ALL), "
-        f"v AS (SELECT f.seq_id, f.i, f.j, f.c / s.size::DOUBLE AS ca, coalesce(g.c / t.size::DOUBLE, 0) AS cb FROM x f JOIN sz s ON s.seq_id = f.seq_id AND s.w = f.i "
-        f"LEFT JOIN x g ON g.seq_id = f.seq_id AND g.i = f.j AND g.j = f.i LEFT JOIN sz t ON t.seq_id = f.seq_id AND t.w = f.j WHERE f.i < f.j) "
+        f"WITH km AS MATERIALIZED ({hashed_sql(k, s, **source)}), e AS MATERIALIZED ({entries_sql(w, k, delta, 'km', f'n - {k - 1}')}), "
+        f"sz AS MATERIALIZED (SELECT seq_id, w, sum(core) AS size FROM e GROUP BY ALL HAVING sum(core) > 0), "
+        f"x AS (SELECT a.seq_id, a.w AS i, b.w AS j, sum(a.core) AS ab, sum(b.core) AS ba FROM e a JOIN e b ON a.seq_id = b.seq_id AND a.h = b.h AND a.w < b.w GROUP BY ALL), "
+        f"v AS (SELECT x.seq_id, i, j, ab / s.size::DOUBLE AS ca, coalesce(ba / t.size::DOUBLE, 0) AS cb FROM x JOIN sz s ON s.seq_id = x.seq_id AND s.w = i LEFT JOIN sz t ON t.seq_id = x.seq_id AND t.w = j WHERE ab > 0) "
         f"SELECT seq_id, i, j, round(pow(greatest(ca, cb), 1.0 / {k}) * 100, 6) AS identity FROM v WHERE pow(ca, 1.0 / {k}) >= {ident} / 100 "
         f"UNION ALL SELECT seq_id, w, w, 100.0 FROM sz"
     )
