@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The long and short column names of the format.
 SHORT = {
     "query_name": "q", "query_start": "q_st", "query_end": "q_en",
     "reference_name": "r", "reference_start": "r_st", "reference_end": "r_en",
 }
 VALUE = "perID_by_events"
 HISTOGRAM_BINS = 300
+#: Equal intervals of the values in which ranks are counted.
+CELLS = 4096
 
 
 def renamed(df: DataFrame) -> DataFrame:
@@ -48,9 +51,8 @@ def equal_width_edges(df: DataFrame, colours: int, value: str = VALUE) -> list[f
 
 def equal_frequency_edges(df: DataFrame, colours: int, value: str = VALUE) -> list[float]:
     """Distinct exact quantiles (linear) at 0, 1/n ... 1."""
-    steps = F.array(*(F.lit(i / colours) for i in range(colours + 1)))
-    found = df.agg(F.array_sort(F.array_distinct(F.percentile(value, steps))).alias("e")).first().e
-    return list(found or [])
+    found = quantiles(df, [i / colours for i in range(colours + 1)], value).collect()
+    return sorted({r.value for r in found})
 
 
 def discretised(df: DataFrame, colours: int, by_frequency: bool = False, breakpoints: list[float] | None = None, value: str = VALUE) -> DataFrame:
@@ -112,10 +114,26 @@ def axis_limits(df: DataFrame, triangular: bool = False) -> DataFrame:
 
 
 def quantiles(df: DataFrame, at: list[float], value: str) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row each."""
-    steps = F.array(*(F.lit(x) for x in at))
-    got = df.agg(F.percentile(value, steps).alias("v"))
-    return got.select(F.posexplode("v").alias("pos", "value"))
+    """Exact quantiles with linear interpolation, one row each: ``pos``, ``value``. No rows where there are no values.
+
+    Equal values are counted first. Ranks come from running sums inside ``CELLS`` equal intervals of the values and
+    over the totals of these, so no task sorts all values.
+    """
+    counted = df.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ends = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    placed = counted.join(F.broadcast(ends)).withColumn("cell", cell.cast("int"))  # one row
+    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = placed.groupBy("cell").agg(F.sum("c").alias("c")).select("cell", before(Window.orderBy("cell")).alias("base"))  # CELLS rows at most
+    ranked = placed.withColumn("within", before(Window.partitionBy("cell").orderBy("v"))).join(F.broadcast(totals), "cell")
+    first = F.col("base") + F.col("within")
+    place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    wanted = F.array(*(F.struct(F.lit(i).alias("pos"), place(q).alias("p")) for i, q in enumerate(at)))
+    holds = lambda p: (p >= first) & (p < first + F.col("c"))
+    met = ranked.select("v", F.explode(F.filter(F.transform(wanted, lambda x: F.struct(x["pos"].alias("pos"), x["p"].alias("p"), holds(F.floor(x["p"])).alias("low"), holds(F.ceil(x["p"])).alias("high"))), lambda x: x["low"] | x["high"])).alias("x"))
+    both = met.groupBy("x.pos", "x.p").agg(F.max(F.when(F.col("x.low"), F.col("v"))).alias("a"), F.max(F.when(F.col("x.high"), F.col("v"))).alias("b"))
+    part = F.col("p") - F.floor("p")
+    return both.select("pos", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
 
 
 def row_label(n: Column) -> Column:

@@ -12,11 +12,13 @@ def by_size(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def first(seqs: DataFrame, n: int = 2) -> DataFrame:
-    return seqs.filter(F.col("seq_ord") < n)
+    """The first sequences in input order."""
+    return seqs.orderBy("seq_ord").limit(n)
 
 
 def sequence_pairs(seqs: DataFrame) -> DataFrame:
-    """Every pair of sequences once, the earlier as the query. One row for each pair is the result, so the join is quadratic by definition."""
+    """Every pair of sequences once, the earlier as the query. One row for each pair is the result, so it is quadratic by
+    definition: only names and places take part; a grid that is drawn has few (see ``grid_complete``)."""
     a = seqs.select(F.col("seq_id").alias("query"), F.col("seq_ord").alias("q_ord"))
     b = seqs.select(F.col("seq_id").alias("reference"), F.col("seq_ord").alias("r_ord"))
     return a.join(b, F.col("q_ord") < F.col("r_ord"))

@@ -54,16 +54,39 @@ def nearest_edges(edges: DataFrame, points: DataFrame, step: int) -> DataFrame:
     return near.select("point", F.when(index > 0, index - 1).otherwise(0).alias("before"), index.alias("nearest"))
 
 
-def crop(df: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
-    """Cells inside a view given in windows, widened to a square at its upper ends."""
+def mirrored(df: DataFrame) -> DataFrame:
+    """All cells of a self map, of which pairs ``i <= j`` are stored."""
+    cols = df.columns
+    return df.unionByName(df.filter("i <> j").select(*(F.col({"i": "j", "j": "i"}.get(c, c)).alias(c) for c in cols)))
+
+
+def crop(df: DataFrame, x: tuple[int, int], y: tuple[int, int], own: bool = False) -> DataFrame:
+    """Cells inside a view given by edges, ends excluded, widened to a square at its upper ends. A self map (``own``) is mirrored first."""
     side = max(x[1] - x[0], y[1] - y[0])
-    return df.filter(F.col("i").between(y[0], y[0] + side) & F.col("j").between(x[0], x[0] + side))
+    inside = lambda c, low: (F.col(c) >= low) & (F.col(c) < low + side)
+    if not own:
+        return df.filter(inside("i", y[0]) & inside("j", x[0]))
+    near = (inside("i", y[0]) & inside("j", x[0])) | (inside("j", y[0]) & inside("i", x[0]))
+    return mirrored(df.filter(near)).filter(inside("i", y[0]) & inside("j", x[0]))
+
 
+def shown(layers: DataFrame, title: str, level: int) -> DataFrame:
+    """The layer of one plot; both filters prune partitions of a saved pyramid."""
+    return layers.filter((F.col("title") == title) & (F.col("level") == level))
 
-def axis_edges(size: int, n: int) -> list[float]:
+
+def axis_edges(size: int, n: int, loaded: bool = False) -> list[float]:
+    """Edges of ``n`` windows: evenly spaced, or in whole steps with the size at the end for maps that were loaded."""
+    if loaded:
+        return [i * round(size / n) for i in range(n)] + [size]
     return [i * size / n for i in range(n + 1)]
 
 
+def is_blank(df: DataFrame, value: str = "identity") -> bool:
+    """True if no cell has a value above 0."""
+    return df.filter(F.col(value) > 0).isEmpty()
+
+
 def least_positive(df: DataFrame, row: int = 0, value: str = "identity") -> DataFrame:
     """Least value above 0 of a row of the map."""
     return df.filter((F.col("i") == row) & (F.col(value) > 0)).agg(F.min(value).alias("least"))

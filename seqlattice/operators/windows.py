@@ -62,3 +62,9 @@ def region(kmers: DataFrame, start: int, end: int, k: int, n: str = "n_kmers") -
     count = end - start + 1 - k + 1
     inside = kmers.filter(F.col("idx").between(start - 1, end - k))
     return inside.withColumns({"idx": F.col("idx") - (start - 1), n: F.least(F.lit(count).cast("long"), F.col(n) - (start - 1))})
+
+
+def uncovered(table: DataFrame, n: str = "n_kmers") -> DataFrame:
+    """Sequences of a window table whose last k-mer lies in no window: key columns, ``covered`` and the number of k-mers."""
+    keys = [c for c in table.columns if c not in ("w", "lo", "hi", n)]
+    return table.groupBy(*keys).agg(F.max("hi").alias("covered"), F.max(n).alias(n)).filter(F.col("covered") < F.col(n))

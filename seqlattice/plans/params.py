@@ -5,12 +5,29 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+LEAST_WINDOW = 10
+
 
 def power_of_two_sparsity(ratio: int, modimizer: int) -> int:
     """Power of two at or below ``ratio``; at or above it once it exceeds the sketch size."""
     if ratio < 1:
         return 1
-    return 2 ** int(math.log2(ratio)) if ratio <= modimizer else 2 ** (int(math.log2(ratio - 1)) + 1)
+    return 1 << (ratio.bit_length() - 1 if ratio <= modimizer else (ratio - 1).bit_length())
+
+
+def static_columns(n: Column, k: int = 21, modimizer: int = 1000, resolution: int = 1000, window: int | None = None) -> dict[str, Column]:
+    """:func:`static_plan` as expressions over a column of lengths; rows whose window is too small have ``fits`` false."""
+    bits = lambda x: F.length(F.bin(x))
+    power = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), e)
+    kmers = n - (k - 1)
+    w = F.lit(window).cast("long") if window else F.ceil(kmers / resolution)
+    m = F.least(F.lit(modimizer), w)
+    ratio = F.bround(w / m).cast("long")
+    s = F.when(ratio < 1, 1).when(ratio <= m, power(bits(ratio) - 1)).otherwise(power(bits(ratio - 1)))
+    return {"window": w, "sparsity": s.cast("long"), "sketch": F.bround(w / s).cast("long"), "windows": F.ceil(kmers / w), "modimizer": m.cast("long"), "fits": (w >= LEAST_WINDOW) & (w >= k)}
 
 
 @dataclass(frozen=True)
@@ -26,7 +43,7 @@ def static_plan(n: int, k: int = 21, modimizer: int = 1000, resolution: int = 10
     """Window, sparsity and expected sketch of a sequence of ``n`` bases."""
     kmers = n - k + 1
     w = window if window else math.ceil(kmers / resolution)
-    if w < 10:
+    if w < LEAST_WINDOW:
         raise ValueError("the window is below 10; lower the resolution")
     m = min(modimizer, w)
     s = power_of_two_sparsity(round(w / m), m)
@@ -37,7 +54,7 @@ def pyramid_plan(n: int, modimizer: int = 1000, resolution: int = 1000, window:
     """(window, sparsity) of each layer from the finest on; windows double."""
     largest = math.ceil(n / resolution)
     least = window or (round(n / resolution) if quick else round((n / resolution) / 2))
-    if largest < 10:
+    if largest < LEAST_WINDOW:
         raise ValueError("the window is below 10; lower the resolution")
     windows = []
     while least <= largest:
@@ -78,21 +95,33 @@ def level_window(largest: int, level: int) -> int:
 
 
 def ticks(low: float, high: float, least: int = 5, most: int = 9) -> list[float]:
-    """Round breaks: a power of ten, doubled or halved until between ``least`` and ``most`` steps."""
+    """Round breaks: multiples of a power of ten times a power of two that give ``least`` to ``most`` steps."""
     spread = high - low
     if spread <= 0:
         return [low]
-    step = 10 ** math.floor(math.log10(spread))
-    count = lambda: math.ceil(spread / step)
-    while count() > most:
-        step *= 2
-    while count() < least:
-        step /= 2
-    start = math.floor(low / step) * step
-    out = [start + i * step for i in range(count() + 1)]
+    decade = 10 ** math.floor(math.log10(spread))
+    tenths = spread / decade  # from 1 to below 10
+    if math.ceil(tenths) > most:
+        twos = math.ceil(math.log2(tenths / most))
+    else:  # the least number of halvings after which more than ``least - 1`` steps fit
+        twos = -max(0, math.floor(math.log2((least - 1) / tenths)) + 1)
+    step = decade * 2**twos if twos >= 0 else decade / 2**-twos
+    first = math.floor(low / step)
+    out = [(first + i) * step for i in range(math.ceil(spread / step) + 1)]
     return [int(x) if float(x).is_integer() else x for x in out]
 
 
+def tick_column(low: Column, high: Column, least: int = 5, most: int = 9) -> Column:
+    """:func:`ticks` as an expression."""
+    spread = (high - low).cast("double")
+    decade = F.pow(F.lit(10.0), F.floor(F.log10(spread)))
+    tenths = spread / decade
+    twos = F.when(F.ceil(tenths) > most, F.ceil(F.log2(tenths / most))).otherwise(-F.greatest(F.lit(0), F.floor(F.log2((least - 1) / tenths)) + 1))
+    step = decade * F.pow(F.lit(2.0), twos)
+    many = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(spread / step)), lambda i: (F.floor(low / step) + i) * step)
+    return F.when(spread > 0, many).when(spread <= 0, F.array(low.cast("double")))
+
+
 def axis_unit(longest: int) -> str:
     return "Kbp" if longest < 200_000 else "Mbp" if longest < 200_000_000 else "Gbp"
 

@@ -6,12 +6,18 @@ A-Z are dropped and the alphabet is folded onto the four bases.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmers, murmur3_int
 from .operators import frames, grid, identity, pyramid, windows
+from .plans import params
+from .sources import readers, writers
+from .streaming import clicks
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -273,7 +279,7 @@ _SETS = (
 def doc_containment(spark, sf_dir):
     def sets(seqs: DataFrame, name: str) -> DataFrame:
         h = hashed_kmers(seqs, 21).select(F.col("seq_id").alias(name), "h").distinct()
-        return h.join(h.groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}")), name)
+        return h.withColumn(f"n_{name}", F.count(F.lit(1)).over(Window.partitionBy(name)))
 
     met = sets(sequences(spark, sf_dir), "doc_id").join(sets(sequences(spark, sf_dir, "benchmark", "item_id"), "item_id"), "h")
     met = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"), F.max("n_doc_id").alias("a"), F.max("n_item_id").alias("b"))
@@ -283,11 +289,12 @@ def doc_containment(spark, sf_dir):
 _BENCH_SETS = f"SELECT seq_id, list(DISTINCT h) AS hs FROM ({hashed_sql(8, name='benchmark', id_col='item_id')}) GROUP BY seq_id"
 
 
-@query(f"WITH s AS ({_BENCH_SETS}) SELECT a.seq_id AS x, b.seq_id AS y, round(len(list_intersect(a.hs, b.hs)) / greatest(len(a.hs), len(b.hs))::DOUBLE, 6) AS symmetric FROM s a JOIN s b ON a.seq_id < b.seq_id")
+@query(f"WITH s AS ({_BENCH_SETS}) SELECT a.seq_id AS x, b.seq_id AS y, round(len(list_intersect(a.hs, b.hs)) / greatest(len(a.hs), len(b.hs))::DOUBLE, 6) AS symmetric FROM s a JOIN s b ON a.seq_id < b.seq_id WHERE len(list_intersect(a.hs, b.hs)) > 0")
 def symmetric_containment(spark, sf_dir):
-    sets = hashed_kmers(sequences(spark, sf_dir, "benchmark", "item_id"), 8).groupBy("seq_id").agg(F.collect_set("h").alias("hs"))
-    a, b = sets.select(F.col("seq_id").alias("x"), F.col("hs").alias("xs")), sets.select(F.col("seq_id").alias("y"), F.col("hs").alias("ys"))
-    return a.join(b, F.col("x") < F.col("y")).select("x", "y", F.round(identity.symmetric_containment(F.col("xs"), F.col("ys")), 6).alias("symmetric"))
+    h = hashed_kmers(sequences(spark, sf_dir, "benchmark", "item_id"), 8).select("seq_id", "h").distinct()
+    h = h.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seq_id")))
+    met = h.select(F.col("seq_id").alias("x"), "h", F.col("n").alias("a")).join(h.select(F.col("seq_id").alias("y"), "h", F.col("n").alias("b")), "h").filter("x < y")
+    return met.groupBy("x", "y").agg(F.round(F.count(F.lit(1)) / F.greatest(F.max("a"), F.max("b")), 6).alias("symmetric"))
 
 
 _BEDPE = f"SELECT 'd' || seq_id AS query_name, i * {W} + 1 AS query_start, i * {W} + {W} AS query_end, 'd' || seq_id AS reference_name, j * {W} + 1 AS reference_start, j * {W} + {W} AS reference_end, identity AS \"perID_by_events\" FROM ({_self_sql(W, K, 2, DELTA, ID)})"
@@ -383,9 +390,9 @@ def interval_filter(spark, sf_dir):
 @query(f"WITH g AS (SELECT DISTINCT event_type AS chrom, n_nationkey * 2000 AS region_start, n_nationkey * 2000 + 250 AS region_end FROM events, nation) SELECT chrom, region_start, count(*) AS n, min(name) AS first_name FROM ({_BEDS}) b JOIN g USING (chrom) WHERE \"end\" >= region_start AND start <= region_end GROUP BY ALL")
 def interval_overlap(spark, sf_dir):
     at = F.col("n_nationkey").cast("long") * 2000
-    regions = table(spark, sf_dir, "nation").select(at.alias("region_start"), (at + 250).alias("region_end"), F.lit(1).alias("one"))
-    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), F.lit(1).alias("one")).distinct()
-    met = frames.overlap_join(_beds(spark, sf_dir), kinds.join(regions, "one").drop("one"), 1000)
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom")).distinct().agg(F.collect_set("chrom").alias("chroms"))  # a handful of names
+    regions = table(spark, sf_dir, "nation").select(at.alias("region_start"), (at + 250).alias("region_end")).join(F.broadcast(kinds)).withColumn("chrom", F.explode("chroms"))  # one row
+    met = frames.overlap_join(_beds(spark, sf_dir), regions, 1000)
     return met.groupBy("chrom", "region_start").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 
@@ -403,12 +410,26 @@ def threshold_mask(spark, sf_dir):
     return pyramid.masked(t, 90.0, 95.0)
 
 
-@query(f"SELECT i, j, count(*) AS n, max(v) AS best FROM (SELECT (query_start - 1) // 100 AS i, (reference_start - 1) // 100 AS j, perID_by_events AS v FROM ({PAIRS_SQL})) WHERE i BETWEEN 100 AND 400 AND j BETWEEN 50 AND 350 GROUP BY ALL")
+@query(f"SELECT i, j, count(*) AS n, max(v) AS best FROM (SELECT (query_start - 1) // 100 AS i, (reference_start - 1) // 100 AS j, perID_by_events AS v FROM ({PAIRS_SQL})) WHERE i >= 100 AND i < 400 AND j >= 50 AND j < 350 GROUP BY ALL")
 def viewport_crop(spark, sf_dir):
     t = pair_table(spark, sf_dir).select(F.floor((F.col("query_start") - 1) / 100).alias("i"), F.floor((F.col("reference_start") - 1) / 100).alias("j"), F.col("perID_by_events").alias("v"))
     return pyramid.crop(t, (50, 350), (100, 300)).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("best"))
 
 
+@query(f"WITH c AS (SELECT (query_start - 1) // 100 AS a, (reference_start - 1) // 100 AS b, perID_by_events AS v FROM ({PAIRS_SQL})), h AS (SELECT least(a, b) AS i, greatest(a, b) AS j, v FROM c), "
+       "m AS (SELECT i, j, v FROM h UNION ALL SELECT j, i, v FROM h WHERE i <> j) SELECT i, j, count(*) AS n, max(v) AS best FROM m WHERE i >= 500 AND i < 900 AND j >= 100 AND j < 500 GROUP BY ALL")
+def viewport_crop_self(spark, sf_dir):
+    a, b = F.floor((F.col("query_start") - 1) / 100), F.floor((F.col("reference_start") - 1) / 100)
+    t = pair_table(spark, sf_dir).select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.col("perID_by_events").alias("v"))
+    return pyramid.crop(t, (100, 500), (500, 800), own=True).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("best"))
+
+
+@query("SELECT min(c_acctbal) AS least FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0")
+def least_positive(spark, sf_dir):
+    cells = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("i"), F.col("c_acctbal").alias("identity"))
+    return pyramid.least_positive(cells, 3)
+
+
 @query("SELECT level::INTEGER AS level, count(*) AS n, min(o_totalprice) AS least FROM (SELECT o_totalprice, CASE WHEN o_totalprice >= 200000 THEN 0 WHEN o_totalprice >= 100000 THEN 1 WHEN o_totalprice >= 50000 THEN 2 ELSE 3 END AS level FROM orders) GROUP BY level")
 def zoom_level(spark, sf_dir):
     level = pyramid.level_of(F.col("o_totalprice"), F.lit(400000.0), 4)
@@ -475,8 +496,6 @@ def grid_matching(spark, sf_dir):
 
 @query(f"SELECT seq_id, n_kmers, dense_rank() OVER (ORDER BY n_kmers DESC)::INTEGER AS size_rank FROM (SELECT seq_id, nk AS n_kmers FROM ({len_sql(K, name='benchmark', id_col='item_id')}))")
 def sequence_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     seqs = sequences(spark, sf_dir, "benchmark", "item_id").withColumns({"n": F.octet_length("seq").cast("long"), "seq_ord": F.col("seq_id")})
     return grid.by_size(seqs, K).select("seq_id", "n_kmers", F.dense_rank().over(Window.orderBy(F.desc("n_kmers"))).alias("size_rank"))
 
@@ -512,3 +531,116 @@ def palette_prefix(spark, sf_dir):
     nations = table(spark, sf_dir, "nation")
     prefixes = nations.select(letter.alias("prefix")).unionByName(nations.select(F.lower(letter).alias("prefix"))).distinct()
     return tx.last_with_prefix(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")), prefixes)
+
+
+@query("SELECT event_id, format('{}: {:d}-{:d} Identity: {:.2f}', event_type, user_id, user_id + event_id, 86.0::DOUBLE + event_id % 1400 / 100.0::DOUBLE) AS label FROM events")
+def interval_labels(spark, sf_dir):
+    label = tx.interval_label(F.col("event_type"), F.col("user_id"), F.col("user_id") + F.col("event_id"), F.lit(86.0) + F.col("event_id") % 1400 / 100.0)
+    return table(spark, sf_dir, "events").select("event_id", label.alias("label"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n > 1000000 THEN format('{:,d}k', round_even(n / 1000.0::DOUBLE, 0)::BIGINT) ELSE n::VARCHAR END AS label FROM (SELECT o_orderkey, o_orderkey * 3001 AS n FROM orders)")
+def row_labels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", frames.row_label(F.col("o_orderkey") * 3001).alias("label"))
+
+
+@query("SELECT stop::INTEGER AS stop, round(stop / 11.0::DOUBLE, 9) AS place, 'rgb(' || r || ', ' || g || ', ' || b || ')' AS color FROM (VALUES (0, 255, 255, 255), (1, 94, 79, 162), (2, 50, 136, 189), (3, 102, 194, 165), (4, 171, 221, 164), (5, 230, 245, 152), (6, 255, 255, 191), (7, 254, 224, 139), (8, 253, 174, 97), (9, 244, 109, 67), (10, 213, 62, 79), (11, 158, 1, 66)) t(stop, r, g, b)")
+def palette_gradient(spark, sf_dir):
+    stops = tx.gradient(tx.resolve_palette())
+    return spark.createDataFrame([(i, round(place, 9), color) for i, (place, color) in enumerate(stops)], "stop int, place double, color string")
+
+
+# parameters
+
+
+@query(
+    "WITH a AS (SELECT doc_id, n_chars * 977 AS n FROM documents WHERE n_chars >= 30), b AS (SELECT *, ceil((n - 20) / 1000.0::DOUBLE)::BIGINT AS w FROM a), c AS (SELECT *, least(1000, w) AS m FROM b), "
+    "d AS (SELECT *, round_even(w / m::DOUBLE, 0)::BIGINT AS ratio FROM c), e AS (SELECT *, CASE WHEN ratio < 1 THEN 1 WHEN ratio <= m THEN 1::BIGINT << (length(bin(ratio)) - 1) ELSE 1::BIGINT << length(bin(ratio - 1)) END::BIGINT AS s FROM d) "
+    "SELECT doc_id, n, w AS \"window\", s AS sparsity, round_even(w / s::DOUBLE, 0)::BIGINT AS sketch, ceil((n - 20) / w::DOUBLE)::BIGINT AS windows, m AS modimizer, w >= 21 AS fits FROM e"
+)
+def static_parameters(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").filter("n_chars >= 30").select("doc_id", (F.col("n_chars") * 977).alias("n"))
+    return t.select("*", *(c.alias(name) for name, c in params.static_columns(F.col("n")).items()))
+
+
+@query(
+    "WITH r AS (SELECT o_custkey, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey HAVING max(o_orderkey) > min(o_orderkey)), d AS (SELECT *, pow(10, floor(log10(hi - lo))) AS decade FROM r), "
+    "t AS (SELECT *, (hi - lo) / decade AS tenths FROM d), s AS (SELECT *, decade * (CASE WHEN ceil(tenths) > 9 THEN 2 WHEN tenths > 4 THEN 1 WHEN tenths > 2 THEN 0.5 WHEN tenths > 1 THEN 0.25 ELSE 0.125 END)::DOUBLE AS step FROM t) "
+    "SELECT o_custkey, ceil((hi - lo) / step)::BIGINT + 1 AS n, floor(lo / step) * step AS first, (floor(lo / step) + ceil((hi - lo) / step)) * step AS last FROM s"
+)
+def axis_ticks(spark, sf_dir):
+    ends = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).filter("hi > lo")
+    t = ends.withColumn("t", params.tick_column(F.col("lo"), F.col("hi")))
+    return t.select("o_custkey", F.size("t").cast("long").alias("n"), F.get("t", 0).alias("first"), F.element_at("t", -1).alias("last"))
+
+
+# sources and sinks
+
+
+def _folder(spark, name: str) -> str:
+    """A folder that all executors share; one of this machine where executors are threads."""
+    root = dict(spark.sparkContext.getConf().getAll()).get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="seqlattice-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT seq_id, length(seq) AS n, md5(seq) AS digest FROM ({seq_sql(bases=MIXED)}) UNION ALL SELECT seq_id, length(seq), md5(seq) FROM ({seq_sql(name='benchmark', id_col='item_id')})")
+def fasta_round_trip(spark, sf_dir):
+    """Sequences written as FASTA with lines of 60 lower-case bases, once plain and once compressed, and read back."""
+    folder = _folder(spark, "fasta")
+    for seqs, part, codec in ((sequences(spark, sf_dir, bases=MIXED), "a", "none"), (sequences(spark, sf_dir, "benchmark", "item_id"), "b", "gzip")):
+        lines = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" made of text\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))
+        seqs.select(lines).write.option("compression", codec).text(f"{folder}/{part}")
+    found = readers.fasta(spark, [f"{folder}/a", f"{folder}/b"])
+    return found.select(F.col("seq_id").cast("long").alias("seq_id"), "n", F.md5("seq").alias("digest"))
+
+
+@query("SELECT item_id AS seq_id, (row_number() OVER (ORDER BY len DESC, item_id) - 1)::INTEGER AS place FROM (SELECT item_id, length(text) AS len FROM benchmark)")
+def size_order(spark, sf_dir):
+    seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.length("text").cast("long").alias("n"), F.col("item_id").alias("seq_ord"))
+    rows = grid.by_size(seqs, K).select("seq_id").collect()  # the order is the result; few sequences
+    return spark.createDataFrame([(r.seq_id, i) for i, r in enumerate(rows)], "seq_id long, place int")
+
+
+@query(f"SELECT query_name || '_' || reference_name AS title, count(*) AS n, sum(query_start)::BIGINT AS query_sum, max(reference_end) AS reference_last, round(sum(perID_by_events), 4) AS total FROM ({PAIRS_SQL}) GROUP BY ALL")
+def bedpe_round_trip(spark, sf_dir):
+    folder = _folder(spark, "pairs")
+    writers.bedpe_by_title(pair_table(spark, sf_dir).withColumn("title", F.concat_ws("_", "query_name", "reference_name")), folder)
+    found = readers.bedpe(spark, folder)
+    return found.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.sum("query_start").alias("query_sum"), F.max("reference_end").alias("reference_last"), F.round(F.sum("perID_by_events"), 4).alias("total"))
+
+
+@query(f"SELECT title, level::INTEGER AS level, i, j, v AS identity, x_size FROM (SELECT 's' || (o_custkey % 3) AS title, o_orderkey % 2 AS level, (o_orderkey % 1000)::BIGINT AS i, (o_custkey % 1000)::BIGINT AS j, 86.0::DOUBLE + (o_orderkey * 37 % 1400) / 100.0::DOUBLE AS v, 100000 * (1 + o_custkey % 3) AS x_size FROM orders WHERE o_custkey % 3 < 2)")
+def pyramid_round_trip(spark, sf_dir):
+    """Layers and metadata written and read back, joined by title; the third title has no metadata."""
+    cells = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), F.col("o_custkey") % 3).alias("title"), (F.col("o_orderkey") % 2).alias("level"), (F.col("o_orderkey") % 1000).alias("i"), (F.col("o_custkey") % 1000).alias("j"),
+        (F.lit(86.0) + (F.col("o_orderkey") * 37 % 1400) / 100.0).alias("identity"),
+    )
+    folder = _folder(spark, "pyramid")
+    writers.pyramid(cells, spark.createDataFrame([(f"s{i}", 100_000 * (1 + i)) for i in (0, 1)], "title string, x_size long"), folder)
+    return readers.pyramid_with_metadata(spark, folder).select("title", F.col("level").cast("int").alias("level"), "i", "j", "identity", "x_size")
+
+
+@query(f"WITH t AS (SELECT perID_by_events AS v FROM ({PAIRS_SQL})), m AS (SELECT min(v) AS lo, max(v) AS hi FROM t) SELECT least(floor((v - lo) / ((hi - lo) / 300)), 299)::INTEGER AS bin, CASE WHEN v <= 90 THEN 0 WHEN v <= 97 THEN 1 ELSE 2 END::INTEGER AS discrete, count(*) AS n FROM t, m GROUP BY ALL")
+def histogram_by_color(spark, sf_dir):
+    return frames.histogram(frames.discretised(pair_table(spark, sf_dir), 3, breakpoints=[86, 90, 97, 100]), by=("discrete",))
+
+
+@query("SELECT ts AS \"at\", 'x' || event_type AS x_name, user_id // 250 * 250 + 1 AS x_start, user_id // 250 * 250 + 250 AS x_end, 'y' AS y_name, event_id // 250 * 250 + 1 AS y_start, event_id // 250 * 250 + 250 AS y_end, value AS identity FROM events")
+def click_intervals(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("user_id").alias("x"), F.col("event_id").alias("y"), F.lit(250).cast("long").alias("window"), F.concat(F.lit("x"), "event_type").alias("x_name"), F.lit("y").alias("y_name"), F.col("value").alias("identity"))
+    return clicks.intervals(made)
+
+
+@query(f"SELECT seq_id, max(hi) AS covered, any_value(nk) AS n_kmers FROM ({window_sql(W, K, 0.0, len_sql(K))}) GROUP BY seq_id HAVING max(hi) < any_value(nk)")
+def windows_uncovered(spark, sf_dir):
+    return windows.uncovered(windows.window_table(lengths(spark, sf_dir), W, K)).select("seq_id", "covered", "n_kmers")
+
+
+@query(f"SELECT fwd AS kmer, count(*) AS n FROM ({kmer_sql(4)}) GROUP BY fwd")
+def case_fold(spark, sf_dir):
+    return kmers(sequences(spark, sf_dir).withColumn("seq", F.lower("seq")), 4).groupBy(F.col("fwd").cast("string").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))

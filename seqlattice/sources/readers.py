@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,23 +24,46 @@ BED = T.StructType([
 ])
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and host."""
+    return re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path) if re.match(r"^[a-z0-9]+:", path) else os.path.abspath(path)
+
+
+def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, seq_ord, head, record``: records in the order of the paths given, of paths inside a folder, and of places in a file."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    given = F.array(*(F.lit(_plain(p).rstrip("/")) for p in paths))
+    lines = spark.read.option("lineSep", "\n>").text(paths)
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")
+    lines = lines.select("value", path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # The first path that is the file or a folder that holds it; files of a pattern come last.
+    place = F.array_position(F.transform(given, lambda p: (F.col("file") == p) | F.startswith("file", F.concat(p, F.lit("/")))), True)
+    place = F.when(place > 0, place - 1).otherwise(len(paths)).cast("int")
+    record = F.when(F.startswith("value", F.lit(">")), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    head = F.replace(F.substring_index("record", "\n", 1), F.lit("\r"), F.lit(""))
+    out = lines.withColumns({"record": record, "seq_ord": F.struct(place.alias("place"), "file", "block", "row")})
+    return out.select("file", "seq_ord", head.alias("head"), "record")
+
+
 def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, seq_id, seq, n``: one row a record of (multi-)FASTA files, ``.gz`` included.
+    """``file, seq_ord, seq_id, seq, n``: one row a record of (multi-)FASTA files, ``.gz`` included.
 
-    Records are split at line starts that begin with ``>``; one in a header's
-    description stays part of it. A record is one row, so it is bounded by what
-    a row can hold (2 GB).
+    ``seq_ord`` sorts records in input order: by the place of the path in the list, then by the place in the file. Names
+    may repeat; ``seq_ord`` does not. Records are split at line starts that begin with ``>``; one in a header's
+    description stays part of it. A record is one row, so it is bounded by what a row can hold (2 GB).
     """
-    lines = spark.read.option("lineSep", "\n>").text(paths).withColumn("file", F.input_file_name())
-    record = F.regexp_replace("value", "^>", "")
-    head = F.split_part(F.regexp_replace(record, "\r", ""), F.lit("\n"), F.lit(1))
-    body = F.upper(F.regexp_replace(F.substring(record, F.lit(1), F.length(record)), r"^[^\n]*(?:\n|$)|\s+", ""))
-    out = lines.select("file", F.regexp_extract(head, r"^(\S+)", 1).alias("seq_id"), body.alias("seq"))
-    return out.filter("seq_id <> ''").withColumn("n", F.octet_length("seq").cast("long"))
+    body = F.upper(F.regexp_replace("record", r"^[^\n]*(?:\n|$)|\s+", ""))
+    out = _named(_records(spark, paths)).withColumn("seq", body).drop("record")
+    return out.withColumn("n", F.octet_length("seq").cast("long"))
+
+
+def _named(records: DataFrame) -> DataFrame:
+    return records.select("file", "seq_ord", F.regexp_extract("head", r"^(\S+)", 1).alias("seq_id"), "record").filter("seq_id <> ''")
 
 
 def fasta_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return fasta(spark, paths).select("file", "seq_id")
+    """``file, seq_ord, seq_id``; bases are not cleaned for this."""
+    return _named(_records(spark, paths)).drop("record")
 
 
 def check_fasta(spark: SparkSession, path: str) -> bool:
@@ -61,10 +86,16 @@ def bed(spark: SparkSession, path: str, columns: int = 9) -> DataFrame:
 
 
 def pyramid(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Saved layers with their metadata's title, and the metadata; a level or title filter prunes partitions."""
+    """Saved layers and their metadata; a level or title filter prunes partitions."""
     return spark.read.parquet(f"{folder}/layers"), spark.read.parquet(f"{folder}/metadata")
 
 
+def pyramid_with_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Layers joined with the metadata of their title, by title, then level as a number. Layers without metadata are left out."""
+    layers, metadata = pyramid(spark, folder)
+    return layers.join(metadata, "title").orderBy("title", F.col("level").cast("int"), "i", "j")
+
+
 def config(path: str, base: IdentityQuery | None = None) -> IdentityQuery:
     with open(path) as f:
         return (base or IdentityQuery()).overridden(json.load(f))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import identity
+
 
 def bedpe(df: DataFrame, path: str, single: bool = False) -> None:
     """Tab-separated rows in row-major order under the format's header.
@@ -16,6 +18,19 @@ def bedpe(df: DataFrame, path: str, single: bool = False) -> None:
     out.write.mode("overwrite").option("comment", "\x01").csv(path, sep="\t", header=True)  # else "#" would be quoted
 
 
+def bedpe_by_title(df: DataFrame, path: str) -> None:
+    """One folder of tab-separated files for each title, each file in row-major order under the format's header. Large titles have several files."""
+    out = df.withColumnRenamed("query_name", "#query_name")
+    out = out.repartitionByRange("title", "query_start", "reference_start").sortWithinPartitions("title", "query_start", "reference_start")
+    out.write.mode("overwrite").partitionBy("title").option("comment", "\x01").csv(path, sep="\t", header=True)
+
+
+def view(layer: DataFrame, window: int, x_name: str, y_name: str, path: str, x_offset: int = 1, y_offset: int = 1) -> None:
+    """A layer, or what a view shows of it, as a pair table: rows are y, columns x, cells without a value are left out."""
+    pairs = layer.filter(F.col("identity") > 0)
+    bedpe(identity.bedpe(pairs, window, F.lit(y_name), F.lit(x_name), y_offset, x_offset), path)
+
+
 def contact_map(bins: DataFrame, pixels: DataFrame, path: str) -> None:
     bins.write.mode("overwrite").parquet(f"{path}/bins")
     pixels.write.mode("overwrite").parquet(f"{path}/pixels")

@@ -70,13 +70,21 @@ def test_regions_and_labels(spark):
     names = {"chrY:50-3000": ("chrY", 50, 3000), "HG002_chr13_MATERNAL:1-4000000:1000000-3000000": ("HG002_chr13_MATERNAL", 1000000, 3000000), "chr1": None, "chr1.2:5-9": None, "c-1:5-9": None, "chr1:5-9junk": ("chr1", 5, 9)}
     for r in spark.createDataFrame([(n,) for n in names], "n string").withColumn("r", text.region(F.col("n"))).collect():
         assert (tuple(r.r) if r.r else None) == names[r.n]
-    assert text.gradient([(1, 2, 3), (4, 5, 6)], "-") == [(0.0, "rgb(255, 255, 255)"), (0.5, "rgb(4, 5, 6)"), (1.0, "rgb(1, 2, 3)")]
+    assert text.gradient(("#010203", "#040506")) == [(0.0, "rgb(255, 255, 255)"), (0.5, "rgb(1, 2, 3)"), (1.0, "rgb(4, 5, 6)")]
+    spectral = text.BUILT_IN["Spectral_11"]
+    assert text.resolve_palette() == text.resolve_palette("none", "+") == spectral[::-1] and text.resolve_palette(orientation="-") == spectral
+    own = {"Blues_3": ("#a", "#b", "#c")}
+    assert text.resolve_palette("Blues_3", "+", palettes=own) == own["Blues_3"] and text.resolve_palette("Blues_3", "-", palettes=own) == own["Blues_3"][::-1]
+    assert text.resolve_palette(colors=("#1", "#2")) == ("#1", "#2") and text.gradient_range(86.0) == (86.0, 100.0) and text.gradient_range(86.0, 90, 95) == (90, 95)
 
 
 def test_viewer(spark):
     df = spark.createDataFrame([(0, 0, 100.0), (0, 1, 88.0), (1, 3, 92.0)], "i int, j int, identity double")
     assert sorted(r.identity for r in pyramid.masked(df, 90, 95).collect()) == [0.0, 0.0, 92.0]
-    assert pyramid.crop(df, (0, 1), (0, 0)).count() == 2
+    assert pyramid.crop(df, (0, 2), (0, 1)).count() == 2 and pyramid.crop(df, (0, 1), (0, 1)).count() == 1
+    assert [(r.i, r.j) for r in pyramid.crop(df, (1, 2), (3, 4), own=True).collect()] == [(3, 1)]
+    assert pyramid.axis_edges(10, 4) == [0, 2.5, 5, 7.5, 10] and pyramid.axis_edges(10, 4, loaded=True) == [0, 2, 4, 6, 10]
+    assert pyramid.is_blank(df.filter("false")) and not pyramid.is_blank(df)
     assert pyramid.least_positive(df).first().least == 88.0
     assert [r.n for r in spark.range(1).select(pyramid.level_of(F.lit(2000000), F.lit(4000000), 2).alias("n")).collect()] == [0]
     edges = spark.createDataFrame([(i, i * 10) for i in range(6)], "edge_index int, edge long")
@@ -114,6 +122,9 @@ def test_round_trips(spark, table, tmp_path):
     writers.pyramid(layers, spark.createDataFrame([("t", 100)], "title string, x_size long"), str(tmp_path / "p"))
     got, meta = readers.pyramid(spark, str(tmp_path / "p"))
     assert got.filter("level = 1").first().identity == 91.0 and meta.first().x_size == 100
+    assert pyramid.shown(got, "t", 0).count() == 1 and [(r.level, r.x_size) for r in readers.pyramid_with_metadata(spark, str(tmp_path / "p")).collect()] == [(0, 100), (1, 100)]
+    writers.view(pyramid.crop(pyramid.shown(got, "t", 0), (0, 2), (0, 1)), 50, "x", "y", str(tmp_path / "view"))
+    assert [tuple(r) for r in readers.bedpe(spark, str(tmp_path / "view")).collect()] == [("y", 1, 50, "x", 51, 100, 90.0)]
     bins, pixels = identity.bins_pixels(layers.filter("level = 0"), 2, 3, 50, "x", "y")
     assert bins.count() == 5 and tuple(pixels.first()) == (0, 3, 90.0)
     (tmp_path / "c.json").write_text(json.dumps({"identity": 90, "breakpoints": [90, 95]}))

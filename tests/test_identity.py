@@ -70,6 +70,13 @@ def test_self_identity(spark, w, k, delta, ident, s, amb):
     assert got == {(n, *key): v for n, seq in seqs.items() for key, v in naive.self_pairs(seq, w, k, ident, delta, s, amb).items()}
 
 
+def test_hot_hashes_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(identity, "CHUNK", 3)
+    seq = sequence(3, 100, 12)
+    found = identity.self_identity(spark.createDataFrame([("x", seq)], "seq_id string, seq string"), 50, 21, 80, 0.5).collect()
+    assert {(r.i, r.j): round(r.identity, 6) for r in found} == naive.self_pairs(seq, 50, 21, 80, 0.5) and len(found) > 30
+
+
 @pytest.mark.parametrize("w,delta,ident,s", [(100, 0.5, 86, 1), (101, 0.5, 86, 2), (140, 0.0, 80, 2)])
 def test_pair_identity(spark, w, delta, ident, s):
     a, b = sequence(5), sequence(5)[200:] + sequence(6)

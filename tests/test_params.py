@@ -45,3 +45,20 @@ def test_grid():
         p.grid_size(4)
     with pytest.raises(ValueError):
         p.grid_complete(7, 21)
+
+
+def test_columns_equal_the_plain_forms(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    sizes = [int(10 ** rng.uniform(4.1, 9)) for _ in range(300)] + [250_000, 1_500_000, 3_000_000]
+    for m, r in ((1000, 1000), (50, 1000), (3, 700)):
+        rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", *(c.alias(k) for k, c in p.static_columns(F.col("n"), 21, m, r).items())).collect()
+        for row in rows:
+            if row.fits:
+                plan = p.static_plan(row.n, 21, m, r)
+                assert (row.window, row.sparsity, row.sketch, row.windows, row.modimizer) == (plan.window, plan.sparsity, plan.sketch, plan.windows, plan.modimizer)
+    got = spark.createDataFrame([(1, n) for n in sizes] + [(5, 5), (900, 1000)], "a long, b long").withColumn("t", p.tick_column(F.col("a"), F.col("b"))).collect()
+    assert all(r.t == pytest.approx([float(x) for x in p.ticks(r.a, r.b)]) and (r.a == r.b or 5 <= len(r.t) - 1 <= 9) for r in got)

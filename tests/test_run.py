@@ -2,8 +2,8 @@ import pytest
 
 import naive
 from seqlattice.plans.params import IdentityQuery
-from seqlattice.plans.run import interactive, parse_region, static
-from seqlattice.sources import readers
+from seqlattice.plans.run import interactive, load, plot_frames, save, static
+from seqlattice.sources import readers, writers
 from test_identity import sequence
 
 
@@ -28,7 +28,8 @@ def test_region(seqs):
     rows = static(seqs, IdentityQuery(window=50, region=("one:201-900", "two:1-999999"))).filter("query_name = 'one'").collect()
     got = {((r.query_start - 201) // 50, (r.reference_start - 201) // 50): round(r.perID_by_events, 6) for r in rows}
     assert got == naive.self_pairs(sequence(3)[200:900], 50, 21, 86, 0.5)
-    assert parse_region("chr1:5-9:7-8") == ("chr1", 7, 8) and parse_region("chr1") is None
+    named = static(seqs, IdentityQuery(window=50, region=("two:151-450",))).filter("title like 'two%'").collect()
+    assert {((r.query_start - 151) // 50, (r.reference_start - 151) // 50): round(r.perID_by_events, 6) for r in named} == naive.self_pairs(sequence(3)[200:500], 50, 21, 86, 0.5)
 
 
 def test_interactive(seqs):
@@ -41,3 +42,45 @@ def test_interactive(seqs):
 def test_compare_only_needs_two(seqs):
     with pytest.raises(ValueError):
         static(seqs.filter("seq_id = 'one'"), IdentityQuery(compare_only=True, window=50))
+
+
+def test_input_order(spark, tmp_path):
+    sizes = {"small": 1, "big": 900, "mid": 30}
+    for name, n in sizes.items():
+        (tmp_path / f"{name} +.fa").write_text(f">{name}\n" + "ACGTTGCA\n" * n + f">again\n{'A' * n}\n")
+    seqs = readers.fasta(spark, [str(tmp_path / f"{name} +.fa") for name in sizes])
+    rows = seqs.orderBy("seq_ord").select("seq_id", "n").collect()
+    assert [r.seq_id for r in rows] == ["small", "again", "big", "again", "mid", "again"] and [r.n for r in rows][1::2] == [1, 900, 30]
+    assert [r.seq_id for r in readers.fasta_headers(spark, str(tmp_path)).orderBy("seq_ord").collect()] == ["big", "again", "mid", "again", "small", "again"]
+
+
+def test_sequences_of_one_name_stay_apart(spark, tmp_path):
+    a, b = sequence(3), sequence(8)
+    (tmp_path / "s.fa").write_text(f">x\n{a}\n>x\n{b}\n>tiny\nACGTACGTACGTACGTACGTACGTA\n")
+    rows = static(readers.fasta(spark, str(tmp_path / "s.fa")), IdentityQuery(resolution=10)).collect()
+    windows = [-(-(len(x) - 20) // 10) for x in (a, b)]
+    expected = sum(len(naive.self_pairs(x, w, 21, 86, 0.5)) for x, w in zip((a, b), windows))
+    assert len(rows) == expected and {r.query_name for r in rows} == {"x"}
+    with pytest.raises(ValueError):
+        static(readers.fasta(spark, str(tmp_path / "s.fa")).filter("seq_id = 'tiny'"), IdentityQuery(resolution=10))
+
+
+def test_saved_run(spark, seqs, tmp_path):
+    query = IdentityQuery(window=100, compare=True, grid=True, breakpoints=(86.0, 90.0, 95.0, 100.0), colors=("#111111", "#222222", "#333333"), output_dir=str(tmp_path / "out"))
+    table = static(seqs, query)
+    save(table, query)
+    read = lambda name: spark.read.parquet(f"{query.output_dir}/{name}")
+    n, own = table.count(), table.filter("query_name = reference_name")
+    both = own.filter("query_start <> reference_start").count()
+    assert read("tiles").count() == n + both and read("grid").count() == 1
+    assert {r.color for r in read("tiles").collect()} <= set(query.colors)
+    assert sum(r.n for r in read("histogram").collect()) == n
+    axes = {r.title: r for r in read("axes").collect()}
+    assert set(axes) == {"one", "two:101-2000", "one_two:101-2000"} and all(5 <= len(r.ticks) - 1 <= 9 for r in axes.values())
+    one = f"{query.output_dir}/pairs/title=one"
+    loaded = load(spark, one)
+    assert sorted(map(tuple, loaded.collect())) == sorted((*r[1:], r[0]) for r in own.filter("title = 'one'").collect())
+    assert set(plot_frames(loaded, IdentityQuery(bin_freq=True))) == {"tiles", "triangle", "histogram", "axes"}
+    writers.bedpe(table.drop("title"), str(tmp_path / "mixed"), single=True)
+    with pytest.raises(ValueError):
+        load(spark, str(tmp_path / "mixed"))
