@@ -50,3 +50,19 @@ def test_near_copies_are_dropped(spark):
     df = spark.createDataFrame([(9, near, "en", "s", 5), (4, " ".join(words), "en", "s", 5), (1, prose(1, 60), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == df.columns
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, __at long"
+    long = prose(3, 30_000)
+    rows = [(1, None, "en", "s", None, "a", 0, 1), (2, "", "en", "s", 0, "a", 0, 1), (None, prose(2, 60), None, None, 5, "b", 1, 2), (7, long, "en", "s", len(long), "a", 0, 1), (7, long, "en", "s", len(long), "a", 0, 1)]
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    left = {"quality_rules": 3, "near_duplicates": 3, "decontamination": 5, "personal_data": 5, "tokens": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == left[name], name
+        assert name == "tokens" or out.columns == docs.columns
