@@ -19,7 +19,8 @@ and repeated matches are looked up in a bounded cache.
 
 Edge cases: a null text is the empty text: no tokens, digests of no bytes;
 special-token strings in a text are ordinary text; memory is bounded by one
-text; repeated rows and null ids keep their rows.
+text; repeated rows and null ids keep their rows; an empty table gives an empty
+result; :func:`encode_texts` replaces input columns named as its own.
 """
 
 from __future__ import annotations
@@ -91,13 +92,13 @@ class Codec:
                 return True
         return False
 
-    def extend(self, data: bytes, last: list[int]) -> None:
-        """Fill ``last``, the valid last token of every prefix of ``data``, from where it ends.
+    def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
+        """Fill ``last``, the valid last token of every prefix of ``data``, from where it ends, up to the prefix of ``stop`` bytes.
 
         The valid token is unique, so the candidates can be tried shortest first.
         """
         rank, pairs, span, known = self.ranks.get, self._pairs, self._span, self._pairs.get
-        for end in range(len(last), len(data) + 1):
+        for end in range(len(last), (len(data) if stop is None else stop) + 1):
             for start in range(end - 1, max(0, end - self.longest) - 1, -1):
                 token = rank(data[start:end])
                 if token is not None:
@@ -160,7 +161,7 @@ class Prefixes:
             if agreed >= self.codec.longest:  # no later token reaches back to a changed entry
                 self.last += old[end - shift :]
                 break
-            self.codec.extend(self.data[:end], self.last)
+            self.codec.extend(self.data, self.last, end)
             same = end - shift > stop and self.last[end] == old[end - shift]
             agreed = agreed + 1 if same else 0
 

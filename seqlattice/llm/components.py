@@ -16,7 +16,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     degrees (bounded by the caller's construction), so no join key on that side
     grows; the label side of the jump may be hot, and is a plain sort-merge join
     that adaptive execution splits. Every round is a written table, so a lost
-    executor costs at most one round.
+    executor costs at most one round. Repeated links count once, links of a node
+    to itself not at all; no links give no rows.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = persisted(both, "links")
