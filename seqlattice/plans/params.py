@@ -165,6 +165,10 @@ class IdentityQuery:
     axes_ticks: tuple[float, ...] = ()
     grid: bool = False
     grid_only: bool = False
+    no_bedpe: bool = False
+    fasta: tuple[str, ...] = ()
+    load: tuple[str, ...] = ()
+    bed: str | None = None
     output_dir: str | None = None
 
     def __post_init__(self):
@@ -180,7 +184,7 @@ class IdentityQuery:
             raise ValueError("compare_order is sequential or size")
 
     def overridden(self, options: dict) -> IdentityQuery:
-        """With the recognised keys of a JSON configuration; ``color`` is another name of ``colors``."""
+        """With the recognised keys of a JSON configuration; ``color`` is another name of ``colors``. Keys that only concern drawing are ignored."""
         known = {f: f for f in self.__dataclass_fields__} | {"color": "colors"}
         values = {known[k.replace("-", "_")]: tuple(v) if isinstance(v, list) else v for k, v in options.items() if k.replace("-", "_") in known}
         return replace(self, **values)

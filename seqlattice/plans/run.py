@@ -105,7 +105,8 @@ def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def plot_frames(pairs: DataFrame, query: IdentityQuery) -> dict[str, DataFrame]:
     """Frames to draw from a table of :func:`static` or :func:`load`: ``tiles`` (both halves of self maps, with colours),
-    ``triangle``, ``histogram`` (by title and colour), ``axes`` (limits and ticks by title)."""
+    ``triangle``, ``histogram`` (by title and colour), ``axes`` (limits and ticks by title) and, with ``bed``, ``annotation``
+    (rows that touch what a plot of their chromosome shows)."""
     colors = text.resolve_palette(query.palette, query.palette_orientation, query.colors)
     shades = F.array(*(F.lit(c) for c in colors))
     colored = frames.discretised(pairs, len(colors), query.bin_freq, list(query.breakpoints) or None).withColumn("color", F.get(shades, "discrete"))
@@ -118,10 +119,15 @@ def plot_frames(pairs: DataFrame, query: IdentityQuery) -> dict[str, DataFrame]:
         steps = F.array(*(F.lit(float(t)) for t in query.axes_ticks))
     else:
         steps = tick_column(F.col("axis_min"), F.col("axis_max"))
-    return {
+    limits = limits.withColumns({"ticks": steps, "unit": text.unit(F.col("axis_max"))})
+    made = {
         "tiles": tiles, "triangle": frames.triangle(colored.filter(own)),
-        "histogram": frames.histogram(colored, by=("title", "discrete")), "axes": limits.withColumns({"ticks": steps, "unit": text.unit(F.col("axis_max"))}),
+        "histogram": frames.histogram(colored, by=("title", "discrete")), "axes": limits,
     }
+    if query.bed:
+        seen = limits.select(text.stem(F.col("title")).alias("chrom"), F.col("axis_min").alias("region_start"), F.col("axis_max").alias("region_end")).distinct()
+        made["annotation"] = frames.overlap_join(readers.bed(pairs.sparkSession, query.bed), seen)
+    return made
 
 
 def save(pairs: DataFrame, query: IdentityQuery) -> None:
@@ -130,8 +136,10 @@ def save(pairs: DataFrame, query: IdentityQuery) -> None:
         raise ValueError("a run that is saved needs output_dir")
     if query.grid_only:
         pairs = pairs.filter(F.col("query_name") != F.col("reference_name"))
-    writers.bedpe_by_title(pairs, f"{query.output_dir}/pairs")
-    saved = _titled(readers.bedpe(pairs.sparkSession, f"{query.output_dir}/pairs"))
+    saved = pairs
+    if not query.no_bedpe:  # frames are made from the table as saved, so that pairs are computed once
+        writers.bedpe_by_title(pairs, f"{query.output_dir}/pairs")
+        saved = _titled(readers.bedpe(pairs.sparkSession, f"{query.output_dir}/pairs"))
     made = plot_frames(saved, query)
     if query.grid or query.grid_only:
         names = saved.filter(F.col("query_name") != F.col("reference_name")).select(F.col("query_name").alias("query"), F.col("reference_name").alias("reference"))
@@ -179,3 +187,19 @@ def interactive(seqs: DataFrame, query: IdentityQuery) -> tuple[DataFrame, DataF
         writers.pyramid(out, metadata, f"{query.output_dir}/pyramid")
         return readers.pyramid(spark, f"{query.output_dir}/pyramid")
     return out, metadata
+
+
+def execute(spark: SparkSession, query: IdentityQuery, viewer: bool = False) -> None:
+    """A whole run: from ``fasta`` or ``load`` to everything under ``output_dir``."""
+    if query.load:
+        if viewer:
+            raise ValueError("a saved pyramid is read by sources.readers.pyramid")
+        save(load(spark, list(query.load)), query)
+        return
+    if not query.fasta or not query.output_dir:
+        raise ValueError("a run needs fasta or load, and output_dir")
+    seqs = readers.fasta(spark, list(query.fasta))
+    if viewer:
+        interactive(seqs, query)
+    else:
+        save(static(seqs, query), query)

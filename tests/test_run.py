@@ -1,6 +1,7 @@
 import pytest
 
 import naive
+from seqlattice import __main__ as cli
 from seqlattice.plans.params import IdentityQuery
 from seqlattice.plans.run import interactive, load, plot_frames, save, static
 from seqlattice.sources import readers, writers
@@ -84,3 +85,21 @@ def test_saved_run(spark, seqs, tmp_path):
     writers.bedpe(table.drop("title"), str(tmp_path / "mixed"), single=True)
     with pytest.raises(ValueError):
         load(spark, str(tmp_path / "mixed"))
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "s.fa").write_text(f">one\n{sequence(3)}\n>two\n{sequence(3)[150:]}\n")
+    (tmp_path / "a.bed").write_text("one\t5\t90\tcen\none\t999999\t1000000\tfar\nother\t5\t9\tx\n")
+    (tmp_path / "c.json").write_text('{"window": 100, "identity": 80, "dpi": 300}')
+    out = str(tmp_path / "out")
+    args = ["static", "--fasta", str(tmp_path / "s.fa"), "--compare", "--bed", str(tmp_path / "a.bed"), "--output-dir", out, "-c", str(tmp_path / "c.json")]
+    which, options = cli.query(args)
+    assert which == "static" and (options.window, options.identity, options.compare, options.kmer) == (100, 80, True, 21)
+    cli.main(args)
+    assert [r.name for r in spark.read.parquet(f"{out}/annotation").collect()] == ["cen"]
+    rows = spark.read.parquet(f"{out}/triangle").filter("q = 'one'").collect()
+    assert len(rows) == len(naive.self_pairs(sequence(3), 100, 21, 80, 0.5))
+    cli.main(["interactive", "--fasta", str(tmp_path / "s.fa"), "--resolution", "10", "--output-dir", out])
+    assert {r.title for r in readers.pyramid_with_metadata(spark, f"{out}/pyramid").select("title").collect()} == {"one", "two"}
+    cli.main(["static", "--load", f"{out}/pairs/title=one", "--output-dir", str(tmp_path / "again")])
+    assert spark.read.parquet(str(tmp_path / "again" / "axes")).count() == 1
