@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 400_000
-PAIRS = 2_000_000
+#: Entries of the caches of a task; results do not depend on them.
+CACHE = 250_000
+PAIRS = 500_000
 
 
 class Codec:

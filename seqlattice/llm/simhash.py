@@ -34,7 +34,8 @@ Where at most ``ALL`` texts share a hash, all their pairs are met. Where more do
 each first meets the ``HUBS`` texts that share most with others (the original of
 many altered copies is one) and the ``NEXT`` before it in this order. What these
 link needs no more comparing. All other pairs that share the hash, of texts that
-are not linked yet, are then met in blocks of ``BLOCK`` texts: no pair is left out.
+are not linked yet, are then met in blocks of ``BLOCK`` texts: no pair is left out. Pairs that
+could not be similar if this were the first hash they share are not compared there.
 """
 
 from __future__ import annotations
@@ -174,16 +175,16 @@ def _head(n: int, similarity: float) -> int:
 def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
     """Links ``(a, b)``, a < b, that connect all distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
     heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th")), "heads")
-    rows = heads.select("fp", "n", F.explode("grams").alias("gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
+    rows = heads.select("fp", "n", F.posexplode("grams").alias("at", "gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
     rows = persisted(rows, "shared")
     scores = rows.groupBy("fp").agg(F.sum("texts").alias("score"))
     order = Window.partitionBy("gram").orderBy(F.desc("score"), "fp")
-    other = F.struct("fp", "n")
+    other = F.struct("fp", "n", "at")
     few = F.array(*(F.lag(other, k).over(order) for k in range(1, ALL)))
     many = F.array(*(F.lag(other, k).over(order) for k in range(1, NEXT + 1)), *(F.nth_value(other, k).over(order) for k in range(1, HUBS + 1)))
     scored = rows.join(scores, "fp")
-    met = scored.filter(F.col("texts") <= ALL).select("fp", "n", few.alias("o")).unionByName(scored.filter(F.col("texts") > ALL).select("fp", "n", many.alias("o")))
-    met = met.select("fp", "n", F.explode("o").alias("o")).filter((F.col("o.fp") != F.col("fp")) & _near(F.col("n"), F.col("o.n"), similarity))
+    met = [part.select("fp", "n", "at", o.alias("o")).select("fp", "n", "at", F.explode("o").alias("o")) for part, o in ((scored.filter(F.col("texts") <= ALL), few), (scored.filter(F.col("texts") > ALL), many))]
+    met = met[0].filter(_reach("n", "at", "o.n", "o.at", similarity)).unionByName(met[1]).filter((F.col("o.fp") != F.col("fp")) & _near(F.col("n"), F.col("o.n"), similarity))
     found = persisted(_verified(met.select("fp", F.col("o.fp").alias("other")), heads, texts, width, similarity, common), "found")
 
     # The rest of the hashes that many share, between texts that are not linked yet.
@@ -191,15 +192,15 @@ def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float,
     if hot.isEmpty():
         return found
     roots = components(found)
-    hot = hot.select("fp", "n", "gram", "texts").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hot = hot.select("fp", "n", "at", "gram", "texts").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     hot = persisted(hot, "hot")
     mixed = hot.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
     blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
     rest = hot.join(mixed, "gram", "left_semi").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("fp", F.lit(1)), blocks).cast("int")})
-    rest = rest.select("fp", "n", "gram", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("facing"))
-    left = rest.filter("block <= facing").select("gram", F.col("block").alias("x"), F.col("facing").alias("y"), "fp", "n", "root")
-    right = rest.filter("facing <= block").select("gram", F.col("facing").alias("x"), F.col("block").alias("y"), F.col("fp").alias("other"), F.col("n").alias("m"), F.col("root").alias("r"))
-    pairs = left.join(right, ["gram", "x", "y"]).filter((F.col("root") != F.col("r")) & _near(F.col("n"), F.col("m"), similarity))
+    rest = rest.select("fp", "n", "at", "gram", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("facing"))
+    left = rest.filter("block <= facing").select("gram", F.col("block").alias("x"), F.col("facing").alias("y"), "fp", "n", "at", "root")
+    right = rest.filter("facing <= block").select("gram", F.col("facing").alias("x"), F.col("block").alias("y"), F.col("fp").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("r"))
+    pairs = left.join(right, ["gram", "x", "y"]).filter((F.col("root") != F.col("r")) & _near(F.col("n"), F.col("m"), similarity) & _reach("n", "at", "m", "to", similarity))
     return found.unionByName(_verified(pairs.select("fp", "other"), heads, texts, width, similarity, common))
 
 
@@ -207,6 +208,12 @@ def _near(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def _reach(n: str, at: str, m: str, to: str, similarity: float) -> Column:
+    """False if two sets that share a hash at these places of their order, and none before, are too far apart. A pair that
+    shares an earlier one is met there."""
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= similarity / (1 + similarity) * (F.col(n) + F.col(m)) - 1e-9
+
+
 def _verified(met: DataFrame, heads: DataFrame, texts: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
     """Pairs ``(a, b)`` of those met (fp, other) that are similar by their whole sets."""
     met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
