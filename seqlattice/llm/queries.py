@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, license_scan, packing, pii, quality, sharding, simhash, toxicity, warc
+from . import bpe, collocations, decontam, langid, license_scan, packing, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_license": license_scan.op9_license,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
     "op13_packing": packing.op13_packing,
 }
 
-ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op11_collocations": collocations.OP11_SQL}
