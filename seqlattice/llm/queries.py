@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, decontam, langid, license_scan, packing, pii, quality, sharding, simhash, toxicity, warc
+from . import alignment, bpe, collocations, decontam, langid, license_scan, packing, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license": license_scan.op9_license,
     "op10_quality": quality.op10_quality,
     "op11_collocations": collocations.op11_collocations,
+    "op12_alignment": alignment.op12_alignment,
     "op13_packing": packing.op13_packing,
 }
 
