@@ -11,7 +11,8 @@ of one language, with one code for each position and an empty position between
 pieces, so that the sorted join is one of an array with itself shifted by one.
 The block's distinct groups and their numbers are rows of their own when they are
 counted and semi-joined; these are ordinary shuffles of pre-aggregated rows, so a
-word of a third of all positions is one row of each block. Every ``R_k`` and
+word of a third of all positions is one row of each block. A bitmap of fixed size
+keeps most groups that are not frequent out of the semi-join. Every ``R_k`` and
 ``F_k`` is written to the shared folder before it is used.
 
 A piece may go on in the next block: a block has up to ``longest - 1`` further
@@ -37,10 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import persisted, scratch
+from .common import discard, persisted, scratch
 
 #: Positions of a block.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
+#: Bits of the filter of frequent groups: what reaches the driver and every task, whatever is in it.
+FILTER_BITS = 1 << 24
 #: Parts in which each language's best are found first.
 PARTS = 128
 
@@ -132,11 +135,28 @@ def joined(known: DataFrame) -> DataFrame:
     return known.select("block", "own", "codes", "known").mapInArrow(run, "block long, own int, codes binary, lefts array<long>, rights array<long>, counts array<long>")
 
 
+def _possible(frequent: DataFrame, on: list[str]) -> Column:
+    """Whether a group may be in ``frequent``, by a bitmap of fixed size; never wrong about one that is."""
+    place = F.xxhash64(*on).bitwiseAND(FILTER_BITS - 1)
+    words = frequent.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():  # FILTER_BITS / 64 rows at most
+        bits[r.word] = r.bits
+    shipped = frequent.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def held(at: pa.Array) -> pa.Array:
+        x = at.to_numpy(zero_copy_only=False)
+        return pa.array((shipped.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return held(place)
+
+
 def _semi_joined(relation: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """Blocks of ``relation`` with the codes of their groups that are frequent."""
+    """Blocks of ``relation`` with the codes of their groups that are frequent. Most that are not stay away from the shuffle."""
     names = {"word": "words", "left": "lefts", "right": "rights"}
     groups = relation.select("block", *(["lang"] if "lang" in on else []), F.posexplode(F.arrays_zip(*(F.col(names[c]).alias(c) for c in on if c in names))).alias("code", "g"))
-    groups = groups.select("block", "code", *(F.col(f"g.{c}").alias(c) if c in names else F.col(c) for c in on))
+    groups = groups.select("block", "code", *(F.col(f"g.{c}").alias(c) if c in names else F.col(c) for c in on)).filter(_possible(frequent, on))
     met = groups.join(frequent.select(*on, "id"), on).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # a block's groups at most
     return relation.select("block", "own", "codes").join(met, "block")
 
@@ -152,7 +172,8 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, block: int = BLOCK
     found = words.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
     levels, on = [persisted(found, "frequent-1")], ["lang", "word"]
     for k in range(2, longest + 1):
-        relation = persisted(joined(_semi_joined(relation, levels[-1], on)), f"occurrences-{k}")
+        before, relation = relation, persisted(joined(_semi_joined(relation, levels[-1], on)), f"occurrences-{k}")
+        discard(before)
         groups = relation.select(F.inline(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"), F.col("counts").alias("n"))))
         counted = groups.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         a = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("a"), F.col("heads").alias("ah"), F.col("f").alias("af"))
