@@ -260,3 +260,30 @@ def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0
     whole = lambda name: F.when(F.size("__p") == 1, F.get("__p", 0)[name]).otherwise(F.array_distinct(F.flatten(F.transform("__p", lambda p: p[name]))))
     out = both.select(*keys, "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))
     return out.withColumn("rim", F.when(F.col("__many"), F.array_except("rim", "core")).otherwise(F.col("rim"))).drop("__many")
+
+
+def hash_sets(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+    """The columns of ``seqs`` but ``seq``, ``hs`` (distinct kept hashes) and ``n`` (how many the sequence has).
+
+    A sequence of one piece is one row. A longer one is several, as many as it has pieces, each with the hashes of one
+    residue, so no row holds more than a piece would.
+    """
+    keys = [c for c in seqs.columns if c != seq]
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
+
+    @F.arrow_udf("array<int>")
+    def distinct(pieces: pa.Array) -> pa.Array:
+        found = []
+        for piece in pieces:
+            h = np.unique(canonical_hashes(piece.as_py(), k))
+            found.append(h[(h % sparsity == 0) & ~np.isin(h, dropped)])
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+    made = chunked(seqs.select(*keys, seq, F.octet_length(seq).cast("long").alias("__n")), k, seq)
+    made = made.select(*keys, F.ceil((F.col("__n") - (k - 1)) / CHUNK).alias("__pieces"), distinct("piece").alias("hs"))
+    short = made.filter("__pieces = 1").select(*keys, "hs", F.size("hs").cast("long").alias("n"))
+    long = made.filter("__pieces > 1").select(*keys, "__pieces", F.explode("hs").alias("h"))
+    parts = long.groupBy(*keys, F.pmod("h", "__pieces").alias("__part")).agg(F.collect_set("h").alias("hs"))
+    total = parts.groupBy(*keys).agg(F.sum(F.size("hs")).alias("n"))
+    return short.unionByName(parts.join(total, keys).select(*keys, "hs", "n"))

@@ -1,15 +1,42 @@
-"""Containment joins of window sketches and the identity that they imply."""
+"""Containment joins of window sketches and the identity that they imply.
+
+Windows are taken in blocks of ``CHUNK`` consecutive ones. All pairs of windows of
+two blocks are counted together, as a *cell*: numpy multiplies the blocks'
+incidence matrices (or expands the few common hashes), so a tandem array, whose
+hashes lie in every window, costs a matrix product and not a row for each common
+hash. A cell has at most ``CHUNK`` windows a side, so what one call holds is
+bounded by the options of a run, and cells spread over all tasks.
+
+Which cells there are: within a sequence of up to ``FEW`` blocks all of them;
+otherwise those whose blocks have a hash in common, found by joining *postings*
+(a hash and the windows of one block that have it, ``CHUNK`` at most) on the hash.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.kmers import window_sketches
+from ..functions.kmers import hash_sets, window_sketches
 
+# Executors need not have the library installed: functions are shipped with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Windows that share a hash are paired in one row up to so many, beyond it in chunks of so many.
+#: Windows of a block.
 CHUNK = 128
+#: Sequences of up to so many blocks are compared block by block, longer ones through postings.
+FEW = 16
+#: Bits of the filter of one side's hashes: a fixed size, whatever the side has.
+FILTER_BITS = 1 << 24
+#: Pairs that are expanded at once, and hashes of one matrix product; results do not depend on them.
+EXPANDED, SLAB = 1 << 21, 4096
 
 
 def sketches(seqs: DataFrame, window: int, k: int, delta: float = 0.0, sparsity: int = 1, ambiguous: bool = False) -> DataFrame:
@@ -18,39 +45,190 @@ def sketches(seqs: DataFrame, window: int, k: int, delta: float = 0.0, sparsity:
     return found.withColumns({"size": F.size("hs"), "h": F.explode("hs")}).drop("hs")
 
 
-def _entries(sketched: DataFrame) -> DataFrame:
-    """A row for each window and hash: ``h``, ``core`` (1 if the unwidened window has it) and ``size`` (of the unwidened window)."""
-    mark = lambda c, v: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(v).alias("core")))
-    df = sketched.withColumns({"size": F.size("core"), "e": F.explode(F.concat(mark("core", 1), mark("rim", 0)))})
-    return df.withColumns({"h": F.col("e.h"), "core": F.col("e.core")}).drop("e", "rim")
-
-
 def similarity(containment: Column, k: int) -> Column:
     """Identity in 0..1 of a containment."""
     return F.pow(containment, F.lit(1.0 / k))
 
 
+# Counting in a cell
+
+
+def common(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], na: int, nb: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common hashes of each pair of windows of two sides, as two matrices: A's unwidened with B's widened windows, and the reverse.
+
+    A side is given by its entries: window (below ``na`` or ``nb``), hash number (below ``hashes``) and whether the unwidened window has it.
+    """
+    (aw, ah, ac), (bw, bh, bc) = a, b
+    p, q = np.bincount(ah, minlength=hashes), np.bincount(bh, minlength=hashes)
+    both = (p > 0) & (q > 0)
+    ab, ba = np.zeros((2, na * nb))
+    if not both.any():
+        return ab.reshape(na, nb), ba.reshape(na, nb)
+    number = np.cumsum(both) - 1
+    keep = both[ah]
+    aw, ah, ac = aw[keep], number[ah[keep]], ac[keep]
+    keep = both[bh]
+    bw, bh, bc = bw[keep], number[bh[keep]], bc[keep]
+    p, q = p[both], q[both]
+    pairs = p.astype(np.int64) * q
+    if pairs.sum() < min(64 * len(pairs), EXPANDED):  # few windows a hash: every entry of A meets the run of B's with its hash
+        order = np.argsort(bh, kind="stable")
+        bw, bc, first = bw[order], bc[order], np.cumsum(q) - q
+        n = q[ah]
+        x = np.repeat(np.arange(len(ah)), n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ah], n)
+        cell = aw[x] * nb + bw[y]
+        ab, ba = np.bincount(cell, ac[x], na * nb), np.bincount(cell, bc[y], na * nb)
+        return ab.reshape(na, nb), ba.reshape(na, nb)
+    ab, ba = np.zeros((2, na, nb), np.float32)  # counts stay below 2**24
+    a_order, b_order = np.argsort(ah, kind="stable"), np.argsort(bh, kind="stable")
+    a_at, b_at = np.append(0, np.cumsum(p)), np.append(0, np.cumsum(q))
+    for low in range(0, len(p), SLAB):
+        high = min(low + SLAB, len(p))
+        matrices = []
+        for w, h, c, order, at, n in ((aw, ah, ac, a_order, a_at, na), (bw, bh, bc, b_order, b_at, nb)):
+            own = order[at[low] : at[high]]
+            wide, core = np.zeros((2, n, high - low), np.float32)
+            wide[w[own], h[own] - low] = 1
+            core[w[own], h[own] - low] = c[own]
+            matrices += [wide, core]
+        ab += matrices[1] @ matrices[2].T
+        ba += matrices[0] @ matrices[3].T
+    return ab, ba
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All values of lists and the number of the list of each."""
+    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = whole.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return whole.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _rows(table: pa.Table, keys: list[str], i: np.ndarray, j: np.ndarray, ab: np.ndarray, ba: np.ndarray, a: np.ndarray, b: np.ndarray, order: bool) -> pa.Table:
+    """Pairs of windows with common hashes, ``ab`` at least; with ``order`` those with ``i < j`` only."""
+    x, y = np.nonzero(ab)
+    if order:
+        x, y = x[i[x] < j[y]], y[i[x] < j[y]]
+    same = pa.array(np.zeros(len(x), np.int64))
+    columns = {k: table[k].combine_chunks().take(same) for k in keys}
+    values = {"i": i[x], "j": j[y], "ab": ab[x, y], "a": a[x], "ba": ba[x, y], "b": b[y]}
+    return pa.table(columns | {k: pa.array(v.astype(np.int64)) for k, v in values.items()})
+
+
+def _counted(cells: DataFrame, keys: list[str], count: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    fields = [*(cells.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("i", "j", "ab", "a", "ba", "b"))]
+    return cells.groupBy(*keys, "__a", "__b").applyInArrow(count, T.StructType(fields))
+
+
+def _from_windows(keys: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Count a cell of one sequence from its windows' hashes."""
+    chunk = CHUNK
+
+    def count(table: pa.Table) -> pa.Table:
+        w = table["w"].to_numpy()
+        core, core_row = _flat(table["core"])
+        rim, rim_row = _flat(table["rim"])
+        hashes, h = np.unique(np.concatenate([core.to_numpy(), rim.to_numpy()]), return_inverse=True)
+        row, is_core = np.concatenate([core_row, rim_row]), np.repeat([1, 0], [len(core_row), len(rim_row)])
+        size, sides = np.bincount(core_row, minlength=len(w)), []
+        for block in (table["__a"][0].as_py(), table["__b"][0].as_py()):
+            own = np.flatnonzero(w // chunk == block)
+            place = np.full(len(w), -1)
+            place[own] = np.arange(len(own))
+            mine = place[row] >= 0
+            sides.append(((place[row[mine]], h[mine], is_core[mine]), own))
+        (a, i), (b, j) = sides
+        ab, ba = common(a, b, len(i), len(j), len(hashes))
+        return _rows(table, keys, w[i], w[j], ab, ba, size[i], size[j], order=True)
+
+    return count
+
+
+def _from_postings(keys: list[str], order: bool) -> Callable[[pa.Table], pa.Table]:
+    """Count a cell from the postings of its hashes: ``xs`` and ``ys`` are windows (``w, core, size``) of the two sides."""
+
+    def count(table: pa.Table) -> pa.Table:
+        sides = []
+        for name in ("xs", "ys"):
+            entries, h = _flat(table[name])
+            w, core, size = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("w", "core", "size"))
+            windows, first, place = np.unique(w, return_index=True, return_inverse=True)
+            sides.append(((place, h, core), windows, size[first]))
+        (a, i, na), (b, j, nb) = sides
+        ab, ba = common(a, b, len(i), len(j), table.num_rows)
+        return _rows(table, keys, i, j, ab, ba, na, nb, order)
+
+    return count
+
+
+# Postings
+
+
+def _postings(sketched: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys, h``, the block and, as ``name``, the block's windows that have the hash (``CHUNK`` at most): ``w``, ``core`` (1 if the
+    unwidened window has it) and ``size`` (of the unwidened window)."""
+    mark = lambda c, v: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(v).alias("core")))
+    size = F.col("size") if "size" in sketched.columns else F.size("core")
+    df = sketched.select(*keys, "w", size.alias("__size"), F.explode(F.concat(mark("core", 1), mark("rim", 0))).alias("__e"))
+    entry = F.struct("w", F.col("__e.core").alias("core"), F.col("__size").alias("size"))
+    block = F.floor(F.col("w") / CHUNK).alias("__block")
+    return df.groupBy(*keys, F.col("__e.h").alias("h"), block).agg(F.collect_list(entry).alias(name))
+
+
+def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each value of the low bits of column ``h``; the driver receives ``bits / 64`` rows at most."""
+    low = F.col("h").cast("long").bitwiseAND(bits - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        out[r.word] = r.bits
+    return out
+
+
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the side behind a :func:`bitmap`; all that are in it, and few others."""
+    low = h.astype(np.int64) & (len(bits) * 64 - 1)
+    return (bits[low >> 6] >> (low & 63)) & 1 == 1
+
+
+def _only_held(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Sketches with ``size`` and only the hashes that the other side may hold; windows that are left with none go."""
+    shipped = sketched.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("array<int>")
+    def kept(hs: pa.Array) -> pa.Array:
+        values, row = _flat(hs)
+        values = values.to_numpy()
+        keep = held(shipped.value, values)
+        ends = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(hs))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[keep], pa.int32()))
+
+    out = sketched.withColumn("size", F.size("core")).withColumns({"core": kept("core"), "rim": kept("rim")})
+    return out.filter((F.size("core") > 0) | (F.size("rim") > 0))
+
+
+# Joins
+
+
 def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int | str = 1, ambiguous: bool = False) -> DataFrame:
     """Pairs of windows of each sequence, ``i <= j``, with identity at or above the threshold: the columns of ``seqs`` but
     ``seq``, ``i``, ``j`` and ``identity``.
 
     ``window`` and ``sparsity`` are numbers or columns of ``seqs``, so sequences of any lengths share one plan. The
     containment of the lower window alone must reach the threshold; the value is that of the greater containment of
-    the two directions. Windows are gathered by hash, each gathering gives its pairs, and both directions are counted
-    in one aggregate. A hash of many windows is cut into chunks that are spread over tasks.
+    the two directions. Both directions of all pairs of a cell are counted at once.
     """
     keys = [c for c in seqs.columns if c != "seq"]
-    found = window_sketches(seqs, window, k, delta, sparsity, ambiguous)
-    shared = _entries(found).groupBy(*keys, "h").agg(F.sort_array(F.collect_list(F.struct("w", "core", "size"))).alias("ws")).filter(F.size("ws") > 1)
-    few = shared.filter(F.size("ws") <= CHUNK).select(*keys, "ws", F.posexplode("ws").alias("p", "x"))
-    few = few.select(*keys, "x", F.explode(F.slice("ws", F.col("p") + 2, F.size("ws"))).alias("y"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / CHUNK).cast("int")), lambda c: F.slice("ws", c * CHUNK + 1, CHUNK))
-    many = shared.filter(F.size("ws") > CHUNK).select(*keys, "h", chunks.alias("cs")).select(*keys, "h", "cs", F.posexplode("cs").alias("a", "xs"))
-    many = many.select(*keys, "h", "a", "xs", F.explode(F.transform(F.slice("cs", F.col("a") + 1, F.size("cs")), lambda c, i: F.struct((F.col("a") + i).alias("b"), c.alias("ys")))).alias("o"))
-    many = many.select(*keys, "h", "a", "o.b", "xs", "o.ys").repartition(*keys, "h", "a", "b")
-    many = many.select(*keys, "ys", F.explode("xs").alias("x")).select(*keys, "x", F.explode("ys").alias("y")).filter("x.w < y.w")
-    met = few.unionByName(many)
-    counted = met.groupBy(*keys, F.col("x.w").alias("i"), F.col("y.w").alias("j")).agg(F.sum("x.core").alias("ab"), F.max("x.size").alias("a"), F.sum("y.core").alias("ba"), F.max("y.size").alias("b"))
+    found = window_sketches(_with_blocks(seqs, window, k), window, k, delta, sparsity, ambiguous)
+    few = found.filter(F.col("__blocks") <= FEW).withColumn("__own", F.floor(F.col("w") / CHUNK).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda t: F.struct(F.least(t, "__own").alias("__a"), F.greatest(t, "__own").alias("__b")))
+    few = few.select(*keys, "w", "core", "rim", F.inline(cells))
+    counted = _counted(few, keys, _from_windows(keys))
+    # Long sequences: cells of blocks that share a hash. Both sides are the same postings, shuffled by hash once.
+    side = lambda block, name: _postings(found.filter(F.col("__blocks") > FEW), keys, "xs").withColumnsRenamed({"__block": block, "xs": name})
+    met = side("__a", "xs").join(side("__b", "ys"), [*keys, "h"]).filter("__a <= __b")
+    met = met.filter((F.col("__a") < F.col("__b")) | (F.size("xs") > 1))
+    counted = counted.unionByName(_counted(met.select(*keys, "__a", "__b", "xs", "ys"), keys, _from_postings(keys, order=True)))
     pairs = _passing(counted, k, identity).select(*keys, "i", "j", "identity")
     if ambiguous:  # empty windows count as equal to themselves
         diagonal = _every_window(seqs.select(*keys, (F.octet_length("seq").cast("long") - (k - 1)).alias("__n")), window, k)
@@ -59,11 +237,21 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     return pairs.unionByName(diagonal.select(*keys, F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity")))
 
 
+def _last_window(n: Column, window: int | str, k: int) -> tuple[Column, Column]:
+    """Full windows after the first of a sequence of ``n`` k-mers, and whether a rest follows them; ``window`` may be a column."""
+    w = (F.col(window) if isinstance(window, str) else F.lit(window)).cast("long")
+    full = F.greatest(F.lit(0).cast("long"), F.floor((n - (2 * w - k + 1)) / w) + 1)
+    return full, (w - k + 1) + full * w <= n - 2
+
+
+def _with_blocks(seqs: DataFrame, window: int | str, k: int) -> DataFrame:
+    full, rest = _last_window(F.octet_length("seq").cast("long") - (k - 1), window, k)
+    return seqs.withColumn("__blocks", F.floor((full + rest.cast("long")) / CHUNK).cast("int") + 1)
+
+
 def _every_window(lengths: DataFrame, window: int | str, k: int) -> DataFrame:
     """All unwidened windows of each sequence of ``__n`` k-mers; ``window`` may be a column."""
-    w = (F.col(window) if isinstance(window, str) else F.lit(window)).cast("long")
-    full = F.greatest(F.lit(0).cast("long"), F.floor((F.col("__n") - (2 * w - k + 1)) / w) + 1)
-    rest = (w - k + 1) + full * w <= F.col("__n") - 2
+    full, rest = _last_window(F.col("__n"), window, k)
     return lengths.filter("__n > 0").withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), full + rest.cast("long"))))
 
 
@@ -74,27 +262,34 @@ def _passing(counted: DataFrame, k: int, identity: float) -> DataFrame:
     return kept.withColumn("identity", similarity(F.greatest(ca, cb), k) * 100.0)
 
 
-def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int | str = 1, ambiguous: bool = False, on: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
+def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k: int = 21, identity: float = 86.0, delta: float = 0.5, sparsity: int | str = 1, ambiguous: bool = False, on: tuple[str, ...] = (), only: Column | None = None, prune: bool = True) -> DataFrame:
     """Pairs of windows of different sequences: ``q_id, i, r_id, j, identity``.
 
     The containment of the reference's window must reach the threshold. All
     sequences of one side meet all of the other through the hashes they share;
     no pair without a common hash is ever formed. Each side is hashed once, one
-    join and one aggregate count both directions. Columns ``on`` must agree;
-    ``only`` is a further condition on the columns of both sides, which are
-    named with ``q_`` and ``r_`` and kept.
+    join of postings finds the cells, and both directions are counted in them.
+    Columns ``on`` must agree; ``only`` is a further condition on the columns of
+    both sides, which are named with ``q_`` and ``r_`` and kept. With ``prune``
+    the reference is hashed ahead, while the plan is made, for a bitmap of fixed
+    size, and hashes of the query that it cannot hold never leave their task.
     """
-    def side(seqs: DataFrame, prefix: str, w: str) -> tuple[DataFrame, list[str]]:
-        names = {c: f"{prefix}_{'id' if c == 'seq_id' else c}" for c in seqs.columns if c != "seq" and c not in on}
-        found = _entries(window_sketches(seqs, window, k, delta, sparsity, ambiguous))
-        return found.withColumnsRenamed(names | {"w": w, "core": f"{w}_core", "size": f"{w}_size"}), list(names.values())
+    def names(seqs: DataFrame, prefix: str) -> dict[str, str]:
+        return {c: f"{prefix}_{'id' if c == 'seq_id' else c}" for c in seqs.columns if c != "seq" and c not in on}
 
-    (q, q_keys), (r, r_keys) = side(query, "q", "i"), side(reference, "r", "j")
-    met = q.join(r, ["h", *on])
+    q, r = (window_sketches(s, window, k, delta, sparsity, ambiguous) for s in (query, reference))
+    if prune:
+        q = _only_held(q, bitmap(r.select(F.explode(F.concat("core", "rim")).alias("h"))))
+    q_names, r_names = names(query, "q"), names(reference, "r")
+    keys = [*on, *q_names.values(), *r_names.values()]
+    # A is the reference's window, B the query's.
+    a = _postings(r.withColumnsRenamed(r_names), [*on, *r_names.values()], "xs").withColumnRenamed("__block", "__a")
+    b = _postings(q.withColumnsRenamed(q_names), [*on, *q_names.values()], "ys").withColumnRenamed("__block", "__b")
+    met = a.join(b, ["h", *on])
     met = met if only is None else met.filter(only)
-    keys = [*on, *q_keys, "i", *r_keys, "j"]
-    counted = met.groupBy(*keys).agg(F.sum("j_core").alias("ab"), F.max("j_size").alias("a"), F.sum("i_core").alias("ba"), F.max("i_size").alias("b"))
-    return _passing(counted, k, identity).select(*keys, "identity")
+    counted = _counted(met.select(*keys, "__a", "__b", "xs", "ys"), keys, _from_postings(keys, order=False))
+    found = _passing(counted, k, identity)
+    return found.select(*on, *q_names.values(), F.col("j").alias("i"), *r_names.values(), F.col("i").alias("j"), "identity")
 
 
 def symmetric_containment(a: Column, b: Column) -> Column:
@@ -103,6 +298,22 @@ def symmetric_containment(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(a, b)) / most).otherwise(0.0)
 
 
+def set_containment(a: DataFrame, b: DataFrame, k: int, sparsity: int = 1, prune: bool = True) -> DataFrame:
+    """Common hashes of whole sequences: ``a_id, b_id, common, a_size, b_size`` for pairs that share one.
+
+    The sets are made in the function that hashes; with ``prune`` only hashes that side ``b`` may hold are shuffled.
+    """
+    sets = {name: hash_sets(df, k, sparsity) for name, df in (("a", a), ("b", b))}
+    bits = bitmap(sets["b"].select(F.explode("hs").alias("h"))) if prune else None
+    sides = []
+    for name, found in sets.items():
+        if name == "a" and bits is not None:
+            found = _only_held(found.select("seq_id", "n", F.col("hs").alias("core"), F.array().cast("array<int>").alias("rim")), bits).select("seq_id", "n", F.col("core").alias("hs"))
+        sides.append(found.select(F.col("seq_id").alias(f"{name}_id"), F.col("n").alias(f"{name}_size"), F.explode("hs").alias("h")))
+    met = sides[0].join(sides[1], "h")
+    return met.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("common"), F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
+
+
 def bedpe(pairs: DataFrame, window: int | Column, query_name: Column, reference_name: Column, query_offset: int | Column = 1, reference_offset: int | Column = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pair table in genome coordinates: 1-based starts, closed ends, the last window not cut; columns ``keep`` come first."""
     i, j = F.col("i") * window + query_offset, F.col("j") * window + reference_offset

@@ -83,7 +83,7 @@ def static(seqs: DataFrame, query: IdentityQuery) -> DataFrame:
         sizes = ready.groupBy("window", "sparsity").agg(F.max("ord").alias("latest")).agg(F.collect_list(F.struct("latest", "window", "sparsity")).alias("__ws"))
         found = parts(seqs, query).join(F.broadcast(sizes))  # one row, an entry for each size of window
         mine = found.withColumn("__w", F.explode(F.filter("__ws", lambda x: x["latest"] > F.col("ord")))).select("ord", "seq_id", "seq", "n", "start", "__w.window", "__w.sparsity")
-        pairs = identity.pair_identity(mine, ready, "window", sparsity="sparsity", on=("window", "sparsity"), only=F.col("q_ord") < F.col("r_ord"), **_options(query))
+        pairs = identity.pair_identity(mine, ready, "window", sparsity="sparsity", on=("window", "sparsity"), only=F.col("q_ord") < F.col("r_ord"), prune=False, **_options(query))
         title = F.concat_ws("_", "q_id", "r_id")
         tables.append(identity.bedpe(pairs.withColumn("title", title), F.col("window"), F.col("q_id"), F.col("r_id"), F.col("q_start"), F.col("r_start"), ("title",)))
     return reduce(DataFrame.unionByName, tables)

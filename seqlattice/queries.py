@@ -277,13 +277,9 @@ _SETS = (
 
 @query(_SETS + "SELECT doc_id, item_id, common, round(common / rn.n::DOUBLE, 6) AS containment, round(common / greatest(dn.n, rn.n)::DOUBLE, 6) AS symmetric FROM x JOIN dn ON dn.seq_id = doc_id JOIN rn ON rn.seq_id = item_id")
 def doc_containment(spark, sf_dir):
-    def sets(seqs: DataFrame, name: str) -> DataFrame:
-        h = hashed_kmers(seqs, 21).select(F.col("seq_id").alias(name), "h").distinct()
-        return h.withColumn(f"n_{name}", F.count(F.lit(1)).over(Window.partitionBy(name)))
-
-    met = sets(sequences(spark, sf_dir), "doc_id").join(sets(sequences(spark, sf_dir, "benchmark", "item_id"), "item_id"), "h")
-    met = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"), F.max("n_doc_id").alias("a"), F.max("n_item_id").alias("b"))
-    return met.select("doc_id", "item_id", "common", F.round(F.col("common") / F.col("b"), 6).alias("containment"), F.round(F.col("common") / F.greatest("a", "b"), 6).alias("symmetric"))
+    met = identity.set_containment(sequences(spark, sf_dir), sequences(spark, sf_dir, "benchmark", "item_id"), 21)
+    common = F.col("common")
+    return met.select(F.col("a_id").alias("doc_id"), F.col("b_id").alias("item_id"), "common", F.round(common / F.col("b_size"), 6).alias("containment"), F.round(common / F.greatest("a_size", "b_size"), 6).alias("symmetric"))
 
 
 _BENCH_SETS = f"SELECT seq_id, list(DISTINCT h) AS hs FROM ({hashed_sql(8, name='benchmark', id_col='item_id')}) GROUP BY seq_id"
