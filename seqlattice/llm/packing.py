@@ -40,54 +40,60 @@ from .common import persisted, scratch
 
 #: Tokens of a sequence.
 SIZE = 2048
-#: Entries of the caches of a task and characters of what is kept in them; results do not depend on them.
+#: Entries of a task's cache and characters of what is kept in it; results do not depend on them.
 CACHE, CACHED = 400_000, 64
 
+#: The tokenizer's split (fixed values of the tokenizer) for lower-cased text of Latin-1 characters.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\t-\r \x85\xa0]+")
+#: What that does not do for: other characters, and strings of special tokens.
+_OTHER = re.compile(r"[^!-~¡-ÿ\t-\r \x85\xa0]|<\|")
 #: Characters that Python's ``split`` takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-#: The tokenizer's split of lower-cased ASCII text without white space (fixed values of the tokenizer).
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The characters that stand for bytes: printable ones for themselves, the others from 256 on in order.
+_LETTERS = [chr(b if 33 <= b < 127 or 161 <= b != 173 else 256 + (b if b < 33 else b - 94 if b < 161 else 67)) for b in range(256)]
 
 
 class WordIds(dict):
-    """Packed ids (little-endian, unsigned, 32 bits) of runs without white space, bounded.
+    """Packed ids (little-endian, unsigned, 32 bits) of the parts that the tokenizer splits normalised text into, bounded.
 
-    The tokenizer drops white space and neither its normalisation nor its split reaches across it, so a text's ids are
-    those of its runs in order. Runs of ASCII are split further by the tokenizer's pattern, and each distinct part is
-    encoded once while the cache lasts.
+    Text of Latin-1 characters, which normalisation leaves alone but for capitals, is split here, and each distinct part
+    is encoded once while the cache lasts. White space is dropped by the tokenizer, and neither its normalisation nor its
+    split reaches across it, so other text is cut at white space and only its runs with other characters cost a call of
+    the whole tokenizer.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_str(definition), {}
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.merge = self.tokenizer.model.tokenize  # of a part that is normalised and split already
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _part(self, part: str) -> bytes:
-        packed = self.parts.get(part)
-        if packed is None:
-            packed = self.encode(part)
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            if len(part) <= CACHED:
-                self.parts[part] = packed
-        return packed
-
-    def __missing__(self, run: str) -> bytes:
-        if run.isascii() and "<|" not in run:  # strings of special tokens are left to the tokenizer
-            packed = b"".join(map(self._part, _ASCII.findall(run.lower())))
-        else:
-            packed = self.encode(run)
+    def __missing__(self, part: str) -> bytes:
+        packed = b"".join([t.id.to_bytes(4, "little") for t in self.merge("".join(map(_LETTERS.__getitem__, part.encode())))])
         if len(self) >= CACHE:
             self.clear()
-        if len(run) <= CACHED:
-            self[run] = packed
+        if len(part) <= CACHED:
+            self[part] = packed
         return packed
 
+    def encode(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
     def text(self, text: str) -> bytes:
-        return self.encode(text) if _ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
+        if not _OTHER.search(text):
+            return b"".join(map(self.__getitem__, _PARTS.findall(text.lower())))
+        return self.encode(text) if _ODD.search(text) else b"".join(map(self._run, text.split()))
+
+    def _run(self, run: str) -> bytes:
+        """A run without white space; one with other characters is no part, so it can share the cache."""
+        if not _OTHER.search(run):
+            return self.text(run)
+        packed = self.get(run)
+        if packed is None:
+            packed = self.encode(run)
+            if len(run) <= CACHED and len(self) < CACHE:
+                self[run] = packed
+        return packed
 
 
 def pieces(df: DataFrame, path: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
