@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import rank_selection
+
 #: The long and short column names of the format.
 SHORT = {
     "query_name": "q", "query_start": "q_st", "query_end": "q_en",
@@ -14,8 +14,6 @@ SHORT = {
 }
 VALUE = "perID_by_events"
 HISTOGRAM_BINS = 300
-#: Equal intervals of the values in which ranks are counted.
-CELLS = 4096
 
 
 def renamed(df: DataFrame) -> DataFrame:
@@ -32,42 +30,39 @@ def positions(df: DataFrame) -> DataFrame:
     return df.withColumns({"first_pos": place("q_st"), "second_pos": place("r_st")}).drop("__width")
 
 
-def bin_column(value: Column, edges: list[float]) -> Column:
-    """Index of the right-closed interval between consecutive edges; the first includes its lower edge."""
-    inner = edges[1:-1]
-    if len(edges) < 2:
-        return F.lit(0)
-    chain = reduce(lambda w, e: w.when(value <= F.lit(e[1]), e[0]), enumerate(inner[1:], 1), F.when(value <= F.lit(inner[0]), 0)) if inner else None
-    index = chain.otherwise(len(inner)) if chain is not None else F.lit(0)
-    return F.when((value >= F.lit(edges[0])) & (value <= F.lit(edges[-1])), index).cast("int")
+def bin_column(value: Column, edges: Column) -> Column:
+    """Index of the right-closed interval between consecutive ascending edges (an array); the first includes its lower edge."""
+    last = F.size(edges) - 2
+    index = F.size(F.filter(F.slice(edges, 2, F.greatest(last, F.lit(0))), lambda e: e < value))
+    return F.when((value >= F.get(edges, F.lit(0))) & (value <= F.element_at(edges, -1)), index).cast("int")
 
 
-def equal_width_edges(df: DataFrame, colours: int, value: str = VALUE) -> list[float]:
-    """From the floor of the least value to 100."""
-    least = df.agg(F.floor(F.min(value)).alias("m")).first().m
-    low = 0.0 if least is None else float(least)
-    return [low + i * (100.0 - low) / colours for i in range(colours + 1)]
+def equal_width_edges(df: DataFrame, colours: int, value: str = VALUE) -> DataFrame:
+    """One row, ``edges``: from the floor of the least value to 100."""
+    low = F.coalesce(F.floor(F.min(value)).cast("double"), F.lit(0.0))
+    return df.agg(F.array(*(low + i * (100.0 - low) / colours for i in range(colours + 1))).alias("edges"))
 
 
-def equal_frequency_edges(df: DataFrame, colours: int, value: str = VALUE) -> list[float]:
-    """Distinct exact quantiles (linear) at 0, 1/n ... 1."""
-    found = quantiles(df, [i / colours for i in range(colours + 1)], value).collect()
-    return sorted({r.value for r in found})
+def equal_frequency_edges(df: DataFrame, colours: int, value: str = VALUE) -> DataFrame:
+    """One row, ``edges``: distinct exact quantiles (linear) at 0, 1/n ... 1."""
+    return quantiles(df, [i / colours for i in range(colours + 1)], value).agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
 def discretised(df: DataFrame, colours: int, by_frequency: bool = False, breakpoints: list[float] | None = None, value: str = VALUE) -> DataFrame:
-    """``discrete``: the colour bin of each row; breakpoints given outright win over both rules."""
+    """``discrete``: the colour bin of each row; breakpoints given outright win over both rules.
+
+    Edges that follow from the data are one row that is joined, so nothing runs before the result is asked for but, for
+    equal frequencies, the sketch of :func:`quantiles`. With a single edge, rows are in bin 0; where all values are the same
+    and bins have equal width, in the top one.
+    """
     if breakpoints:
-        edges = [float(x) for x in breakpoints]
-    else:
-        if not 2 < colours < 12:
-            raise ValueError("3 to 11 colours")
-        edges = equal_frequency_edges(df, colours, value) if by_frequency else equal_width_edges(df, colours, value)
-    if len(edges) < 2:
-        return df.withColumn("discrete", F.lit(0))
-    if edges[0] == edges[-1]:  # all values are the same: the top bin
-        return df.withColumn("discrete", F.lit(0 if by_frequency else colours - 1))
-    return df.withColumn("discrete", bin_column(F.col(value), edges))
+        return df.withColumn("discrete", bin_column(F.col(value), F.array(*(F.lit(float(x)) for x in breakpoints))))
+    if not 2 < colours < 12:
+        raise ValueError("3 to 11 colours")
+    edges = equal_frequency_edges(df, colours, value) if by_frequency else equal_width_edges(df, colours, value)
+    at = F.col("__edges")
+    index = F.when(F.size(at) < 2, 0).when(F.get(at, F.lit(0)) == F.element_at(at, -1), 0 if by_frequency else colours - 1).otherwise(bin_column(F.col(value), at))
+    return df.join(F.broadcast(edges.withColumnRenamed("edges", "__edges"))).withColumn("discrete", index).drop("__edges")  # one row
 
 
 def mirrored(df: DataFrame) -> DataFrame:
@@ -116,24 +111,10 @@ def axis_limits(df: DataFrame, triangular: bool = False) -> DataFrame:
 def quantiles(df: DataFrame, at: list[float], value: str) -> DataFrame:
     """Exact quantiles with linear interpolation, one row each: ``pos``, ``value``. No rows where there are no values.
 
-    Equal values are counted first. Ranks come from running sums inside ``CELLS`` equal intervals of the values and
-    over the totals of these, so no task sorts all values.
+    Nulls and NaN are no values; infinities are the least and the greatest ones, and between two that differ in sign
+    there is NaN. Ranges of values for :func:`.ranges.rank_selection` are sketched while the plan is made.
     """
-    counted = df.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ends = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    placed = counted.join(F.broadcast(ends)).withColumn("cell", cell.cast("int"))  # one row
-    before = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = placed.groupBy("cell").agg(F.sum("c").alias("c")).select("cell", before(Window.orderBy("cell")).alias("base"))  # CELLS rows at most
-    ranked = placed.withColumn("within", before(Window.partitionBy("cell").orderBy("v"))).join(F.broadcast(totals), "cell")
-    first = F.col("base") + F.col("within")
-    place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
-    wanted = F.array(*(F.struct(F.lit(i).alias("pos"), place(q).alias("p")) for i, q in enumerate(at)))
-    holds = lambda p: (p >= first) & (p < first + F.col("c"))
-    met = ranked.select("v", F.explode(F.filter(F.transform(wanted, lambda x: F.struct(x["pos"].alias("pos"), x["p"].alias("p"), holds(F.floor(x["p"])).alias("low"), holds(F.ceil(x["p"])).alias("high"))), lambda x: x["low"] | x["high"])).alias("x"))
-    both = met.groupBy("x.pos", "x.p").agg(F.max(F.when(F.col("x.low"), F.col("v"))).alias("a"), F.max(F.when(F.col("x.high"), F.col("v"))).alias("b"))
-    part = F.col("p") - F.floor("p")
-    return both.select("pos", F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
+    return rank_selection(df, at, value)
 
 
 def row_label(n: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .identity import pair_identity, self_identity
+from .ranges import as_of
 
 
 def build(seqs: DataFrame, layers: list[tuple[int, int]], other: DataFrame | None = None, **options) -> DataFrame:
@@ -41,17 +42,17 @@ def clamped(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
     return inside(low), inside(high)
 
 
-def nearest_edges(edges: DataFrame, points: DataFrame, step: int) -> DataFrame:
-    """For each point the index of the nearest edge (the lower one on ties) and of its predecessor, both 0 at the left end.
+def nearest_edges(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with the index of the nearest edge (``nearest``, the lower one on ties) and of its predecessor (``before``), both 0 at the left end.
 
-    Edges lie ``step`` apart at most, so candidates come from the point's own
-    cell and its neighbours by an equi-join.
+    ``edges``: ``edge`` and ``edge_index``, at any distances. Every row of ``points`` comes back, however far off; a null
+    ``point`` has no nearest edge, and without edges no point has one.
     """
-    e = edges.withColumn("__cell", F.floor(F.col("edge") / step))
-    p = points.withColumn("__cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("point") / step) + d)))
-    near = p.join(e, "__cell").groupBy("point").agg(F.min(F.struct(F.abs(F.col("edge") - F.col("point")).alias("d"), F.col("edge_index").alias("i"))).alias("b"))
-    index = F.col("b.i")
-    return near.select("point", F.when(index > 0, index - 1).otherwise(0).alias("before"), index.alias("nearest"))
+    met = as_of(edges, points, "edge", "point", "edge_index")
+    lower, upper = F.col("point") - F.col("prev.at"), F.col("next.at") - F.col("point")
+    index = F.when(upper.isNull() | (lower <= upper), F.col("prev.edge_index")).otherwise(F.col("next.edge_index"))
+    out = met.withColumn("nearest", index).withColumn("before", F.when(F.col("nearest") > 0, F.col("nearest") - 1).when(F.col("nearest").isNotNull(), 0))
+    return out.select(*points.columns, "before", "nearest")
 
 
 def mirrored(df: DataFrame) -> DataFrame:
@@ -70,6 +71,21 @@ def crop(df: DataFrame, x: tuple[int, int], y: tuple[int, int], own: bool = Fals
     return mirrored(df.filter(near)).filter(inside("i", y[0]) & inside("j", x[0]))
 
 
+def dense(df: DataFrame, x: tuple[int, int], y: tuple[int, int], value: str = "identity") -> DataFrame:
+    """A view as a matrix, zeros included: a row for each ``i`` of ``y`` (from its first place, its end excluded) with an array of the values of ``x``.
+
+    Only a row's stored cells move; the array is filled where the row is. Of cells stored twice the greater value counts;
+    cells outside the view are ignored. The array of a row is as long as the view is wide.
+    """
+    seen = df.filter(F.col("i").between(y[0], y[1] - 1) & F.col("j").between(x[0], x[1] - 1))
+    best = seen.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.max(value).alias("v"))
+    rows = best.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
+    axis = df.sparkSession.range(y[0], y[1]).withColumnRenamed("id", "i")
+    places = F.sequence(F.lit(x[0]).cast("long"), F.lit(x[1] - 1).cast("long")) if x[1] > x[0] else F.array().cast("array<long>")
+    filled = F.transform(places, lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
+    return axis.join(rows, "i", "left").select("i", filled.alias("cells"))
+
+
 def shown(layers: DataFrame, title: str, level: int) -> DataFrame:
     """The layer of one plot; both filters prune partitions of a saved pyramid."""
     return layers.filter((F.col("title") == title) & (F.col("level") == level))

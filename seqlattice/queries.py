@@ -420,6 +420,31 @@ def viewport_crop_self(spark, sf_dir):
     return pyramid.crop(t, (100, 500), (500, 800), own=True).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("best"))
 
 
+@query(f"WITH c AS (SELECT (query_start - 1) // 100 AS a, (reference_start - 1) // 100 AS b, perID_by_events AS v FROM ({PAIRS_SQL})), h AS (SELECT least(a, b) AS i, greatest(a, b) AS j, v FROM c), "
+       "m AS (SELECT i, j, v FROM h UNION ALL SELECT j, i, v FROM h WHERE i <> j), g AS (SELECT a.i, b.j FROM (SELECT unnest(range(400, 700)) AS i) a, (SELECT unnest(range(450, 750)) AS j) b), "
+       "d AS (SELECT g.i, g.j, coalesce(max(m.v), 0) AS v FROM g LEFT JOIN m ON m.i = g.i AND m.j = g.j GROUP BY ALL) "
+       "SELECT i, count(*) AS n, list_sum(list(v ORDER BY j))::DOUBLE AS total, md5(array_to_string([floor(x * 100 + 0.5)::BIGINT FOR x IN list(v ORDER BY j)], ',')) AS digest FROM d GROUP BY i")
+def dense_view(spark, sf_dir):
+    """A view of a self map, both halves, as a matrix."""
+    a, b = F.floor((F.col("query_start") - 1) / 100), F.floor((F.col("reference_start") - 1) / 100)
+    cells = pair_table(spark, sf_dir).select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.col("perID_by_events").alias("identity"))
+    view = (450, 750), (400, 700)
+    rows = pyramid.dense(pyramid.crop(cells, *view, own=True), *view)
+    digest = F.md5(F.array_join(F.transform("cells", lambda v: F.floor(v * 100 + 0.5).cast("string")), ","))
+    return rows.select("i", F.size("cells").cast("long").alias("n"), F.aggregate("cells", F.lit(0.0), lambda s, v: s + v).alias("total"), digest.alias("digest"))
+
+
+@query("WITH e AS (SELECT c_custkey * c_custkey * 3 AS edge, c_custkey AS edge_index FROM customer), p AS (SELECT o_orderkey, o_orderkey * 211 - 5000 AS point FROM orders), "
+       "l AS (SELECT o_orderkey, point, e.edge AS le, e.edge_index AS li FROM p ASOF LEFT JOIN e ON p.point >= e.edge), b AS (SELECT l.*, e.edge AS ue, e.edge_index AS ui FROM l ASOF LEFT JOIN e ON l.point <= e.edge), "
+       "n AS (SELECT o_orderkey, CASE WHEN ue IS NULL OR point - le <= ue - point THEN li ELSE ui END AS nearest FROM b) SELECT o_orderkey, greatest(nearest - 1, 0) AS \"before\", nearest FROM n")
+def nearest_uneven(spark, sf_dir):
+    """Edges that lie ever further apart, points far outside them included."""
+    key = F.col("c_custkey")
+    edges = table(spark, sf_dir, "customer").select((key * key * 3).alias("edge"), key.alias("edge_index"))
+    points = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 211 - 5000).alias("point"))
+    return pyramid.nearest_edges(edges, points).drop("point")
+
+
 @query("SELECT min(c_acctbal) AS least FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0")
 def least_positive(spark, sf_dir):
     cells = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("i"), F.col("c_acctbal").alias("identity"))
@@ -442,7 +467,7 @@ def viewport_clamp(spark, sf_dir):
 def nearest_edge(spark, sf_dir):
     edges = table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") * 4000).alias("edge"), F.col("n_nationkey").cast("int").alias("edge_index"))
     points = table(spark, sf_dir, "events").select((F.col("user_id") * 97 % 90000).alias("point")).distinct()
-    return pyramid.nearest_edges(edges, points, 4000)
+    return pyramid.nearest_edges(edges, points)
 
 
 _LAYERS = [(30, 1), (60, 2)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlattice.functions import text
-from seqlattice.operators import frames, grid, identity, pyramid
+from seqlattice.operators import frames, grid, identity, pyramid, ranges
 from seqlattice.plans.params import IdentityQuery
 from seqlattice.sources import readers, writers
 from seqlattice.streaming import clicks
@@ -21,15 +21,15 @@ def table(spark):
 
 
 def test_bins_are_right_closed(spark, table):
-    edges = frames.equal_width_edges(table, 7)
+    edges = frames.equal_width_edges(table, 7).first().edges
     assert edges[0] == 86.0 and edges[-1] == 100.0
     got = [r.discrete for r in frames.discretised(table, 7).orderBy("perID_by_events").collect()]
     expected = pd.cut(sorted(r[-1] for r in ROWS), edges, labels=False, include_lowest=True)
     assert got == list(expected)
     values = [86.0, 88.0, 88.1, 90.0, 100.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    assert [r.discrete for r in frames.discretised(df, 7, value="v").orderBy("v").collect()] == list(pd.cut(values, frames.equal_width_edges(df, 7, "v"), labels=False, include_lowest=True))
-    freq = frames.equal_frequency_edges(df, 4, "v")
+    assert [r.discrete for r in frames.discretised(df, 7, value="v").orderBy("v").collect()] == list(pd.cut(values, frames.equal_width_edges(df, 7, "v").first().edges, labels=False, include_lowest=True))
+    freq = frames.equal_frequency_edges(df, 4, "v").first().edges
     assert freq == list(np.unique(np.quantile(values, [0, 0.25, 0.5, 0.75, 1])))
 
 
@@ -88,7 +88,7 @@ def test_viewer(spark):
     assert pyramid.least_positive(df).first().least == 88.0
     assert [r.n for r in spark.range(1).select(pyramid.level_of(F.lit(2000000), F.lit(4000000), 2).alias("n")).collect()] == [0]
     edges = spark.createDataFrame([(i, i * 10) for i in range(6)], "edge_index int, edge long")
-    near = {r.point: (r.before, r.nearest) for r in pyramid.nearest_edges(edges, spark.createDataFrame([(0,), (15,), (16,), (49,)], "point long"), 10).collect()}
+    near = {r.point: (r.before, r.nearest) for r in pyramid.nearest_edges(edges, spark.createDataFrame([(0,), (15,), (16,), (49,)], "point long")).collect()}
     assert near == {0: (0, 0), 15: (0, 1), 16: (1, 2), 49: (4, 5)}
 
 
@@ -139,3 +139,58 @@ def test_click_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r.x_start, r.x_end, r.y_start, r.y_end) == (201, 300, 1, 100)
+
+
+def test_quantiles_do_not_depend_on_the_spread(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([np.arange(1, 20001), [1e15, 1e15, -3.5], rng.integers(0, 50, 5000), np.full(9000, 7.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    df = df.unionByName(spark.createDataFrame([(None,), (float("nan"),)], "v double"))
+    at = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.9, 0.99999, 1.0]
+    got = {r.pos: r.value for r in frames.quantiles(df, at, "v").collect()}
+    assert [got[i] for i in range(len(at))] == pytest.approx(list(np.quantile(values, at)), rel=1e-12)
+    cells = ranges.placed(df.filter("v is not null and not isnan(v)"), "v", ranges.splitters(df, "v", 64)).groupBy("__cell").count().collect()
+    ties = max(sum(values == 7), sum(values == 1e15))
+    assert len(cells) > 40 and max(r["count"] for r in cells) <= ties + 2 * len(values) / 64
+
+
+def test_quantiles_of_infinities_and_nothing(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (-inf, 1.0, 2.0, inf)], "v double")
+    got = {r.pos: r.value for r in frames.quantiles(df, [0, 0.25, 0.5, 1], "v").collect()}
+    assert (got[0], got[1], got[2], got[3]) == (-inf, -inf, 1.5, inf)
+    assert frames.quantiles(df.filter("false"), [0.5], "v").count() == 0
+    assert {r.discrete for r in frames.discretised(df.filter("false"), 5, value="v").collect()} == set()
+
+
+def nearest(edges, point):
+    index = min(range(len(edges)), key=lambda i: (abs(edges[i] - point), i))
+    return max(index - 1, 0), index
+
+
+def test_nearest_edge_of_every_point(spark):
+    edges, points = [0, 100, 200], [50, 5000, -900, 150, 100, 99, 51, 50]
+    rng = np.random.default_rng(2)
+    for e, p in ((edges, points), (sorted(rng.choice(100000, 300, replace=False).tolist()), rng.integers(-500, 120000, 2000).tolist())):
+        e_df = spark.createDataFrame(list(enumerate(e)), "edge_index int, edge long")
+        p_df = spark.createDataFrame(list(enumerate(p)), "k long, point long")
+        got = {r.k: (r.before, r.nearest) for r in pyramid.nearest_edges(e_df, p_df).collect()}
+        assert got == {k: nearest(e, x) for k, x in enumerate(p)}
+    odd = pyramid.nearest_edges(e_df, spark.createDataFrame([(None,), (3,)], "point long")).collect()
+    assert len(odd) == 2 and [r.nearest for r in odd if r.point is None] == [None]
+    assert [r.nearest for r in pyramid.nearest_edges(e_df.filter("false"), p_df).limit(2).collect()] == [None, None]
+
+
+def test_as_of_within_few_ranges(spark):
+    e = spark.createDataFrame([(10, "a"), (10, "b"), (30, "c")], "at long, name string")
+    p = spark.createDataFrame([(x,) for x in (5, 10, 11, 30, 31)], "x long")
+    got = {r.x: (r.prev and r.prev.name, r.next and r.next.name) for r in ranges.as_of(e, p, "at", "x", "name", cells=3).collect()}
+    assert got == {5: (None, "a"), 10: ("a", "a"), 11: ("a", "c"), 30: ("c", "c"), 31: ("c", None)}
+
+
+def test_dense_view(spark):
+    df = spark.createDataFrame([(3, 4, 9.0), (3, 4, 8.0), (5, 6, 1.0), (9, 9, 2.0)], "i long, j long, identity double")
+    got = {r.i: r.cells for r in pyramid.dense(df, (4, 7), (3, 6)).collect()}
+    assert got == {3: [9.0, 0.0, 0.0], 4: [0.0] * 3, 5: [0.0, 0.0, 1.0]}
+    assert {tuple(r.cells) for r in pyramid.dense(df.filter("false"), (0, 2), (0, 3)).collect()} == {(0.0, 0.0)}
+    assert pyramid.dense(df, (4, 7), (3, 3)).count() == 0
