@@ -201,10 +201,15 @@ def window_bounds(n: int, window: int, k: int, delta: float, w: np.ndarray) -> t
     return low, np.minimum(high, n), (w >= 0) & ((w <= full) | ((w == full + 1) & (begin <= n - 2)))
 
 
-def _piece_windows(piece: bytes, off: int, n: int, window: int, sparsity: int, k: int, delta: float, dropped: np.ndarray) -> np.ndarray:
-    """Distinct ``w << 33 | hash << 1 | outside`` of a piece: ``outside`` is 0 where a place in the unwidened window has the hash."""
+def _piece_windows(piece: bytes, off: int, n: int, layers: list[tuple[int, int]], k: int, delta: float, dropped: np.ndarray) -> list[np.ndarray]:
+    """For each (window, sparsity), distinct ``w << 33 | hash << 1 | outside`` of a piece: ``outside`` is 0 where a place in the
+    unwidened window has the hash. The piece is hashed once."""
     h = canonical_hashes(piece, k)
-    at = np.flatnonzero((h % sparsity == 0) & ~np.isin(h, dropped))
+    kept = ~np.isin(h, dropped)
+    return [_placed(h, np.flatnonzero((h % sparsity == 0) & kept), off, n, window, k, delta) for window, sparsity in layers]
+
+
+def _placed(h: np.ndarray, at: np.ndarray, off: int, n: int, window: int, k: int, delta: float) -> np.ndarray:
     low32, at = h[at].view(np.uint32).astype(np.int64) << 1, at + off
     centre = (at - (window - k + 2)) // window + 1
     reach, keys = (math.ceil(delta) + 1 if delta else 0), []
@@ -221,20 +226,24 @@ def _piece_windows(piece: bytes, off: int, n: int, window: int, sparsity: int, k
     return found[np.append(True, found[1:] >> 1 != found[:-1] >> 1)] if len(found) else found
 
 
-def _window_arrays(found: list[np.ndarray]) -> pa.Array:
-    """Lists of ``w, core, rim``, one list a piece."""
-    rows, windows, parts = [0], [np.zeros(0, np.int64)], {0: [np.zeros(0, np.int32)], 1: [np.zeros(0, np.int32)]}
+def _window_arrays(found: list[list[np.ndarray]]) -> pa.Array:
+    """Lists of ``layer, w, core, rim``, one list a piece."""
+    rows, layers, windows, parts = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], {0: [np.zeros(0, np.int32)], 1: [np.zeros(0, np.int32)]}
     sizes = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
-    for keys in found:
-        w, place = np.unique(keys >> 33, return_inverse=True)
-        rows.append(rows[-1] + len(w))
-        windows.append(w)
-        h, outside = (keys >> 1 & M32).astype(np.uint32).view(np.int32), keys & 1
-        for side in (0, 1):
-            parts[side].append(h[outside == side])
-            sizes[side].append(np.bincount(place[outside == side], minlength=len(w)))
+    for piece in found:
+        rows.append(rows[-1])
+        for layer, keys in enumerate(piece):
+            w, place = np.unique(keys >> 33, return_inverse=True)
+            rows[-1] += len(w)
+            windows.append(w)
+            layers.append(np.full(len(w), layer, np.int32))
+            h, outside = (keys >> 1 & M32).astype(np.uint32).view(np.int32), keys & 1
+            for side in (0, 1):
+                parts[side].append(h[outside == side])
+                sizes[side].append(np.bincount(place[outside == side], minlength=len(w)))
     lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes[side]))), pa.int32()), pa.array(np.concatenate(parts[side]))) for side in (0, 1)]
-    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(np.concatenate(windows)), *lists], ["w", "core", "rim"]))
+    columns = [pa.array(np.concatenate(layers)), pa.array(np.concatenate(windows)), *lists]
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, ["layer", "w", "core", "rim"]))
 
 
 def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0.0, sparsity: int | str = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
@@ -245,20 +254,34 @@ def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0
     the Arrow function as one for each window and piece of a sequence; they are brought together by window, and hold
     as many hashes as a widened window has at most.
     """
-    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
     value = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
+    return _sketched(seqs, F.array(F.struct(value(window).alias("window"), value(sparsity).alias("sparsity"))), k, delta, ambiguous, seq).drop("layer")
+
+
+def layered_sketches(seqs: DataFrame, layers: list[tuple[int, int]], k: int, delta: float = 0.0, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+    """:func:`window_sketches` for several (window, sparsity) at once, with ``layer``, the place in the list. All layers come from one hashing."""
+    sizes = F.array(*(F.struct(F.lit(w).cast("long").alias("window"), F.lit(s).cast("long").alias("sparsity")) for w, s in layers))
+    return _sketched(seqs, sizes, k, delta, ambiguous, seq)
+
+
+def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: bool, seq: str) -> DataFrame:
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
 
-    @F.arrow_udf("array<struct<w:bigint,core:array<int>,rim:array<int>>>")
-    def placed(piece: pa.Array, off: pa.Array, n: pa.Array, window: pa.Array, sparsity: pa.Array) -> pa.Array:
-        rows = zip(piece, *(x.to_pylist() for x in (off, n, window, sparsity)), strict=True)
-        return _window_arrays([_piece_windows(p.as_py(), o, m, w, s, k, delta, dropped) for p, o, m, w, s in rows])
+    @F.arrow_udf("array<struct<layer:int,w:bigint,core:array<int>,rim:array<int>>>")
+    def placed(piece: pa.Array, off: pa.Array, n: pa.Array, sizes: pa.Array) -> pa.Array:
+        rows = zip(piece, *(x.to_pylist() for x in (off, n, sizes)), strict=True)
+        return _window_arrays([_piece_windows(p.as_py(), o, m, [(x["window"], x["sparsity"]) for x in z], k, delta, dropped) for p, o, m, z in rows])
 
     keys = [c for c in seqs.columns if c != seq]
-    df = chunked(seqs.select(*keys, seq, F.octet_length(seq).cast("long").alias("__n")).withColumns({"__w": value(window), "__s": value(sparsity)}), k, seq)
-    df = df.select(*keys, F.explode(placed("piece", "off", F.col("__n") - (k - 1), "__w", "__s")).alias("__r")).select(*keys, "__r.*")
-    both = df.groupBy(*keys, "w").agg(F.collect_list(F.struct("core", "rim")).alias("__p"))
+    if seq in seqs.columns:
+        df = chunked(seqs.withColumns({"__n": F.octet_length(seq).cast("long"), "__z": sizes}), k, seq)
+    else:  # pieces already
+        keys = [c for c in keys if c not in ("piece", "off", "length")]
+        df = seqs.withColumns({"__n": F.col("length"), "__z": sizes})
+    df = df.select(*keys, F.explode(placed("piece", "off", F.col("__n") - (k - 1), "__z")).alias("__r")).select(*keys, "__r.*")
+    both = df.groupBy(*keys, "layer", "w").agg(F.collect_list(F.struct("core", "rim")).alias("__p"))
     whole = lambda name: F.when(F.size("__p") == 1, F.get("__p", 0)[name]).otherwise(F.array_distinct(F.flatten(F.transform("__p", lambda p: p[name]))))
-    out = both.select(*keys, "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))
+    out = both.select(*keys, "layer", "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))
     return out.withColumn("rim", F.when(F.col("__many"), F.array_except("rim", "core")).otherwise(F.col("rim"))).drop("__many")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kmers import hash_sets, window_sketches
+from ..functions.kmers import hash_sets, layered_sketches, window_sketches
 
 # Executors need not have the library installed: functions are shipped with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK = 128
 #: Sequences of up to so many blocks are compared block by block, longer ones through postings.
 FEW = 16
+#: Columns that hold the bases: whole sequences (``seq``), or pieces that overlap by k - 1 with their place and the sequence's length.
+PIECE = ("seq", "piece", "off", "length")
 #: Bits of the filter of one side's hashes: a fixed size, whatever the side has.
 FILTER_BITS = 1 << 24
 #: Pairs that are expanded at once, and hashes of one matrix product; results do not depend on them.
@@ -218,8 +220,47 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     containment of the lower window alone must reach the threshold; the value is that of the greater containment of
     the two directions. Both directions of all pairs of a cell are counted at once.
     """
-    keys = [c for c in seqs.columns if c != "seq"]
-    found = window_sketches(_with_blocks(seqs, window, k), window, k, delta, sparsity, ambiguous)
+    keys = [c for c in seqs.columns if c not in PIECE]
+    found = window_sketches(seqs.withColumn("__blocks", _blocks(_n_kmers(seqs, k), window, k)), window, k, delta, sparsity, ambiguous)
+    pairs = _self_pairs(found, keys, k, identity)
+    if ambiguous:  # empty windows count as equal to themselves
+        lengths = seqs.select(*keys, _n_kmers(seqs, k).alias("__n"))
+        diagonal = _every_window(lengths if "seq" in seqs.columns else lengths.distinct(), window, k)
+    else:
+        diagonal = found.filter(F.size("core") > 0)
+    return pairs.unionByName(_diagonal(diagonal, keys))
+
+
+def layered_identity(seqs: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False) -> DataFrame:
+    """:func:`self_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; sequences are hashed once for all of them."""
+    seqs = seqs.withColumn("__n", _n_kmers(seqs, k))
+    found = layered_sketches(seqs, layers, k, delta, ambiguous).withColumn("window", _layer_window(layers))
+    keys = [*(c for c in seqs.columns if c not in (*PIECE, "__n")), "layer", "window"]
+    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n"), "window", k)), keys, k, identity)
+    if ambiguous:
+        numbered = seqs.drop(*PIECE).distinct() if "seq" not in seqs.columns else seqs.drop("seq")
+        numbered = numbered.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
+        diagonal = _every_window(numbered.withColumn("window", _layer_window(layers)), "window", k)
+    else:
+        diagonal = found.filter(F.size("core") > 0)
+    return pairs.unionByName(_diagonal(diagonal, keys))
+
+
+def _layer_window(layers: list[tuple[int, int]]) -> Column:
+    return F.get(F.array(*(F.lit(w) for w, _ in layers)), F.col("layer"))
+
+
+def _n_kmers(seqs: DataFrame, k: int) -> Column:
+    n = F.octet_length("seq").cast("long") if "seq" in seqs.columns else F.col("length")
+    return n - (k - 1)
+
+
+def _diagonal(windows: DataFrame, keys: list[str]) -> DataFrame:
+    return windows.select(*keys, F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity"))
+
+
+def _self_pairs(found: DataFrame, keys: list[str], k: int, identity: float) -> DataFrame:
+    """Pairs ``i < j`` of the windows of sketches that carry ``__blocks``, the number of blocks of their sequence."""
     few = found.filter(F.col("__blocks") <= FEW).withColumn("__own", F.floor(F.col("w") / CHUNK).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda t: F.struct(F.least(t, "__own").alias("__a"), F.greatest(t, "__own").alias("__b")))
     few = few.select(*keys, "w", "core", "rim", F.inline(cells))
@@ -229,12 +270,7 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     met = side("__a", "xs").join(side("__b", "ys"), [*keys, "h"]).filter("__a <= __b")
     met = met.filter((F.col("__a") < F.col("__b")) | (F.size("xs") > 1))
     counted = counted.unionByName(_counted(met.select(*keys, "__a", "__b", "xs", "ys"), keys, _from_postings(keys, order=True)))
-    pairs = _passing(counted, k, identity).select(*keys, "i", "j", "identity")
-    if ambiguous:  # empty windows count as equal to themselves
-        diagonal = _every_window(seqs.select(*keys, (F.octet_length("seq").cast("long") - (k - 1)).alias("__n")), window, k)
-    else:
-        diagonal = found.filter(F.size("core") > 0)
-    return pairs.unionByName(diagonal.select(*keys, F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity")))
+    return _passing(counted, k, identity).select(*keys, "i", "j", "identity")
 
 
 def _last_window(n: Column, window: int | str, k: int) -> tuple[Column, Column]:
@@ -244,9 +280,9 @@ def _last_window(n: Column, window: int | str, k: int) -> tuple[Column, Column]:
     return full, (w - k + 1) + full * w <= n - 2
 
 
-def _with_blocks(seqs: DataFrame, window: int | str, k: int) -> DataFrame:
-    full, rest = _last_window(F.octet_length("seq").cast("long") - (k - 1), window, k)
-    return seqs.withColumn("__blocks", F.floor((full + rest.cast("long")) / CHUNK).cast("int") + 1)
+def _blocks(n: Column, window: int | str, k: int) -> Column:
+    full, rest = _last_window(n, window, k)
+    return F.floor((full + rest.cast("long")) / CHUNK).cast("int") + 1
 
 
 def _every_window(lengths: DataFrame, window: int | str, k: int) -> DataFrame:
@@ -274,13 +310,20 @@ def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k:
     the reference is hashed ahead, while the plan is made, for a bitmap of fixed
     size, and hashes of the query that it cannot hold never leave their task.
     """
-    def names(seqs: DataFrame, prefix: str) -> dict[str, str]:
-        return {c: f"{prefix}_{'id' if c == 'seq_id' else c}" for c in seqs.columns if c != "seq" and c not in on}
-
     q, r = (window_sketches(s, window, k, delta, sparsity, ambiguous) for s in (query, reference))
+    return _pairs_between(q, r, k, identity, on, only, prune)
+
+
+def layered_pair_identity(query: DataFrame, reference: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False, prune: bool = True) -> DataFrame:
+    """:func:`pair_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; each side is hashed once for all of them."""
+    q, r = (layered_sketches(s, layers, k, delta, ambiguous) for s in (query, reference))
+    return _pairs_between(q, r, k, identity, ("layer",), None, prune).withColumn("window", _layer_window(layers))
+
+
+def _pairs_between(q: DataFrame, r: DataFrame, k: int, identity: float, on: tuple[str, ...], only: Column | None, prune: bool) -> DataFrame:
     if prune:
         q = _only_held(q, bitmap(r.select(F.explode(F.concat("core", "rim")).alias("h"))))
-    q_names, r_names = names(query, "q"), names(reference, "r")
+    q_names, r_names = ({c: f"{p}_{'id' if c == 'seq_id' else c}" for c in s.columns if c not in ("w", "core", "rim", "size", *on)} for s, p in ((q, "q"), (r, "r")))
     keys = [*on, *q_names.values(), *r_names.values()]
     # A is the reference's window, B the query's.
     a = _postings(r.withColumnsRenamed(r_names), [*on, *r_names.values()], "xs").withColumnRenamed("__block", "__a")
@@ -333,5 +376,9 @@ def bins_pixels(pairs: DataFrame, n_x: int, n_y: int, window: int, x_name: str,
         return spark.range(n).select(F.lit(name).alias("chrom"), (F.col("id") * window).alias("start"), ((F.col("id") + 1) * window).alias("end"))
 
     bins = side(n_x, x_name) if y_name is None else side(n_x, x_name).unionByName(side(n_y, y_name))
-    shift = 0 if y_name is None else n_x
-    return bins, pairs.select(F.col("i").alias("bin1_id"), (F.col("j") + shift).alias("bin2_id"), F.col("identity").alias("count"))
+    return bins, pixels(pairs, 0 if y_name is None else n_x)
+
+
+def pixels(pairs: DataFrame, shift: int | Column = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of a contact map; columns of a second sequence follow the first one's ``shift`` bins."""
+    return pairs.select(*keep, F.col("i").alias("bin1_id"), (F.col("j") + shift).alias("bin2_id"), F.col("identity").alias("count"))

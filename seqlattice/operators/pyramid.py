@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import pair_identity, self_identity
+from .identity import layered_identity, layered_pair_identity
 from .ranges import as_of
 
 
 def build(seqs: DataFrame, layers: list[tuple[int, int]], other: DataFrame | None = None, **options) -> DataFrame:
-    """All layers, coarsest first as level 0. ``layers``: (window, sparsity), finest first."""
-    parts = []
-    for level, (window, sparsity) in enumerate(reversed(layers)):
-        if other is None:
-            pairs = self_identity(seqs, window, sparsity=sparsity, **options)
-        else:
-            pairs = pair_identity(seqs, other, window, sparsity=sparsity, **options)
-        parts.append(pairs.withColumns({"level": F.lit(level), "window": F.lit(window)}))
-    return reduce(DataFrame.unionByName, parts)
+    """All layers, coarsest first as level 0, with their ``window``. ``layers``: (window, sparsity), finest first.
+
+    Sequences are hashed once, whatever the number of layers, and all layers are counted in one grouping.
+    """
+    made = layered_identity(seqs, layers, **options) if other is None else layered_pair_identity(seqs, other, layers, **options)
+    return made.withColumn("level", F.lit(len(layers) - 1) - F.col("layer")).drop("layer")
+
+
+def z_order(i: Column, j: Column) -> Column:
+    """Place of a cell (coordinates below 2**31) on a curve that keeps near cells together: the bits of both, interleaved."""
+    def spread(c: Column) -> Column:
+        c = c.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(mask)
+        return c
+
+    return F.shiftleft(spread(i), 1).bitwiseOR(spread(j))
 
 
 def masked(df: DataFrame, low: float, high: float, value: str = "identity") -> DataFrame:

@@ -470,20 +470,19 @@ def nearest_edge(spark, sf_dir):
     return pyramid.nearest_edges(edges, points)
 
 
-_LAYERS = [(30, 1), (60, 2)]
+_LAYERS = [(60, 2), (120, 4)]
 
 
-@query(" UNION ALL ".join(f"(SELECT seq_id, {level} AS level, i, j, identity FROM ({_self_sql(w, 8, s, DELTA, ID, name='benchmark', id_col='item_id')}))" for level, (w, s) in enumerate(reversed(_LAYERS))))
+@query(" UNION ALL ".join(f"(SELECT seq_id, {level} AS level, i, j, identity FROM ({_self_sql(w, K, s, DELTA, ID)}))" for level, (w, s) in enumerate(reversed(_LAYERS))))
 def pyramid_levels(spark, sf_dir):
-    built = pyramid.build(sequences(spark, sf_dir, "benchmark", "item_id"), _LAYERS, k=8, identity=ID, delta=DELTA)
+    built = pyramid.build(sequences(spark, sf_dir), _LAYERS, k=K, identity=ID, delta=DELTA)
     return built.select("seq_id", "level", "i", "j", F.round("identity", 6).alias("identity"))
 
 
 @query(f"SELECT seq_id, i AS bin1_id, j AS bin2_id, identity AS \"count\" FROM ({_self_sql(30, 8, 1, DELTA, ID, name='benchmark', id_col='item_id')})")
 def bins_pixels(spark, sf_dir):
     pairs = identity.self_identity(sequences(spark, sf_dir, "benchmark", "item_id"), 30, 8, ID, DELTA)
-    pixels = pairs.select("seq_id", F.col("i").alias("bin1_id"), F.col("j").alias("bin2_id"), F.round("identity", 6).alias("count"))
-    return pixels
+    return identity.pixels(pairs, keep=("seq_id",)).withColumn("count", F.round("count", 6))
 
 
 # grids

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import identity
+from ..operators.pyramid import z_order
 
 
 def bedpe(df: DataFrame, path: str, single: bool = False) -> None:
@@ -36,9 +37,16 @@ def contact_map(bins: DataFrame, pixels: DataFrame, path: str) -> None:
     pixels.write.mode("overwrite").parquet(f"{path}/pixels")
 
 
-def pyramid(layers: DataFrame, metadata: DataFrame, folder: str) -> None:
-    """Layers by title and level, each sorted so that a view's row groups can be skipped."""
-    layers.repartition("title", "level").sortWithinPartitions("i", "j").write.mode("overwrite").partitionBy("title", "level").parquet(f"{folder}/layers")
+def pyramid(layers: DataFrame, metadata: DataFrame, folder: str, tile: int = 64, row_group: int = 1 << 18, rows_per_file: int = 4_000_000) -> None:
+    """Layers by title and level, in square tiles along a space-filling curve, so that a view finds its cells in few row groups.
+
+    Ranges of the curve are spread over tasks, so a large level is written by many and has several files, of
+    ``rows_per_file`` at most; ``row_group`` is in bytes.
+    """
+    place = z_order(F.floor(F.col("i") / tile), F.floor(F.col("j") / tile))
+    ordered = layers.withColumn("__z", place).repartitionByRange("title", "level", "__z").sortWithinPartitions("title", "level", "__z", "i", "j").drop("__z")
+    out = ordered.write.mode("overwrite").partitionBy("title", "level").option("parquet.block.size", row_group).option("maxRecordsPerFile", rows_per_file)
+    out.parquet(f"{folder}/layers")
     metadata.write.mode("overwrite").parquet(f"{folder}/metadata")
 
 
