@@ -35,6 +35,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,9 @@ from pyspark.sql import types as T
 from .common import persisted, scratch
 
 #: Units of a block of texts.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 #: Distinct units that a task remembers and the characters one may have; results do not depend on them.
-UNITS, REMEMBERED = 400_000, 64
+UNITS, REMEMBERED = 200_000, 64
 
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space but space and line feed, what Python alone takes for it, and the mark that B writes for a space.
@@ -75,22 +76,24 @@ def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
 
 
 class Vocabularies:
-    """Both tokenizers, and the bytes of their ids."""
+    """Both tokenizers, and the bytes of their ids. ``pattern`` is the split of A's byte-level form."""
 
-    def __init__(self, a_definition: str, b_model: bytes):
+    def __init__(self, a_definition: str, b_model: bytes, pattern: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_definition)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        vocabulary = self.a.get_vocab()
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in plain]
+        self.letters = [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+        byte = {c: b for b, c in enumerate(self.letters)}
+        vocabulary, special = self.a.get_vocab(), {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.b_bytes, inner = [], []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -99,6 +102,8 @@ class Vocabularies:
                 inner.append(piece)
         self.by_units = not inner
         self.space = self.b.piece_to_id("▁")
+        # A's own vocabulary, merged by rank: for a byte-level vocabulary whose ids follow its merges that is the same encoding.
+        self.ranked = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes) if i not in special}, special_tokens={})
 
     def units(self, text: str) -> list[str]:
         """What may be encoded apart, of a text that begins with the added space."""
@@ -106,63 +111,69 @@ class Vocabularies:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each unit on both sides. B adds a space itself: it takes the unit's own place, or is taken off again."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = list(map(self.ranked.encode_ordinary, units))  # special tokens play no part, so their strings are plain text
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         # Nothing is added to an empty text.
         return a, [[self.space] if u == " " else ids if u[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for u, ids in zip(units, b, strict=True)]
 
 
 class Units:
-    """What is known of each unit: numbers of A and B tokens and of groups, the groups as text, and the linked id pairs."""
+    """What is known of each unit: numbers of A and B tokens and of groups, the groups as text, and the linked id pairs (packed)."""
 
     def __init__(self, vocabularies: Vocabularies, rule: str):
         self.v, self.rule = vocabularies, rule
-        self.known: dict[str, tuple[int, int, int, bytes, np.ndarray] | None] = {}
-        self.a_text, self.b_text = ([[str(i).encode() + s for i in range(len(x))] for s in (b",", b"|", b";", b"")] for x in (vocabularies.a_bytes, vocabularies.b_bytes))
+        self.known: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
+        # An id with what may follow it: "," within its side of a group, "|" after A's last, ";" after B's last, nothing at a unit's end.
+        self.words = [str(i).encode() + mark for x in (vocabularies.a_bytes, vocabularies.b_bytes) for i in range(len(x)) for mark in (b",", b"|", b";", b"")]
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (vocabularies.a_bytes, vocabularies.b_bytes)]
 
-    def learn(self, units: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray] | None]:
-        """Of each unit; None where the tokens do not spell it."""
+    def learn(self, units: list[str], again: list[bool]) -> list[tuple[int, int, int, bytes, bytes] | None]:
+        """Of each unit; None where the tokens do not spell it. Those that came ``again`` are worth remembering."""
         new = [u for u in units if u not in self.known]
         fresh = dict(zip(new, self._aligned(new), strict=True)) if new else {}
         out = [fresh[u] if u in fresh else self.known[u] for u in units]
-        if len(self.known) + len(new) > UNITS:
+        if len(self.known) > UNITS:
             self.known.clear()
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= REMEMBERED)
+        self.known.update((u, fresh[u]) for u, x in zip(units, again, strict=True) if x and u in fresh and len(u) <= REMEMBERED)
         return out
 
     def _aligned(self, units: list[str]) -> list:
         v = self.v
         a_ids, b_ids = v.encode(units)
         spelt = [u.encode() for u in units]
-        ok = [b"".join(map(v.a_bytes.__getitem__, a)) == s == b"".join(map(v.b_bytes.__getitem__, b)) for a, b, s in zip(a_ids, b_ids, spelt, strict=True)]
-        good = [i for i, x in enumerate(ok) if x]
+        good = list(range(len(units)))
+        length = np.fromiter(map(len, spelt), np.int64, len(units))
+        flat, at, whole = [], [], b"".join(spelt)
+        for ids, spell, sizes in ((a_ids, v.a_bytes, self.sizes[0]), (b_ids, v.b_bytes, self.sizes[1])):
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64))
+            at.append(np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+            reach = np.append(0, np.cumsum(sizes[flat[-1]]))[at[-1]]
+            if not (np.array_equal(np.diff(reach), length) and b"".join(map(spell.__getitem__, flat[-1].tolist())) == whole):
+                good = [i for i in good if b"".join(map(spell.__getitem__, ids[i])) == spelt[i]]
+        out: list = [None] * len(units)
+        if len(good) < len(units):
+            for i, x in zip(good, self._aligned([units[i] for i in good]) if good else [], strict=True):
+                out[i] = x
+            return out
+        (a, b), (a_at, b_at) = flat, at
         # All units' bytes one after another: groups cannot reach from one unit into the next.
-        ends = lambda ids, spell: np.cumsum(np.fromiter((len(spell[t]) for i in good for t in ids[i]), np.int64))
-        a_end, b_end = ends(a_ids, v.a_bytes), ends(b_ids, v.b_bytes)
-        starts = lambda end: np.append(0, end)[:-1]
-        a_group, b_group = coalesce(starts(a_end), a_end, starts(b_end), b_end)
-        x, y = overlaps(starts(a_end), a_end, starts(b_end), b_end)
+        a_end, b_end = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        a_start, b_start = a_end - self.sizes[0][a], b_end - self.sizes[1][b]
+        a_group, b_group = coalesce(a_start, a_end, b_start, b_end)
+        x, y = overlaps(a_start, a_end, b_start, b_end)
         if self.rule == "end":
             together = a_end[x] == b_end[y]
             x, y = x[together], y[together]
-        flat = lambda ids: np.fromiter((t for i in good for t in ids[i]), np.int64)
-        pairs = flat(a_ids)[x] << 32 | flat(b_ids)[y]
-        out: list = [None] * len(units)
-        size = lambda ids: np.cumsum([0, *(len(ids[i]) for i in good)])
-        a_at, b_at = size(a_ids), size(b_ids)
-        link_at = np.searchsorted(x, a_at)
-        # What follows a token: "," within its side of a group, "|" after A's last, ";" after B's last, nothing at a unit's end.
-        a_mark = np.append(a_group[1:] != a_group[:-1], True).astype(int) if len(a_group) else np.zeros(0, int)
-        b_mark = np.append(b_group[1:] != b_group[:-1], True).astype(int) * 2 if len(b_group) else np.zeros(0, int)
+        pairs, link_at = (a[x] << 32 | b[y]).tobytes(), np.searchsorted(x, a_at)
+        a_mark = np.append(a_group[1:] != a_group[:-1], True).astype(np.int64)
+        b_mark = np.append(b_group[1:] != b_group[:-1], True).astype(np.int64) * 2
         b_mark[b_at[1:] - 1] = 3
-        order = np.lexsort((np.repeat([0, 1], [len(a_group), len(b_group)]), np.concatenate([a_group, b_group]))) if len(a_group) else []
-        words = [self.a_text[m][t] for m, t in zip(a_mark, (t for i in good for t in a_ids[i]), strict=True)]
-        words += [self.b_text[m][t] for m, t in zip(b_mark, (t for i in good for t in b_ids[i]), strict=True)]
-        words = [words[i] for i in order]
-        for k, i in enumerate(good):
-            p, q, r, s = a_at[k], a_at[k + 1], b_at[k], b_at[k + 1]
-            out[i] = (int(q - p), int(s - r), int(a_group[q - 1] - a_group[p] + 1), b"".join(words[p + r : q + s]), pairs[link_at[k] : link_at[k + 1]])
-        return out
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a_group, b_group])))
+        keys = np.concatenate([a * 4 + a_mark, (b + len(v.a_bytes)) * 4 + b_mark])[order]
+        words, word_at = list(map(self.words.__getitem__, keys.tolist())), (a_at + b_at).tolist()
+        groups = (a_group[a_at[1:] - 1] - a_group[a_at[:-1]] + 1).tolist()
+        n_a, n_b, links = np.diff(a_at).tolist(), np.diff(b_at).tolist(), (link_at * 8).tolist()
+        return [(n_a[i], n_b[i], groups[i], b"".join(words[word_at[i] : word_at[i + 1]]), pairs[links[i] : links[i + 1]]) for i in range(len(units))]
 
 
 _BLOCKS = (
@@ -170,11 +181,11 @@ _BLOCKS = (
 )
 
 
-def blocks(df: DataFrame, a_path: str, b_path: str, rule: str = "end", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks(df: DataFrame, a_path: str, b_path: str, pattern: str, rule: str = "end", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of aligned texts: ``docs`` (a row a text), ``units`` (how many each text has), ``codes`` (of all units), ``links``
     (how many each distinct unit has), ``pairs`` (their codes), and by pair code the ids ``a, b`` and how often they are linked, ``n``."""
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
-        shipped = df.sparkSession.sparkContext.broadcast((f.read(), g.read()))
+        shipped = df.sparkSession.sparkContext.broadcast((f.read(), g.read(), pattern))
     ids = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +200,18 @@ def blocks(df: DataFrame, a_path: str, b_path: str, rule: str = "end", block: in
         def row() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            found = known.learn(list(places))
+            of = np.array(codes, np.int32)
+            found = known.learn(list(places), (np.bincount(of, minlength=len(places)) > 1).tolist())
             good = np.array([x is not None for x in found] or [True], bool)
             column = lambda i: np.array([x[i] if x else 0 for x in found] or [0], np.int64)
-            lengths = np.array([len(x[4]) if x else 0 for x in found] or [0], np.int64)
+            lengths = np.array([len(x[4]) // 8 if x else 0 for x in found] or [0], np.int64)
             spelt = [x[3] if x else b"" for x in found]
-            at, of = np.cumsum([0, *counts]), np.array(codes, np.int32)
+            at = np.cumsum([0, *counts])
             fine = np.array([n > 0 and bool(good[of[s:e]].all()) for n, s, e in zip(counts, at[:-1], at[1:], strict=True)], bool)
             total = lambda x: np.where(fine, np.append(0, np.cumsum(x[of]))[at[1:]] - np.append(0, np.cumsum(x[of]))[at[:-1]], 0)
             sha = [hashlib.sha256(b";".join(map(spelt.__getitem__, codes[s:e]))).hexdigest() if x else "" for x, s, e in zip(fine, at[:-1], at[1:], strict=True)]
             held, sizes = of[np.repeat(fine, counts)], np.where(fine, counts, 0)
-            links = np.concatenate([x[4] for x in found if x] or [np.zeros(0, np.int64)])
+            links = np.frombuffer(b"".join(x[4] for x in found if x), np.int64)
             distinct, places_of = np.unique(links, return_inverse=True)
             often = np.zeros(len(distinct), np.int64)
             np.add.at(often, places_of, np.repeat(np.bincount(held, minlength=len(lengths)), lengths))
@@ -261,10 +273,10 @@ def scored(found: DataFrame, counts: DataFrame, id_col: str = "doc_id") -> DataF
     return met.select("docs", "units", "codes", "links", "pairs", "answers").mapInArrow(run, schema)
 
 
-def aligned(df: DataFrame, a_path: str, b_path: str, rule: str = "end", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned(df: DataFrame, a_path: str, b_path: str, pattern: str, rule: str = "end", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text: numbers of tokens, groups and links, and how its links stand in the whole corpus."""
     with scratch() as keep:
-        found = persisted(blocks(df, a_path, b_path, rule, block, id_col, text_col), "aligned")
+        found = persisted(blocks(df, a_path, b_path, pattern, rule, block, id_col, text_col), "aligned")
         counts = persisted(pair_counts(found), "pairs")
         return keep(persisted(scored(found, counts, id_col), "alignment"))
 
@@ -272,4 +284,4 @@ def aligned(df: DataFrame, a_path: str, b_path: str, rule: str = "end", block: i
 def op12_alignment(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
