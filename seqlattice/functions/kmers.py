@@ -246,20 +246,22 @@ def _window_arrays(found: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, ["layer", "w", "core", "rim"]))
 
 
-def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0.0, sparsity: int | str = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0.0, sparsity: int | str = 1, ambiguous: bool = False, seq: str = "seq", lengths: bool = False) -> DataFrame:
     """The columns of ``seqs`` but ``seq``, and for each window that has any ``w``, ``core`` and ``rim``: the distinct
     kept hashes of the window, and those that only its widened form has.
 
     Each sequence is hashed once, whatever is made of it. ``window`` and ``sparsity`` are numbers or columns. Rows leave
     the Arrow function as one for each window and piece of a sequence; they are brought together by window, and hold
-    as many hashes as a widened window has at most.
+    as many hashes as a widened window has at most. With ``lengths`` the sequence's length comes as ``__n``.
+
+    Instead of ``seq`` there may be ``piece``, ``off`` and ``length``: pieces that overlap by ``k - 1``.
     """
     value = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
-    return _sketched(seqs, F.array(F.struct(value(window).alias("window"), value(sparsity).alias("sparsity"))), k, delta, ambiguous, seq).drop("layer")
+    return _sketched(seqs, F.array(F.struct(value(window).alias("window"), value(sparsity).alias("sparsity"))), k, delta, ambiguous, seq).drop("layer", *([] if lengths else ["__n"]))
 
 
 def layered_sketches(seqs: DataFrame, layers: list[tuple[int, int]], k: int, delta: float = 0.0, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
-    """:func:`window_sketches` for several (window, sparsity) at once, with ``layer``, the place in the list. All layers come from one hashing."""
+    """:func:`window_sketches` for several (window, sparsity) at once, with ``layer``, the place in the list, and the sequence's length ``__n``. All layers come from one hashing."""
     sizes = F.array(*(F.struct(F.lit(w).cast("long").alias("window"), F.lit(s).cast("long").alias("sparsity")) for w, s in layers))
     return _sketched(seqs, sizes, k, delta, ambiguous, seq)
 
@@ -278,7 +280,8 @@ def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: b
     else:  # pieces already
         keys = [c for c in keys if c not in ("piece", "off", "length")]
         df = seqs.withColumns({"__n": F.col("length"), "__z": sizes})
-    df = df.select(*keys, F.explode(placed("piece", "off", F.col("__n") - (k - 1), "__z")).alias("__r")).select(*keys, "__r.*")
+    keys.append("__n")
+    df = df.select(*keys, placed("piece", "off", F.col("__n") - (k - 1), "__z").alias("__r")).select(*keys, F.explode("__r").alias("__r")).select(*keys, "__r.*")
     both = df.groupBy(*keys, "layer", "w").agg(F.collect_list(F.struct("core", "rim")).alias("__p"))
     whole = lambda name: F.when(F.size("__p") == 1, F.get("__p", 0)[name]).otherwise(F.array_distinct(F.flatten(F.transform("__p", lambda p: p[name]))))
     out = both.select(*keys, "layer", "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))

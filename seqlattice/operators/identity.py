@@ -221,8 +221,8 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     the two directions. Both directions of all pairs of a cell are counted at once.
     """
     keys = [c for c in seqs.columns if c not in PIECE]
-    found = window_sketches(seqs.withColumn("__blocks", _blocks(_n_kmers(seqs, k), window, k)), window, k, delta, sparsity, ambiguous)
-    pairs = _self_pairs(found, keys, k, identity)
+    found = window_sketches(seqs, window, k, delta, sparsity, ambiguous, lengths=True)
+    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), window, k)), keys, k, identity)
     if ambiguous:  # empty windows count as equal to themselves
         lengths = seqs.select(*keys, _n_kmers(seqs, k).alias("__n"))
         diagonal = _every_window(lengths if "seq" in seqs.columns else lengths.distinct(), window, k)
@@ -233,13 +233,13 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
 
 def layered_identity(seqs: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False) -> DataFrame:
     """:func:`self_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; sequences are hashed once for all of them."""
-    seqs = seqs.withColumn("__n", _n_kmers(seqs, k))
+    own = [c for c in seqs.columns if c not in PIECE]
     found = layered_sketches(seqs, layers, k, delta, ambiguous).withColumn("window", _layer_window(layers))
-    keys = [*(c for c in seqs.columns if c not in (*PIECE, "__n")), "layer", "window"]
-    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n"), "window", k)), keys, k, identity)
+    keys = [*own, "layer", "window"]
+    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), "window", k)), keys, k, identity)
     if ambiguous:
-        numbered = seqs.drop(*PIECE).distinct() if "seq" not in seqs.columns else seqs.drop("seq")
-        numbered = numbered.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
+        numbered = seqs.select(*own, _n_kmers(seqs, k).alias("__n"))
+        numbered = (numbered if "seq" in seqs.columns else numbered.distinct()).withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
         diagonal = _every_window(numbered.withColumn("window", _layer_window(layers)), "window", k)
     else:
         diagonal = found.filter(F.size("core") > 0)
@@ -316,7 +316,7 @@ def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k:
 
 def layered_pair_identity(query: DataFrame, reference: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False, prune: bool = True) -> DataFrame:
     """:func:`pair_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; each side is hashed once for all of them."""
-    q, r = (layered_sketches(s, layers, k, delta, ambiguous) for s in (query, reference))
+    q, r = (layered_sketches(s, layers, k, delta, ambiguous).drop("__n") for s in (query, reference))
     return _pairs_between(q, r, k, identity, ("layer",), None, prune).withColumn("window", _layer_window(layers))
 
 

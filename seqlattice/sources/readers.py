@@ -5,13 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.kmers import CHUNK
 from ..plans.params import IdentityQuery
 
+# Executors need not have the library installed: functions are shipped with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BEDPE = T.StructType([
     T.StructField("query_name", T.StringType()), T.StructField("query_start", T.LongType()), T.StructField("query_end", T.LongType()),
     T.StructField("reference_name", T.StringType()), T.StructField("reference_start", T.LongType()), T.StructField("reference_end", T.LongType()),
@@ -29,17 +37,25 @@ def _plain(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path) if re.match(r"^[a-z0-9]+:", path) else os.path.abspath(path)
 
 
+def _file() -> Column:
+    """The path of a row's file, without scheme and host."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")
+
+
+def _place(paths: list[str]) -> Column:
+    """The first path that is the file or a folder that holds it; files of a pattern come last."""
+    given = F.array(*(F.lit(_plain(p).rstrip("/")) for p in paths))
+    place = F.array_position(F.transform(given, lambda p: (F.col("file") == p) | F.startswith("file", F.concat(p, F.lit("/")))), True)
+    return F.when(place > 0, place - 1).otherwise(len(paths)).cast("int")
+
+
 def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, seq_ord, head, record``: records in the order of the paths given, of paths inside a folder, and of places in a file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    given = F.array(*(F.lit(_plain(p).rstrip("/")) for p in paths))
     lines = spark.read.option("lineSep", "\n>").text(paths)
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")
-    lines = lines.select("value", path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    # The first path that is the file or a folder that holds it; files of a pattern come last.
-    place = F.array_position(F.transform(given, lambda p: (F.col("file") == p) | F.startswith("file", F.concat(p, F.lit("/")))), True)
-    place = F.when(place > 0, place - 1).otherwise(len(paths)).cast("int")
-    record = F.when(F.startswith("value", F.lit(">")), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    lines = lines.select("value", _file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    place = _place(paths)
+    record = F.when(F.startswith("value", F.lit(">")), F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value"))
     head = F.replace(F.substring_index("record", "\n", 1), F.lit("\r"), F.lit(""))
     out = lines.withColumns({"record": record, "seq_ord": F.struct(place.alias("place"), "file", "block", "row")})
     return out.select("file", "seq_ord", head.alias("head"), "record")
@@ -50,7 +66,8 @@ def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     ``seq_ord`` sorts records in input order: by the place of the path in the list, then by the place in the file. Names
     may repeat; ``seq_ord`` does not. Records are split at line starts that begin with ``>``; one in a header's
-    description stays part of it. A record is one row, so it is bounded by what a row can hold (2 GB).
+    description stays part of it. A record is one row, so it is bounded by what a row can hold (2 GB); :func:`fasta_pieces`
+    has no such bound.
     """
     body = F.upper(F.regexp_replace("record", r"^[^\n]*(?:\n|$)|\s+", ""))
     out = _named(_records(spark, paths)).withColumn("seq", body).drop("record")
@@ -61,6 +78,121 @@ def _named(records: DataFrame) -> DataFrame:
     return records.select("file", "seq_ord", F.regexp_extract("head", r"^(\S+)", 1).alias("seq_id"), "record").filter("seq_id <> ''")
 
 
+def fasta_pieces(spark: SparkSession, paths: str | list[str], k: int = 21, size: int = CHUNK) -> DataFrame:
+    """``file, seq_ord, seq_id, off, piece, length``: records in pieces of up to ``size`` bases, each with the next ``k - 1``.
+
+    Records may be of any length and are never one row: files are read by lines, in as many byte ranges as Spark makes of
+    them (a ``.gz`` is one), and each task cuts what it reads. A record that goes on in the next range is put together
+    through a table with a row for each range: which record reaches into it, how many bases that has so far and in all,
+    and the ``k - 1`` bases that follow. Pieces without a whole k-mer are left out, so a record shorter than ``k`` has
+    none; all k-mers of a record are in its pieces exactly once. A line is one row, so lines are bounded by 2 GB.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths).select(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    schema = "file string, block long, ordinal long, head string, at long, own long, bases binary, whole boolean"
+    # A read in ranges, twice: once for the table of ranges, once for the pieces.
+    found = lines.mapInArrow(_cut(k, size), schema)
+    part = found.groupBy("file", "block", "ordinal").agg(F.max("head").alias("head"), F.sum("own").alias("n"), F.min_by("bases", "at").alias("first"))
+    part = part.withColumn("first", F.substring("first", 1, k - 1))
+    zero = lambda c: F.max(F.when(F.col("ordinal") == 0, F.col(c)))
+    ranges = part.groupBy("file", "block").agg(F.max(F.struct("ordinal", "head", "n")).alias("last"), F.coalesce(zero("n"), F.lit(0)).alias("n0"), zero("first").alias("first0"))
+    order = Window.partitionBy("file").orderBy("block")  # a row for each range of a file
+    ranges = ranges.withColumns({"has": F.col("last.ordinal") > 0, "through": F.sum("n0").over(order)})
+    mark = F.when(F.col("has"), F.struct(F.col("block").alias("block"), F.col("last.ordinal").alias("ordinal"), F.col("last.head").alias("head"), F.col("last.n").alias("n"), "through"))
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.withColumns({
+        "from": F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "until_next": F.coalesce(F.first(F.when(F.col("has"), F.col("through")), True).over(later), F.max("through").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
+        "nexts": F.collect_list(F.struct(F.coalesce("first0", F.lit(b"")).alias("b"), "has")).over(order.rowsBetween(1, max(k - 1, 1))),
+    })
+    begun = F.struct(F.lit(b"").alias("b"), F.lit(False).alias("has"))
+    grown = lambda a, x: F.when(a["has"], a).otherwise(F.struct(F.concat(a["b"], x["b"]).alias("b"), x["has"].alias("has")))
+    ranges = ranges.select(
+        "file", "block", F.col("last.ordinal").alias("last"), "from", F.aggregate("nexts", begun, grown)["b"].alias("follow"),
+        (F.col("last.n") + F.col("until_next") - F.col("through")).alias("n_last"),
+        (F.col("from.n") + F.when(F.col("has"), F.col("through")).otherwise(F.col("until_next")) - F.col("from.through")).alias("n_from"),
+        (F.col("from.n") + F.col("through") - F.col("n0") - F.col("from.through")).alias("base"),
+    )
+    own = part.select("file", "block", "ordinal", F.col("head").alias("own_head"), F.col("n").alias("own_n")).join(ranges, ["file", "block"])
+    carried = F.col("ordinal") == 0
+    own = own.select(
+        "file", "block", "ordinal", F.when(carried, F.col("from.head")).otherwise(F.col("own_head")).alias("name"), F.when(carried, F.col("base")).otherwise(0).alias("base"),
+        F.when(carried, F.col("from.block")).otherwise(F.col("block")).alias("from_block"), F.when(carried, F.col("from.ordinal")).otherwise(F.col("ordinal")).alias("from_ordinal"),
+        F.when(carried, F.col("n_from")).when(F.col("ordinal") == F.col("last"), F.col("n_last")).otherwise(F.col("own_n")).alias("length"),
+        F.when(F.col("ordinal") == F.col("last"), F.col("follow")).otherwise(F.lit(b"")).alias("follow"),
+    )
+    # Records that begin and end in one piece are complete; all others meet their row of the table.
+    short = found.filter("whole").select("file", "block", "ordinal", F.col("head").alias("name"), F.lit(0).cast("long").alias("off"), F.col("bases").alias("piece"), F.col("own").alias("length"))
+    long = found.filter("not whole").join(own, ["file", "block", "ordinal"])
+    long = long.select("file", F.col("from_block").alias("block"), F.col("from_ordinal").alias("ordinal"), "name", (F.col("base") + F.col("at")).alias("off"), F.substring(F.concat("bases", "follow"), F.lit(1), (F.col("own") + (k - 1)).cast("int")).alias("piece"), "length")
+    out = short.unionByName(long).filter((F.octet_length("piece") >= k) & F.col("name").isNotNull() & (F.col("name") != ""))
+    return out.select("file", F.struct(_place(paths).alias("place"), "file", "block", F.col("ordinal").alias("row")).alias("seq_ord"), F.col("name").alias("seq_id"), "off", "piece", "length")
+
+
+def _cut(k: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of byte ranges to pieces. ``ordinal`` numbers the records of a range from 1; 0 is what goes on from the range before."""
+    blank, limit = b" \t\r\x0b\x0c", 16 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = ordinal = at = waiting = 0
+        where: tuple | None = None
+        head, parts = None, []
+
+        def emit(own: int, bases: bytes, whole: bool) -> None:
+            nonlocal held
+            rows.append((*where, ordinal, head, at, own, bases, whole))
+            held += len(bases)
+
+        def cut(done: bool, last: bool) -> None:
+            """Pieces of what waits: all of it if the record or the range is ``done``, else those with all that must follow."""
+            nonlocal at, waiting, parts
+            data = b"".join(parts)
+            while len(data) >= size + k - 1 and (len(data) > size + k - 1 or not done):
+                emit(size, data[: size + k - 1], False)
+                data, at = data[size:], at + size
+            if done and len(data) > size:
+                emit(size, data, False)
+                data, at = data[size:], at + size
+            if done and (data or (ordinal and not at)):
+                emit(len(data), data, bool(ordinal) and not at and not last)
+                data = b""
+            parts, waiting = [data] if data else [], len(data)
+
+        def packed() -> pa.RecordBatch:
+            nonlocal held
+            columns = list(zip(*rows, strict=True))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            rows.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "block", "ordinal", "head", "at", "own", "bases", "whole"])
+
+        for batch in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != where:
+                    if where:
+                        cut(True, True)
+                    where, ordinal, at, head = (file, block), 0, 0, None
+                if line.startswith(">"):
+                    cut(True, False)
+                    ordinal, at = ordinal + 1, 0
+                    head = (line[1:].split(None, 1) or [""])[0] if line[1:2].strip() else ""
+                elif ordinal or block:  # what stands before a file's first header belongs to no record
+                    data = line.encode().upper().translate(None, blank)
+                    parts.append(data)
+                    waiting += len(data)
+                    if waiting >= 4 * (size + k):
+                        cut(False, False)
+                if held > limit:
+                    yield packed()
+        if where:
+            cut(True, True)
+        if rows:
+            yield packed()
+
+    return run
+
+
 def fasta_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, seq_ord, seq_id``; bases are not cleaned for this."""
     return _named(_records(spark, paths)).drop("record")
