@@ -106,11 +106,12 @@ def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return whole.flatten(), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _rows(table: pa.Table, keys: list[str], i: np.ndarray, j: np.ndarray, ab: np.ndarray, ba: np.ndarray, a: np.ndarray, b: np.ndarray, order: bool) -> pa.Table:
-    """Pairs of windows with common hashes, ``ab`` at least; with ``order`` those with ``i < j`` only."""
+def _rows(table: pa.Table, keys: list[str], i: np.ndarray, j: np.ndarray, ab: np.ndarray, ba: np.ndarray, a: np.ndarray, b: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> pa.Table:
+    """Pairs of windows with common hashes, ``ab`` at least, of which ``keep`` says those that count."""
     x, y = np.nonzero(ab)
-    if order:
-        x, y = x[i[x] < j[y]], y[i[x] < j[y]]
+    if keep:
+        kept = keep(i[x], j[y])
+        x, y = x[kept], y[kept]
     same = pa.array(np.zeros(len(x), np.int64))
     columns = {k: table[k].combine_chunks().take(same) for k in keys}
     values = {"i": i[x], "j": j[y], "ab": ab[x, y], "a": a[x], "ba": ba[x, y], "b": b[y]}
@@ -122,9 +123,9 @@ def _counted(cells: DataFrame, keys: list[str], count: Callable[[pa.Table], pa.T
     return cells.groupBy(*keys, "__a", "__b").applyInArrow(count, T.StructType(fields))
 
 
-def _from_windows(keys: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """Count a cell of one sequence from its windows' hashes."""
-    chunk = CHUNK
+def _from_windows(keys: list[str], diagonal: bool) -> Callable[[pa.Table], pa.Table]:
+    """Count a cell of one sequence from its windows' hashes; with ``diagonal`` windows with hashes meet themselves, too."""
+    chunk, keep = CHUNK, np.less_equal if diagonal else np.less
 
     def count(table: pa.Table) -> pa.Table:
         w = table["w"].to_numpy()
@@ -141,7 +142,9 @@ def _from_windows(keys: list[str]) -> Callable[[pa.Table], pa.Table]:
             sides.append(((place[row[mine]], h[mine], is_core[mine]), own))
         (a, i), (b, j) = sides
         ab, ba = common(a, b, len(i), len(j), len(hashes))
-        return _rows(table, keys, w[i], w[j], ab, ba, size[i], size[j], order=True)
+        if diagonal and table["__a"][0] == table["__b"][0]:  # a window without hashes of its own does not, whatever its widened form has
+            ab[np.diag_indices(len(i))] = ba[np.diag_indices(len(i))] = size[i]
+        return _rows(table, keys, w[i], w[j], ab, ba, size[i], size[j], keep)
 
     return count
 
@@ -158,7 +161,7 @@ def _from_postings(keys: list[str], order: bool) -> Callable[[pa.Table], pa.Tabl
             sides.append(((place, h, core), windows, size[first]))
         (a, i, na), (b, j, nb) = sides
         ab, ba = common(a, b, len(i), len(j), table.num_rows)
-        return _rows(table, keys, i, j, ab, ba, na, nb, order)
+        return _rows(table, keys, i, j, ab, ba, na, nb, np.less if order else None)
 
     return count
 
@@ -222,13 +225,11 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     """
     keys = [c for c in seqs.columns if c not in PIECE]
     found = window_sketches(seqs, window, k, delta, sparsity, ambiguous, lengths=True)
-    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), window, k)), keys, k, identity)
-    if ambiguous:  # empty windows count as equal to themselves
-        lengths = seqs.select(*keys, _n_kmers(seqs, k).alias("__n"))
-        diagonal = _every_window(lengths if "seq" in seqs.columns else lengths.distinct(), window, k)
-    else:
-        diagonal = found.filter(F.size("core") > 0)
-    return pairs.unionByName(_diagonal(diagonal, keys))
+    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), window, k)), keys, k, identity, not ambiguous)
+    if not ambiguous:
+        return pairs
+    lengths = seqs.select(*keys, _n_kmers(seqs, k).alias("__n"))  # empty windows count as equal to themselves
+    return pairs.unionByName(_diagonal(_every_window(lengths if "seq" in seqs.columns else lengths.distinct(), window, k), keys))
 
 
 def layered_identity(seqs: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False) -> DataFrame:
@@ -236,14 +237,12 @@ def layered_identity(seqs: DataFrame, layers: list[tuple[int, int]], k: int = 21
     own = [c for c in seqs.columns if c not in PIECE]
     found = layered_sketches(seqs, layers, k, delta, ambiguous).withColumn("window", _layer_window(layers))
     keys = [*own, "layer", "window"]
-    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), "window", k)), keys, k, identity)
-    if ambiguous:
-        numbered = seqs.select(*own, _n_kmers(seqs, k).alias("__n"))
-        numbered = (numbered if "seq" in seqs.columns else numbered.distinct()).withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
-        diagonal = _every_window(numbered.withColumn("window", _layer_window(layers)), "window", k)
-    else:
-        diagonal = found.filter(F.size("core") > 0)
-    return pairs.unionByName(_diagonal(diagonal, keys))
+    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), "window", k)), keys, k, identity, not ambiguous)
+    if not ambiguous:
+        return pairs
+    numbered = seqs.select(*own, _n_kmers(seqs, k).alias("__n"))
+    numbered = (numbered if "seq" in seqs.columns else numbered.distinct()).withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
+    return pairs.unionByName(_diagonal(_every_window(numbered.withColumn("window", _layer_window(layers)), "window", k), keys))
 
 
 def _layer_window(layers: list[tuple[int, int]]) -> Column:
@@ -259,18 +258,22 @@ def _diagonal(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.select(*keys, F.col("w").alias("i"), F.col("w").alias("j"), F.lit(100.0).alias("identity"))
 
 
-def _self_pairs(found: DataFrame, keys: list[str], k: int, identity: float) -> DataFrame:
-    """Pairs ``i < j`` of the windows of sketches that carry ``__blocks``, the number of blocks of their sequence."""
+def _self_pairs(found: DataFrame, keys: list[str], k: int, identity: float, diagonal: bool) -> DataFrame:
+    """Pairs ``i < j`` of the windows of sketches that carry ``__blocks``, the number of blocks of their sequence; with ``diagonal``
+    also ``i = j`` of windows that have hashes. Short and long sequences part before they are hashed, so each is hashed once.
+    """
     few = found.filter(F.col("__blocks") <= FEW).withColumn("__own", F.floor(F.col("w") / CHUNK).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda t: F.struct(F.least(t, "__own").alias("__a"), F.greatest(t, "__own").alias("__b")))
     few = few.select(*keys, "w", "core", "rim", F.inline(cells))
-    counted = _counted(few, keys, _from_windows(keys))
+    counted = _counted(few, keys, _from_windows(keys, diagonal))
     # Long sequences: cells of blocks that share a hash. Both sides are the same postings, shuffled by hash once.
-    side = lambda block, name: _postings(found.filter(F.col("__blocks") > FEW), keys, "xs").withColumnsRenamed({"__block": block, "xs": name})
+    long = found.filter(F.col("__blocks") > FEW)
+    side = lambda block, name: _postings(long, keys, "xs").withColumnsRenamed({"__block": block, "xs": name})
     met = side("__a", "xs").join(side("__b", "ys"), [*keys, "h"]).filter("__a <= __b")
     met = met.filter((F.col("__a") < F.col("__b")) | (F.size("xs") > 1))
     counted = counted.unionByName(_counted(met.select(*keys, "__a", "__b", "xs", "ys"), keys, _from_postings(keys, order=True)))
-    return _passing(counted, k, identity).select(*keys, "i", "j", "identity")
+    pairs = _passing(counted, k, identity).select(*keys, "i", "j", "identity")
+    return pairs.unionByName(_diagonal(long.filter(F.size("core") > 0), keys)) if diagonal else pairs
 
 
 def _last_window(n: Column, window: int | str, k: int) -> tuple[Column, Column]:

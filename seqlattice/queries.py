@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmers, murmur3_int
+from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmers, murmur3_int, reverse_complement, with_murmur3
 from .operators import frames, grid, identity, pyramid, windows
 from .plans import params
 from .sources import readers, writers
@@ -618,6 +618,32 @@ def fasta_round_trip(spark, sf_dir):
     return found.select(F.col("seq_id").cast("long").alias("seq_id"), "n", F.md5("seq").alias("digest"))
 
 
+def _as_fasta(spark, sf_dir: str) -> str:
+    """Documents as FASTA in lines of 60 lower-case bases."""
+    folder = _folder(spark, "fasta")
+    lines = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" made of text\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))
+    sequences(spark, sf_dir).select(lines).write.text(folder)
+    return folder
+
+
+@query(f"SELECT seq_id, any_value(n) AS n, count(*) AS n_kmers, count(DISTINCT idx) AS n_places, sum(h)::BIGINT AS hash_sum, sum(h * (idx % 1000))::BIGINT AS placed FROM ({hashed_sql(8, ambiguous=True)}) GROUP BY seq_id")
+def fasta_pieces(spark, sf_dir):
+    """Records read in pieces: every k-mer once and in its place, however files are cut into byte ranges."""
+    found = readers.fasta_pieces(spark, _as_fasta(spark, sf_dir), 8, 512)
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - 8))
+    cut = found.withColumn("at", at).select(F.col("seq_id").cast("long").alias("seq_id"), "length", (F.col("off") + F.col("at")).alias("idx"), F.substring("piece", F.col("at") + 1, F.lit(8)).cast("string").alias("fwd"))
+    both = with_murmur3(with_murmur3(cut.withColumns({"f": F.col("fwd").cast("binary"), "r": reverse_complement(F.col("fwd")).cast("binary")}), "f", 8, "fh"), "r", 8, "rh")
+    h = both.withColumn("h", F.least("fh", "rh").cast("long"))
+    return h.groupBy("seq_id").agg(F.max("length").alias("n"), F.count(F.lit(1)).alias("n_kmers"), F.countDistinct("idx").alias("n_places"), F.sum("h").alias("hash_sum"), F.sum(F.col("h") * (F.col("idx") % 1000)).alias("placed"))
+
+
+@query(_self_sql(W, K, 2, DELTA, ID))
+def fasta_identity(spark, sf_dir):
+    """Identity of sequences read from FASTA in pieces."""
+    found = readers.fasta_pieces(spark, _as_fasta(spark, sf_dir), K).select(F.col("seq_id").cast("long").alias("seq_id"), "off", "piece", "length")
+    return identity.self_identity(found, W, K, ID, DELTA, 2).withColumn("identity", F.round("identity", 6))
+
+
 @query("SELECT item_id AS seq_id, (row_number() OVER (ORDER BY len DESC, item_id) - 1)::INTEGER AS place FROM (SELECT item_id, length(text) AS len FROM benchmark)")
 def size_order(spark, sf_dir):
     seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.length("text").cast("long").alias("n"), F.col("item_id").alias("seq_ord"))
@@ -664,3 +690,48 @@ def windows_uncovered(spark, sf_dir):
 @query(f"SELECT fwd AS kmer, count(*) AS n FROM ({kmer_sql(4)}) GROUP BY fwd")
 def case_fold(spark, sf_dir):
     return kmers(sequences(spark, sf_dir).withColumn("seq", F.lower("seq")), 4).groupBy(F.col("fwd").cast("string").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _clicks(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.lit("v"), F.col("user_id") % 500).alias("viewer"), F.col("event_id").alias("click_id"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("x"), F.col("event_id").alias("y"),
+        F.lit(250).cast("long").alias("window"), F.concat(F.lit("x"), "event_type").alias("x_name"), F.lit("y").alias("y_name"), F.col("value").alias("identity"),
+    )
+
+
+@query("SELECT viewer, row_number() OVER (PARTITION BY viewer ORDER BY ts DESC, event_id DESC)::INTEGER AS place, event_id AS click_id, ts AS \"at\", user_id // 250 * 250 + 1 AS x_start, event_id // 250 * 250 + 250 AS y_end, value AS identity FROM (SELECT *, 'v' || (user_id % 500) AS viewer FROM events) QUALIFY place <= 7")
+def click_history(spark, sf_dir):
+    """The newest seven clicks of each viewer, kept by a stream over all events and read from what it wrote."""
+    folder = _folder(spark, "clicks")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file
+    clicks.keep_history(_clicks(events), f"{folder}/history", f"{folder}/checkpoint", most=7, late="3650 days").awaitTermination()
+    return clicks.history(spark, f"{folder}/history").select("viewer", "place", "click_id", F.col("at").cast("timestamp_ntz").alias("at"), "x_start", "y_end", "identity")
+
+
+@query(f"SELECT CASE WHEN query_start % 97 = 5 THEN 'rejected' ELSE 'good' END AS kind, count(*) AS n, sum(query_end)::BIGINT AS ends FROM ({PAIRS_SQL}) GROUP BY kind")
+def bedpe_rejects(spark, sf_dir):
+    """Pair tables of which some rows have a start that is no number."""
+    folder = _folder(spark, "rejects")
+    start = F.when(F.col("query_start") % 97 == 5, F.concat("query_start", F.lit("x"))).otherwise(F.col("query_start").cast("string"))
+    pair_table(spark, sf_dir).withColumn("query_start", start).withColumnRenamed("query_name", "#query_name").write.option("comment", "\x01").csv(f"{folder}/pairs", sep="\t", header=True)
+    good, bad = readers.bedpe_checked(spark, f"{folder}/pairs")
+    ends = F.split("text", "\t")
+    both = good.select(F.lit("good").alias("kind"), "query_end").unionByName(bad.filter("line > 1").select(F.lit("rejected").alias("kind"), F.get(ends, 2).cast("long").alias("query_end")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("query_end").alias("ends"))
+
+
+@query(f"SELECT query_name, reference_name, count(*) AS n, sum(query_start)::BIGINT AS starts, CASE WHEN query_name = reference_name THEN query_name || '/' || query_name || '.bedpe' ELSE query_name || '_' || reference_name || '/' || query_name || '_' || reference_name || '_COMPARE.bedpe' END AS file FROM ({PAIRS_SQL}) GROUP BY ALL")
+def bedpe_files(spark, sf_dir):
+    """One named file for each pair of names, read back."""
+    folder = _folder(spark, "files")
+    writers.bedpe_files(pair_table(spark, sf_dir), folder)
+    found = readers.bedpe(spark, f"{folder}/*/*.bedpe").withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1))
+    return found.groupBy("query_name", "reference_name", "file").agg(F.count(F.lit(1)).alias("n"), F.sum("query_start").alias("starts"))
+
+
+@query(f"WITH q AS ({_self_sql(W, K, 2, DELTA, ID)}), n AS (SELECT seq_id, max(w) + 1 AS n FROM ({window_sql(W, K, 0.0, len_sql(K))}) GROUP BY seq_id) SELECT seq_id, i AS bin1_id, j + n AS bin2_id, identity AS \"count\" FROM q JOIN n USING (seq_id)")
+def contact_pixels(spark, sf_dir):
+    """Pixels of a map of two sequences: the columns' bins follow those of the rows."""
+    pairs = identity.self_identity(sequences(spark, sf_dir), W, K, ID, DELTA, 2)
+    bins = windows.window_table(lengths(spark, sf_dir), W, K).groupBy("seq_id").agg((F.max("w") + 1).alias("n"))
+    return identity.pixels(pairs.join(bins, "seq_id"), F.col("n"), ("seq_id",)).withColumn("count", F.round("count", 6))

@@ -204,19 +204,56 @@ def check_fasta(spark: SparkSession, path: str) -> bool:
 
 
 def bedpe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Saved pair tables; the schema is fixed and nothing is inferred."""
-    return spark.read.csv(paths, sep="\t", header=True, schema=BEDPE, enforceSchema=True)
+    """Saved pair tables; the schema is fixed, nothing is inferred, and a row that does not fit fails the run (see :func:`bedpe_checked`)."""
+    return spark.read.csv(paths, sep="\t", header=True, schema=BEDPE, enforceSchema=True, mode="FAILFAST")
 
 
 def bed(spark: SparkSession, path: str, columns: int = 9) -> DataFrame:
-    """Annotations of 3 to 9 columns by place; ``#`` lines are skipped and rows must have start and end."""
-    if not 3 <= columns <= 9:
-        raise ValueError("an annotation table has 3 to 9 columns")
-    out = spark.read.csv(path, sep="\t", comment="#", schema=T.StructType(BED.fields[:columns]))
+    """Annotations of 3 to 9 columns by place, the last ones may be missing; ``#`` lines are skipped, rows must fit and have start
+    and end (see :func:`bed_checked`)."""
+    found = spark.read.csv(path, sep="\t", comment="#", schema=T.StructType([T.StructField(f.name, T.StringType()) for f in _bed(columns)]))
+    out = found.select(*(F.expr(f"cast({f.name} as {f.dataType.simpleString()})").alias(f.name) for f in _bed(columns)))  # a text that is no number raises
     missing = F.col("start").isNull() | F.col("end").isNull()
     return out.withColumn("start", F.when(missing, F.raise_error(F.lit("an annotation has no start or end")).cast("long")).otherwise(F.col("start")))
 
 
+def _bed(columns: int) -> T.StructType:
+    if not 3 <= columns <= 9:
+        raise ValueError("an annotation table has 3 to 9 columns")
+    return T.StructType(BED.fields[:columns])
+
+
+def bedpe_checked(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of saved pair tables that fit the format, and the rejected ones: ``file, line, text``."""
+    return _checked(spark, paths, BEDPE, len(BEDPE))
+
+
+def bed_checked(spark: SparkSession, paths: str | list[str], columns: int = 9) -> tuple[DataFrame, DataFrame]:
+    """Annotations that fit and have start and end, and the rejected rows: ``file, line, text``."""
+    return _checked(spark, paths, _bed(columns), 3)
+
+
+def _checked(spark: SparkSession, paths: str | list[str], schema: T.StructType, needed: int) -> tuple[DataFrame, DataFrame]:
+    """Lines that parse as ``schema``, with values in the first columns that are ``needed``, and the others with their place.
+
+    Comments and empty lines are neither. Lines are numbered from 1 in their file: by their order in their byte range
+    and the number of lines in the ranges before it, for the rejected ones only.
+    """
+    lines = spark.read.text(paths).select(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    rows = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
+    rows = rows.select("*", *(F.nullif(F.get("f", i), F.lit("")).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)))
+    fits = F.size("f") <= len(schema)
+    for i, f in enumerate(schema.fields):
+        absent = F.coalesce(F.get("f", i), F.lit("")) == "" if i >= needed else F.lit(False)
+        fits = fits & (F.col(f.name).isNotNull() | absent)
+    ranges = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    ranges = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bad = rows.filter(~fits).select("file", "block", "row", F.col("value").alias("text")).join(ranges, ["file", "block"])
+    good = rows.filter(fits).select(*schema.names)
+    return good, bad.select("file", (F.col("base") + F.col("row") - F.col("first") + 1).alias("line"), "text")
+
+
 def pyramid(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Saved layers and their metadata; a level or title filter prunes partitions."""
     return spark.read.parquet(f"{folder}/layers"), spark.read.parquet(f"{folder}/metadata")

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import naive
 from seqlattice.functions import kmers as km
-from seqlattice.operators import identity, windows
+from seqlattice.operators import identity, pyramid, windows
 
 
 def sequence(seed, unit=170, copies=5, gap=260):
@@ -86,6 +87,89 @@ def test_pair_identity(spark, w, delta, ident, s):
     assert found
 
 
+@pytest.mark.parametrize("expanded", [1, 1 << 21])
+def test_long_sequences_go_by_postings(spark, monkeypatch, expanded):
+    monkeypatch.setattr(identity, "CHUNK", 3)
+    monkeypatch.setattr(identity, "FEW", 0)
+    monkeypatch.setattr(identity, "EXPANDED", expanded)
+    seqs = {"x": sequence(3, 100, 12), "y": sequence(7), "tiny": "ACGT"}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    for ambiguous in (False, True):
+        found = identity.self_identity(df, 50, 21, 80, 0.5, 1, ambiguous).collect()
+        assert {(r.seq_id, r.i, r.j): round(r.identity, 6) for r in found} == {(n, *key): v for n, s in seqs.items() if len(s) > 20 for key, v in naive.self_pairs(s, 50, 21, 80, 0.5, 1, ambiguous).items()}
+
+
+def test_rows_of_a_hash_in_all_windows(spark):
+    one = F.array(F.lit(7))
+    found = spark.range(100_000).select(F.lit("s").alias("seq_id"), F.col("id").alias("w"), one.alias("core"), F.array().cast("array<int>").alias("rim"))
+    rows = identity._postings(found, ["seq_id"], "xs").select(F.size("xs").alias("n")).collect()
+    assert sum(r.n for r in rows) == 100_000 and max(r.n for r in rows) == identity.CHUNK
+    pairs = identity._self_pairs(found.filter("w < 2600").withColumn("__blocks", F.lit(21)), ["seq_id"], 21, 86.0, False)  # 21 blocks: through postings
+    assert pairs.count() == 2600 * 2599 // 2 and pairs.filter("identity <> 100").isEmpty()
+
+
+def test_counting_forms_agree():
+    rng = np.random.default_rng(1)
+    for density in (0.02, 0.6):
+        sides = []
+        for n in (9, 12):
+            w, h = np.nonzero(rng.random((n, 40)) < density)
+            sides.append((w, h, (rng.random(len(w)) < 0.5).astype(int)))
+        (aw, ah, ac), (bw, bh, bc) = sides
+        wide_a, core_a, wide_b, core_b = np.zeros((2, 9, 40)), None, np.zeros((2, 12, 40)), None
+        wide_a[0][aw, ah], wide_a[1][aw, ah] = 1, ac
+        wide_b[0][bw, bh], wide_b[1][bw, bh] = 1, bc
+        want = wide_a[1] @ wide_b[0].T, wide_a[0] @ wide_b[1].T
+        for expanded in (1, 1 << 21):
+            identity.EXPANDED, before = expanded, identity.EXPANDED
+            got = identity.common(*sides, 9, 12, 40)
+            identity.EXPANDED = before
+            assert all((np.asarray(x) == y).all() for x, y in zip(got, want))
+
+
+def test_pruned_pairs_are_the_same(spark):
+    a = spark.createDataFrame([("a", sequence(5)), ("far", sequence(50))], "seq_id string, seq string")
+    b = spark.createDataFrame([("b", sequence(5)[200:])], "seq_id string, seq string")
+    rows = lambda prune: sorted(map(tuple, identity.pair_identity(a, b, 100, 21, 80, prune=prune).collect()))
+    assert rows(True) == rows(False) != []
+    bits = identity.bitmap(spark.createDataFrame([(-5,), (7,), (2**31 - 1,), (-(2**31),)], "h int"), 1 << 10)
+    h = np.array([-5, 7, 2**31 - 1, -(2**31), 8], np.int32)
+    assert identity.held(bits, h).tolist() == [True, True, True, True, False]
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_sets_of_whole_sequences(spark, monkeypatch, prune):
+    monkeypatch.setattr(km, "CHUNK", 200)
+    seqs = {"x": sequence(5), "y": sequence(5)[400:], "z": sequence(60), "short": "ACG", "null": None}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    sets = {n: set(naive.hashes(s, 21)) - {km.murmur3_int(c.encode() * 21) for c in km.AMBIGUOUS} for n, s in seqs.items() if s and len(s) > 20}
+    found = km.hash_sets(df, 21)
+    assert found.filter("size(hs) > 400").isEmpty()
+    assert {r.seq_id: (r.k, r.n) for r in found.groupBy("seq_id").agg(F.sum(F.size("hs")).alias("k"), F.max("n").alias("n")).collect()} == {n: (len(s), len(s)) for n, s in sets.items()}
+    got = {(r.a_id, r.b_id): (r.common, r.a_size, r.b_size) for r in identity.set_containment(df, df, 21, prune=prune).collect()}
+    assert got == {(p, q): (len(a & b), len(a), len(b)) for p, a in sets.items() for q, b in sets.items() if a & b}
+
+
+def test_layers_come_from_one_hashing(spark):
+    seqs = {"x": sequence(3), "y": sequence(4, 90, 8)}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    layers = [(50, 1), (100, 2), (200, 4)]
+    for ambiguous in (False, True):
+        built = pyramid.build(df, layers, k=21, identity=80.0, ambiguous=ambiguous)
+        got = {(r.seq_id, r.level, r.window, r.i, r.j): round(r.identity, 6) for r in built.collect()}
+        assert got == {(n, 2 - at, w, *key): v for n, s in seqs.items() for at, (w, sparsity) in enumerate(layers) for key, v in naive.self_pairs(s, w, 21, 80, 0.5, sparsity, ambiguous).items()}
+    built = pyramid.build(df, layers, k=21, identity=80.0)
+    built.collect()
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert 1 <= final.count("ArrowEvalPython") <= 2  # one for short sequences, one for long ones
+    one = lambda n, x: spark.createDataFrame([(n, x)], "seq_id string, seq string")
+    a, b = sequence(5), sequence(5)[200:] + sequence(6)
+    both = pyramid.build(one("a", a), layers, one("b", b), k=21, identity=80.0)
+    got = {(r.level, r.i, r.j): round(r.identity, 6) for r in both.collect()}
+    assert got == {(2 - at, *key): v for at, (w, sparsity) in enumerate(layers) for key, v in naive.cross_pairs(a, b, w, 21, 80, 0.5, sparsity).items()}
+
+
 def test_region(spark):
     seq = sequence(9)
     df = km.hashed_kmers(spark.createDataFrame([("a", seq)], "seq_id string, seq string"), 21, ambiguous=True).withColumn("n_kmers", F.col("n") - 20)
