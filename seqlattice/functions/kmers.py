@@ -281,7 +281,10 @@ def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: b
         keys = [c for c in keys if c not in ("piece", "off", "length")]
         df = seqs.withColumns({"__n": F.col("length"), "__z": sizes})
     keys.append("__n")
-    df = df.select(*keys, placed("piece", "off", F.col("__n") - (k - 1), "__z").alias("__r")).select(*keys, F.explode("__r").alias("__r")).select(*keys, "__r.*")
+    made = placed("piece", "off", F.col("__n") - (k - 1), "__z")
+    # Exploded at once where that plans; over ready pieces the planner loses a column unless the lists stand in one first.
+    lists = df.select(*keys, F.explode(made).alias("__r")) if seq in seqs.columns else df.select(*keys, made.alias("__r")).select(*keys, F.explode("__r").alias("__r"))
+    df = lists.select(*keys, "__r.*")
     both = df.groupBy(*keys, "layer", "w").agg(F.collect_list(F.struct("core", "rim")).alias("__p"))
     whole = lambda name: F.when(F.size("__p") == 1, F.get("__p", 0)[name]).otherwise(F.array_distinct(F.flatten(F.transform("__p", lambda p: p[name]))))
     out = both.select(*keys, "layer", "w", whole("core").alias("core"), whole("rim").alias("rim"), (F.size("__p") > 1).alias("__many"))

@@ -120,7 +120,9 @@ def _rows(table: pa.Table, keys: list[str], i: np.ndarray, j: np.ndarray, ab: np
 
 def _counted(cells: DataFrame, keys: list[str], count: Callable[[pa.Table], pa.Table]) -> DataFrame:
     fields = [*(cells.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("i", "j", "ab", "a", "ba", "b"))]
-    return cells.groupBy(*keys, "__a", "__b").applyInArrow(count, T.StructType(fields))
+    # Cells cost more than their bytes: they are dealt to as many tasks as shuffles have, and not joined into few.
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__a", "__b")
+    return dealt.groupBy(*keys, "__a", "__b").applyInArrow(count, T.StructType(fields))
 
 
 def _from_windows(keys: list[str], diagonal: bool) -> Callable[[pa.Table], pa.Table]:
