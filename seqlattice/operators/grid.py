@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def by_size(seqs: DataFrame, k: int) -> DataFrame:
     """Sequences by number of k-mers, longest first; ties stay in input order."""
     return seqs.withColumn("n_kmers", F.col("n") - (k - 1)).orderBy(F.desc("n_kmers"), "seq_ord")
 
 
+def size_places(seqs: DataFrame, k: int, ties: list[str]) -> DataFrame:
+    """``seqs`` with ``n_kmers`` and ``place``, from 0 for the longest; ties go by columns ``ties``. No task sorts all sequences."""
+    return numbered(seqs.withColumn("n_kmers", F.col("n") - (k - 1)), -F.col("n_kmers"), ties)
+
+
 def first(seqs: DataFrame, n: int = 2) -> DataFrame:
     """The first sequences in input order."""
     return seqs.orderBy("seq_ord").limit(n)
@@ -34,10 +41,19 @@ def matched_pairs(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def lower_order(pairs: DataFrame) -> DataFrame:
-    """Positions of pairs in row order of the upper and of the lower triangle. The pairs of one grid are few."""
-    upper = F.row_number().over(Window.orderBy("q_ord", "r_ord")) - 1
-    lower = F.row_number().over(Window.orderBy("r_ord", "q_ord")) - 1
-    return pairs.withColumns({"upper_order": upper, "lower_order": lower})
+    """``pairs`` (all of a grid's sequences) with their places in row order of the upper and of the lower triangle.
+
+    Only the sequences are put in order; the place of a pair follows from those of its two.
+    """
+    ords = pairs.select(F.explode(F.array("q_ord", "r_ord")).alias("ord")).distinct()
+    ords = ords.select("ord", (F.row_number().over(Window.orderBy("ord")) - 1).alias("at"))  # a row for each sequence
+    n = ords.agg(F.count(F.lit(1)).alias("__n"))
+    side = lambda name, at: ords.select(F.col("ord").alias(name), F.col("at").alias(at))
+    met = pairs.join(side("q_ord", "__q"), "q_ord").join(side("r_ord", "__r"), "r_ord").join(F.broadcast(n))  # one row
+    q, r = F.col("__q"), F.col("__r")
+    upper = q * F.col("__n") - F.expr("__q * (__q + 1) div 2") + r - q - 1
+    lower = F.expr("__r * (__r - 1) div 2") + q
+    return met.withColumns({"upper_order": upper.cast("int"), "lower_order": lower.cast("int")}).select(*pairs.columns, "upper_order", "lower_order")
 
 
 def cells(singles: DataFrame, pairs: DataFrame) -> DataFrame:

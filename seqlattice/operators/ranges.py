@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of values.
@@ -54,6 +54,20 @@ def rank_selection(df: DataFrame, at: list[float], value: str, cells: int = CELL
     return both.select("pos", F.when((part == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b")).alias("value"))
 
 
+def numbered(df: DataFrame, value: Column, ties: list[str], out: str = "place", cells: int = CELLS) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of a number (nulls last) and then of columns ``ties``.
+
+    Rows are sorted within ranges of the number only; a range's first place follows from how many rows others hold.
+    """
+    found = df.withColumn("__v", F.coalesce(value.cast("double"), F.lit(float("inf"))))
+    found = placed(found, "__v", splitters(found, "__v", cells))
+    totals = found.groupBy("__cell").agg(F.count(F.lit(1)).alias("__c"))  # ``cells`` rows at most
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("__cell", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("__cell").orderBy("__v", *ties)) - 1
+    return found.withColumn("__n", within).join(F.broadcast(bases), "__cell").withColumn(out, F.col("__base") + F.col("__n")).drop("__cell", "__v", "__n", "__base")
+
+
 def as_of(edges: DataFrame, points: DataFrame, edge: str, point: str, carry: str, cells: int = CELLS) -> DataFrame:
     """``points`` with ``prev`` and ``next``: the last edge at or before each point and the first one at or after it, as structs of
     the place (``at``) and column ``carry`` (the least of edges at one place); null where there is none.

@@ -514,10 +514,10 @@ def grid_matching(spark, sf_dir):
     return grid.matched_pairs(pairs, stored)
 
 
-@query(f"SELECT seq_id, n_kmers, dense_rank() OVER (ORDER BY n_kmers DESC)::INTEGER AS size_rank FROM (SELECT seq_id, nk AS n_kmers FROM ({len_sql(K, name='benchmark', id_col='item_id')}))")
+@query(f"SELECT seq_id, n_kmers, row_number() OVER (ORDER BY n_kmers DESC, seq_id) - 1 AS place FROM (SELECT seq_id, nk AS n_kmers FROM ({len_sql(K)}))")
 def sequence_order(spark, sf_dir):
-    seqs = sequences(spark, sf_dir, "benchmark", "item_id").withColumns({"n": F.octet_length("seq").cast("long"), "seq_ord": F.col("seq_id")})
-    return grid.by_size(seqs, K).select("seq_id", "n_kmers", F.dense_rank().over(Window.orderBy(F.desc("n_kmers"))).alias("size_rank"))
+    seqs = sequences(spark, sf_dir).withColumn("n", F.octet_length("seq").cast("long")).drop("seq")
+    return grid.size_places(seqs, K, ["seq_id"]).select("seq_id", "n_kmers", "place")
 
 
 # scalars
@@ -644,11 +644,10 @@ def fasta_identity(spark, sf_dir):
     return identity.self_identity(found, W, K, ID, DELTA, 2).withColumn("identity", F.round("identity", 6))
 
 
-@query("SELECT item_id AS seq_id, (row_number() OVER (ORDER BY len DESC, item_id) - 1)::INTEGER AS place FROM (SELECT item_id, length(text) AS len FROM benchmark)")
+@query("SELECT doc_id AS seq_id, row_number() OVER (ORDER BY coalesce(length(text), 0) DESC, doc_id) - 1 AS place FROM documents")
 def size_order(spark, sf_dir):
-    seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.length("text").cast("long").alias("n"), F.col("item_id").alias("seq_ord"))
-    rows = grid.by_size(seqs, K).select("seq_id").collect()  # the order is the result; few sequences
-    return spark.createDataFrame([(r.seq_id, i) for i, r in enumerate(rows)], "seq_id long, place int")
+    seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    return grid.size_places(seqs, 1, ["seq_id"]).select("seq_id", "place")
 
 
 @query(f"SELECT query_name || '_' || reference_name AS title, count(*) AS n, sum(query_start)::BIGINT AS query_sum, max(reference_end) AS reference_last, round(sum(perID_by_events), 4) AS total FROM ({PAIRS_SQL}) GROUP BY ALL")
