@@ -162,9 +162,12 @@ def ambiguous_filter(spark, sf_dir):
     return hashed_kmers(sequences(spark, sf_dir, bases=MIXED), 3).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT letter, h::INTEGER AS h FROM (VALUES " + ", ".join(f"('{a}', {murmur3_int(a.encode() * 21)})" for a in AMBIGUOUS) + ") t(letter, h)")
+@query("SELECT letter, t.h::INTEGER AS h, count(k.h) AS n FROM (VALUES " + ", ".join(f"('{a}', {murmur3_int(a.encode() * 21)})" for a in AMBIGUOUS) + f") t(letter, h) LEFT JOIN ({hashed_sql(21, ambiguous=True, bases=MIXED)}) k ON k.h = t.h GROUP BY ALL")
 def ambiguous_hashes_21(spark, sf_dir):
-    return spark.createDataFrame(list(zip(AMBIGUOUS, ambiguous_hashes(21), strict=True)), "letter string, h int")
+    """The hashes that the sketch leaves out, and how many k-mers of the documents have each."""
+    letters = spark.createDataFrame(list(zip(AMBIGUOUS, ambiguous_hashes(21), strict=True)), "letter string, h int")
+    met = hashed_kmers(sequences(spark, sf_dir, bases=MIXED), 21, ambiguous=True).filter(F.col("h").isin(ambiguous_hashes(21))).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return letters.join(met, "h", "left").select("letter", "h", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"SELECT seq_id, count(*) AS kept, count(DISTINCT h) AS n_hashes, sum(idx)::BIGINT AS places FROM ({hashed_sql(K, 4)}) GROUP BY seq_id")
@@ -564,10 +567,16 @@ def row_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", frames.row_label(F.col("o_orderkey") * 3001).alias("label"))
 
 
-@query("SELECT stop::INTEGER AS stop, round(stop / 11.0::DOUBLE, 9) AS place, 'rgb(' || r || ', ' || g || ', ' || b || ')' AS color FROM (VALUES (0, 255, 255, 255), (1, 94, 79, 162), (2, 50, 136, 189), (3, 102, 194, 165), (4, 171, 221, 164), (5, 230, 245, 152), (6, 255, 255, 191), (7, 254, 224, 139), (8, 253, 174, 97), (9, 244, 109, 67), (10, 213, 62, 79), (11, 158, 1, 66)) t(stop, r, g, b)")
+@query(
+    "WITH g AS (SELECT stop::INTEGER AS stop, round(stop / 11.0::DOUBLE, 9) AS place, 'rgb(' || r || ', ' || g || ', ' || b || ')' AS color FROM (VALUES (0, 255, 255, 255), (1, 94, 79, 162), (2, 50, 136, 189), (3, 102, 194, 165), (4, 171, 221, 164), (5, 230, 245, 152), (6, 255, 255, 191), (7, 254, 224, 139), (8, 253, 174, 97), (9, 244, 109, 67), (10, 213, 62, 79), (11, 158, 1, 66)) t(stop, r, g, b)) "
+    f"SELECT stop, place, color, count(*) AS n, max(v) AS greatest FROM (SELECT perID_by_events AS v, floor((perID_by_events - 86) / 14 * 11)::INTEGER AS stop FROM ({PAIRS_SQL})) JOIN g USING (stop) GROUP BY ALL"
+)
 def palette_gradient(spark, sf_dir):
-    stops = tx.gradient(tx.resolve_palette())
-    return spark.createDataFrame([(i, round(place, 9), color) for i, (place, color) in enumerate(stops)], "stop int, place double, color string")
+    """Pairs by the stop of the gradient below their identity."""
+    stops = F.array(*(F.struct(F.lit(round(place, 9)).alias("place"), F.lit(color).alias("color")) for place, color in tx.gradient(tx.resolve_palette())))
+    t = pair_table(spark, sf_dir).withColumn("stop", F.floor((F.col("perID_by_events") - 86) / 14 * 11).cast("int"))
+    t = t.groupBy("stop").agg(F.count(F.lit(1)).alias("n"), F.max("perID_by_events").alias("greatest")).withColumn("s", F.get(stops, "stop"))
+    return t.select("stop", F.col("s.place").alias("place"), F.col("s.color").alias("color"), "n", "greatest")
 
 
 # parameters
