@@ -10,8 +10,11 @@ one that describes the file; a file is closed once it holds ``FILE_BYTES``
 compressed bytes. Headers, lengths and digests are made anew. Files are written under a
 temporary name that holds the attempt, renamed when complete, and listed with
 size and digest in the shard's manifest, itself renamed last: a shard without a
-manifest does not exist. A lost or repeated task therefore leaves nothing that
-is read, and a repeated one renames the same bytes to the same names.
+manifest does not exist, as readers go by manifests (``listed``). A file that has
+its name is never removed or written again: an attempt that finds one compares it
+with its own and deletes its own, so there is no moment at which a manifest names
+a file that is gone. Bytes that differ (another run's archive in the same folder)
+are an error. Temporary files lie in one folder, which goes once all is written.
 
 Of records with equal payloads of ``LEAST_DUPLICATE`` bytes or more, that with
 the largest id is the response and the others are revisits of it. This is
@@ -60,6 +63,8 @@ CELLS = 65536
 BLOCK = 256
 LEAST_DUPLICATE = 1000
 LEVEL = 6
+#: Folder of files that are being written; Spark's readers skip it.
+TEMPORARY = "_temporary"
 #: Records carry no clock time, so that equal input gives equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6f0d6a3e-3d0c-4f3e-9d53-0b6f6d2b7c11")
@@ -140,10 +145,28 @@ def _cell(grid: dict):
 
 
 def _put(fs: pafs.FileSystem, source: str, target: str) -> None:
-    """Rename; an earlier attempt's file of the same name holds the same bytes and gives way."""
-    if fs.get_file_info(target).type != pafs.FileType.NotFound:
-        fs.delete_file(target)
-    fs.move(source, target)
+    """Rename, unless an earlier attempt's file has the name already: that one stays, and must hold the same bytes."""
+    if fs.get_file_info(target).type == pafs.FileType.NotFound:
+        try:
+            return fs.move(source, target)
+        except OSError:
+            if fs.get_file_info(target).type == pafs.FileType.NotFound:
+                raise
+    if not _same(fs, source, target):
+        raise FileExistsError(f"{target} belongs to another run")
+    fs.delete_file(source)
+
+
+def _same(fs: pafs.FileSystem, one: str, other: str) -> bool:
+    if len({info.size for info in fs.get_file_info([one, other])}) > 1:
+        return False
+    with fs.open_input_stream(one, compression=None) as a, fs.open_input_stream(other, compression=None) as b:
+        while True:
+            x, y = a.read(1 << 20), b.read(1 << 20)
+            if x != y:
+                return False
+            if not x:
+                return True
 
 
 class _Shard:
@@ -155,7 +178,7 @@ class _Shard:
 
     def add(self, data: bytes) -> None:
         if self.out is None:
-            self.temp = f"{self.folder}/.tmp-{self.attempt}-{self.name}-{len(self.done):05d}"
+            self.temp = f"{self.folder}/{TEMPORARY}/{self.attempt}-{self.name}-{len(self.done):05d}"
             self.out, self.sha, self.size, self.records = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0
             self.final = f"{self.name}-{len(self.done):05d}.warc.gz"
             self._member(file_info(self.final))
@@ -179,7 +202,7 @@ class _Shard:
 
     def close(self) -> list[dict]:
         self.roll()
-        temp = f"{self.folder}/.tmp-{self.attempt}-{self.name}.json"
+        temp = f"{self.folder}/{TEMPORARY}/{self.attempt}-{self.name}.json"
         with self.fs.open_output_stream(temp) as f:
             f.write(json.dumps({"shard": self.name, "files": self.done}, sort_keys=True).encode())
         _put(self.fs, temp, f"{self.folder}/{self.name}.manifest.json")
@@ -196,7 +219,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     table = persisted(table, "ranges")
     tasks = min(table.agg(F.max(F.col("shard") + F.col("parts"))).first()[0] or 1, MOST_TASKS)
     fs, path = _files(folder)
-    fs.create_dir(path, recursive=True)
+    fs.create_dir(f"{path}/{TEMPORARY}", recursive=True)
 
     def placed(df: DataFrame, sub: Column) -> DataFrame:
         """``sub``: which of its digest's parts a row of a hot cell goes to."""
@@ -237,9 +260,17 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
 
     files = persisted(sorted_rows.mapInPandas(run, "shard string, file string, bytes long, records long, sha256 string"), "files")
     discard(narrow, table)
+    fs.delete_dir(f"{path}/{TEMPORARY}")
     return files
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that the manifests in ``folder`` name, ``shard, file, bytes, records, sha256``."""
+    schema = "shard string, files array<struct<file:string,bytes:long,records:long,sha256:string>>"
+    found = spark.read.schema(schema).json(folder, pathGlobFilter="*.manifest.json", mode="FAILFAST")
+    return found.select("shard", F.inline("files"))
+
+
 def members(stream) -> Iterator[bytes]:
     """Uncompressed gzip members of a stream, one at a time."""
     left, gz, out = b"", zlib.decompressobj(31), io.BytesIO()
@@ -310,7 +341,7 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    found = persisted(read(spark, files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    found = persisted(read(spark, listed(spark, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
     discard(files)
     delete(spark, folder)
     return found
