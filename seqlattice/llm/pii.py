@@ -82,8 +82,6 @@ SPAN = "array<struct<s:int,e:int,v:string,before:string,sides:string>>"
 RUN = 256
 #: Characters of the pieces that a text is cut into before parts of it are taken.
 PIECE = 1024
-#: Steps of a bisection: enough for 4 million spans of a kind in one text.
-STEPS = 22
 
 
 def _let(value: Column, body) -> Column:
@@ -271,7 +269,8 @@ def spans(text: Column, model: dict) -> Column:
             return F.struct(F.when(wide & left, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(wide & ~left, middle).otherwise(state["hi"]).alias("hi"))
 
         start = F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda state: F.coalesce(F.get(base, state["lo"] - 1)["e"] > c["s"], F.lit(False)))
+        steps = F.length(F.bin(F.size(base).cast("long")))  # of n + 1 places each step leaves half
+        return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda state: F.coalesce(F.get(base, state["lo"] - 1)["e"] > c["s"], F.lit(False)))
 
     def chosen(found: Column) -> Column:
         base = F.filter(found, lambda c: c["base"])
