@@ -17,13 +17,15 @@ a stretch are not searched for.
 Masked windows of documents and of items are hashed and joined. Every hit fixes
 an alignment of the item to the document, which is verified token by token.
 
-The documents are read in one pass that moves hits only: positions are
-generated, those whose first block occurs in no item are dropped by a semi-join,
-the rest are masked, hashed and joined. A position carries hashes, never the
-text. Hits are written as a table; the tokens of the rows that have any are
-fetched by a join with it, broadcast by Spark only if the table's files are
-small. The item side is broadcast if it has at most ``BROADCAST_ROWS`` masked
-windows of 32 bytes each (counted first), else all joins are shuffle joins.
+The documents are read in one pass that moves hits only, whatever the size of the
+benchmark: positions are generated, those whose first block is in no item by a
+bitmap are dropped, the rest are masked and hashed, those whose hash is in no item
+by a second bitmap are dropped, and what is left is joined with the items' masked
+windows. A bitmap has ``BITS`` bits and is broadcast as rows of 64 bits, so at most
+``BITS / 64`` rows of 16 bytes; a full one lets more through, but never drops a hit. No other side
+carries a hint: Spark broadcasts it by its measured size or shuffles. A position
+carries hashes, never the text. Hits are written as a table; the tokens of the rows
+that have any are fetched by a join with it.
 
 Edge cases: null and empty texts and items have no tokens and no hits; repeated
 rows and null ids keep their rows, as rows are told apart by id and text hash;
@@ -47,7 +49,8 @@ ALONE = 0
 VERBATIM = 8
 STRETCH = 20
 AGREE = 0.8
-BROADCAST_ROWS = 1_000_000
+#: Size of a bitmap of the benchmark's hashes, a power of two.
+BITS = 1 << 26
 
 
 def token_hashes(text: Column) -> Column:
@@ -85,6 +88,16 @@ def _needed(n: Column) -> Column:
     return F.when(n < VERBATIM, n).otherwise(F.ceil(AGREE * n)).cast("int")
 
 
+def _held(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``values`` (one column of hashes), by a bitmap; none that is gets lost."""
+    word = lambda x: F.shiftright(x.bitwiseAND(BITS - 1), 6)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    x = F.col(values.columns[0])
+    bitmap = values.groupBy(word(x).alias("__word")).agg(F.bit_or(bit(x)).alias("__bits"))
+    met = df.withColumn("__word", word(F.col(column))).join(F.broadcast(bitmap), "__word")  # at most BITS / 64 rows
+    return met.filter(F.col("__bits").bitwiseAND(bit(F.col(column))) != 0).drop("__word", "__bits")
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``id, text_hash, item_id, start``: alignments that a seed proposes. ``docs``: id, text_hash, tokens; ``items``: item_id, tokens."""
     short = [r.n for r in items.select(F.size("tokens").alias("n")).filter("n between 1 and 4").distinct().collect()]  # four rows at most
@@ -95,14 +108,11 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = F.when(F.size("tokens") < BLOCK + SECOND, _seeds(at, alone)).otherwise(_seeds(at, []))
     wanted = positions(items, ["item_id"]).select("item_id", "at", F.explode(own).alias("s"))
     wanted = wanted.select("s.key", F.col("s.before").alias("item_before"), "item_id", F.col("at").alias("item_at")).distinct()
-    found = positions(docs, ["id", "text_hash"])
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        block = F.explode(F.array(*(_block(at, n) for n in places))) if len(places) > 1 else _block(at, BLOCK)
-        blocks = positions(items, []).select(F.explode(F.array(*(_block(at, n) for n in places))).alias("block")).filter("block is not null").distinct()
-        found = found.withColumn("block", block).join(F.broadcast(blocks), "block", "left_semi")  # no more rows than ``wanted``
-        wanted = F.broadcast(wanted)
+    blocks = positions(items, []).select(F.explode(F.array(*(_block(at, n) for n in places))).alias("block")).filter("block is not null")
+    block = F.explode(F.array(*(_block(at, n) for n in places))) if len(places) > 1 else _block(at, BLOCK)
+    found = _held(positions(docs, ["id", "text_hash"]).withColumn("block", block), "block", blocks)
     found = found.select("id", "text_hash", "at", F.explode(_seeds(at, alone)).alias("s")).select("id", "text_hash", "at", "s.key", "s.before")
-    met = found.join(wanted, "key")
+    met = _held(found, "key", wanted.select("key")).join(wanted, "key")
     # Of a run of hits of one seed on one alignment, the first is enough.
     met = met.filter(F.col("before").isNull() | F.col("item_before").isNull() | (F.col("before") != F.col("item_before")))
     return met.select("id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
