@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +49,24 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqlattice_path = path
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(out)
     return out
 
 
-#: Tables made inside the scopes that are open.
-_SCOPES: list[list[DataFrame]] = []
+#: Tables made inside the scopes that are open in this thread.
+_SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete the tables of :func:`persisted` made inside, but those given to what it yields."""
     made, kept = [], []
-    _SCOPES.append(made)
+    outer = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield lambda df: kept.append(df) or df
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(outer)
         discard(*(df for df in made if not any(df is k for k in kept)))
 
 

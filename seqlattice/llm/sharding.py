@@ -29,6 +29,8 @@ SEED = 20240229
 ROUNDS = 4
 BUCKETS = 4096
 CHUNK = 65536
+#: Parts in which rows of equal id, size and crc32 are numbered when shards are attached to whole rows.
+PIECES = 256
 #: Steps of cycle walking tried before the query fails loudly. At most
 #: sqrt(N) of the domain's numbers lie outside [0, N), and a walk meets each of
 #: them once at most, so 64 is exact for N up to 4096 and missed with a
@@ -105,11 +107,35 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     )
 
 
-def attach_shards(df: DataFrame, **options) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``; the id column must be unique."""
-    id_col = options.get("id_col", "doc_id")
-    placed = assign_shards(df, **options).select(F.col(id_col).alias("__id"), "shard", "slot")
-    return df.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+def _numbered(df: DataFrame, salt: Column, order: list[str], weight: Column) -> DataFrame:
+    """``df`` with ``nth``: gapless numbers from 0 in its groups of equal ``key``, ``weight`` of them for each row (one output row each).
+
+    A group is numbered in up to ``PIECES`` parts by ``salt``, which start at the sum of the parts before.
+    """
+    df = df.withColumns({"__salt": F.pmod(salt, F.lit(PIECES)), "__w": weight})
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("key", "__salt").agg(F.sum("__w").alias("__total"))
+    offsets = parts.select("key", "__salt", F.coalesce(F.sum("__total").over(past(Window.partitionBy("key").orderBy("__salt"))), F.lit(0)).alias("__off"))  # PIECES rows a key at most
+    inside = F.coalesce(F.sum("__w").over(past(Window.partitionBy("key", "__salt").orderBy(*order))), F.lit(0))
+    first = F.col("__off") + F.col("__in")
+    numbers = F.explode(F.sequence(first, first + F.col("__w") - 1))
+    return df.withColumn("__in", inside).join(offsets, ["key", "__salt"]).withColumn("nth", numbers).drop("__salt", "__w", "__off", "__in")
+
+
+def attach_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with ``shard`` and ``slot`` (its own columns of these names give way), one row for each of its rows.
+
+    Rows that share id, size and crc32 get their group's slots, one each. Equal rows are counted first, and groups are
+    numbered in parts, so no group is one task's. Columns must be of types that Spark can group by.
+    """
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    data = F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8")
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), (F.octet_length(data).cast("long") + 8).alias("size"), F.crc32(data).alias("text_crc32"))
+    rows = df.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = _numbered(rows.withColumn("h", F.xxhash64("row")), F.col("h"), ["h", "row"], F.col("n"))
+    placed = assign_shards(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), shards, seed, "id", "text")
+    placed = _numbered(placed.select(F.struct("id", "size", "text_crc32").alias("key"), "shard", "slot"), F.col("slot"), ["slot", "shard"], F.lit(1).cast("long"))
+    return rows.join(placed, ["key", "nth"]).select(*(F.col(f"row.`{c}`").alias(c) for c in names), "shard", "slot")
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

@@ -7,13 +7,14 @@ import struct
 import textwrap
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from seqlattice.llm import bpe, decontam, langid, license_scan, pii, quality, sharding, simhash, toxicity, warc
-from seqlattice.llm.common import held_out
+from seqlattice.llm.common import discard, held_out, persisted, scratch
 from seqlattice.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -61,6 +62,32 @@ def test_shards_ignore_the_layout(spark, docs):
     assert key(docs) == key(docs.repartition(7, "text"))
 
 
+def test_scopes_of_threads_are_apart(spark):
+    """A scope deletes tables of its own thread only."""
+    with scratch():
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(lambda: persisted(spark.range(3), "other")).result()
+        own = persisted(spark.range(4), "own")
+        assert own.count() == 4
+    assert other.count() == 3
+    discard(other)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|not exist"):
+        spark.read.schema(own.schema).parquet(own._seqlattice_path).count()
+
+
+def test_attached_shards(spark, docs, empty):
+    """One row for each row, repeated ones included, with the places that ``assign_shards`` gives."""
+    extra = spark.createDataFrame([(None, None, f"x{i % 3}") for i in range(40)] + [(5, "same", "y")] * 30, "doc_id long, text string, id string")
+    df = docs.unionByName(extra, allowMissingColumns=True).withColumns({"shard": F.lit("clash"), "nth": F.lit(1), "key": F.lit("k"), "row": F.lit(0)})
+    got = sharding.attach_shards(df, 5)
+    assert got.columns == [c for c in df.columns if c != "shard"] + ["shard", "slot"]
+    rows = got.collect()
+    key = lambda r: (str(r.doc_id), zlib.crc32((r.text or "").encode()), r.shard, r.slot)
+    assert sorted(map(key, rows)) == sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in sharding.assign_shards(df, 5).collect())
+    assert Counter(map(repr, got.drop("shard", "slot").collect())) == Counter(map(repr, df.drop("shard").collect()))
+    assert sharding.attach_shards(empty).count() == 0
+
+
 def test_no_shards_for_no_rows(empty):
     assert sharding.assign_shards(empty).count() == 0
 
@@ -202,10 +229,47 @@ def test_warc(spark, tmp_path):
     assert warc.parse(first)["warc-type"] == "warcinfo"
     listed = {r.file: r.sha256 for r in files.collect()}
     on_disk = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "w").glob("*.warc.gz")}
-    assert listed == on_disk and len(listed) > 2 and not list((tmp_path / "w").glob(".tmp*"))
+    assert listed == on_disk and len(listed) > 2 and not (tmp_path / "w" / warc.TEMPORARY).exists()
+    assert sorted(warc.listed(spark, f"file://{tmp_path}/w").collect()) == sorted(files.collect())
     again = warc.write(df.repartition(5), f"file://{tmp_path}/v", shard_bytes=3000, file_bytes=400)
     assert {r.file: r.sha256 for r in again.collect()} == listed
     assert warc.read(spark, warc.write(df.filter("false"), f"file://{tmp_path}/n"), f"file://{tmp_path}/n").count() == 0
+    assert warc.listed(spark, f"file://{tmp_path}/n").count() == 0
+
+
+def test_warc_attempts(spark, tmp_path):
+    """Attempts that are repeated or killed after any of their steps: what manifests name is there, whole, at every moment."""
+    folder = f"file://{tmp_path}"
+    records = [warc.record(i, f"u{i}", b"x" * 900, hashlib.sha1(b"x" * 900).hexdigest(), 900) for i in range(5)]
+    (tmp_path / warc.TEMPORARY).mkdir()
+
+    def attempt(name, steps, shard="shard-a", data=records):
+        """Take ``steps`` records, then be killed; without a number of steps, finish."""
+        writer = warc._Shard(folder, shard, 400, name)
+        for r in data[:steps]:
+            writer.add(r)
+        return writer.close() if steps is None else None
+
+    def whole():
+        for r in warc.listed(spark, folder).collect():
+            data = (tmp_path / r.file).read_bytes()
+            assert (hashlib.sha256(data).hexdigest(), len(data)) == (r.sha256, r.bytes)
+        return warc.read(spark, warc.listed(spark, folder), folder).count()
+
+    attempt("killed", 3)
+    attempt("other", 4, shard="shard-b")
+    assert list(tmp_path.glob("*.warc.gz")) and whole() == 0  # files, but no manifest
+    done = attempt("second", None)
+    assert whole() == 5
+    before = {p.name: p.stat().st_ino for p in tmp_path.glob("shard-a*")}
+    for k in range(len(records) + 1):
+        attempt(f"late-{k}", k)
+        assert whole() == 5
+    assert attempt("repeated", None) == done
+    assert {p.name: p.stat().st_ino for p in tmp_path.glob("shard-a*")} == before  # not one was replaced
+    with pytest.raises(FileExistsError):
+        attempt("foreign", None, data=records[::-1])
+    assert whole() == 5
 
 
 # models
@@ -391,11 +455,11 @@ def test_leaks_equal_brute_force(spark):
     expected = {i: [j for j, item in enumerate(items) if slow_leaks(t, item)] for i, t in enumerate(texts)}
     assert {r.doc_id: list(r["items"]) for r in decontam.contamination(df, bench).collect()} == expected
     assert 100 < sum(map(bool, expected.values())) < 400
-    limit, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, 10  # with joins that shuffle
+    limit, decontam.BITS = decontam.BITS, 64  # a bitmap that is full
     try:
         assert {r.doc_id: list(r["items"]) for r in decontam.contamination(df, bench).collect()} == expected
     finally:
-        decontam.BROADCAST_ROWS = limit
+        decontam.BITS = limit
 
 
 def test_some_seed_meets_every_leak():
