@@ -32,7 +32,8 @@ else; the sample decides about work, never about results.
 
 Where at most ``ALL`` texts share a hash, all their pairs are met. Where more do,
 each first meets the ``HUBS`` texts that share most with others (the original of
-many altered copies is one) and the ``NEXT`` before it in this order. What these
+many altered copies is one) and the ``NEXT`` before it in this order, in its part of
+about ``BLOCK`` texts, so that no task has all texts of a common hash. What these
 link needs no more comparing. All other pairs that share the hash, of texts that
 are not linked yet, are then met in blocks of ``BLOCK`` texts: no pair is left out. Pairs that
 could not be similar if this were the first hash they share are not compared there.
@@ -175,15 +176,19 @@ def _head(n: int, similarity: float) -> int:
 def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
     """Links ``(a, b)``, a < b, that connect all distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
     heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th")), "heads")
-    rows = heads.select("fp", "n", F.posexplode("grams").alias("at", "gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
-    rows = persisted(rows, "shared")
-    scores = rows.groupBy("fp").agg(F.sum("texts").alias("score"))
-    order = Window.partitionBy("gram").orderBy(F.desc("score"), "fp")
-    other = F.struct("fp", "n", "at")
-    few = F.array(*(F.lag(other, k).over(order) for k in range(1, ALL)))
-    many = F.array(*(F.lag(other, k).over(order) for k in range(1, NEXT + 1)), *(F.nth_value(other, k).over(order) for k in range(1, HUBS + 1)))
-    scored = rows.join(scores, "fp")
-    met = [part.select("fp", "n", "at", o.alias("o")).select("fp", "n", "at", F.explode("o").alias("o")) for part, o in ((scored.filter(F.col("texts") <= ALL), few), (scored.filter(F.col("texts") > ALL), many))]
+    placed = heads.select("fp", "n", F.posexplode("grams").alias("at", "gram"))
+    shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    rows = persisted(placed.join(shared, "gram").select("fp", "n", "at", "gram", "texts"), "shared")
+    scored = rows.join(rows.groupBy("fp").agg(F.sum("texts").alias("score")), "fp")
+    other, order = F.struct("fp", "n", "at"), [F.desc("score"), F.asc("fp")]
+    before = lambda count, w: F.array(*(F.lag(other, k).over(w) for k in range(1, count + 1)))
+    few = scored.filter(F.col("texts") <= ALL).withColumn("others", before(ALL - 1, Window.partitionBy("gram").orderBy(*order)))
+    many = scored.filter(F.col("texts") > ALL).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("texts") / BLOCK)))
+    # Each task of the input hands on its own first HUBS of a hash only.
+    best = many.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy(*order))).filter(F.col("place") <= HUBS)
+    hubs = best.groupBy("gram").agg(F.collect_list(other).alias("hubs"))
+    many = many.withColumn("next", before(NEXT, Window.partitionBy("gram", "part").orderBy(*order))).join(hubs, "gram").withColumn("others", F.concat("next", "hubs"))
+    met = [part.select("fp", "n", "at", F.explode("others").alias("o")) for part in (few, many)]
     met = met[0].filter(_reach("n", "at", "o.n", "o.at", similarity)).unionByName(met[1]).filter((F.col("o.fp") != F.col("fp")) & _near(F.col("n"), F.col("o.n"), similarity))
     found = persisted(_verified(met.select("fp", F.col("o.fp").alias("other")), heads, texts, width, similarity, common), "found")
 
