@@ -86,9 +86,11 @@ def as_of(edges: DataFrame, points: DataFrame, edge: str, point: str, carry: str
     borders = both.select("__cell").distinct().join(borders, "__cell", "left")  # ``cells`` rows at most
     order = Window.orderBy("__cell")
     carried = borders.select("__cell", F.last("last.__edge", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("first.__edge", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    within = Window.partitionBy("__cell").orderBy("__at")  # edges at the place of a point are seen from both directions
-    prev = F.last("__edge", True).over(within.rangeBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("__edge", True).over(within.rangeBetween(0, Window.unboundedFollowing))
+    # Edges at the place of a point are seen from both directions. The next edge is the last one in falling order: a frame that
+    # only grows costs a step a row, one that begins at each row and ends with the range costs the square of its rows.
+    upward = Window.partitionBy("__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy("__cell").orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    prev, nxt = F.last("__edge", True).over(upward), F.last("__edge", True).over(downward)
     met = both.withColumns({"__prev": prev, "__next": nxt}).filter("__is_point").join(F.broadcast(carried), "__cell")  # ``cells`` rows at most
     out = met.select("__row.*", F.coalesce("__prev", "__before").alias("prev"), F.coalesce("__next", "__after").alias("next"))
     nothing = F.lit(None).cast(out.schema["prev"].dataType)

@@ -194,3 +194,16 @@ def test_dense_view(spark):
     assert got == {3: [9.0, 0.0, 0.0], 4: [0.0] * 3, 5: [0.0, 0.0, 1.0]}
     assert {tuple(r.cells) for r in pyramid.dense(df.filter("false"), (0, 2), (0, 3)).collect()} == {(0.0, 0.0)}
     assert pyramid.dense(df, (4, 7), (3, 3)).count() == 0
+
+
+def test_as_of_takes_a_step_a_row(spark):
+    """No frame of a row ends with its range: such frames cost the square of a range's rows."""
+    e = spark.range(300).selectExpr("id * id * 3 AS at", "id AS name")
+    p = spark.range(2000).selectExpr("id * 211 - 5000 AS x")
+    met = ranges.as_of(e, p, "at", "x", "name", cells=1)
+    plan = met._jdf.queryExecution().analyzed().toString()
+    assert "RangeFrame, currentrow$(), unboundedfollowing$()" not in plan
+    edges = [3 * i * i for i in range(300)]
+    before, after = {x: [i for i, v in enumerate(edges) if v <= x] for x in range(-5000, 417000, 211)}, {x: [i for i, v in enumerate(edges) if v >= x] for x in range(-5000, 417000, 211)}
+    for r in met.collect():
+        assert (r.prev and r.prev.name) == (before[r.x][-1] if before[r.x] else None) and (r.next and r.next.name) == (after[r.x][0] if after[r.x] else None)
