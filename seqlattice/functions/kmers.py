@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bases in one piece of a sequence; pieces overlap by k - 1.
 CHUNK = 65536
 AMBIGUOUS = "RYMKSWHBVDN"
+#: Bases that a function hashes at once, or one piece: what a Python worker holds follows from this, not from the rows of a batch.
+BASES = 1 << 18
 
 M32 = 0xFFFFFFFF
 C1, C2 = 0xCC9E2D51, 0x1B873593
@@ -167,23 +170,47 @@ def _all_hashes(bases: np.ndarray, k: int, n: int) -> np.ndarray:
     return (h ^ h >> np.uint32(16)).view(np.int32)
 
 
+def slices(pieces: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, end) with at most ``BASES`` bytes, of one row at least."""
+    ends = np.cumsum(pa.compute.binary_length(pieces).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, done + BASES, "right")))
+        yield at, end
+        at, done = end, int(ends[end - 1])
+
+
+def batch_hashes(pieces: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The canonical hash of every k-mer of every piece, with its row and place; pieces are hashed at once, end to end."""
+    sizes = pa.compute.binary_length(pieces).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = np.maximum(sizes - (k - 1), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    h = canonical_hashes(b"".join(p.as_py() or b"" for p in pieces), k)
+    return h[at + (np.cumsum(sizes) - sizes)[row]] if len(row) else h[:0], row, at
+
+
+def _lists(values: np.ndarray, row: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+    """A list for each row, of values in the order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=rows))), pa.int32()), pa.array(values, kind))
+
+
 def hashed_kmers(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
     """``idx`` and canonical hash ``h`` of every k-mer that the sketch keeps.
 
-    A piece of sequence is hashed as a whole in an Arrow function: column
+    Pieces of sequence are hashed in an Arrow function, ``BASES`` at once: column
     expressions for the same hash need a method beyond what the JVM compiles.
     The modulus and the ambiguity letters are applied before rows are made.
     """
     dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
 
-    @F.pandas_udf("array<bigint>")
-    def kept(pieces: pd.Series) -> pd.Series:
-        out = []
-        for piece in pieces:
-            h = canonical_hashes(piece, k)
-            at = np.flatnonzero((h % sparsity == 0) & ~np.isin(h, dropped))
-            out.append(at.astype(np.int64) << 32 | h[at].view(np.uint32).astype(np.int64))
-        return pd.Series(out)
+    @F.arrow_udf("array<bigint>")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pieces in batches:
+            for lo, hi in slices(pieces):
+                h, row, at = batch_hashes(pieces.slice(lo, hi - lo), k)
+                keep = (h % sparsity == 0) & ~np.isin(h, dropped)
+                yield _lists(at[keep] << 32 | h[keep].view(np.uint32).astype(np.int64), row[keep], hi - lo, pa.int64())
 
     df = chunked(seqs, k, seq).withColumn("__p", F.explode(kept("piece")))
     low = F.col("__p").bitwiseAND(M32)
@@ -194,7 +221,7 @@ def hashed_kmers(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = F
 def window_bounds(n: int, window: int, k: int, delta: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`seqlattice.operators.windows.bounds` for window numbers of one sequence of ``n`` k-mers."""
     d, first = window * delta, window - k + 1
-    full = max(0, (n - (2 * window - k + 1)) // window + 1)
+    full = np.maximum(0, (n - (2 * window - k + 1)) // window + 1)
     begin = first + (w - 1) * window
     low = np.where(w == 0, 0, np.maximum(np.rint(begin + 1 - d), 0))
     high = np.where(w == 0, np.rint(first + d), np.where(w <= full, np.rint(begin + window + 1 + d), n))
@@ -270,9 +297,12 @@ def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: b
     dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
 
     @F.arrow_udf("array<struct<layer:int,w:bigint,core:array<int>,rim:array<int>>>")
-    def placed(piece: pa.Array, off: pa.Array, n: pa.Array, sizes: pa.Array) -> pa.Array:
-        rows = zip(piece, *(x.to_pylist() for x in (off, n, sizes)), strict=True)
-        return _window_arrays([_piece_windows(p.as_py(), o, m, [(x["window"], x["sparsity"]) for x in z], k, delta, dropped) for p, o, m, z in rows])
+    def placed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lo, hi in slices(batch[0]):
+                piece, *rest = (x.slice(lo, hi - lo) for x in batch)
+                rows = zip(piece, *(x.to_pylist() for x in rest), strict=True)
+                yield _window_arrays([_piece_windows(p.as_py(), o, m, [(x["window"], x["sparsity"]) for x in z], k, delta, dropped) for p, o, m, z in rows])
 
     keys = [c for c in seqs.columns if c != seq]
     if seq in seqs.columns:
@@ -291,28 +321,74 @@ def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: b
     return out.withColumn("rim", F.when(F.col("__many"), F.array_except("rim", "core")).otherwise(F.col("rim"))).drop("__many")
 
 
-def hash_sets(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+def no_key_twice(seqs: DataFrame, keys: list[str]) -> bool:
+    """True if no two sequences have the same ``keys``: then what one piece holds of a sequence is all there is, and needs no grouping.
+
+    Only the keys are read where the table's format allows it; of sequences in pieces, the first piece counts.
+    """
+    first = seqs.filter("off = 0") if "off" in seqs.columns else seqs
+    return first.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").isEmpty()
+
+
+def _pieces(n: Column, k: int) -> Column:
+    return F.ceil((n - (k - 1)) / CHUNK)
+
+
+def _distinct(k: int, sparsity: int, ambiguous: bool, held: Callable[[np.ndarray], np.ndarray] | None = None) -> Callable:
+    """For each piece, one row or none: number and sum of places of the kept k-mers, number of distinct hashes, and these hashes; with ``held`` only those that it says."""
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
+
+    @F.arrow_udf("array<struct<kept:bigint,places:bigint,n:bigint,hs:array<int>>>")
+    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pieces in batches:
+            for lo, hi in slices(pieces):
+                h, row, at = batch_hashes(pieces.slice(lo, hi - lo), k)
+                keep = (h % sparsity == 0) & ~np.isin(h, dropped)
+                h, row, at, rows = h[keep], row[keep], at[keep], hi - lo
+                found = np.unique(row << 32 | h.view(np.uint32).astype(np.int64))
+                n, some = np.bincount(found >> 32, minlength=rows), np.bincount(row, minlength=rows)
+                places = np.append(0, np.cumsum(at))[np.append(0, np.cumsum(some))]
+                real = some > 0
+                hs, of = (found & M32).astype(np.uint32).view(np.int32), found >> 32
+                if held is not None:
+                    mine = held(hs)
+                    hs, of = hs[mine], of[mine]
+                lists = _lists(hs, (np.cumsum(real) - 1)[of], int(real.sum()), pa.int32())
+                columns = [pa.array(some[real], pa.int64()), pa.array(np.diff(places)[real], pa.int64()), pa.array(n[real], pa.int64()), lists]
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(real)), pa.int32()), pa.StructArray.from_arrays(columns, ["kept", "places", "n", "hs"]))
+
+    return distinct
+
+
+def hash_sets(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = False, seq: str = "seq", held: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The columns of ``seqs`` but ``seq``, ``hs`` (distinct kept hashes) and ``n`` (how many the sequence has).
 
     A sequence of one piece is one row. A longer one is several, as many as it has pieces, each with the hashes of one
-    residue, so no row holds more than a piece would.
+    residue, so no row holds more than a piece would. ``held`` says of hashes which may stay in ``hs``; sequences of one
+    piece leave the others where they were made.
     """
     keys = [c for c in seqs.columns if c != seq]
-    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
-
-    @F.arrow_udf("array<int>")
-    def distinct(pieces: pa.Array) -> pa.Array:
-        found = []
-        for piece in pieces:
-            h = np.unique(canonical_hashes(piece.as_py(), k))
-            found.append(h[(h % sparsity == 0) & ~np.isin(h, dropped)])
-        ends = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-
-    made = chunked(seqs.select(*keys, seq, F.octet_length(seq).cast("long").alias("__n")), k, seq)
-    made = made.select(*keys, F.ceil((F.col("__n") - (k - 1)) / CHUNK).alias("__pieces"), distinct("piece").alias("hs"))
-    short = made.filter("__pieces = 1").select(*keys, "hs", F.size("hs").cast("long").alias("n"))
-    long = made.filter("__pieces > 1").select(*keys, "__pieces", F.explode("hs").alias("h"))
+    made = chunked(seqs.select(*keys, seq, _pieces(F.octet_length(seq).cast("long"), k).alias("__pieces")), k, seq)
+    short = made.filter("__pieces = 1").select(*keys, F.inline(_distinct(k, sparsity, ambiguous, held)("piece"))).select(*keys, "hs", "n")
+    long = made.filter("__pieces > 1").select(*keys, "__pieces", F.inline(_distinct(k, sparsity, ambiguous)("piece"))).select(*keys, "__pieces", F.explode("hs").alias("h"))
     parts = long.groupBy(*keys, F.pmod("h", "__pieces").alias("__part")).agg(F.collect_set("h").alias("hs"))
     total = parts.groupBy(*keys).agg(F.sum(F.size("hs")).alias("n"))
     return short.unionByName(parts.join(total, keys).select(*keys, "hs", "n"))
+
+
+def kmer_totals(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
+    """The columns of ``seqs`` but ``seq``, ``kept`` k-mers, ``n_hashes`` (distinct) and ``places`` (their sum), of sequences that keep any.
+
+    Where no sequence has the keys of another, those of one piece are counted where they are hashed, and nothing is
+    shuffled for them; the hashes of longer ones meet by sequence and hash, as all do where keys repeat.
+    """
+    keys = [c for c in seqs.columns if c != seq]
+
+    def met(some: DataFrame) -> DataFrame:
+        return hashed_kmers(some, k, sparsity, ambiguous, seq).groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("h").alias("n_hashes"), F.sum("idx").alias("places"))
+
+    if not no_key_twice(seqs, keys):
+        return met(seqs)
+    n = F.octet_length(seq).cast("long")
+    short = chunked(seqs.filter(_pieces(n, k) <= 1), k, seq).select(*keys, F.inline(_distinct(k, sparsity, ambiguous)("piece")))
+    return short.select(*keys, "kept", F.col("n").alias("n_hashes"), "places").unionByName(met(seqs.filter(_pieces(n, k) > 1)))

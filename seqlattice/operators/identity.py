@@ -351,12 +351,11 @@ def set_containment(a: DataFrame, b: DataFrame, k: int, sparsity: int = 1, prune
 
     The sets are made in the function that hashes; with ``prune`` only hashes that side ``b`` may hold are shuffled.
     """
-    sets = {name: hash_sets(df, k, sparsity) for name, df in (("a", a), ("b", b))}
-    bits = bitmap(sets["b"].select(F.explode("hs").alias("h"))) if prune else None
+    b_sets = hash_sets(b, k, sparsity)
+    shipped = a.sparkSession.sparkContext.broadcast(bitmap(b_sets.select(F.explode("hs").alias("h")))) if prune else None
+    a_sets = hash_sets(a, k, sparsity, held=(lambda h: held(shipped.value, h)) if prune else None)
     sides = []
-    for name, found in sets.items():
-        if name == "a" and bits is not None:
-            found = _only_held(found.select("seq_id", "n", F.col("hs").alias("core"), F.array().cast("array<int>").alias("rim")), bits).select("seq_id", "n", F.col("core").alias("hs"))
+    for name, found in (("a", a_sets), ("b", b_sets)):
         sides.append(found.select(F.col("seq_id").alias(f"{name}_id"), F.col("n").alias(f"{name}_size"), F.explode("hs").alias("h")))
     met = sides[0].join(sides[1], "h")
     return met.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("common"), F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))

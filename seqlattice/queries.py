@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmers, murmur3_int, reverse_complement, with_murmur3
+from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmer_totals, kmers, murmur3_int, reverse_complement, with_murmur3
 from .operators import frames, grid, identity, pyramid, windows
 from .plans import params
 from .sources import readers, writers
@@ -172,7 +172,7 @@ def ambiguous_hashes_21(spark, sf_dir):
 
 @query(f"SELECT seq_id, count(*) AS kept, count(DISTINCT h) AS n_hashes, sum(idx)::BIGINT AS places FROM ({hashed_sql(K, 4)}) GROUP BY seq_id")
 def modimizer_filter(spark, sf_dir):
-    return hashed_kmers(sequences(spark, sf_dir), K, 4).groupBy("seq_id").agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("h").alias("n_hashes"), F.sum("idx").alias("places"))
+    return kmer_totals(sequences(spark, sf_dir), K, 4)
 
 
 # windows

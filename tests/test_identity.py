@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,26 @@ def test_bad_windows():
         windows.check(10, 21, 0.5)
     with pytest.raises(ValueError):
         windows.check(30, 21, 1.5)
+
+
+def test_hashing_takes_bases_not_rows(spark, monkeypatch):
+    """What is hashed at once has a bound in bases; results do not depend on it, nor on sequences that share a key."""
+    pieces = pa.array([b"ACGT" * n for n in (3, 0, 50, 1, 1, 1)])
+    seqs = [(i, sequence(i, n)) for i, n in enumerate((0, 11, 12, 90, 4000, km.CHUNK + 500))]
+    df = spark.createDataFrame(seqs, "seq_id long, seq string")
+    expected = {}
+    for i, s in seqs:
+        h = [(p, v) for p, v in enumerate(km.canonical_hashes(s.upper().encode(), 12).tolist()) if v % 4 == 0]
+        if h:
+            expected[i] = (len(h), len({v for _, v in h}), sum(p for p, _ in h))
+    for bases in (1, 40, km.BASES):
+        monkeypatch.setattr(km, "BASES", bases)
+        found = list(km.slices(pieces))
+        assert [a for a, _ in found] == [0, *(b for _, b in found[:-1])] and found[-1][1] == 6
+        assert all(b - a == 1 or sum(len(p) for p in pieces.to_pylist()[a:b]) <= bases for a, b in found)
+        got = {r.seq_id: (r.kept, r.n_hashes, r.places) for r in km.kmer_totals(df, 12, 4, ambiguous=True).collect()}
+        assert got == expected
+    twice = {r.seq_id: (r.kept, r.n_hashes) for r in km.kmer_totals(df.unionByName(df.filter("seq_id = 4")), 12, 4, ambiguous=True).collect()}
+    assert twice[4] == (2 * expected[4][0], expected[4][1]) and twice[5] == expected[5][:2]
+    plan = km.kmer_totals(df.filter("seq_id < 5"), 12, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" in plan
