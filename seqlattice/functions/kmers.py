@@ -237,7 +237,12 @@ def _piece_windows(piece: bytes, off: int, n: int, layers: list[tuple[int, int]]
 
 
 def _placed(h: np.ndarray, at: np.ndarray, off: int, n: int, window: int, k: int, delta: float) -> np.ndarray:
-    low32, at = h[at].view(np.uint32).astype(np.int64) << 1, at + off
+    return placed_keys(h[at], at + off, n, window, k, delta)
+
+
+def placed_keys(h: np.ndarray, at: np.ndarray, n: int | np.ndarray, window: int | np.ndarray, k: int, delta: float, first: int | np.ndarray = 0) -> np.ndarray:
+    """Distinct ``w << 33 | hash << 1 | outside`` of hashes at places; ``n``, ``window`` and ``first`` (added to ``w``) may differ from hash to hash."""
+    low32 = h.view(np.uint32).astype(np.int64) << 1
     centre = (at - (window - k + 2)) // window + 1
     reach, keys = (math.ceil(delta) + 1 if delta else 0), []
     for step in range(-reach, reach + 1):
@@ -248,8 +253,8 @@ def _placed(h: np.ndarray, at: np.ndarray, off: int, n: int, window: int, k: int
         if not step:
             low, high, real = window_bounds(n, window, k, 0.0, w)
             outside = (~(real & (at >= low) & (at < high))).astype(np.int64)
-        keys.append((w << 33 | low32 | outside)[inside])
-    found = np.unique(np.concatenate(keys))
+        keys.append((w + first << 33 | low32 | outside)[inside])
+    found = np.sort(np.concatenate(keys))
     return found[np.append(True, found[1:] >> 1 != found[:-1] >> 1)] if len(found) else found
 
 
@@ -284,16 +289,17 @@ def window_sketches(seqs: DataFrame, window: int | str, k: int, delta: float = 0
     Instead of ``seq`` there may be ``piece``, ``off`` and ``length``: pieces that overlap by ``k - 1``.
     """
     value = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
-    return _sketched(seqs, F.array(F.struct(value(window).alias("window"), value(sparsity).alias("sparsity"))), k, delta, ambiguous, seq).drop("layer", *([] if lengths else ["__n"]))
+    return sketched(seqs, F.array(F.struct(value(window).alias("window"), value(sparsity).alias("sparsity"))), k, delta, ambiguous, seq).drop("layer", *([] if lengths else ["__n"]))
 
 
 def layered_sketches(seqs: DataFrame, layers: list[tuple[int, int]], k: int, delta: float = 0.0, ambiguous: bool = False, seq: str = "seq") -> DataFrame:
     """:func:`window_sketches` for several (window, sparsity) at once, with ``layer``, the place in the list, and the sequence's length ``__n``. All layers come from one hashing."""
     sizes = F.array(*(F.struct(F.lit(w).cast("long").alias("window"), F.lit(s).cast("long").alias("sparsity")) for w, s in layers))
-    return _sketched(seqs, sizes, k, delta, ambiguous, seq)
+    return sketched(seqs, sizes, k, delta, ambiguous, seq)
 
 
-def _sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: bool, seq: str) -> DataFrame:
+def sketched(seqs: DataFrame, sizes: Column, k: int, delta: float, ambiguous: bool, seq: str = "seq") -> DataFrame:
+    """:func:`layered_sketches` for sizes in a column, an array of ``window, sparsity``."""
     dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
 
     @F.arrow_udf("array<struct<layer:int,w:bigint,core:array<int>,rim:array<int>>>")
@@ -345,7 +351,8 @@ def _distinct(k: int, sparsity: int, ambiguous: bool, held: Callable[[np.ndarray
                 h, row, at = batch_hashes(pieces.slice(lo, hi - lo), k)
                 keep = (h % sparsity == 0) & ~np.isin(h, dropped)
                 h, row, at, rows = h[keep], row[keep], at[keep], hi - lo
-                found = np.unique(row << 32 | h.view(np.uint32).astype(np.int64))
+                found = np.sort(row << 32 | h.view(np.uint32).astype(np.int64))  # numpy's unique hashes first, and is slower
+                found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
                 n, some = np.bincount(found >> 32, minlength=rows), np.bincount(row, minlength=rows)
                 places = np.append(0, np.cumsum(at))[np.append(0, np.cumsum(some))]
                 real = some > 0

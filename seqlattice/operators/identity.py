@@ -15,7 +15,7 @@ otherwise those whose blocks have a hash in common, found by joining *postings*
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kmers import hash_sets, layered_sketches, window_sketches
+from ..functions.kmers import CHUNK as LETTERS
+from ..functions.kmers import M32, ambiguous_hashes, batch_hashes, hash_sets, layered_sketches, no_key_twice, placed_keys, sketched, slices, window_sketches
 
 # Executors need not have the library installed: functions are shipped with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -168,6 +169,136 @@ def _from_postings(keys: list[str], order: bool) -> Callable[[pa.Table], pa.Tabl
     return count
 
 
+# Whole sequences in one call
+
+
+def _window_keys(pieces: pa.Array, n: np.ndarray, window: np.ndarray, sparsity: np.ndarray, k: int, delta: float, hashes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the windows of whole sequences, with the windows of all sequences numbered on: window, hash, whether the
+    unwidened window has it; and each sequence's first window, with the end."""
+    h, row, at = hashes
+    keep = h % sparsity[row] == 0
+    h, row, at = h[keep], row[keep], at[keep]
+    full = np.maximum(0, (n - (2 * window - k + 1)) // window + 1)
+    first = np.append(0, np.cumsum(full + 2))
+    found = placed_keys(h, at, n[row], window[row], k, delta, first[row])
+    return found >> 33, found >> 1 & M32, 1 - (found & 1), first
+
+
+def _within(layers: int, k: int, identity: float, delta: float, ambiguous: bool, diagonal: bool) -> Callable:
+    """Pairs of windows of sequences of one piece, for each of their (window, sparsity), all counted where they are hashed."""
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
+    least = (identity / 100.0) ** k * (1 - 1e-9)  # what is far below the threshold stays here; the threshold itself is applied to columns
+    names = ["layer", "i", "j", "ab", "a", "ba", "b"]
+
+    def counted(piece: pa.Array, n: np.ndarray, window: np.ndarray, sparsity: np.ndarray, hashes: tuple) -> list[np.ndarray]:
+        """``row, i, j, ab, a, ba, b``."""
+        w, h, core, first = _window_keys(piece, n, window, sparsity, k, delta, hashes)
+        size = np.bincount(w[core == 1], minlength=first[-1])
+        row = np.searchsorted(first, w, "right") - 1
+        key = row << 32 | h
+        order = np.argsort(key, kind="stable")  # by sequence and hash, then by window
+        w, core, row, key = w[order], core[order], row[order], key[order]
+        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        end = np.append(np.flatnonzero(new), len(key))[1:][run] if len(key) else run
+        later = end - np.arange(len(key)) - 1  # windows with the hash after this one
+        pairs = np.bincount(row, later, len(piece))
+        dense = pairs > 8 * np.maximum(n, 64)
+        later[dense[row]] = 0
+        x = np.repeat(np.arange(len(key)), later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        parts = []
+        if len(x):
+            side = np.diff(first)
+            base = np.append(0, np.cumsum(np.where(dense | (pairs == 0), 0, side * side)))
+            r = row[x]
+            cell = base[r] + (w[x] - first[r]) * side[r] + (w[y] - first[r])
+            if base[-1] > 4 * len(x) + (1 << 20):
+                cells, cell = np.unique(cell, return_inverse=True)
+            else:
+                cells = np.arange(base[-1])
+            ab, ba = np.bincount(cell, core[x], len(cells)), np.bincount(cell, core[y], len(cells))
+            met = np.flatnonzero(ab > 0)
+            r = np.searchsorted(base, cells[met], "right") - 1
+            place = cells[met] - base[r]
+            parts.append((r, first[r] + place // side[r], first[r] + place % side[r], ab[met], ba[met]))
+        for r in np.flatnonzero(dense):  # hashes that lie in many windows: products of matrices, block by block
+            mine = slice(*np.searchsorted(row, [r, r + 1]))
+            own, c, h_no = w[mine] - first[r], core[mine], np.cumsum(new[mine]) - 1
+            blocks = own // CHUNK
+            for a in np.unique(blocks):
+                for b in np.unique(blocks[blocks >= a]):
+                    sides = [(own[blocks == z] - z * CHUNK, h_no[blocks == z], c[blocks == z]) for z in (a, b)]
+                    ab, ba = common(*sides, CHUNK, CHUNK, int(h_no[-1]) + 1)
+                    i, j = np.nonzero(ab)
+                    i, j, ab, ba = i + a * CHUNK, j + b * CHUNK, ab[i, j], ba[i, j]
+                    up = i < j
+                    parts.append((np.full(up.sum(), r), first[r] + i[up], first[r] + j[up], ab[up], ba[up]))
+        r, i, j, ab, ba = (np.concatenate([np.zeros(0, np.int64), *(p[z] for p in parts)]).astype(np.int64) for z in range(5))
+        kept = ab >= least * size[i]
+        r, i, j, ab, ba = (z[kept] for z in (r, i, j, ab, ba))
+        if diagonal:
+            own = np.flatnonzero(size > 0)
+            r, i, j, ab, ba = (np.concatenate(z) for z in ((r, np.searchsorted(first, own, "right") - 1), (i, own), (j, own), (ab, size[own]), (ba, size[own])))
+        return [r, i - first[r], j - first[r], ab, size[i], ba, size[j]]
+
+    @F.arrow_udf("array<struct<layer:int,i:bigint,j:bigint,ab:bigint,a:bigint,ba:bigint,b:bigint>>")
+    def pairs(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lo, hi in slices(batch[0]):
+                piece, n, sizes = (x.slice(lo, hi - lo) for x in batch)
+                n = n.to_numpy(zero_copy_only=False).astype(np.int64)
+                h, row, at = batch_hashes(piece, k)
+                kept = ~np.isin(h, dropped)
+                hashes, flat, found = (h[kept], row[kept], at[kept]), sizes.flatten(), []
+                for layer in range(layers):
+                    window, sparsity = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[layer::layers] for c in ("window", "sparsity"))
+                    r, *rest = counted(piece, n, window, sparsity, hashes)
+                    found.append((r, np.full(len(r), layer), *rest))
+                r, *columns = (np.concatenate(z) for z in zip(*found, strict=True))
+                order = np.argsort(r, kind="stable")
+                values = [pa.array(c[order], pa.int32() if name == "layer" else pa.int64()) for name, c in zip(names, columns, strict=True)]
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(r, minlength=hi - lo))), pa.int32()), pa.StructArray.from_arrays(values, names))
+
+    return pairs
+
+
+def _parted(seqs: DataFrame, keys: list[str], k: int, short: Column) -> tuple[DataFrame | None, DataFrame]:
+    """Sequences of one piece that are ``short``, a condition on ``__n``, as ``piece`` and ``__n``, and all others as they came. Where
+    keys repeat, all are others: sequences with the same keys are one, and must be put together first."""
+    if not no_key_twice(seqs, keys):
+        return None, seqs
+    kept = [c for c in seqs.columns if c not in PIECE]
+    if "seq" not in seqs.columns:
+        found = seqs.withColumn("__n", F.col("length").cast("long"))
+        one = short & (F.col("off") == 0) & (F.octet_length("piece") >= F.col("__n")) & (F.col("__n") >= k)
+        return found.filter(one).select(*kept, "piece", "__n"), found.filter(~one).drop("__n")
+    # A generator, so that no condition is pushed below it: the expression that makes the bases would be evaluated for each use.
+    found = seqs.select(*kept, F.inline(F.array(F.struct(F.col("seq"))))).withColumn("__n", F.octet_length("seq").cast("long"))
+    one = short & (F.col("__n") - (k - 1) <= LETTERS)
+    return found.filter(one & (F.col("__n") >= k)).select(*kept, F.upper("seq").cast("binary").alias("piece"), "__n"), found.filter(~one).drop("__n")
+
+
+def _of_layers(seqs: DataFrame, keys: list[str], windows: list[int | str], sparsities: list[int | str], k: int, identity: float, delta: float, ambiguous: bool) -> DataFrame:
+    """``keys, layer, i, j, identity`` for every (window, sparsity): numbers or columns of ``seqs``.
+
+    Sequences of one piece and of up to ``FEW`` blocks are hashed and counted in one call, and nothing of them is shuffled.
+    """
+    as_long = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
+    sizes = F.array(*(F.struct(as_long(w).alias("window"), as_long(s).alias("sparsity")) for w, s in zip(windows, sparsities, strict=True)))
+    most = [_blocks(F.col("__n") - (k - 1), w, k) for w in windows]
+    one, rest = _parted(seqs, keys, k, (F.greatest(*most) if len(most) > 1 else most[0]) <= FEW)
+    if one is not None:
+        made = _within(len(windows), k, identity, delta, ambiguous, not ambiguous)("piece", F.col("__n") - (k - 1), sizes)
+        met = one.select(*keys, made.alias("__r")).select(*keys, F.inline("__r"))
+        near = _passing(met, k, identity).select(*keys, "layer", "i", "j", "identity")
+    found = sketched(rest, sizes, k, delta, ambiguous)
+    window = F.get(F.array(*(as_long(w) for w in windows)), F.col("layer"))
+    found = found.withColumn("__w", window).withColumn("__blocks", _blocks(F.col("__n") - (k - 1), "__w", k)).drop("__w")
+    far = _self_pairs(found, [*keys, "layer"], k, identity, not ambiguous)
+    return far if one is None else near.unionByName(far)
+
+
 # Postings
 
 
@@ -226,8 +357,7 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
     the two directions. Both directions of all pairs of a cell are counted at once.
     """
     keys = [c for c in seqs.columns if c not in PIECE]
-    found = window_sketches(seqs, window, k, delta, sparsity, ambiguous, lengths=True)
-    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), window, k)), keys, k, identity, not ambiguous)
+    pairs = _of_layers(seqs, keys, [window], [sparsity], k, identity, delta, ambiguous).drop("layer")
     if not ambiguous:
         return pairs
     lengths = seqs.select(*keys, _n_kmers(seqs, k).alias("__n"))  # empty windows count as equal to themselves
@@ -237,9 +367,9 @@ def self_identity(seqs: DataFrame, window: int | str, k: int = 21, identity: flo
 def layered_identity(seqs: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False) -> DataFrame:
     """:func:`self_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; sequences are hashed once for all of them."""
     own = [c for c in seqs.columns if c not in PIECE]
-    found = layered_sketches(seqs, layers, k, delta, ambiguous).withColumn("window", _layer_window(layers))
     keys = [*own, "layer", "window"]
-    pairs = _self_pairs(found.withColumn("__blocks", _blocks(F.col("__n") - (k - 1), "window", k)), keys, k, identity, not ambiguous)
+    pairs = _of_layers(seqs, own, [w for w, _ in layers], [s for _, s in layers], k, identity, delta, ambiguous)
+    pairs = pairs.withColumn("window", _layer_window(layers)).select(*keys, "i", "j", "identity")
     if not ambiguous:
         return pairs
     numbered = seqs.select(*own, _n_kmers(seqs, k).alias("__n"))

@@ -206,3 +206,17 @@ def test_hashing_takes_bases_not_rows(spark, monkeypatch):
     assert twice[4] == (2 * expected[4][0], expected[4][1]) and twice[5] == expected[5][:2]
     plan = km.kmer_totals(df.filter("seq_id < 5"), 12, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" in plan
+
+
+def test_short_sequences_are_counted_where_they_are_hashed(spark):
+    """Sequences of one piece make no group of their own; those that share a key are still put together."""
+    seqs = {"x": sequence(3), "y": sequence(4, 90, 8), "array": "ACGTTGCAAC" * 150, "short": "ACG", "none": None}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    expected = {(n, *key): v for n, s in seqs.items() if s and len(s) > 20 for key, v in naive.self_pairs(s, 50, 12, 86, 0.5, 2, False).items()}
+    found = identity.self_identity(df, 50, 12, 86.0, 0.5, 2)
+    assert {(r.seq_id, r.i, r.j): round(r.identity, 6) for r in found.collect()} == expected
+    one, rest = identity._parted(df, ["seq_id"], 12, F.lit(True))
+    assert {r.seq_id for r in one.collect()} == {"x", "y", "array"} and {r.seq_id for r in rest.collect()} <= {"short", "none"}
+    assert identity._parted(df.unionByName(df), ["seq_id"], 12, F.lit(True))[0] is None
+    twice = identity.self_identity(df.unionByName(df), 50, 12, 86.0, 0.5, 2)
+    assert {(r.seq_id, r.i, r.j): round(r.identity, 6) for r in twice.collect()} == expected and twice.count() == len(expected)
