@@ -639,11 +639,16 @@ def _as_fasta(spark, sf_dir: str) -> str:
 def fasta_pieces(spark, sf_dir):
     """Records read in pieces: every k-mer once and in its place, however files are cut into byte ranges."""
     found = readers.fasta_pieces(spark, _as_fasta(spark, sf_dir), 8, 512)
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - 8))
-    cut = found.withColumn("at", at).select(F.col("seq_id").cast("long").alias("seq_id"), "length", (F.col("off") + F.col("at")).alias("idx"), F.substring("piece", F.col("at") + 1, F.lit(8)).cast("string").alias("fwd"))
+    found = found.select(F.col("seq_id").cast("long").alias("seq_id"), "length", "off", "piece", (F.octet_length("piece") - 7).cast("long").alias("m"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
+    cut = found.withColumn("at", at).select("seq_id", "length", "off", "m", (F.col("off") + F.col("at")).alias("idx"), F.substring("piece", (F.col("at") + 1).cast("int"), F.lit(8)).cast("string").alias("fwd"))
     both = with_murmur3(with_murmur3(cut.withColumns({"f": F.col("fwd").cast("binary"), "r": reverse_complement(F.col("fwd")).cast("binary")}), "f", 8, "fh"), "r", 8, "rh")
     h = both.withColumn("h", F.least("fh", "rh").cast("long"))
-    return h.groupBy("seq_id").agg(F.max("length").alias("n"), F.count(F.lit(1)).alias("n_kmers"), F.countDistinct("idx").alias("n_places"), F.sum("h").alias("hash_sum"), F.sum(F.col("h") * (F.col("idx") % 1000)).alias("placed"))
+    # A row for each piece leaves a task, not one for each k-mer; the places of a record are the union of its pieces' ranges.
+    parts = h.groupBy("seq_id", "off", "m").agg(F.max("length").alias("n"), F.count(F.lit(1)).alias("c"), F.sum("h").alias("hash_sum"), F.sum(F.col("h") * (F.col("idx") % 1000)).alias("placed"))
+    before = F.max(F.col("off") + F.col("m")).over(Window.partitionBy("seq_id").orderBy("off", "m").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("fresh", F.greatest(F.lit(0).cast("long"), F.col("off") + F.col("m") - F.greatest(F.col("off"), F.coalesce(before, F.lit(0)))))
+    return parts.groupBy("seq_id").agg(F.max("n").alias("n"), F.sum("c").alias("n_kmers"), F.sum("fresh").alias("n_places"), F.sum("hash_sum").alias("hash_sum"), F.sum("placed").alias("placed"))
 
 
 @query(_self_sql(W, K, 2, DELTA, ID))

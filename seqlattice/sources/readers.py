@@ -92,8 +92,9 @@ def fasta_pieces(spark: SparkSession, paths: str | list[str], k: int = 21, size:
     schema = "file string, block long, ordinal long, head string, at long, own long, bases binary, whole boolean"
     # A read in ranges, twice: once for the table of ranges, once for the pieces.
     found = lines.mapInArrow(_cut(k, size), schema)
-    part = found.groupBy("file", "block", "ordinal").agg(F.max("head").alias("head"), F.sum("own").alias("n"), F.min_by("bases", "at").alias("first"))
-    part = part.withColumn("first", F.substring("first", 1, k - 1))
+    # Complete records have no part in the table (a range's last one never is), and only k - 1 bases of a piece may be needed in it.
+    part = found.filter("not whole").select("file", "block", "ordinal", "head", "own", "at", F.substring("bases", 1, k - 1).alias("bases"))
+    part = part.groupBy("file", "block", "ordinal").agg(F.max("head").alias("head"), F.sum("own").alias("n"), F.min_by("bases", "at").alias("first"))
     zero = lambda c: F.max(F.when(F.col("ordinal") == 0, F.col(c)))
     ranges = part.groupBy("file", "block").agg(F.max(F.struct("ordinal", "head", "n")).alias("last"), F.coalesce(zero("n"), F.lit(0)).alias("n0"), zero("first").alias("first0"))
     order = Window.partitionBy("file").orderBy("block")  # a row for each range of a file

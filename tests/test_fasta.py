@@ -91,3 +91,11 @@ def test_compressed_pieces(spark, tmp_path):
         f.write(f">z\n{seq}\n")
     rows = readers.fasta_pieces(spark, str(tmp_path / "s.fa.gz"), 21, 100).orderBy("off").collect()
     assert "".join(bytes(r.piece).decode()[:100] for r in rows) == seq.upper() and {r.length for r in rows} == {len(seq)}
+
+
+def test_rows_of_kmers_stay_in_their_task(spark):
+    """The query's groups are pieces: no distinct places, so no row for each k-mer, are shuffled."""
+    from seqlattice.queries import fasta_pieces
+
+    plan = fasta_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and "Expand" not in plan and "[seq_id#" in plan and "off#" in plan.split("Aggregate [", 2)[2].split("]")[0]
