@@ -2,9 +2,10 @@
 
 The n-grams are the words and the pairs of neighbouring words. Each is hashed
 (XXH64) into its own half of a table of ``2 * BUCKETS`` counts. The raw
-multinomial is counted over all documents. The trusted target is the documents
-labelled quality 1; at most ``TARGET_DOCS`` of them, by hash of the id, form the
-bounded sample, so the ids can be broadcast. The target is smoothed with
+multinomial is counted over all documents. The trusted target is all documents
+labelled quality 1, found by one join on the id and written once. Most texts that
+have no such label stay away from its shuffle by a bitmap of fixed size, never one
+that has. The target is smoothed with
 ``PRIOR`` pseudo-counts drawn from the raw distribution, so with few or no labels
 the ratio goes to zero. Ratios are whole milli-nats: a document's sum is exact in
 any order. A document is kept if it passes the plain rules and its sum per word
@@ -35,10 +36,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, words
+from .common import SPACE, SPACE_CHARS, persisted, scratch, words
 
 BUCKETS = 1 << 14
-TARGET_DOCS = 20_000
+#: Bits of the filter of target ids: what is broadcast, 64 a row, whatever the number of labels.
+FILTER_BITS = 1 << 24
 PRIOR = 20_000.0
 #: Share of held-out target documents that the threshold may cost.
 LOSS = 0.002
@@ -68,32 +70,46 @@ def _pairs(h: Column) -> Column:
     return F.slice(wide, 1, F.greatest(F.size(h) - 1, F.lit(0)))
 
 
-def target_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def target_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def _targets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (``__id, __text``) whose ids are among ``ids (__tid, __held)``, with ``__held``."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(FILTER_BITS - 1)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(63).cast("int"))
+    bits = ids.groupBy(F.shiftright(place("__tid"), 6).alias("__word")).agg(F.bit_or(bit("__tid")).alias("__bits"))  # FILTER_BITS / 64 rows at most
+    own = F.col("__id").cast(ids.schema["__tid"].dataType)
+    near = rows.withColumn("__id", own).join(F.broadcast(bits), F.shiftright(place("__id"), 6) == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit("__id")) != 0)
+    return near.join(ids.hint("merge"), F.col("__id") == F.col("__tid")).select("__held", "__text")
+
+
+def _counts(rows: DataFrame) -> list[int]:
+    """How often each bucket occurs in the texts ``__text``."""
+    hashed = rows.select(F.transform(words(F.col("__text")), lambda w: F.xxhash64(w)).alias("wh"))
+    grams = F.concat(F.transform("wh", lambda h: _slot(h, 0)), F.transform(_pairs(F.col("wh")), lambda h: _slot(h, 1)))
+    out = [0] * (2 * BUCKETS)
+    for row in hashed.select(F.explode(grams).alias("bucket")).groupBy("bucket").count().collect():  # at most 2 * BUCKETS rows
+        out[row["bucket"]] = row["count"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
     ids = target_ids(labels).select(F.col("doc_id").alias("__tid"), held.alias("__held"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    joined = rows.join(F.broadcast(ids), F.col("__id") == F.col("__tid"), "left")  # at most TARGET_DOCS ids
-    joined = joined.select(F.when(~F.col("__held"), 1).otherwise(0).alias("target"), F.transform(words(F.col("__text")), lambda w: F.xxhash64(w)).alias("wh"))
-    grams = F.concat(F.transform("wh", lambda h: _slot(h, 0)), F.transform(_pairs(F.col("wh")), lambda h: _slot(h, 1)))
-    counted = joined.select("target", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("trusted"))
-    raw, trusted = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
-    for row in counted.collect():  # at most 2 * BUCKETS rows
-        raw[row.bucket], trusted[row.bucket] = row.raw, row.trusted
-    out = []
-    for half in (0, BUCKETS):
-        r, t = raw[half : half + BUCKETS], trusted[half : half + BUCKETS]
-        all_raw, all_target = sum(r) + 0.5 * BUCKETS, sum(t)
-        base = [(x + 0.5) / all_raw for x in r]
-        out += [round(1000 * math.log((y + PRIOR * p) / (all_target + PRIOR) / p)) for y, p in zip(t, base, strict=True)]
-    kept_out = rows.join(F.broadcast(ids.filter("__held")), F.col("__id") == F.col("__tid"), "left_semi")
-    # Not a filter: the optimizer would push it below and evaluate the rules again for every use of a count.
-    scores = judge(kept_out, Model(out), "__text").groupBy(F.when(~F.col("base_failed"), F.floor("score")).alias("score")).count()
-    return Model(out, _threshold([(r.score, r["count"]) for r in scores.collect() if r.score is not None]))  # whole milli-nats: as many rows as there are such scores
+    with scratch():
+        target = persisted(_targets(rows, ids), "target")
+        raw, trusted = _counts(rows), _counts(target.filter("not __held"))
+        out = []
+        for half in (0, BUCKETS):
+            r, t = raw[half : half + BUCKETS], trusted[half : half + BUCKETS]
+            all_raw, all_target = sum(r) + 0.5 * BUCKETS, sum(t)
+            base = [(x + 0.5) / all_raw for x in r]
+            out += [round(1000 * math.log((y + PRIOR * p) / (all_target + PRIOR) / p)) for y, p in zip(t, base, strict=True)]
+        # Not a filter: the optimizer would push it below and evaluate the rules again for every use of a count.
+        scores = judge(target.filter("__held"), Model(out), "__text").groupBy(F.when(~F.col("base_failed"), F.floor("score")).alias("score")).count()
+        return Model(out, _threshold([(r.score, r["count"]) for r in scores.collect() if r.score is not None]))  # whole milli-nats: as many rows as there are such scores
 
 
 def _threshold(scores: list[tuple[int, int]]) -> int:

@@ -592,3 +592,14 @@ def test_quality_threshold(spark):
     slot = (lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS)(xxhash.xxh64_intdigest(word.encode(), 42))
     p = (raw[word] + 0.5) / (raw.total() + 0.5 * quality.BUCKETS)
     assert model.ratios[slot] == round(1000 * math.log((target[word] + quality.PRIOR * p) / (target.total() + quality.PRIOR) / p))
+
+
+def test_quality_target_is_every_labelled_document(spark):
+    n = 24_000
+    df = spark.range(2 * n).selectExpr("id AS doc_id", "concat('all ', if(id % 2 = 0, 'good', 'other')) AS text")
+    labels = spark.range(n).selectExpr("id * 2 AS doc_id", "1 AS quality")
+    assert quality.target_ids(labels).count() == n
+    counted = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) != 0).count()
+    slot = (lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS)(xxhash.xxh64_intdigest(b"good", 42))
+    p = (n + 0.5) / (4 * n + 0.5 * quality.BUCKETS)
+    assert quality.fit(df, labels).ratios[slot] == round(1000 * math.log((counted + quality.PRIOR * p) / (2 * counted + quality.PRIOR) / p))
