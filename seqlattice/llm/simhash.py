@@ -20,12 +20,14 @@ unless the whole component has no other; an empty table gives an empty result;
 :func:`fingerprints` replaces an input column named as its own, other results
 have the columns named only.
 
-``similarity`` replaces the radius by the Jaccard similarity of the sets of
-shingles, for users that are not bound to SimHash: at 0.8 fingerprints differ in
-about ten bits, and no ball of half that radius can be emitted. Two sets of at
-least that similarity always share one of the first ``n - ceil(similarity * n) + 1``
-hashes of either (any global order does), so texts are met on these, and each pair
-met is compared by its whole sets, if its first hashes leave that open. In the
+With ``similarity`` links are between sets of shingles of at least that Jaccard
+similarity. Ball hashing of the sets' fingerprints gives pairs as above (sets with
+one fingerprint are paired with the least of them), which are then compared by
+their whole sets. At 0.8 fingerprints may differ in about ten bits, and no ball of
+half that radius can be emitted, so more pairs come from the sets themselves: two
+of at least that similarity always share one of the first
+``n - ceil(similarity * n) + 1`` hashes of either (any global order does), so texts
+are also met on these. Each pair met in either way is compared exactly. In the
 order, hashes that two texts of a sample (every ``SAMPLE``-th by hash) share come
 last, so a passage of many documents brings together only texts that hold little
 else; the sample decides about work, never about results.
@@ -80,9 +82,11 @@ def fingerprint(data: bytes | None, width: int = WIDTH, seed: int = SEED) -> int
     tokens = (data or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
         return 0
-    hashes = shingles(tokens, width, seed)
-    if len(tokens) <= width:
-        return int(hashes[0])
+    return majority(shingles(tokens, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; of one hash, itself."""
     total, n = np.zeros(64, np.int64), len(hashes)
     for lo in range(0, n, 65536):
         part = hashes[lo : lo + 65536]
@@ -139,10 +143,10 @@ def common_shingles(texts: DataFrame, width: int) -> bytes:
 
 def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "text", only: bytes | None = None, common: bytes | None = None) -> DataFrame:
     """``df`` without its text column, with the set of shingle hashes: fp (hash of the set), n (its size), grams (what two
-    similar sets share one of; of 63 bits, the highest set for ``common`` ones, so that they come last). With ``only``, a
-    bitmap of ``th`` modulo its size, grams is the whole set, of these rows alone."""
+    similar sets share one of; of 63 bits, the highest set for ``common`` ones, so that they come last) and mark (the set's
+    fingerprint). With ``only``, a bitmap of ``th`` modulo its size, grams is the whole set, of these rows alone, and mark is null."""
     keep = [f for f in df.schema.fields if f.name != text_col]
-    names = [*(f.name for f in keep), "fp", "n", "grams"]
+    names = [*(f.name for f in keep), "fp", "n", "grams", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,15 +154,17 @@ def shingle_sets(df: DataFrame, width: int, similarity: float, text_col: str = "
                 batch = batch.filter(pa.array(_in(only, batch.column("th").to_numpy())))
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [np.unique(_ordered(shingles((x.as_py() or b"").lower().split(), width), common)) for x in part.column(part.num_columns - 1).cast(pa.binary())]
+                whole = [np.unique(shingles((x.as_py() or b"").lower().split(), width)) for x in part.column(part.num_columns - 1).cast(pa.binary())]
+                marks = pa.array(np.array([majority(x) for x in whole], np.uint64).view(np.int64)) if only is None else pa.nulls(len(whole), pa.int64())
+                sets = [np.unique(_ordered(x, common)) for x in whole]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 sizes = [len(x) for x in sets]
                 if only is None:
                     sets = [x[: _head(len(x), similarity)] for x in sets]
                 grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps), pa.array(sizes, pa.int64()), grams], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps), pa.array(sizes, pa.int64()), grams, marks], names=names)
 
-    schema = T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())])
     return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
 
@@ -172,9 +178,18 @@ def _head(n: int, similarity: float) -> int:
     return n - ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def ball_pairs(heads: DataFrame) -> DataFrame:
+    """Pairs ``(fp, other)`` that connect all sets that have hashes and marks at ``RADIUS`` bits or less; ``heads``: fp, n, mark."""
+    marked = heads.filter("n > 0").select("fp", "mark")
+    marks = persisted(marked.groupBy("mark").agg(F.min("fp").alias("other")), "marks")
+    same = marked.join(marks, "mark").filter("fp <> other").select("fp", "other")
+    a, b = marks.select(F.col("mark").alias("a"), F.col("other").alias("fp")), marks.select(F.col("mark").alias("b"), "other")
+    return same.unionByName(links(marks.select(F.col("mark").alias("fp"))).join(a, "a").join(b, "b").select("fp", "other"))
+
+
 def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float, common: bytes) -> DataFrame:
     """Links ``(a, b)``, a < b, that connect all distinct sets of at least this Jaccard similarity; ``texts``: th and text, ``prints``: of :func:`shingle_sets`."""
-    heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th")), "heads")
+    heads = persisted(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.min("th").alias("th"), F.min("mark").alias("mark")), "heads")
     rows = heads.select("fp", "n", F.posexplode("grams").alias("at", "gram")).withColumn("texts", F.count("*").over(Window.partitionBy("gram"))).filter("texts > 1")
     rows = persisted(rows, "shared")
     scores = rows.groupBy("fp").agg(F.sum("texts").alias("score"))
@@ -185,7 +200,7 @@ def similar(texts: DataFrame, prints: DataFrame, width: int, similarity: float,
     scored = rows.join(scores, "fp")
     met = [part.select("fp", "n", "at", o.alias("o")).select("fp", "n", "at", F.explode("o").alias("o")) for part, o in ((scored.filter(F.col("texts") <= ALL), few), (scored.filter(F.col("texts") > ALL), many))]
     met = met[0].filter(_reach("n", "at", "o.n", "o.at", similarity)).unionByName(met[1]).filter((F.col("o.fp") != F.col("fp")) & _near(F.col("n"), F.col("o.n"), similarity))
-    found = persisted(_verified(met.select("fp", F.col("o.fp").alias("other")), heads, texts, width, similarity, common), "found")
+    found = persisted(_verified(met.select("fp", F.col("o.fp").alias("other")).unionByName(ball_pairs(heads)), heads, texts, width, similarity, common), "found")
 
     # The rest of the hashes that many share, between texts that are not linked yet.
     hot = rows.filter(F.col("texts") > ALL)

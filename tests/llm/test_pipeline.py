@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqlattice.llm import bpe, pii, quality
+from seqlattice.llm import bpe, pii, quality, simhash
 
 from .test_operators import prose, slow_quality
 
@@ -83,3 +83,21 @@ def test_stages_take_odd_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == left[name], name
         assert name == "tokens" or out.columns == docs.columns
+
+
+def test_near_copies_go_through_ball_hashing(spark, monkeypatch):
+    texts = {i: prose(i, 300) for i in range(8)} | {20 + i: changed(prose(i, 300), {150}) for i in range(8)} | {40: "", 41: " ", 42: None, 43: "one two"}
+    df = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    made, ball = [], simhash.ball_pairs
+    monkeypatch.setattr(simhash, "ball_pairs", lambda heads: made.append((heads.collect(), ball(heads).collect())) or ball(heads))
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(8), 40, 43]
+    ((heads, pairs),) = made
+    marks = {r.fp: r.mark & (1 << 64) - 1 for r in heads if r.n}
+    near = {(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= simhash.RADIUS}
+    roots = {f: f for f in marks}
+    for _ in marks:
+        for a, b in pairs:
+            assert (marks[a] ^ marks[b]).bit_count() <= simhash.RADIUS
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    assert near and all(roots[a] == roots[b] for a, b in near)
