@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kmers import CHUNK as LETTERS
-from ..functions.kmers import M32, ambiguous_hashes, batch_hashes, hash_sets, layered_sketches, no_key_twice, placed_keys, sketched, slices, window_sketches
+from ..functions.kmers import M32, ambiguous_hashes, batch_hashes, hash_sets, no_key_twice, placed_keys, sketched, slices, window_sketches
 
 # Executors need not have the library installed: functions are shipped with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -263,6 +263,72 @@ def _within(layers: int, k: int, identity: float, delta: float, ambiguous: bool,
     return pairs
 
 
+def _placed(layers: int, k: int, delta: float, ambiguous: bool, bits: np.ndarray | None, spark) -> Callable:
+    """The windows of sequences of one piece, for each of their (window, sparsity), with ``size`` and, given ``bits``, only the hashes
+    that the other side may hold; windows that are left with none are not made."""
+    dropped = np.array([] if ambiguous else ambiguous_hashes(k), np.int32)
+    shipped = None if bits is None else spark.sparkContext.broadcast(bits)
+
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values.astype(np.uint32).view(np.int32)))
+
+    def windows(piece: pa.Array, n: np.ndarray, window: np.ndarray, sparsity: np.ndarray, hashes: tuple, layer: int) -> tuple[np.ndarray, pa.Array]:
+        """The sequence of each window, and the windows."""
+        w, h, core, first = _window_keys(piece, n, window, sparsity, k, delta, hashes)
+        size = np.bincount(w[core == 1], minlength=first[-1])
+        if shipped is not None:
+            keep = held(shipped.value, h)
+            w, h, core = w[keep], h[keep], core[keep]
+        order = np.argsort(w, kind="stable")
+        w, h, core = w[order], h[order], core[order] == 1
+        own, total = np.unique(w, return_counts=True)
+        cores = np.bincount(w[core], minlength=first[-1])[own]
+        row = np.searchsorted(first, own, "right") - 1
+        values = [pa.array(np.full(len(own), layer), pa.int32()), pa.array(own - first[row], pa.int64()), lists(h[core], cores), lists(h[~core], total - cores), pa.array(size[own], pa.int32())]
+        return row, pa.StructArray.from_arrays(values, ["layer", "w", "core", "rim", "size"])
+
+    @F.arrow_udf("array<struct<layer:int,w:bigint,core:array<int>,rim:array<int>,size:int>>")
+    def placed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lo, hi in slices(batch[0]):
+                piece, n, sizes = (x.slice(lo, hi - lo) for x in batch)
+                n = n.to_numpy(zero_copy_only=False).astype(np.int64)
+                h, row, at = batch_hashes(piece, k)
+                kept = ~np.isin(h, dropped)
+                hashes, flat, found = (h[kept], row[kept], at[kept]), sizes.flatten(), []
+                for layer in range(layers):
+                    window, sparsity = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[layer::layers] for c in ("window", "sparsity"))
+                    found.append(windows(piece, n, window, sparsity, hashes, layer))
+                row, made = np.concatenate([r for r, _ in found]), pa.concat_arrays([x for _, x in found])
+                ends = np.append(0, np.cumsum(np.bincount(row, minlength=hi - lo)))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made.take(pa.array(np.argsort(row, kind="stable"))))
+
+    return placed
+
+
+def _sides(seqs: DataFrame, windows: list[int | str], sparsities: list[int | str], k: int, delta: float, ambiguous: bool) -> Callable[[np.ndarray | None], DataFrame]:
+    """Sketches of one side, ``layer, w, core, rim, size`` beside the columns of ``seqs``, by the :func:`bitmap` of the other, if any.
+
+    Hashes of sequences of one piece that the bitmap does not have stay in the task that makes them. Longer sequences, and all
+    where keys repeat, are first put together by window.
+    """
+    as_long = lambda x: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("long")
+    sizes = F.array(*(F.struct(as_long(w).alias("window"), as_long(s).alias("sparsity")) for w, s in zip(windows, sparsities, strict=True)))
+    keys = [c for c in seqs.columns if c not in PIECE]
+    one, rest = _parted(seqs, keys, k, F.lit(True))
+
+    def side(bits: np.ndarray | None) -> DataFrame:
+        far = sketched(rest, sizes, k, delta, ambiguous).drop("__n").withColumn("size", F.size("core"))
+        far = far if bits is None else _only_held(far, bits)
+        if one is None:
+            return far
+        made = _placed(len(windows), k, delta, ambiguous, bits, seqs.sparkSession)("piece", F.col("__n") - (k - 1), sizes)
+        near = one.select(*keys, made.alias("__r")).select(*keys, F.inline("__r"))
+        return near.unionByName(far.select(near.columns))
+
+    return side
+
+
 def _parted(seqs: DataFrame, keys: list[str], k: int, short: Column) -> tuple[DataFrame | None, DataFrame]:
     """Sequences of one piece that are ``short``, a condition on ``__n``, as ``piece`` and ``__n``, and all others as they came. Where
     keys repeat, all are others: sequences with the same keys are one, and must be put together first."""
@@ -341,7 +407,7 @@ def _only_held(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
         ends = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(hs))))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[keep], pa.int32()))
 
-    out = sketched.withColumn("size", F.size("core")).withColumns({"core": kept("core"), "rim": kept("rim")})
+    out = sketched.withColumns({"core": kept("core"), "rim": kept("rim")})
     return out.filter((F.size("core") > 0) | (F.size("rim") > 0))
 
 
@@ -445,19 +511,22 @@ def pair_identity(query: DataFrame, reference: DataFrame, window: int | str, k:
     the reference is hashed ahead, while the plan is made, for a bitmap of fixed
     size, and hashes of the query that it cannot hold never leave their task.
     """
-    q, r = (window_sketches(s, window, k, delta, sparsity, ambiguous) for s in (query, reference))
+    q, r = (_sides(s, [window], [sparsity], k, delta, ambiguous) for s in (query, reference))
     return _pairs_between(q, r, k, identity, on, only, prune)
 
 
 def layered_pair_identity(query: DataFrame, reference: DataFrame, layers: list[tuple[int, int]], k: int = 21, identity: float = 86.0, delta: float = 0.5, ambiguous: bool = False, prune: bool = True) -> DataFrame:
     """:func:`pair_identity` for several (window, sparsity) at once, with ``layer`` and ``window``; each side is hashed once for all of them."""
-    q, r = (layered_sketches(s, layers, k, delta, ambiguous).drop("__n") for s in (query, reference))
+    q, r = (_sides(s, [w for w, _ in layers], [p for _, p in layers], k, delta, ambiguous) for s in (query, reference))
     return _pairs_between(q, r, k, identity, ("layer",), None, prune).withColumn("window", _layer_window(layers))
 
 
-def _pairs_between(q: DataFrame, r: DataFrame, k: int, identity: float, on: tuple[str, ...], only: Column | None, prune: bool) -> DataFrame:
-    if prune:
-        q = _only_held(q, bitmap(r.select(F.explode(F.concat("core", "rim")).alias("h"))))
+def _pairs_between(query: Callable, reference: Callable, k: int, identity: float, on: tuple[str, ...], only: Column | None, prune: bool) -> DataFrame:
+    """Pairs of two :func:`_sides`."""
+    r = reference(None)
+    q = query(bitmap(r.select(F.explode(F.concat("core", "rim")).alias("h"))) if prune else None)
+    if "layer" not in on:
+        q, r = q.drop("layer"), r.drop("layer")
     q_names, r_names = ({c: f"{p}_{'id' if c == 'seq_id' else c}" for c in s.columns if c not in ("w", "core", "rim", "size", *on)} for s, p in ((q, "q"), (r, "r")))
     keys = [*on, *q_names.values(), *r_names.values()]
     # A is the reference's window, B the query's.

@@ -220,3 +220,18 @@ def test_short_sequences_are_counted_where_they_are_hashed(spark):
     assert identity._parted(df.unionByName(df), ["seq_id"], 12, F.lit(True))[0] is None
     twice = identity.self_identity(df.unionByName(df), 50, 12, 86.0, 0.5, 2)
     assert {(r.seq_id, r.i, r.j): round(r.identity, 6) for r in twice.collect()} == expected and twice.count() == len(expected)
+
+
+def test_only_held_hashes_leave_their_task(spark):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    item = letters(400)
+    query = spark.createDataFrame([(i, letters(20_000) + (item if i == 3 else "")) for i in range(8)] + [(8, letters(70_000) + item)], "seq_id long, seq string")
+    reference = spark.createDataFrame([(1, item), (2, letters(50))], "seq_id long, seq string")
+    bits = identity.bitmap(identity._sides(reference, [200], [1], 21, 0.5, False)(None).select(F.explode(F.concat("core", "rim")).alias("h")))
+    near = identity._sides(query, [200], [1], 21, 0.5, False)(bits)
+    assert {r.seq_id for r in near.filter("size(core) > 9").collect()} == {3, 8} and near.agg(F.sum(F.size("core") + F.size("rim"))).first()[0] < 2_000
+    plan = near.filter("seq_id < 8")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Aggregate") == 1  # of the longer sequences only
+    got, want = (sorted(map(tuple, identity.pair_identity(query, reference, 200, 21, 80.0, 0.5, prune=p).collect())) for p in (True, False))
+    assert got == want and {r[0] for r in got} == {3, 8}
