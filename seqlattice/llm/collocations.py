@@ -10,9 +10,13 @@ semi-join with these leaves the occurrences that the next step may extend.
 of one language, with one code for each position and an empty position between
 pieces, so that the sorted join is one of an array with itself shifted by one.
 The block's distinct groups and their numbers are rows of their own when they are
-counted and semi-joined; these are ordinary shuffles of pre-aggregated rows, so a
-word of a third of all positions is one row of each block. A bitmap of fixed size
-keeps most groups that are not frequent out of the semi-join. Every ``R_k`` and
+counted; this is an ordinary shuffle of pre-aggregated rows, so a word of a third of
+all positions is one row of each block. The semi-join with ``F_1`` is a shuffle, too,
+behind a bitmap of fixed size, and gives each block the numbers of its frequent words.
+A longer phrase is named by those numbers (4 bytes a word), so its semi-join needs no
+answer from elsewhere: the block keeps what a bitmap of ``F_k`` says may be in it. A
+phrase that passes by chance is work and no more, since what extends it is counted
+exactly and cannot be frequent. Every ``R_k`` and
 ``F_k`` is written to the shared folder before it is used.
 
 A piece may go on in the next block: a block has up to ``longest - 1`` further
@@ -106,42 +110,91 @@ def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str =
     return df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def joined(known: DataFrame) -> DataFrame:
-    """``R_k`` joined with itself at the next position: ``block, own, codes`` of the pairs, and ``lefts, rights, counts`` by code.
+def _matrix(keys: pa.Array, k: int) -> np.ndarray:
+    """Word numbers of phrases of ``k`` words, a row each."""
+    keys = keys.cast(pa.binary())
+    if not len(keys):
+        return np.zeros((0, k), ">i4")
+    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    return np.frombuffer(keys.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(">i4").reshape(-1, k)
 
-    ``known``: ``block, own, codes, known`` (the codes whose groups are frequent, with the groups' ids).
+
+def _keys(matrix: np.ndarray) -> pa.Array:
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(4 * matrix.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(matrix.astype(">i4").tobytes())])
+
+
+def _places(matrix: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each phrase."""
+    h = np.full(len(matrix), 0x9E3779B97F4A7C15, np.uint64)
+    for column in matrix.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(31)
+    return (h % np.uint64(bits)).astype(np.int64)
+
+
+def joined(known: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFrame:
+    """``R_k`` joined with itself at the next position: ``block, own, codes`` of the pairs, and ``keys, counts`` by code.
+
+    ``known``: ``block, own, codes, kept, keys`` (the codes whose groups are frequent, all if null, with the groups' names), of
+    which ``bits`` says those that may be.
     """
+    shipped = None if bits is None else known.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
-                entries = batch.column(3)[i].values
-                kept, ids = entries.field("code").to_numpy(zero_copy_only=False), entries.field("id").to_numpy(zero_copy_only=False)
+                names = _matrix(batch.column(4)[i].values, k)
+                kept = batch.column(3)[i].values.to_numpy(zero_copy_only=False) if batch.column(3)[i].is_valid else np.arange(len(names))
+                if shipped is not None:
+                    at = _places(names, 64 * len(shipped.value))
+                    may = (shipped.value[at >> 6] >> (at & 63)) & 1 == 1
+                    kept, names = kept[may], names[may]
                 place = np.full(max(int(codes.max(initial=-1)), int(kept.max(initial=-1))) + 2, -1, np.int64)  # its last entry is for code -1
                 place[kept] = np.arange(len(kept))
                 at = place[codes]
                 left, right = at[:-1], at[1:]
                 both = np.flatnonzero((left >= 0) & (right >= 0))
                 groups, inverse = np.unique(left[both] * len(kept) + right[both], return_inverse=True)
+                if not len(groups):
+                    continue
                 out = np.full(len(left), -1, np.int32)
                 out[both] = inverse
                 own = min(batch.column(1)[i].as_py(), len(out))
                 counts = np.bincount(inverse[both < own], minlength=len(groups))
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), pa.array(x, pa.int64())) for x in (ids[groups // len(kept)] if len(groups) else groups, ids[groups % len(kept)] if len(groups) else groups, counts)]
-                if len(groups):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([out.tobytes()], pa.binary()), *lists], names=["block", "own", "codes", "lefts", "rights", "counts"])
+                made = _keys(np.concatenate([names[groups // len(kept)], names[groups % len(kept)][:, -1:]], axis=1))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), x) for x in (made, pa.array(counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([out.tobytes()], pa.binary()), *lists], names=["block", "own", "codes", "keys", "counts"])
 
-    return known.select("block", "own", "codes", "known").mapInArrow(run, "block long, own int, codes binary, lefts array<long>, rights array<long>, counts array<long>")
+    return known.select("block", "own", "codes", "kept", "keys").mapInArrow(run, "block long, own int, codes binary, keys array<binary>, counts array<long>")
 
 
-def _possible(frequent: DataFrame, on: list[str]) -> Column:
-    """Whether a group may be in ``frequent``, by a bitmap of fixed size; never wrong about one that is."""
-    place = F.xxhash64(*on).bitwiseAND(FILTER_BITS - 1)
-    words = frequent.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """The bits of column ``place``."""
+    place = F.col("place")
+    words = places.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():  # FILTER_BITS / 64 rows at most
         bits[r.word] = r.bits
+    return bits
+
+
+def _filter(frequent: DataFrame, k: int) -> np.ndarray:
+    """Bitmap of the phrases ``F_k``; never wrong about one that is in it."""
+    size = FILTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(_matrix(batch.column(0), k), size), pa.int64())], names=["place"])
+
+    return _bitmap(frequent.select("id").mapInArrow(run, "place long"))
+
+
+def _possible(frequent: DataFrame, on: list[str]) -> Column:
+    """Whether a group may be in ``frequent``, by a bitmap of fixed size; never wrong about one that is."""
+    place = F.xxhash64(*on).bitwiseAND(FILTER_BITS - 1)
+    bits = _bitmap(frequent.select(place.alias("place")))
     shipped = frequent.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("boolean")
@@ -152,37 +205,54 @@ def _possible(frequent: DataFrame, on: list[str]) -> Column:
     return held(place)
 
 
-def _semi_joined(relation: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """Blocks of ``relation`` with the codes of their groups that are frequent. Most that are not stay away from the shuffle."""
-    names = {"word": "words", "left": "lefts", "right": "rights"}
-    groups = relation.select("block", *(["lang"] if "lang" in on else []), F.posexplode(F.arrays_zip(*(F.col(names[c]).alias(c) for c in on if c in names))).alias("code", "g"))
-    groups = groups.select("block", "code", *(F.col(f"g.{c}").alias(c) if c in names else F.col(c) for c in on)).filter(_possible(frequent, on))
+def _semi_joined(relation: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Blocks of ``R_1`` with the codes of their words that are frequent. Most that are not stay away from the shuffle."""
+    on = ["lang", "word"]
+    groups = relation.select("block", "lang", F.posexplode("words").alias("code", "word")).filter(_possible(frequent, on))
     met = groups.join(frequent.select(*on, "id"), on).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # a block's groups at most
-    return relation.select("block", "own", "codes").join(met, "block")
+    return relation.select("block", "own", "codes").join(met, "block").select("block", "own", "codes", F.col("known.code").alias("kept"), F.col("known.id").alias("keys"))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """``found`` with ``id``, a gapless number from 0, as 4 bytes."""
+    placed = persisted(found.withColumn("__at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__at", 33)
+    before, starts = 0, {}
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row for each partition that wrote
+        starts[r["part"]], before = before, before + r["count"]
+    if before > 1 << 31:
+        raise ValueError("more than 2**31 frequent words")
+    first = F.get(F.lit([starts.get(i, 0) for i in range(max(starts, default=0) + 1)]).cast("array<long>"), part.cast("int"))
+    number = first + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("id", F.unhex(F.lpad(F.hex(number), 8, "0"))).drop("__at")
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int, block: int = BLOCK, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """Words of each language, and ``F_1`` to ``F_longest``: ``id, lang, phrase, f``, numbers of its first and last 1, 2 ... words
+    """Words of each language, and ``F_1`` to ``F_longest``: ``id`` (its words' numbers, 4 bytes each), ``lang, phrase, f``, numbers of its first and last 1, 2 ... words
     (``heads``, ``tails``) and, from two words on, the ids ``left`` and ``right`` of the phrases without its last and first word."""
     relation = persisted(occurrences(df, longest, block, lang_col, text_col), "occurrences-1")
     none = F.array().cast("array<long>")
     words = relation.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     totals = persisted(relation.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    found = words.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
-    levels, on = [persisted(found, "frequent-1")], ["lang", "word"]
+    found = _numbered(words.filter(F.col("f") >= least)).select("id", "lang", "word", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
+    levels = [persisted(found, "frequent-1")]
     for k in range(2, longest + 1):
-        before, relation = relation, persisted(joined(_semi_joined(relation, levels[-1], on)), f"occurrences-{k}")
+        if k == 2:
+            pairs = joined(_semi_joined(relation, levels[-1]), 1)
+        else:
+            pairs = joined(relation.withColumn("kept", F.lit(None).cast("array<int>")), k - 1, _filter(levels[-1], k - 1))
+        before, relation = relation, persisted(pairs, f"occurrences-{k}")
         discard(before)
-        groups = relation.select(F.inline(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"), F.col("counts").alias("n"))))
-        counted = groups.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        groups = relation.select(F.inline(F.arrays_zip(F.col("keys").alias("id"), F.col("counts").alias("n"))))
+        counted = groups.groupBy("id").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        counted = counted.withColumns({"left": F.substring("id", 1, 4 * (k - 1)), "right": F.substring("id", 5, 4 * (k - 1))})
         a = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("a"), F.col("heads").alias("ah"), F.col("f").alias("af"))
         b = levels[-1].select(F.col("id").alias("right"), F.col("phrase").alias("b"), F.col("tails").alias("bt"), F.col("f").alias("bf"))
         made = counted.join(a, "left").join(b, "right")
         phrase = F.concat("a", F.lit(" "), F.substring_index("b", " ", -1))
-        made = made.select(F.monotonically_increasing_id().alias("id"), "lang", phrase.alias("phrase"), "f", F.array_append("ah", F.col("af")).alias("heads"), F.array_append("bt", F.col("bf")).alias("tails"), "left", "right")
+        made = made.select("id", "lang", phrase.alias("phrase"), "f", F.array_append("ah", F.col("af")).alias("heads"), F.array_append("bt", F.col("bf")).alias("tails"), "left", "right")
         levels.append(persisted(made, f"frequent-{k}"))
-        on = ["left", "right"]
     return totals, levels
 
 

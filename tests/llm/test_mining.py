@@ -86,6 +86,14 @@ def test_scores_are_exact(spark):
     assert df.select(score).first()[0] == 1000 * a * n // (left * right)
 
 
+def test_phrases_stay_in_their_blocks(docs, rows, monkeypatch):
+    calls, semi = [], collocations._semi_joined
+    monkeypatch.setattr(collocations, "_semi_joined", lambda *args: calls.append(1) or semi(*args))
+    monkeypatch.setattr(collocations, "FILTER_BITS", 64)  # lets nearly all through
+    got = collocations.mine(docs, 4, block=50)
+    assert sorted(map(tuple, got.collect())) == slow_phrases(rows, 4, 5, 100, 2000) != [] and len(calls) == 1  # of words only
+
+
 def test_no_phrases(docs):
     assert collocations.mine(docs.filter("false")).count() == 0
     assert collocations.mine(docs, least=10**6).count() == 0
