@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the caches of a task; results do not depend on them.
-CACHE = 250_000
-PAIRS = 500_000
+#: Entries of each half of a task's cache of pieces, and of its cache of pairs; results do not depend on them.
+CACHE = 100_000
+PAIRS = 200_000
+#: Bytes of results that a task gathers before it hands them on.
+GATHERED = 1 << 20
 
 
 class Codec:
@@ -171,48 +173,51 @@ class Prefixes:
 
 
 class _Pieces(dict):
-    """Packed ids by piece, bounded."""
+    """Packed ids by piece, bounded: the newest pieces, and those of the time before, which return when they are asked for."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+        packed = self.before.get(piece)
+        if packed is None:
+            packed = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed
         return packed
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``batches`` with ids and decoded bytes in place of the text, their last column; in parts of about ``GATHERED`` bytes, or one text."""
+    pieces, find, at = _Pieces(codec), regex.compile(codec.pattern).findall, codec.tokens.__getitem__
+    for batch in batches:
+        texts, start, size = batch.column(batch.num_columns - 1), 0, 0
+        ids, decoded = [], []
+        for i in range(batch.num_rows):
+            packed = b"".join(map(pieces.__getitem__, find(texts[i].as_py() or "")))
+            ids.append(packed)
+            decoded.append(b"".join(map(at, np.frombuffer(packed, "<u4").tolist())))
+            size += len(packed) + len(decoded[-1])
+            if size >= GATHERED or i + 1 == batch.num_rows:
+                head = batch.slice(start, len(ids)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=names)
+                start, size = i + 1, 0
+                ids, decoded = [], []
+
+
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``ids`` (little-endian unsigned 32-bit, packed) and ``decoded`` (bytes)."""
     keep = [f for f in df.schema.fields if f.name not in (text_col, "ids", "decoded")]
     loaded = Codec.load(path, pattern)
     shipped = df.sparkSession.sparkContext.broadcast((loaded.ranks, loaded.pattern, loaded.parts))
 
+    names = [*(f.name for f in keep), "ids", "decoded"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shipped.value)
-        pieces, find, at = _Pieces(codec), regex.compile(codec.pattern).findall, codec.tokens.__getitem__
-        for batch in batches:
-            rows: list[tuple[bytes, bytes]] = []
-            size = done = 0
-
-            def flush(rows=rows, batch=batch):
-                head = batch.slice(done, len(rows))
-                columns = [head.column(i) for i in range(batch.num_columns - 1)]
-                return pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary())], names=[*(f.name for f in keep), "ids", "decoded"])
-
-            for text in batch.column(batch.num_columns - 1):
-                ids = b"".join(map(pieces.__getitem__, find(text.as_py() or "")))
-                rows.append((ids, b"".join(map(at, np.frombuffer(ids, "<u4").tolist()))))
-                size += len(ids)
-                if size > 16 << 20:
-                    yield flush()
-                    done, size = done + len(rows), 0
-                    rows.clear()
-            if rows:
-                yield flush()
+        return _encoded(batches, Codec(*shipped.value), names)
 
     schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string")).mapInArrow(run, schema)

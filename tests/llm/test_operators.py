@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -525,6 +526,21 @@ def test_bpe_appends_and_edits(codec):
         assert grown.last == bpe.Prefixes(codec, data[:cut] + new + data[stop:]).last
 
 
+def test_bpe_hands_on_small_parts(codec, monkeypatch):
+    """What a task holds of its results follows neither from the rows of a batch nor from the size of a partition."""
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    texts = [prose(i % 40, 300) for i in range(1500)] + [None, "", prose(1, 200_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got, last = [], max(len(t or "") for t in texts)
+    for part in bpe._encoded(iter([batch]), codec, ["doc_id", "ids", "decoded"]):
+        assert part.num_rows == 1 or sum(map(len, part.column(1).to_pylist()[:-1])) + sum(map(len, part.column(2).to_pylist()[:-1])) < bpe.GATHERED
+        got += part.to_pylist()
+    assert len(got) == len(texts) and last > 2**20
+    assert [(x["doc_id"], x["decoded"]) for x in got] == [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    want = {t: struct.pack(f"<{len(i := codec.encode(t or ''))}I", *i) for t in set(texts)}
+    assert [x["ids"] for x in got] == [want[t] for t in texts]
+
+
 def test_bpe_rows(codec, docs, odd, empty):
     rows = bpe.round_trip(docs, *bpe.public_vocabulary()).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()
