@@ -9,9 +9,11 @@ semi-join with these leaves the occurrences that the next step may extend.
 ``R_k`` is kept as blocks of columns: a row is a block of about ``block`` words
 of one language, with one code for each position and an empty position between
 pieces, so that the sorted join is one of an array with itself shifted by one.
-The block's distinct groups and their numbers are rows of their own when they are
+The block's distinct words and their numbers are rows of their own when they are
 counted; this is an ordinary shuffle of pre-aggregated rows, so a word of a third of
-all positions is one row of each block. The semi-join with ``F_1`` is a shuffle, too,
+all positions is one row of each block. Longer groups, of which there are many more and
+most occur once, are added up over a few blocks, dealt into parts by hash, and shuffled as sorted,
+packed columns (a row for each part); a part's number of groups is bounded, and it counts exactly. The semi-join with ``F_1`` is a shuffle, too,
 behind a bitmap of fixed size, and gives each block the numbers of its frequent words.
 A longer phrase is named by those numbers (4 bytes a word), so its semi-join needs no
 answer from elsewhere: the block keeps what a bitmap of ``F_k`` says may be in it. A
@@ -44,10 +46,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, persisted, scratch
 
-#: Positions of a block.
-BLOCK = 1 << 17
+#: Positions of a block. The semi-join with F_1 has a row for each block and word, so that larger ones save shuffles.
+BLOCK = 1 << 19
 #: Bits of the filter of frequent groups: what reaches the driver and every task, whatever is in it.
 FILTER_BITS = 1 << 24
+#: Groups that a task adds up before it shuffles them, and that a part counts, about.
+GATHERED, PART = 1 << 20, 1 << 20
 #: Parts in which each language's best are found first.
 PARTS = 128
 
@@ -61,6 +65,17 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(_MARKS).replace(_GAP, b" \xff ").split()
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """int32 codes, byte by byte, compressed; frequent words come early in a block, so their codes are small."""
+    return len(codes).to_bytes(4, "little") + pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _codes(squeezed: bytes) -> np.ndarray:
+    n = int.from_bytes(squeezed[:4], "little")
+    raw = pa.decompress(squeezed[4:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel()
+
+
 def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``R_1``: ``block, lang, own`` (positions that may begin a phrase), ``codes`` (of each position, -1 between pieces), ``words, counts`` (by code)."""
 
@@ -82,7 +97,7 @@ def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str =
             number += 1
             codes, names, counts = cut(words, own)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), x) for x in (names, pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([own], pa.int32()), pa.array([codes.tobytes()], pa.binary()), *lists], names=["block", "lang", "own", "codes", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([own], pa.int32()), pa.array([_squeezed(codes)], pa.binary()), *lists], names=["block", "lang", "own", "codes", "words", "counts"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -144,7 +159,7 @@ def joined(known: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+                codes = _codes(batch.column(2)[i].as_py())
                 names = _matrix(batch.column(4)[i].values, k)
                 kept = batch.column(3)[i].values.to_numpy(zero_copy_only=False) if batch.column(3)[i].is_valid else np.arange(len(names))
                 if shipped is not None:
@@ -165,11 +180,74 @@ def joined(known: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFram
                 counts = np.bincount(inverse[both < own], minlength=len(groups))
                 made = _keys(np.concatenate([names[groups // len(kept)], names[groups % len(kept)][:, -1:]], axis=1))
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), x) for x in (made, pa.array(counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([out.tobytes()], pa.binary()), *lists], names=["block", "own", "codes", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([_squeezed(out)], pa.binary()), *lists], names=["block", "own", "codes", "keys", "counts"])
 
     return known.select("block", "own", "codes", "kept", "keys").mapInArrow(run, "block long, own int, codes binary, keys array<binary>, counts array<long>")
 
 
+def _summed(matrix: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and their sums, in order (by ``first``, of which equal rows have the same, and by columns)."""
+    order = np.lexsort([*matrix.T[::-1], *([] if first is None else [first])])
+    matrix, counts = matrix[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], (matrix[1:] != matrix[:-1]).any(axis=1)])) if len(matrix) else np.zeros(0, np.int64)
+    return matrix[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _pack(matrix: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted rows of int32 and their counts, column by column and byte by byte, compressed."""
+    columns = [np.diff(matrix[:, 0], prepend=np.int32(0)), *matrix.T[1:], counts]
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns)
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * (4 * k + 8), codec="zstd", asbytes=True), np.uint8)
+    columns = [np.ascontiguousarray(raw[4 * n * i : 4 * n * (i + 1)].reshape(4, n).T).view(np.int32).ravel() for i in range(k)]
+    columns[0] = np.cumsum(columns[0], dtype=np.int32)
+    return np.stack(columns, axis=1), np.ascontiguousarray(raw[4 * n * k :].reshape(8, n).T).view(np.int64).ravel()
+
+
+def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
+    """``id, f``: the groups of ``R_k`` that occur ``least`` times or more."""
+    groups = relation.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts, gathered = max(1, -(-groups // PART)), GATHERED
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            matrix, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            matrix, counts = _summed(matrix, counts, _places(matrix, parts))
+            at = _places(matrix, parts)
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            ends = [*starts[1:], len(at)]
+            packed = [_pack(matrix[i:j], counts[i:j]) for i, j in zip(starts, ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(at[starts], pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "n", "packed"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append((_matrix(batch.column(0)[i].values, k).astype(np.int32), batch.column(1)[i].values.to_numpy()))
+                if sum(len(x) for x, _ in held) >= gathered:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        """Of one part. Whenever so many rows are there, they are added up."""
+        matrix, counts, waiting = np.zeros((0, k), np.int32), np.zeros(0, np.int64), []
+        for n, packed in zip(table.column("n").to_pylist(), table.column("packed"), strict=True):
+            waiting.append(_unpack(packed.as_py(), n, k))
+            if sum(len(x) for x, _ in waiting) >= gathered:
+                matrix, counts = _summed(*(np.concatenate(x) for x in zip((matrix, counts), *waiting, strict=True)))
+                waiting = []
+        matrix, counts = _summed(*(np.concatenate(x) for x in zip((matrix, counts), *waiting, strict=True)))
+        return pa.table({"id": _keys(matrix[counts >= least]), "f": counts[counts >= least]})
+
+    dealt = relation.select("keys", "counts").mapInArrow(deal, "part int, n int, packed binary")
+    return dealt.groupBy("part").applyInArrow(add, "id binary, f long")
+
+
 def _bitmap(places: DataFrame) -> np.ndarray:
     """The bits of column ``place``."""
     place = F.col("place")
@@ -244,12 +322,10 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, block: int = BLOCK
             pairs = joined(relation.withColumn("kept", F.lit(None).cast("array<int>")), k - 1, _filter(levels[-1], k - 1))
         before, relation = relation, persisted(pairs, f"occurrences-{k}")
         discard(before)
-        groups = relation.select(F.inline(F.arrays_zip(F.col("keys").alias("id"), F.col("counts").alias("n"))))
-        counted = groups.groupBy("id").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        counted = counted.withColumns({"left": F.substring("id", 1, 4 * (k - 1)), "right": F.substring("id", 5, 4 * (k - 1))})
+        found = counted(relation, k, least).withColumns({"left": F.substring("id", 1, 4 * (k - 1)), "right": F.substring("id", 5, 4 * (k - 1))})
         a = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("a"), F.col("heads").alias("ah"), F.col("f").alias("af"))
         b = levels[-1].select(F.col("id").alias("right"), F.col("phrase").alias("b"), F.col("tails").alias("bt"), F.col("f").alias("bf"))
-        made = counted.join(a, "left").join(b, "right")
+        made = found.join(a, "left").join(b, "right")
         phrase = F.concat("a", F.lit(" "), F.substring_index("b", " ", -1))
         made = made.select("id", "lang", phrase.alias("phrase"), "f", F.array_append("ah", F.col("af")).alias("heads"), F.array_append("bt", F.col("bf")).alias("tails"), "left", "right")
         levels.append(persisted(made, f"frequent-{k}"))

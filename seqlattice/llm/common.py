@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -38,15 +39,40 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/seqlattice/{label}-{uuid.uuid4().hex}"
 
 
+#: Deletes a query's shuffle files when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WRITERS = threading.Lock(), {}
+
+
+@contextmanager
+def _short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that made them ends; the session's setting returns once no thread is inside."""
+    with _LOCK:
+        n, before = _WRITERS.get(spark, (0, None))
+        _WRITERS[spark] = n + 1, before if n else spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITERS.pop(spark)
+            if n > 1:
+                _WRITERS[spark] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def persisted(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of any executor, and
-    is smaller on disk than a checkpoint of rows.
+    is smaller on disk than a checkpoint of rows. The shuffle files of the write are
+    not needed once it ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    with _short_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqlattice_path = path
     for scope in _SCOPES.get():

@@ -94,6 +94,29 @@ def test_phrases_stay_in_their_blocks(docs, rows, monkeypatch):
     assert sorted(map(tuple, got.collect())) == slow_phrases(rows, 4, 5, 100, 2000) != [] and len(calls) == 1  # of words only
 
 
+def test_phrases_are_counted_in_parts(docs, rows, monkeypatch):
+    """Many small parts and gatherings give the same; a group of two words takes few bytes of the shuffle."""
+    monkeypatch.setattr(collocations, "PART", 5)
+    monkeypatch.setattr(collocations, "GATHERED", 20)
+    got = collocations.mine(docs, 4, block=50)
+    assert sorted(map(tuple, got.collect())) == slow_phrases(rows, 4, 5, 100, 2000) != []
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_packed_groups(k):
+    rng = np.random.default_rng(k)
+    matrix, counts = (rng.zipf(1.2, (200_000, k)) % 60_000).astype(np.int32), rng.zipf(2.0, 200_000)
+    matrix[:3], counts[0] = [[2**31 - 1] * k, [0] * k, [2**31 - 1] * k], 2**40
+    want = Counter()
+    for row, n in zip(matrix.tolist(), counts.tolist()):
+        want[tuple(row)] += n
+    rows, sums = collocations._summed(matrix, counts)
+    packed = collocations._pack(rows, sums)
+    assert len(packed) < (2 * k + 1) * len(rows)
+    rows, sums = collocations._unpack(packed, len(rows), k)
+    assert dict(zip(map(tuple, rows.tolist()), sums.tolist())) == want
+
+
 def test_no_phrases(docs):
     assert collocations.mine(docs.filter("false")).count() == 0
     assert collocations.mine(docs, least=10**6).count() == 0

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import textwrap
+import time
 import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seqlattice.llm import bpe, decontam, langid, license_scan, pii, quality, sharding, simhash, toxicity, warc
-from seqlattice.llm.common import discard, held_out, persisted, scratch
+from seqlattice.llm.common import CLEANUP, discard, held_out, persisted, scratch
 from seqlattice.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -76,6 +77,27 @@ def test_scopes_of_threads_are_apart(spark):
         spark.read.schema(own.schema).parquet(own._seqlattice_path).count()
 
 
+def test_the_setting_for_shuffle_files_returns(spark):
+    setting, counts = spark.conf.get(CLEANUP), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    with scratch():
+        assert persisted(counts, "counts").count() == counts.count() == 7
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda i: persisted(counts, f"counts-{i}"), range(4)))
+        assert spark.conf.get(CLEANUP) == setting and counts.count() == 7
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = files()
+    with scratch():
+        persisted(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        for _ in range(50):
+            if not (left := files() - before):
+                break
+            time.sleep(0.1)
+        assert not left
+
+
 def test_attached_shards(spark, docs, empty):
     """One row for each row, repeated ones included, with the places that ``assign_shards`` gives."""
     extra = spark.createDataFrame([(None, None, f"x{i % 3}") for i in range(40)] + [(5, "same", "y")] * 30, "doc_id long, text string, id string")
