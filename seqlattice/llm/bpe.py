@@ -8,6 +8,11 @@ the encoding, so bytes can be appended at the price of the new bytes only, and
 after an edit only the prefixes from the edit on are computed again, and only
 until they agree with the old ones.
 
+Short pieces, which are most of a text, have many prefixes in common and need few
+of them: the last token of a prefix only asks for the prefixes before its candidates,
+so these are found when they are asked for, longest candidate first, and kept by
+their bytes for the pieces that follow.
+
 Whether one token may follow another is decided by undoing merges from the most
 recent one backwards: the border between the two survives if no merge across it
 would have come before the merges next to it.
@@ -36,9 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each half of a task's cache of pieces, and of its cache of pairs; results do not depend on them.
-CACHE = 100_000
+#: Entries of each half of a worker's cache of pieces, and of its cache of pairs; results do not depend on them.
+CACHE = 250_000
 PAIRS = 200_000
+#: Prefixes whose last token a worker remembers, and the bytes of the longest piece that is encoded with them; results do not depend on these either.
+PREFIXES = 200_000
+SHORT = 64
 #: Bytes of results that a task gathers before it hands them on.
 GATHERED = 1 << 20
 
@@ -53,6 +61,7 @@ class Codec:
         self.parts: dict[int, tuple[int, int] | None] = parts or {}
         self._span = span = max(ranks.values()) + 1
         self._pairs: dict[int, bool] = {}
+        self._prefixes: dict[bytes, int] = {}
         # The same by rank: the halves (-1 for a single byte), and the rank of a merge by its two halves.
         self._left, self._right, self._joined = [-1] * span, [-1] * span, {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -61,6 +70,18 @@ class Codec:
             if pair := self.parts[rank]:
                 self._left[rank], self._right[rank] = pair
                 self._joined[pair[0] * span + pair[1]] = rank
+        # By what tokens end with: the longest token at the end of that. By token: the next shorter one at its end, -1 if there is none.
+        self._tails: dict[bytes, int] = {}
+        self._shorter, self._sizes = [-1] * span, [0] * span
+        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
+            self._sizes[rank] = len(token)
+            longest = -1
+            for i in range(len(token) - 1, 0, -1):
+                longest = self._tails.setdefault(tail := token[i:], ranks.get(tail, longest))
+            self._shorter[rank], self._tails[token] = longest, rank
+        self._bytes = np.frombuffer(b"".join(self.tokens.get(rank, b"") for rank in range(span)), np.uint8)
+        self._lengths = np.array(self._sizes)
+        self._starts = np.cumsum(self._lengths) - self._lengths
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -127,11 +148,55 @@ class Codec:
             at -= len(tokens[last[at]])
         return out[::-1]
 
+    def last_token(self, prefix: bytes) -> int:
+        """The valid last token of a short prefix, of which shorter prefixes are remembered.
+
+        The valid token is unique, so the candidates can be tried longest first, and most prefixes are never asked for.
+        """
+        tails, span, remembered, pairs, size = self._tails.get, self._span, self._prefixes, self._pairs, len(prefix)
+        start = max(0, size - 3)  # about where the longest token begins: from here on, tails are looked for in both directions
+        token = tails(prefix[start:])
+        while token is None and start < size:
+            start += 1
+            token = tails(prefix[start:], -1 if start == size else None)
+        while start and (longer := tails(prefix[start - 1 :])) is not None:
+            start, token = start - 1, longer
+        start = size - self._sizes[token]
+        while start or token < 0:
+            if token < 0:
+                raise ValueError("bytes cannot be encoded")
+            before = remembered.get(head := prefix[:start])
+            if before is None:
+                before = self.last_token(head)
+            pair = before * span + token
+            fits = pairs.get(pair)
+            if fits is None:
+                if len(pairs) > PAIRS:
+                    pairs.clear()
+                fits = pairs[pair] = self._survives(before, token)
+            if fits:
+                break
+            token = self._shorter[token]
+            start = size - self._sizes[token]
+        if len(remembered) >= PREFIXES:
+            remembered.clear()
+        remembered[prefix] = token
+        return token
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) <= SHORT:
+            out, remembered, sizes = [], self._prefixes.get, self._sizes
+            while piece:
+                token = remembered(piece)
+                if token is None:
+                    token = self.last_token(piece)
+                out.append(token)
+                piece = piece[: -sizes[token]]
+            return out[::-1]
         last = [-1]
         self.extend(piece, last)
         return self.read_back(last)
@@ -140,7 +205,13 @@ class Codec:
         return [i for piece in regex.findall(self.pattern, text) for i in self.encode_piece(piece.encode())]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        ids, out = np.asarray(ids, np.int64), []
+        for i in range(0, len(ids), 1 << 14):  # at most so many tokens' places at once
+            some = ids[i : i + (1 << 14)]
+            sizes = self._lengths[some]
+            ends = np.cumsum(sizes)
+            out.append(self._bytes[np.repeat(self._starts[some] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 class Prefixes:
@@ -177,11 +248,12 @@ class _Pieces(dict):
 
     def __init__(self, codec: Codec):
         self.codec, self.before = codec, {}
+        self.words = [i.to_bytes(4, "little") for i in range(codec._span)]
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.before.get(piece)
         if packed is None:
-            packed = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+            packed = b"".join(map(self.words.__getitem__, self.codec.encode_piece(piece.encode())))
         if len(self) >= CACHE:
             self.before = dict(self)
             self.clear()
@@ -190,16 +262,27 @@ class _Pieces(dict):
         return packed
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec, names: list[str]) -> Iterator[pa.RecordBatch]:
+#: The newest vocabulary of this process with its caches: a worker's tasks use one after the other.
+_KEPT: list = []
+
+
+def _kept(shipped: tuple) -> _Pieces:
+    """The pieces of a vocabulary as :func:`encode_texts` ships it, with what earlier tasks of this process have encoded."""
+    if not _KEPT or _KEPT[0] is not shipped:
+        _KEPT[:] = [shipped, _Pieces(Codec(*shipped))]
+    return _KEPT[1]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec, names: list[str], pieces: _Pieces | None = None) -> Iterator[pa.RecordBatch]:
     """``batches`` with ids and decoded bytes in place of the text, their last column; in parts of about ``GATHERED`` bytes, or one text."""
-    pieces, find, at = _Pieces(codec), regex.compile(codec.pattern).findall, codec.tokens.__getitem__
+    pieces, find = _Pieces(codec) if pieces is None else pieces, regex.compile(codec.pattern).findall
     for batch in batches:
         texts, start, size = batch.column(batch.num_columns - 1), 0, 0
         ids, decoded = [], []
         for i in range(batch.num_rows):
             packed = b"".join(map(pieces.__getitem__, find(texts[i].as_py() or "")))
             ids.append(packed)
-            decoded.append(b"".join(map(at, np.frombuffer(packed, "<u4").tolist())))
+            decoded.append(codec.decode(np.frombuffer(packed, "<u4")))
             size += len(packed) + len(decoded[-1])
             if size >= GATHERED or i + 1 == batch.num_rows:
                 head = batch.slice(start, len(ids)).columns[:-1]
@@ -217,7 +300,8 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text")
     names = [*(f.name for f in keep), "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _encoded(batches, Codec(*shipped.value), names)
+        pieces = _kept(shipped.value)
+        return _encoded(batches, pieces.codec, names, pieces)
 
     schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -563,6 +563,44 @@ def test_bpe_hands_on_small_parts(codec, monkeypatch):
     assert [x["ids"] for x in got] == [want[t] for t in texts]
 
 
+def test_bpe_asks_for_few_prefixes(codec, monkeypatch):
+    """Words with common beginnings take under half the look-ups of trying every prefix, with the same ids, however little is remembered."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    rng = random.Random(5)
+    parts = "er en the ing tion ble and ou ea wh ü é 中 ea& x".split()
+    words = [" " + "".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    words += ["", *(w * 9 for w in words[:50])]  # the latter are long
+    ranks, want = codec.ranks, []
+    monkeypatch.setattr(codec, "ranks", Counted(ranks))
+    monkeypatch.setattr(codec, "_tails", Counted(codec._tails))
+    for word in words:
+        last = [-1]
+        codec.extend(word.encode(), last)
+        want.append(codec.read_back(last))
+    every, Counted.asked = Counted.asked, 0
+    codec._prefixes.clear()
+    assert [codec.encode_piece(w.encode()) if w else [] for w in words] == want
+    assert 0 < Counted.asked < every / 2
+    monkeypatch.setattr(bpe, "PREFIXES", 3)
+    assert [codec.encode_piece(w.encode()) if w else [] for w in words] == want
+    with pytest.raises(ValueError):
+        bpe.Codec({b"a": 0, b"b": 1, b"ab": 2}, "(?s).").encode_piece(b"abz")
+
+
+def test_bpe_tasks_of_a_worker_share_their_pieces(codec):
+    shipped = (codec.ranks, codec.pattern, codec.parts)
+    assert bpe._kept(shipped) is bpe._kept(shipped) and bpe._kept((*shipped,)).codec.ranks is codec.ranks
+    other = ({b"a": 0, b"b": 1}, codec.pattern, None)
+    assert bpe._kept(other)["ab"] == struct.pack("<2I", 0, 1) and len(bpe._KEPT) == 2
+
+
 def test_bpe_rows(codec, docs, odd, empty):
     rows = bpe.round_trip(docs, *bpe.public_vocabulary()).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()
