@@ -18,7 +18,8 @@ behind a bitmap of fixed size, and gives each block the numbers of its frequent
 A longer phrase is named by those numbers (4 bytes a word), so its semi-join needs no
 answer from elsewhere: the block keeps what a bitmap of ``F_k`` says may be in it. A
 phrase that passes by chance is work and no more, since what extends it is counted
-exactly and cannot be frequent. Every ``R_k`` and
+exactly and cannot be frequent. A block's groups lie in its row as one value, sorted, in packed
+columns, so that no row is an array of hundreds of thousands of names. Every ``R_k`` and
 ``F_k`` is written to the shared folder before it is used.
 
 A piece may go on in the next block: a block has up to ``longest - 1`` further
@@ -79,8 +80,8 @@ def _codes(squeezed: bytes) -> np.ndarray:
 def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``R_1``: ``block, lang, own`` (positions that may begin a phrase), ``codes`` (of each position, -1 between pieces), ``words, counts`` (by code)."""
 
-    def cut(run: list[bytes], own: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        found = pa.array(run, pa.binary()).dictionary_encode()
+    def cut(run: pa.Array, own: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        found = run.dictionary_encode()
         codes, words = found.indices.to_numpy().astype(np.int32), found.dictionary
         gap = words.index(pa.scalar(_GAP, pa.binary())).as_py()
         if gap >= 0:
@@ -90,36 +91,44 @@ def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str =
         return codes, words.cast(pa.string()), np.bincount(mine[mine >= 0], minlength=len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
+        number, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[str, list[pa.Array]] = {}  # words take a few bytes each, and not an object
+        waiting: dict[str, int] = {}
 
-        def row(lang: str, words: list[bytes], own: int) -> pa.RecordBatch:
+        def row(lang: str, words: pa.Array, own: int) -> pa.RecordBatch:
             nonlocal number
             number += 1
             codes, names, counts = cut(words, own)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), x) for x in (names, pa.array(counts, pa.int64()))]
             return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([own], pa.int32()), pa.array([_squeezed(codes)], pa.binary()), *lists], names=["block", "lang", "own", "codes", "words", "counts"])
 
+        def rest() -> Iterator[pa.RecordBatch]:
+            for lang, found in held.items():
+                if waiting[lang]:
+                    yield row(lang, pa.concat_arrays(found), waiting[lang])
+            held.clear()
+            waiting.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 if not text.is_valid:
                     continue
-                lang, new = lang.as_py(), tokens(text.as_py())
-                words = held.setdefault(lang, [])
-                words.extend(new)
-                words.append(_GAP)
-                size += len(new) + 1
-                if len(words) >= block + longest - 1:
-                    at = 0
-                    while len(words) - at >= block + longest - 1:
-                        yield row(lang, words[at : at + block + longest - 1], block)
-                        at += block
-                    del words[:at]
-                    size -= at
+                lang, new = lang.as_py(), [*tokens(text.as_py()), _GAP]
+                for start in range(0, len(new), block):
+                    held.setdefault(lang, []).append(pa.array(new[start : start + block], pa.binary()))
+                    size += len(held[lang][-1])
+                    waiting[lang] = waiting.get(lang, 0) + len(held[lang][-1])
+                    if waiting[lang] >= block + longest - 1:
+                        words, at = pa.concat_arrays(held[lang]), 0
+                        while len(words) - at >= block + longest - 1:
+                            yield row(lang, words.slice(at, block + longest - 1), block)
+                            at += block
+                        held[lang], waiting[lang] = [words.slice(at)], len(words) - at
+                        size -= at
                 if size > 4 * block:  # many languages, each with little
-                    yield from (row(k, v, len(v)) for k, v in held.items() if v)
-                    held.clear()
+                    yield from rest()
                     size = 0
-        yield from (row(k, v, len(v)) for k, v in held.items() if v)
+        yield from rest()
 
     schema = "block long, lang string, own int, codes binary, words array<string>, counts array<long>"
     return df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
@@ -149,40 +158,49 @@ def _places(matrix: np.ndarray, bits: int) -> np.ndarray:
 
 
 def joined(known: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFrame:
-    """``R_k`` joined with itself at the next position: ``block, own, codes`` of the pairs, and ``keys, counts`` by code.
+    """``R_k`` joined with itself at the next position: ``block, own, codes`` of the pairs, and their ``n`` groups, ``packed`` with their counts in the order of the codes.
 
-    ``known``: ``block, own, codes, kept, keys`` (the codes whose groups are frequent, all if null, with the groups' names), of
-    which ``bits`` says those that may be.
+    ``known``: ``block, own, codes`` and, for words, ``known`` (codes and numbers of those that are frequent, 4 bytes each), else
+    ``n, packed``, of which ``bits`` says those that may be frequent.
     """
     shipped = None if bits is None else known.sparkSession.sparkContext.broadcast(bits)
 
+    def named(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and names of groups, in the order of the names."""
+        if k == 1:
+            found = batch.column(3)[i].values.to_numpy()
+            found = found[np.argsort(found & 0xFFFFFFFF)]
+            return found >> 32, (found & 0xFFFFFFFF).astype(np.int32).reshape(-1, 1)
+        names = _unpack(batch.column(4)[i].as_py(), batch.column(3)[i].as_py(), k)[0]
+        return np.arange(len(names)), names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes = _codes(batch.column(2)[i].as_py())
-                names = _matrix(batch.column(4)[i].values, k)
-                kept = batch.column(3)[i].values.to_numpy(zero_copy_only=False) if batch.column(3)[i].is_valid else np.arange(len(names))
+                kept, names = named(batch, i)
                 if shipped is not None:
                     at = _places(names, 64 * len(shipped.value))
                     may = (shipped.value[at >> 6] >> (at & 63)) & 1 == 1
                     kept, names = kept[may], names[may]
-                place = np.full(max(int(codes.max(initial=-1)), int(kept.max(initial=-1))) + 2, -1, np.int64)  # its last entry is for code -1
+                place = np.full(max(int(codes.max(initial=-1)), int(kept.max(initial=-1))) + 2, -1, np.int32)  # its last entry is for code -1
                 place[kept] = np.arange(len(kept))
                 at = place[codes]
-                left, right = at[:-1], at[1:]
-                both = np.flatnonzero((left >= 0) & (right >= 0))
-                groups, inverse = np.unique(left[both] * len(kept) + right[both], return_inverse=True)
+                both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+                groups, inverse = np.unique(at[both] * np.int64(len(kept)) + at[both + 1], return_inverse=True)
                 if not len(groups):
                     continue
-                out = np.full(len(left), -1, np.int32)
+                out = np.full(len(at) - 1, -1, np.int32)
                 out[both] = inverse
                 own = min(batch.column(1)[i].as_py(), len(out))
                 counts = np.bincount(inverse[both < own], minlength=len(groups))
-                made = _keys(np.concatenate([names[groups // len(kept)], names[groups % len(kept)][:, -1:]], axis=1))
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), x) for x in (made, pa.array(counts, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([_squeezed(out)], pa.binary()), *lists], names=["block", "own", "codes", "keys", "counts"])
+                made = np.concatenate([names[groups // len(kept)], names[groups % len(kept)][:, -1:]], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), pa.array([own], pa.int32()), pa.array([_squeezed(out)], pa.binary()), pa.array([len(made)], pa.int32()), pa.array([_pack(made, counts)], pa.binary())],
+                    names=["block", "own", "codes", "n", "packed"],
+                )
 
-    return known.select("block", "own", "codes", "kept", "keys").mapInArrow(run, "block long, own int, codes binary, keys array<binary>, counts array<long>")
+    return known.select("block", "own", "codes", *(["known"] if k == 1 else ["n", "packed"])).mapInArrow(run, "block long, own int, codes binary, n int, packed binary")
 
 
 def _summed(matrix: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +227,7 @@ def _unpack(packed: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
     """``id, f``: the groups of ``R_k`` that occur ``least`` times or more."""
-    groups = relation.agg(F.sum(F.size("keys"))).first()[0] or 0
+    groups = relation.agg(F.sum("n")).first()[0] or 0
     parts, gathered = max(1, -(-groups // PART)), GATHERED
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +245,7 @@ def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                held.append((_matrix(batch.column(0)[i].values, k).astype(np.int32), batch.column(1)[i].values.to_numpy()))
+                held.append(_unpack(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), k))
                 if sum(len(x) for x, _ in held) >= gathered:
                     yield flush()
         if held:
@@ -244,7 +262,7 @@ def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
         matrix, counts = _summed(*(np.concatenate(x) for x in zip((matrix, counts), *waiting, strict=True)))
         return pa.table({"id": _keys(matrix[counts >= least]), "f": counts[counts >= least]})
 
-    dealt = relation.select("keys", "counts").mapInArrow(deal, "part int, n int, packed binary")
+    dealt = relation.select("n", "packed").mapInArrow(deal, "part int, n int, packed binary")
     return dealt.groupBy("part").applyInArrow(add, "id binary, f long")
 
 
@@ -284,11 +302,12 @@ def _possible(frequent: DataFrame, on: list[str]) -> Column:
 
 
 def _semi_joined(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Blocks of ``R_1`` with the codes of their words that are frequent. Most that are not stay away from the shuffle."""
+    """Blocks of ``R_1`` with codes and numbers of their words that are frequent, one long each. Most that are not stay away from the shuffle."""
     on = ["lang", "word"]
     groups = relation.select("block", "lang", F.posexplode("words").alias("code", "word")).filter(_possible(frequent, on))
-    met = groups.join(frequent.select(*on, "id"), on).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # a block's groups at most
-    return relation.select("block", "own", "codes").join(met, "block").select("block", "own", "codes", F.col("known.code").alias("kept"), F.col("known.id").alias("keys"))
+    number = F.conv(F.hex("id"), 16, 10).cast("long")
+    met = groups.join(frequent.select(*on, number.alias("number")), on).select("block", (F.shiftleft(F.col("code").cast("long"), 32) + F.col("number")).alias("known"))
+    return relation.select("block", "own", "codes").join(met.groupBy("block").agg(F.collect_list("known").alias("known")), "block")  # a block's groups at most
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -319,7 +338,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, block: int = BLOCK
         if k == 2:
             pairs = joined(_semi_joined(relation, levels[-1]), 1)
         else:
-            pairs = joined(relation.withColumn("kept", F.lit(None).cast("array<int>")), k - 1, _filter(levels[-1], k - 1))
+            pairs = joined(relation, k - 1, _filter(levels[-1], k - 1))
         before, relation = relation, persisted(pairs, f"occurrences-{k}")
         discard(before)
         found = counted(relation, k, least).withColumns({"left": F.substring("id", 1, 4 * (k - 1)), "right": F.substring("id", 5, 4 * (k - 1))})

@@ -117,6 +117,28 @@ def test_packed_groups(k):
     assert dict(zip(map(tuple, rows.tolist()), sums.tolist())) == want
 
 
+def test_groups_of_a_block_are_one_packed_value(spark, docs, monkeypatch):
+    """No relation of two words and more has a row with an array of groups; they lie sorted in few bytes."""
+    kept, written = collocations.persisted, {}
+    monkeypatch.setattr(collocations, "persisted", lambda df, label: written.setdefault(label, df) and kept(df, label))
+    texts = [(i, lines(i, 3000), "en") for i in range(4)]
+    collocations.mine(spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1), 4)
+    for k in range(2, 6):
+        relation = written[f"occurrences-{k}"]
+        assert {f.name: f.dataType.simpleString() for f in relation.schema} == {"block": "bigint", "own": "int", "codes": "binary", "n": "int", "packed": "binary"}
+    occurrences = collocations.occurrences(spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1), 5)
+    word = F.transform("words", lambda w, i: F.shiftleft(i.cast("long"), 32) + i)
+    pairs = collocations.joined(occurrences.select("block", "own", "codes", word.alias("known")), 1).collect()
+    assert len(pairs) == 1
+    names, counts = collocations._unpack(pairs[0].packed, pairs[0].n, 2)
+    want = Counter()
+    for _, text, _ in texts:
+        for piece in re.split("[.,;:!?\n-\r]", text):
+            words = [x.lower() if x.isascii() else x for x in re.findall(r"[^ \t]+", piece)]
+            want.update(zip(words, words[1:]))
+    assert names.tolist() == sorted(names.tolist()) and sorted(counts.tolist()) == sorted(want.values()) and len(pairs[0].packed) < 16 * pairs[0].n
+
+
 def test_no_phrases(docs):
     assert collocations.mine(docs.filter("false")).count() == 0
     assert collocations.mine(docs, least=10**6).count() == 0
