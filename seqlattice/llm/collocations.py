@@ -61,20 +61,24 @@ _GAP = b"\xff"
 _MARKS = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 
 
+def _compressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words of a text, A-Z in lower case, with ``_GAP`` between pieces."""
     return text.lower().translate(_MARKS).replace(_GAP, b" \xff ").split()
 
 
 def _squeezed(codes: np.ndarray) -> bytes:
-    """int32 codes, byte by byte, compressed; frequent words come early in a block, so their codes are small."""
-    return len(codes).to_bytes(4, "little") + pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    """int32 codes, byte by byte, compressed: frequent words have small codes, and the gap's is 0 here, so that most high bytes are 0."""
+    return len(codes).to_bytes(4, "little") + _compressed((codes + np.int32(1)).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _codes(squeezed: bytes) -> np.ndarray:
     n = int.from_bytes(squeezed[:4], "little")
     raw = pa.decompress(squeezed[4:], decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel() - np.int32(1)
 
 
 def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -87,6 +91,10 @@ def occurrences(df: DataFrame, longest: int, block: int = BLOCK, lang_col: str =
         if gap >= 0:
             codes = np.where(codes == gap, -1, codes - (codes > gap)).astype(np.int32)
             words = pa.concat_arrays([words.slice(0, gap), words.slice(gap + 1)])
+        order = np.argsort(-np.bincount(codes[codes >= 0], minlength=len(words)), kind="stable")
+        place = np.full(len(words) + 1, -1, np.int32)  # its last entry is for code -1
+        place[order] = np.arange(len(words))
+        codes, words = place[codes], words.take(pa.array(order))
         mine = codes[:own]
         return codes, words.cast(pa.string()), np.bincount(mine[mine >= 0], minlength=len(words))
 
@@ -215,7 +223,7 @@ def _pack(matrix: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted rows of int32 and their counts, column by column and byte by byte, compressed."""
     columns = [np.diff(matrix[:, 0], prepend=np.int32(0)), *matrix.T[1:], counts]
     raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns)
-    return pa.compress(raw, codec="zstd", asbytes=True)
+    return _compressed(raw)
 
 
 def _unpack(packed: bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,8 +319,8 @@ def _semi_joined(relation: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def _numbered(found: DataFrame) -> DataFrame:
-    """``found`` with ``id``, a gapless number from 0, as 4 bytes."""
-    placed = persisted(found.withColumn("__at", F.monotonically_increasing_id()), "placed")
+    """``found`` with ``id``, a gapless number from 0, as 4 bytes; frequent words come first, so that names compress well."""
+    placed = persisted(found.orderBy(F.desc("f"), "lang", "word").withColumn("__at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("__at", 33)
     before, starts = 0, {}
     for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row for each partition that wrote
