@@ -218,6 +218,26 @@ def hashed_kmers(seqs: DataFrame, k: int, sparsity: int = 1, ambiguous: bool = F
     return df.withColumns({"idx": F.col("off") + F.shiftright("__p", 32), "h": h}).drop("piece", "off", "__p")
 
 
+def placed_sums(k: int, period: int) -> Callable:
+    """For each piece and its offset: number ``m`` of k-mers, the sum of their canonical hashes, and ``placed``, the sum of hash times place modulo ``period``."""
+
+    @F.arrow_udf("struct<m:bigint,hash_sum:bigint,placed:bigint>")
+    def sums(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pieces, offs in batches:
+            for lo, hi in slices(pieces):
+                some = pieces.slice(lo, hi - lo)
+                sizes = pa.compute.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+                h = canonical_hashes(b"".join(some.to_pylist()), k).astype(np.int64)
+                first, m = np.cumsum(sizes) - sizes, np.maximum(sizes - (k - 1), 0)
+                turn = (offs.slice(lo, hi - lo).to_numpy(zero_copy_only=False) - first) % period  # place less position, end to end
+                place = (np.arange(len(h), dtype=np.uint32) + np.repeat(turn.astype(np.uint32), sizes)[: len(h)]) % np.uint32(period)
+                first, end = np.minimum(first, len(h)), np.minimum(first + m, len(h))
+                both = [np.append(0, np.cumsum(x)) for x in (h, h * place)]  # wraps at most, and differences wrap back
+                yield pa.StructArray.from_arrays([pa.array(m), *(pa.array(x[end] - x[first]) for x in both)], ["m", "hash_sum", "placed"])
+
+    return sums
+
+
 def window_bounds(n: int, window: int, k: int, delta: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`seqlattice.operators.windows.bounds` for window numbers of one sequence of ``n`` k-mers."""
     d, first = window * delta, window - k + 1

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmer_totals, kmers, murmur3_int, reverse_complement, with_murmur3
+from .functions.kmers import AMBIGUOUS, ambiguous_hashes, hashed_kmers, kmer_totals, kmers, murmur3_int, placed_sums, slices
 from .operators import frames, grid, identity, pyramid, windows
 from .plans import params
 from .sources import readers, writers
@@ -628,10 +630,19 @@ def fasta_round_trip(spark, sf_dir):
 
 
 def _as_fasta(spark, sf_dir: str) -> str:
-    """Documents as FASTA in lines of 60 lower-case bases."""
+    """Documents as FASTA, the bases of :func:`sequences` in lines of 60 and lower case; folded as bytes, which costs a part of what the expressions do."""
     folder = _folder(spark, "fasta")
-    lines = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" made of text\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"))
-    sequences(spark, sf_dir).select(lines).write.text(folder)
+    letters = (ALPHABET + ALPHABET.upper()).encode()
+    fold, others = bytes.maketrans(letters, BASES.lower().encode() * 2), bytes(set(range(256)) - set(letters))
+
+    @F.arrow_udf("string")
+    def wrapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for lo, hi in slices(texts):
+                bases = [t.translate(fold, others).decode() for t in texts.slice(lo, hi - lo).cast(pa.large_binary()).fill_null(b"").to_pylist()]
+                yield pa.array(["\n".join(b[i : i + 60] for i in range(0, len(b), 60)) for b in bases], pa.string())
+
+    table(spark, sf_dir, "documents").select(F.concat(F.lit(">"), F.col("doc_id"), F.lit(" made of text\n"), wrapped("text"))).write.text(folder)
     return folder
 
 
@@ -639,13 +650,9 @@ def _as_fasta(spark, sf_dir: str) -> str:
 def fasta_pieces(spark, sf_dir):
     """Records read in pieces: every k-mer once and in its place, however files are cut into byte ranges."""
     found = readers.fasta_pieces(spark, _as_fasta(spark, sf_dir), 8, 512)
-    found = found.select(F.col("seq_id").cast("long").alias("seq_id"), "length", "off", "piece", (F.octet_length("piece") - 7).cast("long").alias("m"))
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
-    cut = found.withColumn("at", at).select("seq_id", "length", "off", "m", (F.col("off") + F.col("at")).alias("idx"), F.substring("piece", (F.col("at") + 1).cast("int"), F.lit(8)).cast("string").alias("fwd"))
-    both = with_murmur3(with_murmur3(cut.withColumns({"f": F.col("fwd").cast("binary"), "r": reverse_complement(F.col("fwd")).cast("binary")}), "f", 8, "fh"), "r", 8, "rh")
-    h = both.withColumn("h", F.least("fh", "rh").cast("long"))
-    # A row for each piece leaves a task, not one for each k-mer; the places of a record are the union of its pieces' ranges.
-    parts = h.groupBy("seq_id", "off", "m").agg(F.max("length").alias("n"), F.count(F.lit(1)).alias("c"), F.sum("h").alias("hash_sum"), F.sum(F.col("h") * (F.col("idx") % 1000)).alias("placed"))
+    made = found.select(F.col("seq_id").cast("long").alias("seq_id"), "length", "off", placed_sums(8, 1000)("piece", "off").alias("s"))
+    # A row for each piece leaves a task, none for each k-mer; the places of a record are the union of its pieces' ranges.
+    parts = made.select("seq_id", "length", "off", "s.*").groupBy("seq_id", "off", "m").agg(F.max("length").alias("n"), F.sum("m").alias("c"), F.sum("hash_sum").alias("hash_sum"), F.sum("placed").alias("placed"))
     before = F.max(F.col("off") + F.col("m")).over(Window.partitionBy("seq_id").orderBy("off", "m").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("fresh", F.greatest(F.lit(0).cast("long"), F.col("off") + F.col("m") - F.greatest(F.col("off"), F.coalesce(before, F.lit(0)))))
     return parts.groupBy("seq_id").agg(F.max("n").alias("n"), F.sum("c").alias("n_kmers"), F.sum("fresh").alias("n_places"), F.sum("hash_sum").alias("hash_sum"), F.sum("placed").alias("placed"))

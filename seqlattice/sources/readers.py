@@ -8,6 +8,7 @@ import re
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,9 @@ from ..plans.params import IdentityQuery
 # Executors need not have the library installed: functions are shipped with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Bases of a record that wait for its end; a longer one is handed on in pieces before its length is known.
+HELD = 4 << 20
+
 BEDPE = T.StructType([
     T.StructField("query_name", T.StringType()), T.StructField("query_start", T.LongType()), T.StructField("query_end", T.LongType()),
     T.StructField("reference_name", T.StringType()), T.StructField("reference_start", T.LongType()), T.StructField("reference_end", T.LongType()),
@@ -37,9 +41,9 @@ def _plain(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path) if re.match(r"^[a-z0-9]+:", path) else os.path.abspath(path)
 
 
-def _file() -> Column:
+def _file(path: str = "_metadata.file_path") -> Column:
     """The path of a row's file, without scheme and host."""
-    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")
+    return F.regexp_replace(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?", "")
 
 
 def _place(paths: list[str]) -> Column:
@@ -82,22 +86,25 @@ def fasta_pieces(spark: SparkSession, paths: str | list[str], k: int = 21, size:
     """``file, seq_ord, seq_id, off, piece, length``: records in pieces of up to ``size`` bases, each with the next ``k - 1``.
 
     Records may be of any length and are never one row: files are read by lines, in as many byte ranges as Spark makes of
-    them (a ``.gz`` is one), and each task cuts what it reads. A record that goes on in the next range is put together
-    through a table with a row for each range: which record reaches into it, how many bases that has so far and in all,
-    and the ``k - 1`` bases that follow. Pieces without a whole k-mer are left out, so a record shorter than ``k`` has
-    none; all k-mers of a record are in its pieces exactly once. A line is one row, so lines are bounded by 2 GB.
+    them (a ``.gz`` is one), and each task cuts what it reads. Records of up to ``HELD`` bases that begin and end in a range
+    are complete where they are cut. Others are put together through a table with up to a few rows for each range: which
+    record reaches into it, how many bases that has so far and in all, and the ``k - 1`` bases that follow. Pieces without
+    a whole k-mer are left out, so a record shorter than ``k`` has none; all k-mers of a record are in its pieces exactly
+    once. A line is one row, so lines are bounded by 2 GB.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    schema = "file string, block long, ordinal long, head string, at long, own long, bases binary, whole boolean"
-    # A read in ranges, twice: once for the table of ranges, once for the pieces.
-    found = lines.mapInArrow(_cut(k, size), schema)
-    # Complete records have no part in the table (a range's last one never is), and only k - 1 bases of a piece may be needed in it.
-    part = found.filter("not whole").select("file", "block", "ordinal", "head", "own", "at", F.substring("bases", 1, k - 1).alias("bases"))
-    part = part.groupBy("file", "block", "ordinal").agg(F.max("head").alias("head"), F.sum("own").alias("n"), F.min_by("bases", "at").alias("first"))
+    of = lambda name: F.col(f"_metadata.file_{name}")
+    # Each column of a line costs as much as its text: the start of its range is doubled, plus 1 in a file's last range.
+    place = F.shiftleft(of("block_start"), 1) + F.when(of("block_start") + of("block_length") >= of("size"), 1).otherwise(0)
+    lines = spark.read.text(paths).select(of("path").alias("path"), place.alias("place"), "value")
+    schema = "path string, block long, ordinal long, head string, at long, n long, bases binary, whole boolean"
+    # A read in ranges, twice: once for the table of ranges, with k - 1 bases of a piece at most, once for the pieces.
+    part = lines.mapInArrow(_cut(k, size, True), schema)
+    part = part.groupBy("path", "block", "ordinal").agg(F.max("head").alias("head"), F.sum("n").alias("n"), F.min_by("bases", "at").alias("first"))
     zero = lambda c: F.max(F.when(F.col("ordinal") == 0, F.col(c)))
-    ranges = part.groupBy("file", "block").agg(F.max(F.struct("ordinal", "head", "n")).alias("last"), F.coalesce(zero("n"), F.lit(0)).alias("n0"), zero("first").alias("first0"))
-    order = Window.partitionBy("file").orderBy("block")  # a row for each range of a file
+    one = F.struct("ordinal", "head", "n")
+    ranges = part.groupBy("path", "block").agg(F.collect_list(one).alias("all"), F.max(one).alias("last"), F.coalesce(zero("n"), F.lit(0)).alias("n0"), zero("first").alias("first0"))
+    order = Window.partitionBy("path").orderBy("block")  # a row for each range of a file
     ranges = ranges.withColumns({"has": F.col("last.ordinal") > 0, "through": F.sum("n0").over(order)})
     mark = F.when(F.col("has"), F.struct(F.col("block").alias("block"), F.col("last.ordinal").alias("ordinal"), F.col("last.head").alias("head"), F.col("last.n").alias("n"), "through"))
     later = order.rowsBetween(1, Window.unboundedFollowing)
@@ -109,56 +116,66 @@ def fasta_pieces(spark: SparkSession, paths: str | list[str], k: int = 21, size:
     begun = F.struct(F.lit(b"").alias("b"), F.lit(False).alias("has"))
     grown = lambda a, x: F.when(a["has"], a).otherwise(F.struct(F.concat(a["b"], x["b"]).alias("b"), x["has"].alias("has")))
     ranges = ranges.select(
-        "file", "block", F.col("last.ordinal").alias("last"), "from", F.aggregate("nexts", begun, grown)["b"].alias("follow"),
+        "path", "block", "all", F.col("last.ordinal").alias("last"), "from", F.aggregate("nexts", begun, grown)["b"].alias("follow"),
         (F.col("last.n") + F.col("until_next") - F.col("through")).alias("n_last"),
         (F.col("from.n") + F.when(F.col("has"), F.col("through")).otherwise(F.col("until_next")) - F.col("from.through")).alias("n_from"),
         (F.col("from.n") + F.col("through") - F.col("n0") - F.col("from.through")).alias("base"),
     )
-    own = part.select("file", "block", "ordinal", F.col("head").alias("own_head"), F.col("n").alias("own_n")).join(ranges, ["file", "block"])
-    carried = F.col("ordinal") == 0
-    own = own.select(
-        "file", "block", "ordinal", F.when(carried, F.col("from.head")).otherwise(F.col("own_head")).alias("name"), F.when(carried, F.col("base")).otherwise(0).alias("base"),
-        F.when(carried, F.col("from.block")).otherwise(F.col("block")).alias("from_block"), F.when(carried, F.col("from.ordinal")).otherwise(F.col("ordinal")).alias("from_ordinal"),
-        F.when(carried, F.col("n_from")).when(F.col("ordinal") == F.col("last"), F.col("n_last")).otherwise(F.col("own_n")).alias("length"),
-        F.when(F.col("ordinal") == F.col("last"), F.col("follow")).otherwise(F.lit(b"")).alias("follow"),
+    ordinal = F.col("own.ordinal")
+    carried = ordinal == 0
+    own = ranges.withColumn("own", F.explode("all")).select(
+        "path", "block", "own.ordinal", F.when(carried, F.col("from.head")).otherwise(F.col("own.head")).alias("name"), F.when(carried, F.col("base")).otherwise(0).alias("base"),
+        F.when(carried, F.col("from.block")).otherwise(F.col("block")).alias("from_block"), F.when(carried, F.col("from.ordinal")).otherwise(ordinal).alias("from_ordinal"),
+        F.when(carried, F.col("n_from")).when(ordinal == F.col("last"), F.col("n_last")).otherwise(F.col("own.n")).alias("length"),
+        F.when(ordinal == F.col("last"), F.col("follow")).otherwise(F.lit(b"")).alias("follow"),
     )
-    # Records that begin and end in one piece are complete; all others meet their row of the table.
-    short = found.filter("whole").select("file", "block", "ordinal", F.col("head").alias("name"), F.lit(0).cast("long").alias("off"), F.col("bases").alias("piece"), F.col("own").alias("length"))
-    long = found.filter("not whole").join(own, ["file", "block", "ordinal"])
-    long = long.select("file", F.col("from_block").alias("block"), F.col("from_ordinal").alias("ordinal"), "name", (F.col("base") + F.col("at")).alias("off"), F.substring(F.concat("bases", "follow"), F.lit(1), (F.col("own") + (k - 1)).cast("int")).alias("piece"), "length")
-    out = short.unionByName(long).filter((F.octet_length("piece") >= k) & F.col("name").isNotNull() & (F.col("name") != ""))
+    # The table has a few rows of some 100 bytes for each border between two ranges, and for each record of over HELD bases.
+    out = lines.mapInArrow(_cut(k, size, False), schema).join(F.broadcast(own), ["path", "block", "ordinal"], "left")
+    or_own = lambda c, known: F.when(F.col("whole"), known).otherwise(F.col(c))
+    piece = F.substring(F.concat("bases", "follow"), F.lit(1), (F.col("n") + (k - 1)).cast("int"))
+    out = out.select(
+        _file("path").alias("file"), or_own("from_block", F.col("block")).alias("block"), or_own("from_ordinal", F.col("ordinal")).alias("ordinal"), or_own("name", F.col("head")).alias("name"),
+        or_own("length", F.col("n")).alias("length"), F.when(F.col("whole"), F.col("at")).otherwise(F.col("base") + F.col("at")).alias("off"), F.when(F.col("whole"), F.col("bases")).otherwise(piece).alias("piece"),
+    ).filter((F.octet_length("piece") >= k) & F.col("name").isNotNull() & (F.col("name") != ""))
     return out.select("file", F.struct(_place(paths).alias("place"), "file", "block", F.col("ordinal").alias("row")).alias("seq_ord"), F.col("name").alias("seq_id"), "off", "piece", "length")
 
 
-def _cut(k: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines of byte ranges to pieces. ``ordinal`` numbers the records of a range from 1; 0 is what goes on from the range before."""
-    blank, limit = b" \t\r\x0b\x0c", 16 << 20
+def _cut(k: int, size: int, table: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of byte ranges to pieces. ``ordinal`` numbers the records of a range from 1; 0 is what goes on from the range before.
+    ``n`` is the record's length where it is ``whole``, else the piece's own. For the ``table`` whole records are left out, and what
+    waits is one row."""
+    blank, most, limit = b" \t\r\x0b\x0c", max(HELD, 4 * (size + k)), 4 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = ordinal = at = waiting = 0
-        where: tuple | None = None
-        head, parts = None, []
+        where, ends, head = None, False, None
+        parts: list[bytes] = []
 
-        def emit(own: int, bases: bytes, whole: bool) -> None:
+        def emit(at: int, n: int, bases: bytes, whole: bool = False) -> None:
             nonlocal held
-            rows.append((*where, ordinal, head, at, own, bases, whole))
+            rows.append((*where, ordinal, head, at, n, bases, whole))
             held += len(bases)
 
         def cut(done: bool, last: bool) -> None:
             """Pieces of what waits: all of it if the record or the range is ``done``, else those with all that must follow."""
             nonlocal at, waiting, parts
             data = b"".join(parts)
-            while len(data) >= size + k - 1 and (len(data) > size + k - 1 or not done):
-                emit(size, data[: size + k - 1], False)
-                data, at = data[size:], at + size
-            if done and len(data) > size:
-                emit(size, data, False)
-                data, at = data[size:], at + size
-            if done and (data or (ordinal and not at)):
-                emit(len(data), data, bool(ordinal) and not at and not last)
-                data = b""
-            parts, waiting = [data] if data else [], len(data)
+            n, complete = len(data), done and ordinal and not at and (ends or not last)
+            stop = n - k + 1 if complete else n if done else n - (size + k) + 2
+            starts = range(0, stop, size)
+            if complete:
+                for o in () if table else starts:
+                    emit(o, n, data[o : o + size + k - 1], True)
+            else:
+                reach, kept = (len(starts) * size, k - 1) if table else (size, size + k - 1)
+                for o in starts[:1] if table else starts:
+                    emit(at + o, min(reach, n - o), data[o : o + kept])
+                if done and ordinal and not (n or at):
+                    emit(0, 0, b"")  # a record without bases so far
+            at += len(starts) * size
+            parts = [] if done else [data[len(starts) * size :]]
+            waiting = sum(map(len, parts))
 
         def packed() -> pa.RecordBatch:
             nonlocal held
@@ -166,23 +183,38 @@ def _cut(k: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             rows.clear()
             held = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "block", "ordinal", "head", "at", "own", "bases", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "block", "ordinal", "head", "at", "n", "bases", "whole"])
 
         for batch in batches:
-            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != where:
+            if not batch.num_rows:
+                continue
+            path, place, value = batch.columns
+            value = value.cast(pa.large_binary())
+            offsets = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + len(value) + 1]
+            text = memoryview(value.buffers()[2] or b"")
+            # Lines that begin something, a range or a record; what is between two of them is cleaned at once.
+            heads = np.zeros(len(value), bool)
+            some = offsets[1:] > offsets[:-1]
+            if some.any():
+                heads[some] = np.frombuffer(text, np.uint8)[offsets[:-1][some]] == ord(">")
+            files, places = path.dictionary_encode().indices.to_numpy(), place.to_numpy()
+            fresh = np.append(True, (files[1:] != files[:-1]) | (places[1:] != places[:-1]))
+            marks = np.flatnonzero(heads | fresh)
+            for i, end in zip(marks.tolist(), [*marks[1:].tolist(), len(value)], strict=True):
+                if fresh[i] and (path[i].as_py(), int(places[i]) >> 1) != where:
                     if where:
                         cut(True, True)
-                    where, ordinal, at, head = (file, block), 0, 0, None
-                if line.startswith(">"):
+                    where, ends, ordinal, at, head = (path[i].as_py(), int(places[i]) >> 1), bool(places[i] & 1), 0, 0, None
+                if heads[i]:
                     cut(True, False)
-                    ordinal, at = ordinal + 1, 0
+                    line = bytes(text[offsets[i] : offsets[i + 1]]).decode()
+                    ordinal, at, i = ordinal + 1, 0, i + 1
                     head = (line[1:].split(None, 1) or [""])[0] if line[1:2].strip() else ""
-                elif ordinal or block:  # what stands before a file's first header belongs to no record
-                    data = line.encode().upper().translate(None, blank)
+                if ordinal or where[1]:  # what stands before a file's first header belongs to no record
+                    data = bytes(text[offsets[i] : offsets[end]]).upper().translate(None, blank)
                     parts.append(data)
                     waiting += len(data)
-                    if waiting >= 4 * (size + k):
+                    if waiting >= most:
                         cut(False, False)
                 if held > limit:
                     yield packed()

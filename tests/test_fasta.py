@@ -99,3 +99,37 @@ def test_rows_of_kmers_stay_in_their_task(spark):
 
     plan = fasta_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct" not in plan and "Expand" not in plan and "[seq_id#" in plan and "off#" in plan.split("Aggregate [", 2)[2].split("]")[0]
+
+
+@pytest.mark.parametrize(("k", "size", "width", "cut"), [(5, 16, 7, 300), (21, 64, 60, 10**6), (12, 10, 1, 30)])
+def test_records_that_do_not_wait(spark, tmp_path, ranges, monkeypatch, k, size, width, cut):
+    """Records beyond what waits for their end are put together by the table, also those within a range."""
+    monkeypatch.setattr(readers, "HELD", 1)
+    test_pieces(spark, tmp_path, ranges, k, size, width, cut)
+
+
+def test_kmers_of_pieces_are_no_rows(spark):
+    """Hashes are added up where a piece is; a file is read for the table of ranges and for the pieces, by no further scan."""
+    from seqlattice.queries import fasta_pieces
+
+    plan = fasta_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_query_of_odd_texts(spark, tmp_path):
+    from seqlattice.functions.kmers import murmur3_int
+    from seqlattice.queries import ALPHABET, BASES, fasta_pieces
+
+    rng = random.Random(1)
+    texts = [None, "", "Été > 12\n>x", *("".join(rng.choice(ALPHABET + ALPHABET.upper() + " \n>ß漢") for _ in range(n)) for n in (6, 12, 60, 640, 660, 3000))]
+    rows = [*enumerate(texts), (8, texts[8])]  # one of them twice
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {}
+    for key, text in rows:
+        seq = "".join(BASES[ALPHABET.index(c.lower())] for c in text or "" if c.isascii() and c.isalpha())
+        words = [seq[i : i + 8] for i in range(len(seq) - 7)]
+        h = [min(murmur3_int(w.encode()), murmur3_int(w[::-1].translate(str.maketrans("ACGT", "TGCA")).encode())) for w in words]
+        if h:
+            _, c, _, total, placed = expected.get(key, (0, 0, 0, 0, 0))
+            expected[key] = (len(seq), c + len(h), len(h), total + sum(h), placed + sum(x * (i % 1000) for i, x in enumerate(h)))
+    assert {r.seq_id: tuple(r)[1:] for r in fasta_pieces(spark, str(tmp_path)).collect()} == expected
